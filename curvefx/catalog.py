@@ -1,4 +1,7 @@
 """All queries and their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import curve_queries, ledger_queries
+
+GROUPS = (curve_queries, ledger_queries)
+QUERIES = {k: f for g in GROUPS for k, f in g.QUERIES.items()}
+ORACLES = {k: s for g in GROUPS for k, s in g.ORACLES.items()}
