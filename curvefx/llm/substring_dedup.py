@@ -4,6 +4,9 @@ A window is WINDOW consecutive words. Its minimiser is the leftmost M-word group
 windows with the same minimiser position, a super-k-mer, travels as one packed string of its words to the
 bucket of that minimiser. Equal windows have the same minimiser, so they meet there; rows sorted by document and
 start then show which windows occurred earlier. Within a task, equal packed strings travel once, as their earliest.
+
+A first pass sends only minimisers and row ids, and finds those that occur more than once; the strings of the others,
+most of a corpus, never travel. The texts are shuffled once, and both later passes read that exchange.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ PLACE_BITS = 26
 #: Different windows of one minimiser that a task remembers.
 MOST_WINDOWS = 200_000
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-NAMES = ["key", "doc", "hash", "start", "n", "packed"]
-ROW = "key long, doc long, hash long, start int, n int, packed binary"
+NAMES = ["key", "doc", "rid", "start", "n", "packed"]
+ROW = "key long, doc long, rid long, start int, n int, packed binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,30 +57,52 @@ def minimiser_places(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np
     return (least & low).astype(np.int64), g
 
 
-def cut_slice(docs: list[int], hashes: list[int], texts: list[str | None], window: int, m: int) -> Iterator[tuple]:
-    """Super-k-mers (key, doc, hash, start, n, packed) of some texts, equal ones once as their earliest; a
+def super_kmers(words: list[bytes], number: dict[bytes, int], window: int, m: int) -> Iterator[tuple[int, int, list[int], list[int], list[int]]]:
+    """base, end, and the keys, first windows and ends of windows (from base) of the super-k-mers of one text.
+
+    Texts beyond 2**PLACE_BITS words come in pieces that share no window.
+    """
+    h = np.fromiter((number.get(w) or number.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
+    step = 2**PLACE_BITS - window
+    for base in range(0, len(words) - window + 1, step):
+        piece = h[base : base + step + window - 1]
+        place, g = minimiser_places(piece, window, m)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        yield base, base + len(piece), g[place[first]].view(np.int64), first, np.r_[first[1:], len(place)]
+
+
+def key_counts(ids: list[int], texts: list[str | None], window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, row id and number of super-k-mers, for each minimiser of each text."""
+    number: dict[bytes, int] = {}
+    keys, rows, counts = [], [], []
+    for rid, text in zip(ids, texts):
+        words = words_of(text)
+        if len(words) >= window:
+            k, n = np.unique(np.concatenate([x[2] for x in super_kmers(words, number, window, m)]), return_counts=True)
+            keys.append(k)
+            rows.append(np.full(len(k), rid, np.int64))
+            counts.append(n.astype(np.int32))
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return join(keys, np.int64), join(rows, np.int64), join(counts, np.int32)
+
+
+def cut_slice(docs: list[int | None], ids: list[int], texts: list[str | None], wanted: list[list[int]], window: int, m: int) -> Iterator[tuple]:
+    """Super-k-mers (key, doc, rid, start, n, packed) with wanted minimisers, equal ones once as their earliest; a
     repeat is a row without packed string that says which windows of its document occurred earlier."""
     seen: dict[bytes, tuple] = {}
     number: dict[bytes, int] = {}
-    for doc, digest, text in zip(docs, hashes, texts):
+    for doc, rid, text, some in zip(docs, ids, texts, wanted):
+        doc = -(2**63) if doc is None else doc
         words = words_of(text)
-        if len(words) < window:
-            continue
-        h = np.fromiter((number.get(w) or number.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
-        for base in range(0, len(words) - window + 1, 2**PLACE_BITS - window):
-            piece = h[base : base + 2**PLACE_BITS - 1]
-            place, g = minimiser_places(piece, window, m)
-            place = place[: 2**PLACE_BITS - window]
-            offs = np.r_[0, np.cumsum(np.fromiter(map(len, words[base : base + len(piece)]), np.int64, len(piece)) + 1)].tolist()
-            joined = b" ".join(words[base : base + len(piece)])
-            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            keys = g[place[first]].view(np.int64).tolist()
-            for key, a, b in zip(keys, first.tolist(), np.r_[first[1:], len(place)].tolist()):
-                packed = joined[offs[a] : offs[b + window - 1] - 1]
-                row = (key, doc, digest, base + a, b - a, packed)
+        some = np.array(some, np.int64)
+        for base, end, keys, first, last in super_kmers(words, number, window, m) if len(words) >= window else ():
+            chosen = np.flatnonzero(np.isin(keys, some))
+            for key, a, b in zip(keys[chosen].tolist(), (base + first[chosen]).tolist(), (base + last[chosen]).tolist()):
+                packed = b" ".join(words[a : b + window - 1])
+                row = (key, doc, rid, a, b - a, packed)
                 old = seen.setdefault(packed, row)
                 if old is not row:
-                    early, late = (old, row) if (old[1], old[3]) <= (doc, base + a) else (row, old)
+                    early, late = (old, row) if (old[1], old[3]) <= (doc, a) else (row, old)
                     seen[packed] = early
                     if (early[1], early[3]) != (late[1], late[3]):
                         yield (key, *late[1:5], None)
@@ -96,11 +121,11 @@ class Bucket:
         self.first: dict[bytes, tuple] = {}
         self.whole: dict[bytes, tuple] = {}
 
-    def add(self, doc: int, digest: int, start: int, n: int, packed: bytes) -> Iterator[tuple]:
+    def add(self, doc: int, rid: int, start: int, n: int, packed: bytes) -> Iterator[tuple]:
         """Rows (key, doc, hash, start, n, packed): repeats with packed None, and windows passed on."""
         if packed in self.whole:
             if self.whole[packed] != (doc, start):
-                yield self.key, doc, digest, start, n, None
+                yield self.key, doc, rid, start, n, None
             return
         if len(self.first) < MOST_WINDOWS:
             self.whole[packed] = (doc, start)
@@ -110,37 +135,67 @@ class Bucket:
             w = packed[offs[j] : offs[j + self.window] - 1]
             known = self.first.get(w) if len(self.first) >= MOST_WINDOWS else self.first.setdefault(w, (doc, start + j))
             if known is None:
-                yield xxhash.xxh64_intdigest(w) - 2**63, doc, digest, start + j, 1, w
+                yield xxhash.xxh64_intdigest(w) - 2**63, doc, rid, start + j, 1, w
             late = known is not None and known != (doc, start + j)
             if late and begun is None:
                 begun = j
             if not late and begun is not None:
-                yield self.key, doc, digest, start + begun, j - begun, None
+                yield self.key, doc, rid, start + begun, j - begun, None
                 begun = None
         if begun is not None:
-            yield self.key, doc, digest, start + begun, n - begun, None
+            yield self.key, doc, rid, start + begun, n - begun, None
 
 
-def repeats(df: DataFrame, window: int = 20, m: int = M) -> DataFrame:
-    """doc, hash, start, n: the n windows from word start of a document whose words also start earlier.
+def slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE_BYTES of text each."""
+    begin, size = 0, 0
+    for i, x in enumerate(b.column(text)):
+        n = len(t) if (t := x.as_py()) else 0
+        if size and size + n > SLICE_BYTES:
+            yield b.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < b.num_rows:
+        yield b.slice(begin)
 
-    df has columns doc long, hash long and text string.
-    """
+
+def repeats(rows: DataFrame, window: int = 20, m: int = M) -> DataFrame:
+    """rid, start, n: the n windows from word start of a row whose words also start earlier. rows has doc, rid and text."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 1):
+                got = key_counts(*[c.to_pylist() for c in part.columns], window, m)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["key", "rid", "n"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the minimisers that occur more than once; only the last row of a batch may have to wait."""
+        wait = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None and not b.num_rows:
+                continue
+            if b is None:
+                if wait is not None and wait[2] > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in wait[1::-1]], ["rid", "key"])
+                return
+            key, rid, n = (c.to_numpy() for c in b.columns)
+            if wait is not None:
+                key, rid, n = np.r_[wait[0], key], np.r_[wait[1], rid], np.r_[wait[2], n]
+            run = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+            many = np.bincount(run, n)[run] > 1
+            last = len(key) - 1
+            # the last row stays back; if it is known to repeat, its count says so to the next batch
+            wait = (key[last], rid[last], 2 if many[last] else 1)
+            out = np.flatnonzero(many[:last])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[out]), pa.array(key[out])], ["rid", "key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            begin, size = 0, 0
-            lens = [len(t) if (t := x.as_py()) else 0 for x in b.column(2)]
-            for i in range(b.num_rows + 1):
-                if i == b.num_rows or (size and size + lens[i] > SLICE_BYTES):
-                    if i > begin:
-                        part = b.slice(begin, i - begin)
-                        rows = cut_slice(*[c.to_pylist() for c in part.columns], window, m)
-                        while some := list(itertools.islice(rows, 20_000)):
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), KINDS)], NAMES)
-                    begin, size = i, 0
-                if i < b.num_rows:
-                    size += lens[i]
+            for part in slices(b, 2):
+                found = cut_slice(*[c.to_pylist() for c in part.columns], window, m)
+                while some := list(itertools.islice(found, 20_000)):
+                    yield told(some)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], NAMES)
@@ -181,39 +236,39 @@ def repeats(df: DataFrame, window: int = 20, m: int = M) -> DataFrame:
             if passed.num_rows:
                 yield passed
             out = []
-            for key, doc, digest, start, n, w in zip(*[c.to_pylist() for c in b.filter(b.column(5).is_valid()).columns]):
+            for key, doc, rid, start, n, w in zip(*[c.to_pylist() for c in b.filter(b.column(5).is_valid()).columns]):
                 if w != last:
                     last, first = w, (doc, start)
                 elif first != (doc, start):
-                    out.append((key, doc, digest, start, n, None))
+                    out.append((key, doc, rid, start, n, None))
             if out:
                 yield told(out)
 
-    cuts = df.select("doc", "hash", "text").mapInArrow(cut, ROW).repartition("key").sortWithinPartitions("key", "doc", "start")
+    counted = rows.select("rid", "text").mapInArrow(keys, "key long, rid long, n int").repartition("key").sortWithinPartitions("key")
+    wanted = counted.mapInArrow(shared, "rid long, key long").groupBy("rid").agg(F.collect_set("key").alias("wanted"))
+    cuts = rows.join(wanted, "rid").select("doc", "rid", "text", "wanted").mapInArrow(cut, ROW).repartition("key").sortWithinPartitions("key", "doc", "start")
     rest = cuts.mapInArrow(count, ROW).repartition("key").sortWithinPartitions("key", "packed", "doc", "start")
-    return rest.mapInArrow(compare, ROW).select("doc", "hash", "start", "n")
+    return rest.mapInArrow(compare, ROW).select("rid", "start", "n")
 
 
 def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20) -> DataFrame:
     """key, n_words, n_removed, and kept_text: the words that no repeated window covers, joined by one space.
 
-    Repeats are judged on the input: a window is removed if its words also start in a row with a smaller key,
-    or earlier in its own. Rows that share a key count as one document for that order, so equal starts in
-    them remove nothing. A null key comes first. Null, empty and short texts have no window and keep their
-    words. An empty table gives an empty result; other columns are not read.
+    Repeats are judged on the input: a window is removed if its words also start in a row with a smaller key
+    (a long), or earlier in its own. Rows that share a key count as one document for that order, so equal
+    starts in them remove nothing. A null key comes first. Null, empty and short texts have no window and keep
+    their words. An empty table gives an empty result; other columns are not read.
     """
-    rows = df.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"), F.col(f"`{text}`").cast("string").alias("text"))
-    spans = repeats(rows, window).groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(spans, ["doc", "hash"], "left").select("_key", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
-    kind = df.select(F.col(f"`{key}`")).schema[0].dataType.simpleString()
+    t = F.col(f"`{text}`").cast("string")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{key}`").cast("string"), t).alias("rid"), t.alias("text"))
+    spans = repeats(rows, window).groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    joined = rows.join(spans, "rid", "left").select("doc", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b, 1):
                 total, gone, kept = [], [], []
-                for text, starts, ns in zip(*[c.to_pylist() for c in part.columns[1:]]):
-                    words = words_of(text)
+                for words, starts, ns in ((words_of(t), s, n) for t, s, n in zip(*[c.to_pylist() for c in part.columns[1:]])):
                     hit = np.zeros(len(words) + 1, np.int32)
                     for s, n in zip(starts or (), ns or ()):
                         hit[s] += 1
@@ -224,4 +279,4 @@ def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", wind
                     kept.append(b" ".join(itertools.compress(words, (~hit).tolist())).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [key, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(cover, f"`{key}` {kind}, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(cover, f"`{key}` long, n_words long, n_removed long, kept_text string")
