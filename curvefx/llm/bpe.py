@@ -29,7 +29,7 @@ ship(__name__)
 BLOCK_BYTES = 24_000_000
 NONE = np.int32(2**31 - 1)
 #: White_Space of Unicode, which the pattern's \s means.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -55,6 +55,8 @@ class Merges:
                     pairs[a << 32 | b] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        #: Tokens that take part in a pair of a lower rank than their own, so that a merge may put an earlier one before its like.
+        self.late = {t for k, rank in pairs.items() for t in (k >> 32, k & 0xFFFFFFFF) if rank < t}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = {r: t for t, r in ranks.items()}
         self.by_bytes = ranks
@@ -133,10 +135,11 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
         before[follow] = pos
         prior = before[pos]
         touched = np.unique(np.concatenate([pos, prior[prior < n]]))
-        new = merges.pair_ranks(token[touched], token[after[touched]])
-        rank[touched] = new
-        if (late := new < r).any():  # a pair that should have come earlier in its word: such words are done alone
-            odd.append(touched[late])
+        rank[touched] = merges.pair_ranks(token[touched], token[after[touched]])
+        if len(pos) > 1 and r in merges.late:
+            # a word with several such merges may need another one between them: it is done alone
+            word = np.searchsorted(ends, pos, side="right")
+            odd.append(pos[1:][word[1:] == word[:-1]])
         enter(touched)
     ids = token[:n][live]
     starts = np.r_[0, np.cumsum(live)][np.r_[0, ends]]
