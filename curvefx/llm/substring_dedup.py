@@ -105,7 +105,7 @@ def cut_slice(docs: list[int | None], ids: list[int], texts: list[str | None], w
                     early, late = (old, row) if (old[1], old[3]) <= (doc, a) else (row, old)
                     seen[packed] = early
                     if (early[1], early[3]) != (late[1], late[3]):
-                        yield (key, *late[1:5], None)
+                        yield (late[2], *late[1:5], None)  # spread by row: a hot minimiser's repeats don't meet
     yield from seen.values()
 
 
@@ -122,10 +122,10 @@ class Bucket:
         self.whole: dict[bytes, tuple] = {}
 
     def add(self, doc: int, rid: int, start: int, n: int, packed: bytes) -> Iterator[tuple]:
-        """Rows (key, doc, hash, start, n, packed): repeats with packed None, and windows passed on."""
+        """Rows (key, doc, rid, start, n, packed): repeats with packed None and the row as key, and windows passed on."""
         if packed in self.whole:
             if self.whole[packed] != (doc, start):
-                yield self.key, doc, rid, start, n, None
+                yield rid, doc, rid, start, n, None
             return
         if len(self.first) < MOST_WINDOWS:
             self.whole[packed] = (doc, start)
@@ -140,10 +140,10 @@ class Bucket:
             if late and begun is None:
                 begun = j
             if not late and begun is not None:
-                yield self.key, doc, rid, start + begun, j - begun, None
+                yield rid, doc, rid, start + begun, j - begun, None
                 begun = None
         if begun is not None:
-            yield self.key, doc, rid, start + begun, n - begun, None
+            yield rid, doc, rid, start + begun, n - begun, None
 
 
 def slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def repeats(rows: DataFrame, window: int = 20, m: int = M) -> DataFrame:
                 if w != last:
                     last, first = w, (doc, start)
                 elif first != (doc, start):
-                    out.append((key, doc, rid, start, n, None))
+                    out.append((rid, doc, rid, start, n, None))
             if out:
                 yield told(out)
 
