@@ -125,7 +125,7 @@ def q9(spark, d):
     return quantiles.as_long(p, ["supp", "year"]).select("supp", F.col("year").cast("int").alias("year"), "k", r(F.col("q"), 3).alias("q"))
 
 
-@query("q10_projection_diagnostics")
+@query("q10_projection_diagnostics", twin(PANEL + ",\n" + PROJECT + ", st AS (SELECT supp, year, count(*) FILTER (d < p) AS v FROM (SELECT *, lag(d) OVER (PARTITION BY supp, year ORDER BY k) AS p FROM lagged) GROUP BY ALL)", f"SELECT (SELECT count(*) FROM st) AS n_vectors, (SELECT count(*) FROM st WHERE v > 0) AS n_changed, (SELECT sum(v)::BIGINT FROM st) AS violations, {R('max(abs(proj.d - lagged.d))', 3)} AS max_adjustment, 0::BIGINT AS still_falling FROM proj JOIN lagged USING (supp, year, k)"))
 def q10(spark, d):
     """Vectors changed, falling steps, and the largest adjustment."""
     p = panel(spark, d).select("raw", C.project_monotone(F.col("raw")).alias("p"))

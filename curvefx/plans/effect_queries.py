@@ -54,7 +54,12 @@ def scored(spark, d):
     return n.select("*", *[E.aipw(F.col(v), F.col("a"), F.col("e"), F.col(f"mu0_{v}"), F.col(f"mu1_{v}")).alias(f"psi_{v}") for v in names])
 
 
-@query("e1_e3_marginal_effects")
+def each_functional(select: str) -> str:
+    """One statement for each functional, with its name as name, put together."""
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({twin(dr_sql(v), select.replace('$name', v))})" for v in C.FUNCTIONALS)
+
+
+@query("e1_e3_marginal_effects", each_functional(f"SELECT '$name' AS name, count(*) AS n, {R('avg(psi)')} AS effect, {R('stddev_pop(psi) / sqrt(count(*))')} AS if_se FROM ps"))
 def e1(spark, d):
     """All functionals at once: effect, influence-function SE, n."""
     long = scored(spark, d).select(*[F.col(f"psi_{v}").alias(v) for v in C.FUNCTIONALS]).unpivot([], list(C.FUNCTIONALS), "name", "psi")

@@ -221,13 +221,15 @@ def t7(spark, d):
 
 # Benchmarks: decile shares of supplier sales by nation stand for published tables.
 DEC = "sal AS (SELECT s_nationkey AS nation, l_extendedprice AS v, ntile(10) OVER (PARTITION BY s_nationkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS dec FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), sh AS (SELECT nation, dec, sum(v) AS s, avg(v) AS m, count(*) AS n FROM sal GROUP BY ALL)"
-PCHIP = """kn AS (SELECT nation, (dec - 0.5::DOUBLE) / 10 AS x0, m AS y0 FROM sh),
-ka AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM kn WINDOW w AS (PARTITION BY nation ORDER BY x0)),
+PCHIP_KNOTS = """kn AS (SELECT nation, (dec - 0.5::DOUBLE) / 10 AS x0, m AS y0 FROM sh),
+"""
+PCHIP_PIECES = """ka AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM kn WINDOW w AS (PARTITION BY nation ORDER BY x0)),
 kb AS (SELECT *, x1 - x0 AS h, (y1 - y0) / (x1 - x0) AS s FROM ka),
 kc AS (SELECT *, lag(h) OVER w AS hp, lag(s) OVER w AS sp, lead(h) OVER w AS hn, lead(s) OVER w AS sn, lag(h, 2) OVER w AS hpp, lag(s, 2) OVER w AS spp FROM kb WINDOW w AS (PARTITION BY nation ORDER BY x0)),
 kd AS (SELECT *, CASE WHEN hp IS NULL THEN ((2 * h + hn) * s - h * sn) / (h + hn) WHEN h IS NULL THEN ((2 * hp + hpp) * sp - hp * spp) / (hp + hpp) WHEN sp * s > 0 THEN (3 * h + 3 * hp) / ((2 * h + hp) / sp + (h + 2 * hp) / s) ELSE 0 END AS raw, CASE WHEN hp IS NULL THEN s WHEN h IS NULL THEN sp END AS e0, CASE WHEN hp IS NULL THEN sn WHEN h IS NULL THEN spp END AS e1 FROM kc),
 ke AS (SELECT *, CASE WHEN e0 IS NULL THEN raw WHEN raw * e0 <= 0 THEN 0 WHEN e0 * e1 <= 0 AND abs(raw) > 3 * abs(e0) THEN 3 * e0 ELSE raw END AS m0 FROM kd),
-pc AS (SELECT *, lead(m0) OVER (PARTITION BY nation ORDER BY x0) AS m1 FROM ke),
+pc AS (SELECT *, lead(m0) OVER (PARTITION BY nation ORDER BY x0) AS m1 FROM ke)"""
+PCHIP = PCHIP_KNOTS + PCHIP_PIECES + """,
 lv AS (SELECT k::INT AS k, least(greatest((k::DOUBLE - 0.5::DOUBLE) / 25, 0.05::DOUBLE), 0.95::DOUBLE) AS u FROM (SELECT unnest(range(1, 26)) AS k)),
 fit AS (SELECT nation, k, (2 * t * t * t - 3 * t * t + 1) * y0 + (t * t * t - 2 * t * t + t) * h * m0 + (3 * t * t - 2 * t * t * t) * y1 + (t * t * t - t * t) * h * m1 AS q FROM (SELECT pc.*, k, (u - x0) / h AS t FROM pc JOIN lv ON (u > x0 AND u <= x1) OR (u = 0.05 AND x0 = 0.05) WHERE x1 IS NOT NULL))"""
 
@@ -261,7 +263,10 @@ def b2(spark, d):
     return g.select("nation", r(c("gini"), 6).alias("gini"))
 
 
-@query("b2_lorenz_quantiles")
+LORENZ = DEC + ", kn AS (SELECT nation, dec / 10::DOUBLE AS x0, sum(s) OVER (PARTITION BY nation ORDER BY dec) / sum(s) OVER (PARTITION BY nation) AS y0 FROM sh UNION ALL SELECT DISTINCT nation, 0, 0 FROM sh),\n" + PCHIP_PIECES + ", fit AS (SELECT nation, (6 * t * t - 6 * t) * y0 / h + (3 * t * t - 4 * t + 1) * m0 + (6 * t - 6 * t * t) * y1 / h + (3 * t * t - 2 * t) * m1 AS q FROM (SELECT pc.*, (u - x0) / h AS t FROM pc JOIN (SELECT (k::DOUBLE - 0.5::DOUBLE) / 25 AS u FROM (SELECT unnest(range(1, 26)) AS k)) ON u > x0 AND u <= x1 WHERE x1 IS NOT NULL))"
+
+
+@query("b2_lorenz_quantiles", twin(LORENZ, f"SELECT nation, {R('avg(q) * any_value(mean)', 2)} AS rebuilt, {R('any_value(mean)', 2)} AS mean FROM fit JOIN (SELECT nation, sum(s) / sum(n) AS mean FROM sh GROUP BY nation) USING (nation) GROUP BY nation"))
 def b2q(spark, d):
     """Quantile curves as the derivative of a monotone Lorenz curve times the mean, with their mean beside the true one."""
     dec = ordered.stored(deciles(spark, d))

@@ -10,9 +10,9 @@ from ..functions import curves as C
 from ..operators import ordered
 from ..sources import io
 from .curve_queries import designed
-from .effect_queries import scored
+from .effect_queries import each_functional, scored
 from .ledger_queries import LEDGER, ledger
-from .roles import R, r, table, twin
+from .roles import FULL, R, r, table, twin
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -68,7 +68,7 @@ def s4(spark, d):
     return io.read_ledger(spark, f"{base}/rows.jsonl").groupBy("metric", "status").agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
 
 
-@query("s7_unit_dataset")
+@query("s7_unit_dataset", twin(FULL, "SELECT 'parts' AS study, count(*)::INT AS n, 25 AS k, count(*) FILTER (a = 1) AS n_treated, count(*) FILTER (a = 0) AS n_control, count(DISTINCT bin)::INT AS bins FROM func JOIN binned USING (unit_id)"))
 def s7(spark, d):
     """Units saved with a manifest, loaded and held against it: the manifest's counts."""
     path = place(spark)
@@ -84,7 +84,7 @@ def s9(spark, d):
     return spark.read.parquet(path).agg(F.count("*").alias("n")).select("n", F.lit(first).alias("written"), F.lit(again).alias("again"))
 
 
-@query("s8_s10_run_documents")
+@query("s10_run_documents", each_functional(f"SELECT '$name' AS name, -1 AS bin, {R('avg(psi)')} AS effect FROM ps UNION ALL SELECT '$name', bin, {R('avg(psi)')} FROM ps GROUP BY bin"))
 def s10(spark, d):
     """Effects of all functionals as a nested run document, read back and flattened to marginal and bin rows."""
     s = ordered.stored(scored(spark, d))
