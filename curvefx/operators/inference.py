@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranges
+
 
 def ols_cluster(df: DataFrame, y: str, x: list[str], cluster: str, extra_df: int = 0) -> DataFrame:
     """term, coef, se: least squares of y on an intercept and x with CR1 errors.
@@ -83,8 +85,11 @@ def bootstrap_rows(df: DataFrame, unit: str, key: list[str], seed: int, draw: Co
 
 
 def auc(df: DataFrame, score: str, arm: str) -> DataFrame:
-    """Rank-sum AUC with average ranks at ties, from counts of each score."""
+    """Rank-sum AUC with average ranks at ties, from counts of each score over sorted ranges."""
     g = df.groupBy(score).agg(F.sum(F.col(arm).cast("double")).alias("p"), F.sum((1 - F.col(arm)).cast("double")).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # one row for each distinct score
-    c = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0.0)))
-    return c.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    r = ranges(g, [], [F.col(score)])
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = r.groupBy("_range").agg(F.sum("n").alias("n")).select("_range", earlier(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_start"))  # one row for each range
+    c = r.withColumn("_in", earlier(Window.partitionBy("_range").orderBy(score))).join(F.broadcast(starts), "_range")
+    below = F.col("_start") + F.col("_in")
+    return c.agg((F.sum(F.col("p") * (below + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))

@@ -169,3 +169,10 @@ def test_streamed_moments_equal_batch(spark, tmp_path):
     last = spark.table("m").groupBy("window", "event_type").agg(F.max_by(F.struct("n", "s1", "s2"), "n").alias("x")).select("event_type", "x.*")
     a = {r["event_type"]: r["n"] for r in ledger.moments_summary(last, ["event_type"]).collect()}
     assert a == {r["event_type"]: r["count"] for r in src.groupBy("event_type").count().collect()}
+
+
+def test_auc_counts_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(rng.integers(0, 20)), int(rng.integers(0, 2))) for _ in range(300)]
+    pairs = [(a > b) + (a == b) / 2 for a, i in rows for b, j in rows if i == 1 and j == 0]
+    assert np.isclose(inference.auc(spark.createDataFrame(rows, "e double, a int"), "e", "a").first()["auc"], np.mean(pairs))
