@@ -84,7 +84,8 @@ def energy_risk(law: DataFrame, truth: DataFrame, eps: float = 0.0, own: DataFra
 
 
 def energy_gradient(law: DataFrame, observed: DataFrame, eps: float = 0.0) -> DataFrame:
-    """KEYS, atom_id, k, g: the score's derivative in each coordinate of each atom of a uniform law; 0 at exact collisions without eps."""
+    """KEYS, atom_id, k, g: the score's derivative in each coordinate of each atom of a uniform law with an observed curve; 0 at exact collisions without eps."""
+    law = law.join(observed.select(*KEYS), KEYS, "left_semi")
     a = law.select(*KEYS, "atom_id", "q")
     size = law.groupBy(*KEYS).agg(F.count("*").alias("m"))
     part = lambda x, y: F.zip_with(x, y, lambda p, o: F.coalesce(F.try_divide((p - o) / F.size(x), F.sqrt(C.curve_dist2(x, y) + eps * eps)), F.lit(0.0)))
