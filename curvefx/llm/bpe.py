@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, unused
 
 ship(__name__)
 
@@ -177,9 +177,9 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
     with open(path, "rb") as f:
         merges = df.sparkSession.sparkContext.broadcast(Merges(read_ranks(f)))
     keep = [c for c in df.columns if c != text and c not in outputs]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused(df, "_text")))
     added = T.StructType.fromDDL(", ".join(f"{c} {OUTPUTS[c]}" for c in outputs))
-    schema = T.StructType([*src.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *added.fields])
+    schema = T.StructType([*[df.schema[c] for c in keep], *added.fields])
     spelled = splitter(pattern)
 
     def made(texts: list[str], split: regex.Pattern, m: Merges) -> list[pa.Array]:

@@ -50,5 +50,12 @@ def byte_chars(text: Column) -> Column:
     return F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores that no column of df has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, unused
 
 ship(__name__)
 
@@ -180,8 +181,8 @@ def extracted(df: DataFrame, html: str = "html") -> DataFrame:
     table gives an empty result, and columns of df called text or n_chars are replaced.
     """
     keep = [c for c in df.columns if c not in (html, "text", "n_chars")]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias("_html"))
-    schema = src.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias(unused(df, "_html")))
+    schema = T.StructType([*[df.schema[c] for c in keep], *T.StructType.fromDDL("text string, n_chars long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, unused
 
 ship(__name__)
 
@@ -106,8 +107,8 @@ def identified(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     columns called lang_pred or score are replaced.
     """
     keep = [c for c in df.columns if c not in (text, "lang_pred", "score")]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = src.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused(df, "_text")))
+    schema = T.StructType([*[df.schema[c] for c in keep], *T.StructType.fromDDL("lang_pred string, score double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -104,12 +104,11 @@ def kd_shards(df: DataFrame, shards: int = 24, text: str = "text", names: tuple[
     of their own; an empty table gives an empty result. Columns called like a new column are replaced.
     """
     df = df.drop(*[c for c in df.columns if c in ("size", "text_crc32", "shard", "slot")])
-    kept, by_id = df.columns, [c for c in ("doc_id",) if c in df.columns]
+    by_id = [F.col("_all.doc_id")] if "doc_id" in df.columns else []
     t = F.col(f"`{text}`").cast("string")
-    rows = df.select("*", (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(t.cast("binary")), F.lit("-")).alias("_group"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), *[column_or_null(df, n, "string").alias(f"_name{i}") for i, n in enumerate(names)], (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(t.cast("binary")), F.lit("-")).alias("_group"))
     dims = len(names) + 1
-    groups = rows.select("_group", "size", *[column_or_null(df, n, "string").alias(f"_name{i}") for i, n in enumerate(names)])
-    groups = groups.groupBy("_group").agg(F.sum("size").alias("_weight"), F.first("size").alias("_size"), *[F.min(f"_name{i}").alias(f"_name{i}") for i in range(len(names))])
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("_weight"), F.first("size").alias("_size"), *[F.min(f"_name{i}").alias(f"_name{i}") for i in range(len(names))])
     tie = F.pmod(F.xxhash64("_group"), F.lit(2 ** (DIGIT_BITS * (DIGITS - 1)))).cast("long")
     codes = [*[name_code(F.col(f"_name{i}")) for i in range(len(names))], size_code(F.col("_size"))]
     groups = stored(groups.select("_group", "_weight", *[(F.shiftleft(c, DIGIT_BITS * (DIGITS - 1)) + tie).alias(f"_k{d}") for d, c in enumerate(codes)]))
@@ -140,9 +139,9 @@ def kd_shards(df: DataFrame, shards: int = 24, text: str = "text", names: tuple[
     leaf = light.select("_group", case_of(place, {n.node: n.first for n in tree}, "int").alias("shard"))
     if shard_of:
         leaf = leaf.union(df.sparkSession.createDataFrame(sorted(shard_of.items()), "_group string, shard int"))
-    placed = rows.join(leaf, "_group").withColumn("_bucket", F.pmod(F.xxhash64(*(by_id or ["_group"])), F.lit(SLOT_BUCKETS)).cast("int"))
+    placed = rows.join(leaf, "_group").withColumn("_bucket", F.pmod(F.xxhash64(*(by_id or [F.col("_group")])), F.lit(SLOT_BUCKETS)).cast("int"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n")).select("shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
     numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*by_id, "_group")))
     # starts has at most shards x SLOT_BUCKETS rows
-    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", (F.col("_row") - 1 + F.col("_start")).cast("long").alias("slot"))
+    return numbered.join(F.broadcast(starts), ["shard", "_bucket"]).select("_all.*", "size", "text_crc32", "shard", (F.col("_row") - 1 + F.col("_start")).cast("long").alias("slot"))

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship, stored
+from .common import ship, stored, unused
 
 ship(__name__)
 
@@ -104,8 +105,8 @@ def fingerprint(text: str | None, size: int) -> int:
 def fingerprints(df: DataFrame, text: str = "text", size: int = 3, out: str = "fp") -> DataFrame:
     """df without the text column, with a 64-bit fingerprint as a signed long. Null and wordless texts have fingerprint 0."""
     keep = [c for c in df.columns if c not in (text, out)]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = src.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias(out)).schema
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused(df, "_text")))
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

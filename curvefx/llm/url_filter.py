@@ -81,11 +81,10 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
     labelled = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), F.col("bad").cast("double").alias("bad")).where("bad IS NOT NULL AND host <> ''")
     known = reputation(labelled).select("host", "low")
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
-    parsed = pages.select("*", host.alias("host"), path.alias("path"))
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_all"), host.alias("host"), path.alias("path"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
-    names = [F.col(f"`{c}`") for c in pages.columns]
-    out = parsed.join(known, "host", "left").select(*names, "host", "path", rule.alias("rule"), action.alias("_action"), "low")
-    return out.select(*names, "host", "path", "rule", F.coalesce("_action", F.when(F.col("low") > most_bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "low")
+    out = parsed.join(known, "host", "left").select("_all", "host", "path", rule.alias("rule"), action.alias("_action"), "low")
+    return out.select("_all.*", "host", "path", "rule", F.coalesce("_action", F.when(F.col("low") > most_bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "low")
 
 
 def outcomes_by_path(pages: DataFrame, labels: DataFrame, url: str = "url") -> DataFrame:

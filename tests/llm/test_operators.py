@@ -333,3 +333,16 @@ def test_op10_without_training_rows(spark):
     d = spark.createDataFrame([(1, "some words", None), (2, None, "en")], "doc_id long, text string, lang string")
     got = language_id.identified(d, language_id.learnt(d.where("false"))).collect()
     assert {r["lang_pred"] for r in got} == {"und"}
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    import public_tokenizers as P
+
+    inner = ["_text", "_html", "_all", "_group", "_bucket", "_row", "_start", "_action", "_id", "_hash", "_key", "low", "_n", "_w"]
+    d = spark.createDataFrame([(1, "one two three", "en", "http://a.b/c"), (2, None, None, None)], "doc_id long, text string, lang string, url string").select("*", *[F.lit(c).alias(c) for c in inner])
+    for out in (
+        bpe.encoded(d, queries.RANKS, P.PATTERN), pii.found(d), pii.found(d, replace=True), html_extract.extracted(d.withColumnRenamed("text", "html")), language_id.identified(d, language_id.Profiles({})),
+        sharding.kd_shards(d, 3), url_filter.judged(d.drop("low"), d.select("url", F.lit(1).alias("bad")), []), simhash.fingerprints(d), quality_rules.judged(d, d.select("doc_id", F.lit(1).alias("quality"))), decontamination.contamination(d, d.withColumnRenamed("doc_id", "item_id")), substring_dedup.without_repeats(d), simhash.near_duplicates(d),
+    ):
+        rows = out.collect()
+        assert len(rows) == 2 and all(r[c] == c for r in rows for c in inner if c in out.columns and c not in ("low", "_row"))
