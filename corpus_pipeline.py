@@ -14,16 +14,11 @@ from curvefx.llm.queries import RANKS
 ORACLE_SQL = None
 
 
-def row_hash(docs: DataFrame) -> DataFrame:
-    """docs with _row, a hash of key and text, so that rows that share a doc_id are told apart."""
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
-
-
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose key and text hash are in rows; null keys match null keys."""
-    d = row_hash(docs)
-    chosen = rows.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash")).distinct()
-    return d.join(chosen, (d["_row"] == chosen["_hash"]) & d["doc_id"].eqNullSafe(chosen["_id"]), "left_semi").select(*docs.columns)
+    """The rows of docs whose doc_id and hash of doc_id and text are in rows; null ids match null ids."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("doc_id").alias("_id"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_hash"))
+    chosen = rows.select(F.col("doc_id").alias("_own"), F.col("_row")).distinct()
+    return d.join(chosen, (d["_hash"] == chosen["_row"]) & d["_id"].eqNullSafe(chosen["_own"]), "left_semi").select("_all.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
