@@ -24,7 +24,7 @@ from .common import ship
 
 ship(__name__)
 
-M = 3
+M = 5
 #: Bytes of text that a task cuts at a time.
 SLICE_BYTES = 8_000_000
 PLACE_BITS = 26
