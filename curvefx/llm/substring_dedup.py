@@ -12,6 +12,7 @@ most of a corpus, never travel. The texts are shuffled once, and both later pass
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,12 @@ M = 5
 #: Bytes of text that a task cuts at a time.
 SLICE_BYTES = 8_000_000
 PLACE_BITS = 26
+#: Bytes that are measured at once.
+PIECE = 2_000_000
+BLANK = re.compile(rb"[ \t-\r]")
+BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Powers of an odd number, by a byte's place in its word.
+POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
 #: Different windows of one minimiser that a task remembers.
 MOST_WINDOWS = 200_000
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -57,55 +64,97 @@ def minimiser_places(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np
     return (least & low).astype(np.int64), g
 
 
-def super_kmers(words: list[bytes], number: dict[bytes, int], window: int, m: int) -> Iterator[tuple[int, int, list[int], list[int], list[int]]]:
-    """base, end, and the keys, first windows and ends of windows (from base) of the super-k-mers of one text.
-
-    Texts beyond 2**PLACE_BITS words come in pieces that share no window.
-    """
-    h = np.fromiter((number.get(w) or number.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
-    step = 2**PLACE_BITS - window
-    for base in range(0, len(words) - window + 1, step):
-        piece = h[base : base + step + window - 1]
-        place, g = minimiser_places(piece, window, m)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        yield base, base + len(piece), g[place[first]].view(np.int64), first, np.r_[first[1:], len(place)]
-
-
-def key_counts(ids: list[int], texts: list[str | None], window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, row id and number of super-k-mers, for each minimiser of each text."""
-    number: dict[bytes, int] = {}
-    keys, rows, counts = [], [], []
-    for rid, text in zip(ids, texts):
-        words = words_of(text)
-        if len(words) >= window:
-            k, n = np.unique(np.concatenate([x[2] for x in super_kmers(words, number, window, m)]), return_counts=True)
-            keys.append(k)
-            rows.append(np.full(len(k), rid, np.int64))
-            counts.append(n.astype(np.int32))
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(keys, np.int64), join(rows, np.int64), join(counts, np.int32)
+def pieces(texts: list[str | None], window: int) -> Iterator[tuple[int, int, bytes]]:
+    """Row, first word's number and bytes of each text; one of over PIECE bytes comes in pieces that share window - 1 words."""
+    for i, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        base = at = 0
+        while len(raw) - at > PIECE and (gap := BLANK.search(raw, at + PIECE)):
+            part = raw[at : gap.start()]
+            n = len(part.split())
+            if n < window:
+                break
+            yield i, base, part
+            at += len(part.rsplit(None, window - 1)[0])
+            base += n - window + 1
+        yield i, base, raw[at:]
+
+
+def super_kmers(texts: list[str | None], window: int, m: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of about PIECE bytes: the bytes, and each super-k-mer's row, first window, windows, key, begin and end in the bytes."""
+    group: list[tuple[int, int, bytes]] = []
+    size = 0
+    for piece in itertools.chain(pieces(texts, window), [None]):
+        if group and (piece is None or size + len(piece[2]) > PIECE):
+            if found := measured(group, window, m):
+                yield found
+            group, size = [], 0
+        if piece is not None:
+            group.append(piece)
+            size += len(piece[2])
+
+
+def measured(group: list[tuple[int, int, bytes]], window: int, m: int) -> tuple | None:
+    """The super-k-mers of some pieces, all at once; None without any."""
+    joined = b"\n".join([p[2] for p in group]) + b"\n"
+    chars = np.frombuffer(joined, np.uint8)
+    inside = ~BLANKS[chars]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edge = np.r_[0, edge] if inside[0] else edge
+    begin, end = edge[0::2], edge[1::2]
+    if len(begin) < window:
+        return None
+    body, first = chars[begin[0] :], begin - begin[0]
+    place_in_word = np.arange(len(body), dtype=np.int32) - np.repeat(first, np.diff(np.r_[first, len(body)])).astype(np.int32)
+    worth = (body.astype(np.uint64) + np.uint64(1)) * POWERS[place_in_word & (len(POWERS) - 1)]
+    worth[~inside[begin[0] :]] = 0
+    h = np.add.reduceat(worth, first)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    starts = np.cumsum([0, *[len(p[2]) + 1 for p in group]])
+    owner = np.searchsorted(starts, begin, side="right") - 1
+    first_word = np.searchsorted(begin, starts[:-1])
+    place, g = minimiser_places(h, window, m)
+    whole = owner[: len(place)] == owner[window - 1 :]
+    fresh = whole & np.r_[True, (place[1:] != place[:-1]) | ~whole[:-1]]
+    cuts = np.flatnonzero(fresh | ~whole)
+    upto = np.r_[cuts[1:], len(place)]
+    s, e = cuts[fresh[cuts]], upto[fresh[cuts]]
+    if not len(s):
+        return None
+    own = owner[s]
+    row, base = np.array([p[0] for p in group])[own], np.array([p[1] for p in group])[own]
+    return joined, row, base + s - first_word[own], e - s, g[place[s]].view(np.int64), begin[s], end[e + window - 2]
+
+
+def keys_of(ids: list[int], texts: list[str | None], window: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Minimiser, row id and number of super-k-mers, for each minimiser of each row of a block."""
+    rid = np.array(ids, np.int64)
+    for _, row, _, _, key, _, _ in super_kmers(texts, window, m):
+        o = np.lexsort((key, row))
+        row, key = row[o], key[o]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+        yield key[new], rid[row[new]], np.diff(np.r_[new, len(row)]).astype(np.int32)
 
 
 def cut_slice(docs: list[int | None], ids: list[int], texts: list[str | None], wanted: list[list[int]], window: int, m: int) -> Iterator[tuple]:
     """Super-k-mers (key, doc, rid, start, n, packed) with wanted minimisers, equal ones once as their earliest; a
     repeat is a row without packed string that says which windows of its document occurred earlier."""
     seen: dict[bytes, tuple] = {}
-    number: dict[bytes, int] = {}
-    for doc, rid, text, some in zip(docs, ids, texts, wanted):
-        doc = -(2**63) if doc is None else doc
-        words = words_of(text)
-        some = np.array(some, np.int64)
-        for base, end, keys, first, last in super_kmers(words, number, window, m) if len(words) >= window else ():
-            chosen = np.flatnonzero(np.isin(keys, some))
-            for key, a, b in zip(keys[chosen].tolist(), (base + first[chosen]).tolist(), (base + last[chosen]).tolist()):
-                packed = b" ".join(words[a : b + window - 1])
-                row = (key, doc, rid, a, b - a, packed)
-                old = seen.setdefault(packed, row)
-                if old is not row:
-                    early, late = (old, row) if (old[1], old[3]) <= (doc, a) else (row, old)
-                    seen[packed] = early
-                    if (early[1], early[3]) != (late[1], late[3]):
-                        yield (late[2], *late[1:5], None)  # spread by row: a hot minimiser's repeats don't meet
+    docs = [-(2**63) if d is None else d for d in docs]
+    mark = lambda row, key: key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    # a mark that two pairs share only lets a super-k-mer through that meets no other
+    marks = mark(np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]), np.array([k for x in wanted for k in x], np.int64))
+    for joined, *columns in super_kmers(texts, window, m):
+        chosen = np.isin(mark(columns[0], columns[3]), marks)
+        for i, start, n, key, a, b in zip(*[x[chosen].tolist() for x in columns]):
+            packed = b" ".join(joined[a:b].split())
+            row = (key, docs[i], ids[i], start, n, packed)
+            old = seen.setdefault(packed, row)
+            if old is not row:
+                early, late = (old, row) if (old[1], old[3]) <= (row[1], start) else (row, old)
+                seen[packed] = early
+                if (early[1], early[3]) != (late[1], late[3]):
+                    yield (late[2], *late[1:5], None)  # spread by row: a hot minimiser's repeats don't meet
     yield from seen.values()
 
 
@@ -165,8 +214,8 @@ def repeats(rows: DataFrame, window: int = 20, m: int = M) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 1):
-                got = key_counts(*[c.to_pylist() for c in part.columns], window, m)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["key", "rid", "n"])
+                for got in keys_of(*[c.to_pylist() for c in part.columns], window, m):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["key", "rid", "n"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the minimisers that occur more than once; only the last row of a batch may have to wait."""

@@ -183,11 +183,14 @@ def test_op5(spark, sf, texts):
     assert rows_of(spark, sf, "op5_substring_dedup") == brute.op5(texts)
 
 
-def test_op5_beyond_the_remembered_windows(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [2_000_000, 150])
+def test_op5_beyond_the_remembered_windows(spark, monkeypatch, piece):
+    """Few windows are remembered, and texts come in pieces."""
     monkeypatch.setattr(substring_dedup, "MOST_WINDOWS", 3)
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
     rng = np.random.default_rng(1)
     base = [" ".join(rng.choice(["a", "b", "c"], 60)) for _ in range(12)]
-    docs = [(i, base[i % 12] + f" {i}") for i in range(40)]
+    docs = [(i, base[i % 12] + f" {i}") for i in range(40)] + [(100, " \t".join(base) + "\n\n" + base[0]), (101, "é " + base[3].replace(" ", "  "))]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {r[0]: (r[1], r[2], brute.sha(r[3])) for r in substring_dedup.without_repeats(d).collect()}
     assert got == brute.op5(docs)
