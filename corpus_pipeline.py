@@ -1,4 +1,4 @@
-"""A corpus run: quality rules, SimHash near-dedup, benchmark decontamination, PII redaction, byte-level BPE."""
+"""A corpus run: quality rules, near-dedup by shingle similarity, benchmark decontamination, PII redaction, byte-level BPE."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvefx.llm import bpe, decontamination, pii, quality_rules, simhash
+from curvefx.llm import bpe, decontamination, near_copies, pii, quality_rules
 from curvefx.llm.common import stored, table
 from curvefx.llm.queries import RANKS
 
-#: No SQL: SimHash, the PII model and BPE are not expressible; tests compare run() with brute force.
+#: No SQL: min-hashes, the PII model and BPE are not expressible; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with that id, one."""
-    groups = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """The document with the smallest id of each group of near copies (five words, similarity 0.8); of rows with that id, one."""
+    groups = near_copies.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     chosen = groups.select(F.col("doc_id").alias("_id"))
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi").dropDuplicates(["doc_id"])
 
