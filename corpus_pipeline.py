@@ -27,10 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, similarity 0.8); of rows with that id, one."""
-    groups = near_copies.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    chosen = groups.select(F.col("doc_id").alias("_id"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies (five words, similarity 0.8), that with the smallest id, nulls last, then hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")
+    firsts = near_copies.near_copies(docs).groupBy("component").agg(F.min(order).alias("_first"))
+    return keep_rows(docs, firsts.select("_first.doc_id", "_first._row")).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

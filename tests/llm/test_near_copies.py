@@ -54,3 +54,11 @@ def test_groups_equal_brute_force(spark):
     root, got = brute(texts), {r["doc_id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
     groups = lambda of: {frozenset(i for i in range(len(texts)) if of[i] == c) for c in set(of)}
     assert groups([got[i] for i in range(len(texts))]) == groups(root) and len(set(root)) > 4
+
+
+def test_rows_with_null_or_equal_ids_stay(spark):
+    """Unrelated texts without ids all stay; of two texts with one id, only the one that copies a smaller id goes."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (5, text("c")), (5, text("d")), (5, text("e")), (6, text("a")), (None, text("d"))]
+    got = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, spark.createDataFrame(rows, NAMES), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2, text("c")), (5, text("d")), (5, text("e")), (6, text("a")), (None, text("b"))], key=str)
