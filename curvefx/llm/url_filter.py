@@ -50,10 +50,11 @@ def strength(counts: DataFrame, level: str) -> DataFrame:
     return total.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.when(usable, raw).otherwise(F.lit(STRONGEST)))).alias(f"m_{level}"), F.coalesce(p, F.lit(0.0)).alias(f"p_{level}"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, mean, low: each labelled host's posterior bad share and its lower bound.
+def reputation(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """host, n, bad, mean, low: each host's posterior bad share and its lower bound.
 
-    outcomes has host and bad (0 or 1). Priors run from all pages to suffixes, domains and hosts: a level's mean is
+    outcomes has host and bad (0 or 1). Hosts of others that have no outcome get n = 0 and the bound of their prior,
+    whose mean is the domain's, without labels there the suffix's, else that of all pages. Priors run from all pages to suffixes, domains and hosts: a level's mean is
     shrunk toward the one above it with a strength that fits how much its members differ.
     """
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
@@ -64,24 +65,28 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     shrunk = lambda bad, n, m, mean: (F.lit(m) * mean + bad) / (F.lit(m) + n)
     s = suffixes.select("suffix", shrunk(F.col("bad"), F.col("n"), prior["m_suffix"], F.lit(prior["p_suffix"])).alias("suffix_mean"))
     d = domains.join(s, "suffix").select("domain", shrunk(F.col("bad"), F.col("n"), prior["m_domain"], F.col("suffix_mean")).alias("domain_mean"))
-    a = F.lit(prior["m_host"]) * F.col("domain_mean") + F.col("bad")
-    b = F.lit(prior["m_host"]) * (1 - F.col("domain_mean")) + F.col("n") - F.col("bad")
-    return hosts.join(d, "domain").select("host", "n", "bad", (a / (a + b)).alias("mean"), (a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("low"))
+    if others is not None:
+        new = others.select("host").distinct().join(hosts, "host", "left_anti")
+        hosts = hosts.unionByName(new.select("host", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("bad"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
+    above = F.coalesce("domain_mean", "suffix_mean", F.lit(prior["p_suffix"]))
+    a = F.lit(prior["m_host"]) * above + F.col("bad")
+    b = F.lit(prior["m_host"]) * (1 - above) + F.col("n") - F.col("bad")
+    return hosts.join(d, "domain", "left").join(s, "suffix", "left").select("host", "n", "bad", (a / (a + b)).alias("mean"), (a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("low"))
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", most_bad: float = MOST_BAD) -> DataFrame:
     """pages with host, path, rule, verdict and low, the lower bound of the host's bad share.
 
-    verdict is the action of the longest rule that fits, else block where low is above most_bad, else allow; so
-    hosts without labelled pages, null urls and urls without :// are allowed. outcomes has url and bad (0 or 1;
+    verdict is the action of the longest rule that fits, else block where low is above most_bad, else allow. Hosts
+    without labelled pages are judged by their domain, suffix or all pages; null urls and urls without :// are allowed. outcomes has url and bad (0 or 1;
     nulls are left out). Repeated rows repeat; an empty table gives an empty result; columns of pages that are
     called like a new one are replaced.
     """
     pages = pages.drop(*[c for c in pages.columns if c in ("host", "path", "rule", "verdict", "low")])
     labelled = outcomes.select(host_and_path(F.col("url"))[0].alias("host"), F.col("bad").cast("double").alias("bad")).where("bad IS NOT NULL AND host <> ''")
-    known = reputation(labelled).select("host", "low")
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
     parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_all"), host.alias("host"), path.alias("path"))
+    known = reputation(labelled, parsed.select("host").where("host <> ''")).select("host", "low")
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     out = parsed.join(known, "host", "left").select("_all", "host", "path", rule.alias("rule"), action.alias("_action"), "low")
     return out.select("_all.*", "host", "path", "rule", F.coalesce("_action", F.when(F.col("low") > most_bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "low")
