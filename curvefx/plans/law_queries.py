@@ -58,6 +58,14 @@ def law(spark, d):
     return L.bank_law(bank(spark, d), weights(spark, d))
 
 
+def whole_law(spark, d):
+    """The law of every part size over all suppliers, from all line items."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    m = li.groupBy(F.col("p_size").alias("unit_id"), (F.col("l_suppkey") % 2).cast("int").alias("arm"), F.col("l_suppkey").alias("atom_id")).agg(F.sum("l_quantity").alias("m"))
+    tot = m.groupBy("unit_id", "arm").agg(F.sum("m").alias("t"))
+    return L.bank_law(bank(spark, d), m.join(tot, ["unit_id", "arm"]).select("unit_id", "arm", "atom_id", (F.col("m") / F.col("t")).alias("mass")))
+
+
 def truth(spark, d):
     u = weights(spark, d).select("unit_id").distinct()
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("atom_id"))
@@ -167,7 +175,7 @@ def l18(spark, d):
 @query("l21_sampled_law")
 def l21(spark, d):
     """20 draws per law: their mean beside the law's own."""
-    w = law(spark, d)
+    w = whole_law(spark, d)
     s = L.expectation(L.sampled(w, 20), drawn=C.curve_mean(F.col("q")))
     return out(s.join(L.expectation(w, mean=C.curve_mean(F.col("q"))), L.KEYS), "drawn", "mean")
 
