@@ -9,6 +9,8 @@ segments are known from the patterns and from quoted long hexadecimal values aft
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -28,7 +30,6 @@ TYPES = ("none", *BASE, "secret")
 MOST_TOKENS = 4
 #: Documents of the training sample, about, and different runs kept of it.
 SAMPLE_DOCS, SAMPLE_RUNS = 4000, 400
-LONG_TOKEN = 4096
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -36,7 +37,9 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-MARKED = re.compile(r"[^\s]*[0-9@][^\s]*")
+MARK = re.compile(r"[0-9@]")
+REST = re.compile(r"[^\s=\"'<>]*")
+EDGES = "=\"'<>"
 CORE = re.compile(r"[A-Za-z0-9+(](?:.*[A-Za-z0-9)])?", re.S)
 SECRET = re.compile(r"[0-9A-Fa-f]{32,}")
 HINT = re.compile(r"[=:]\s*[\"'][^\"']*$")
@@ -67,7 +70,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) by kind as in BASE, then start; ends are exclusive."""
     out = [(0, *s) for s in emails(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -77,18 +80,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def marked(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens between white space or EDGES that hold a mark, in one pass: from each mark outward, then on from the token's end."""
+    done = 0
+    while m := MARK.search(text, done):
+        start = m.start()
+        while start > done and not text[start - 1].isspace() and text[start - 1] not in EDGES:
+            start -= 1
+        done = REST.match(text, m.end()).end()
+        yield start, done
+
+
 def runs(text: str) -> list[list[tuple[int, int]]]:
     """Neighbouring marked tokens, as spans without outer punctuation."""
     out: list[list[tuple[int, int]]] = []
     end = -9
-    for m in MARKED.finditer(text):
-        if m.end() - m.start() > LONG_TOKEN or not (core := CORE.search(m[0])):
+    for a, b in marked(text):
+        if not (core := CORE.search(text[a:b])):
             continue
-        span = m.start() + core.start(), m.start() + core.end()
-        if m.start() - end > 2 or not out:
+        if a - end > 2 or not out:
             out.append([])
-        out[-1].append(span)
-        end = m.end()
+        out[-1].append((a + core.start(), a + core.end()))
+        end = b
     return out
 
 
@@ -233,6 +246,7 @@ def all_spans(text: str, base: list[tuple[int, int, int]], model: Model, cache:
     """Base spans and the model's further ones that don't overlap them, as (kind number, start, end), sorted."""
     more = []
     taken = sorted((s, e) for _, s, e in base)
+    upto = list(itertools.accumulate((e for _, e in taken), max))  # the last end of the first spans
     for run in runs(text):
         segs = segments(text, run)
         sign = tuple(f for _, _, f in segs) if len(run) <= 8 else None
@@ -244,7 +258,8 @@ def all_spans(text: str, base: list[tuple[int, int, int]], model: Model, cache:
         for i, n, y in path:
             if y:
                 s, e = run[i][0], run[i + n - 1][1]
-                if not any(a < e and b > s for a, b in taken):
+                before = bisect.bisect_left(taken, (e,))  # the base spans that start before e
+                if not before or upto[before - 1] <= s:
                     more.append((y - 1, s, e))
     return sorted([*base, *more])
 
@@ -266,8 +281,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def found(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None, replace: bool = False) -> DataFrame:
     """df with n_email, n_ip, n_card, n_phone, base (text of the base spans) and spans (text of all spans).
 
-    The text column goes, or is redacted with replace, which adds no other column. Null texts count as empty
-    and stay null. Repeated rows repeat; an empty table gives an empty result and an untrained model, which finds
+    The text column goes, or is redacted with replace, which adds no other column. Texts are read whole and in time
+    linear in their length, tokens of any length included. Null texts count as empty and stay null. Repeated rows repeat; an empty table gives an empty result and an untrained model, which finds
     nothing but base spans. Columns of df that are called like a new one are replaced.
     """
     model = model or trained(df, text, key)
