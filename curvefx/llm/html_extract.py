@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import html as htmllib
 import re
 from collections.abc import Iterator
@@ -15,77 +16,183 @@ from .common import ship, unused
 
 ship(__name__)
 
-#: Elements without an end tag; those whose content is text; those left out; those that end a paragraph.
+#: Elements without an end tag; those whose content is text; those of a head; those left out; those that end a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
 SKIP = frozenset("head script style noscript iframe template nav header footer aside form button select textarea input svg canvas object audio video menu dialog".split())
 BLOCK = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Class and id names of furniture, and words that may stand beside those in one name, as in site-footer.
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal newsletter subscribe signup sidebar widget nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright comment comments disqus respond reply replies share sharing social related recommended".split())
+BESIDE = frozenset("a area bar block bottom box buttons container form icons item left links list main page panel right section site slot thread top wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: A sibling of the article's containers is furniture if this share of its text or more is in links.
+LINKED = 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-SPACE = re.compile(r"[ \t-\r\x85\xa0]+")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+ATTR_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+PLAIN_TAG = re.compile(r"[^<>]*>")
+SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "up", "parts", "score", "text", "linked", "skip")
+    __slots__ = ("tag", "up", "parts", "score", "text", "linked", "skip", "block", "form")
 
     def __init__(self, tag: str, up: Element | None, skip: bool = False):
-        self.tag, self.up, self.skip = tag, up, skip or (up.skip if up else False)
+        self.tag, self.up, self.skip = tag, up, skip
+        #: The nearest block and form that the element is or lies in.
+        self.block: Element | None = self if tag in BLOCK else up and up.block
+        self.form: Element | None = self if tag == "form" else up and up.form
         self.parts: list[Element | str] = []
         self.score, self.text, self.linked = 0.0, 0, 0
 
 
-def unwanted(tag: str, attrs: str) -> bool:
+def furniture(names: str) -> bool:
+    """Whether one of the class or id names is UNWANTED, alone or together with BESIDE words and numbers."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_\d]+", name) if w]
+        if any(w in UNWANTED for w in words) and all(w in UNWANTED or w in BESIDE for w in words):
+            return True
+    return False
+
+
+def unwanted(tag: str, attrs: dict[str, str]) -> bool:
     if tag in SKIP:
         return True
-    if not attrs.strip() or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return False
-    for m in ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and UNWANTED & {*re.split(r"[^a-z]+", value)}:
-            return True
-    return False
+    role = attrs.get("role", "").lower().strip()
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or role in ROLES:
+        return True
+    return furniture(attrs.get("class", "")) or furniture(attrs.get("id", ""))
+
+
+class Scanner:
+    """Reads tags from left to right, each character once: a tag without its > makes all later ones end at the next < or >."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.strict = True
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str], bool] | None:
+        """The place after a tag's >, its attributes by name (the first of a name counts) and whether a slash ends it."""
+        page, out = self.page, {}
+        while True:
+            m = ATTR_NAME.match(page, at)
+            at, name = m.end(), m[1]
+            if at >= len(page):
+                return None
+            if name is None:  # at >
+                return at + 1, out, page[at - 1] == "/"
+            value = ""
+            if e := EQUALS.match(page, at):
+                at = e.end()
+                q = page[at : at + 1]
+                if q in self.last and q and self.last[q] > at:
+                    end = page.index(q, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    v = UNQUOTED.match(page, at)
+                    value, at = v[0], v.end()
+            out.setdefault(name.lower(), htmllib.unescape(value))
+
+    def tag(self, at: int) -> tuple[int, dict[str, str], bool] | None:
+        """Like attributes, from the end of a tag's name; None where no tag ends."""
+        if self.strict:
+            if found := self.attributes(at):
+                return found
+            self.strict = False
+        m = PLAIN_TAG.match(self.page, at)
+        return (m.end(), {}, m[0].endswith("/>")) if m else None
 
 
 def parsed(page: str) -> Element:
-    """The tree of a page. End tags close up to their element if it is open; p and li close an open one of their kind."""
+    """The tree of a page. End tags close up to their element if it is open; p, li, dt and dd close an open one of their kind.
+
+    A head ends where something stands that can't be in it, comments end with the page at the latest, and a < that
+    opens no tag is text. A form around an article or main element is a container like others.
+    """
     root = now = Element("#root", None)
-    at = 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            now.parts.append(htmllib.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+    scan = Scanner(page)
+    at = text_from = 0
+    head: Element | None = None
+    closers: dict[str, re.Pattern] = {}
+    opened: collections.Counter[str] = collections.Counter()
+
+    def leave(upto: Element) -> None:
+        """Close all open elements up to this one, which stays open."""
+        nonlocal now
+        while now is not upto:
+            opened[now.tag] -= 1
+            now = now.up
+
+    def add(upto: int) -> None:
+        nonlocal head
+        if upto > text_from:
+            text = htmllib.unescape(page[text_from:upto])
+            if head and now is head and text.strip():
+                leave(head.up)
+                head = None
+            now.parts.append(text)
+
+    while (at := page.find("<", at)) >= 0:
+        start = at
+        if page.startswith("<!--", at):
+            add(start)
+            end = page.find("-->", at + 2)
+            at = text_from = end + 3 if end >= 0 else len(page)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = now
-            while node and node.tag != tag:
-                node = node.up
-            if node and node.up:
-                now = node.up
+        if page[at + 1 : at + 2] in ("!", "?") and page[at + 1 : at + 2]:
+            end = page.find(">", at)
+            if end < 0:
+                break
+            add(start)
+            at = text_from = end + 1
             continue
-        if tag in BLOCK:
-            node = now
-            while node.up and node.tag not in BLOCK:
-                node = node.up
-            if node.up and (node.tag == "p" and tag != "br" or node.tag == tag in ("li", "dt", "dd")):
-                now = node.up
-        child = Element(tag, now, unwanted(tag, m[3]))
+        closing = page.startswith("/", at + 1)
+        m = NAME.match(page, at + 1 + closing)
+        found = scan.tag(m.end()) if m else None
+        if not found:
+            at += 1
+            continue
+        add(start)
+        end, attrs, empty = found
+        at = text_from = end
+        tag = m[0].lower()
+        if closing:
+            if opened[tag] > 0:
+                while now.tag != tag:
+                    leave(now.up)
+                leave(now.up)
+            if tag == "head":
+                head = None
+            continue
+        if head and tag not in HEAD:
+            leave(head.up)
+            head = None
+        if tag in BLOCK and (node := now.block) and (node.tag == "p" and tag != "br" or node.tag == tag in ("li", "dt", "dd")):
+            leave(node.up)
+        child = Element(tag, now, unwanted(tag, attrs))
         now.parts.append(child)
+        if tag in ("article", "main"):
+            form = child.form
+            while form and form.skip:  # a form that was freed has freed those around it
+                form.skip, form = False, form.up.form
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            closer = closers.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
+            stop = closer.search(page, at)
             if not child.skip:
-                child.parts.append(htmllib.unescape(page[at : end.start() if end else len(page)]))
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+                child.parts.append(htmllib.unescape(page[at : stop.start() if stop else len(page)]))
+            at = text_from = stop.end() if stop else len(page)
+        elif tag not in VOID and not empty:
             now = child
-    if at < len(page):
-        now.parts.append(htmllib.unescape(page[at:]))
+            opened[tag] += 1
+            if tag == "head":
+                head = child
+    add(len(page))
     return root
 
 
@@ -128,18 +235,27 @@ def blocks(node: Element) -> list[tuple[Element, str, int]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its best container with the siblings that score well.
+def totals(root: Element, found: list[tuple[Element, str, int]]) -> None:
+    """Set each element's characters of text, and those in links, with all that lies in it."""
+    for owner, text, links in found:
+        owner.text += len(text)
+        owner.linked += links
+    order, at = [root], 0
+    while at < len(order):
+        order += [p for p in order[at].parts if isinstance(p, Element) and not p.skip]
+        at += 1
+    for e in reversed(order[1:]):
+        e.up.text += e.text
+        e.up.linked += e.linked
+
+
+def scored(found: list[tuple[Element, str, int]]) -> Element:
+    """The container with the most points; totals() has been set.
 
     Each run of text between block boundaries gives 1 point, 1 for each comma and 1 for each 100 characters,
     times the share of it outside links: in full to its container, a half to the next one up, a third to the
-    one above. Containers lose the share of their text that is in links. Beside the best one, siblings are
-    kept that reach a fifth of its score or are paragraphs with few links. A page without containers gives
-    its whole text; skipped elements never count.
+    one above. Containers lose the share of their text that is in links.
     """
-    found = blocks(parsed(page)) if page else []
-    if not found:
-        return ""
     holders: dict[int, Element] = {}
     for owner, text, links in found:
         points = (1 + text.count(",") + len(text) / 100) * max(0.0, 1 - links / len(text))
@@ -150,35 +266,53 @@ def main_text(page: str | None) -> str:
             holder.score += points / (level + 1)
             holders[id(holder)] = holder
             holder = holder.up
-        up: Element | None = owner
-        while up is not None:
-            up.text += len(text)
-            up.linked += links
-            up = up.up
-    fair = lambda e: e.score * (1 - min(1.0, e.linked / max(e.text, 1)))
-    best = max(holders.values(), key=fair)
-    keep = {id(best)}
-    if best.up is not None:
-        for part in best.up.parts:
-            if isinstance(part, Element) and part is not best and part.text and not part.skip:
-                density = part.linked / part.text
-                if fair(part) >= max(1.0, 0.2 * fair(best)) or part.tag in ("p", "h1", "h2") and density < 0.25 and (part.text > 80 or part.tag != "p"):
-                    keep.add(id(part))
-    out = []
-    for owner, text, _ in found:
-        up = owner
-        while up is not None and id(up) not in keep:
+    return max(holders.values(), key=lambda e: e.score * (1 - min(1.0, e.linked / max(e.text, 1))))
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its best container, what stands around it in the same article, and siblings that score well.
+
+    The best container is found by scored(). If an article element is around it, or else a main element, that element
+    is the article and all of it stays. Otherwise the siblings of the best container and of those around it stay,
+    however short, unless LINKED of their text is in links. A page without containers gives its whole text;
+    skipped elements never count.
+    """
+    root = parsed(page or "")
+    found = blocks(root)
+    if not found:
+        return ""
+    totals(root, found)
+    best = scored(found)
+    chain = [best]
+    while chain[-1].up is not None:
+        chain.append(chain[-1].up)
+    whole = next((e for kind in ("article", "main") for e in chain if e.tag == kind), None)
+    inside = {id(whole or best)}
+    barred: set[int] = set()
+    if not whole:
+        on_way = {id(e) for e in chain}
+        inside = {id(chain[-1])}
+        barred = {id(p) for e in chain[1:] for p in e.parts if isinstance(p, Element) and id(p) not in on_way and p.text and p.linked >= LINKED * p.text}
+    known: dict[int, bool] = {}
+
+    def kept(element: Element) -> bool:
+        way, up = [], element
+        while up is not None and id(up) not in known and id(up) not in inside and id(up) not in barred:
+            way.append(id(up))
             up = up.up
-        if up is not None:
-            out.append(text)
-    return " ".join(out)
+        answer = up is not None and (known[id(up)] if id(up) in known else id(up) in inside)
+        known.update(dict.fromkeys(way, answer))
+        return answer
+
+    return " ".join(text for owner, text, _ in found if kept(owner))
 
 
 def extracted(df: DataFrame, html: str = "html") -> DataFrame:
     """df without the html column, with text and n_chars (code points).
 
-    Null and empty pages have an empty text; pages of any length are read whole. Repeated rows repeat, an empty
-    table gives an empty result, and columns of df called text or n_chars are replaced.
+    Null and empty pages have an empty text; pages of any length are read whole, in time linear in their length, malformed
+    tags and deep nesting included. Equally good containers: the first one. Repeated rows
+    repeat, an empty table gives an empty result, and columns of df called text or n_chars are replaced.
     """
     keep = [c for c in df.columns if c not in (html, "text", "n_chars")]
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias(unused(df, "_html")))
