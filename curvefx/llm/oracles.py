@@ -5,7 +5,7 @@ tested against brute force, round trips or held-out labels instead.
 """
 
 from .quality_rules import ALPHA, DELTA, RULES
-from .url_filter import MOST_BAD, STRONGEST, WEAKEST, Z
+from .url_filter import ADDRESS, DOUBT, MOST_BAD, STRONGEST, SUFFIX, WEAKEST
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"list_filter(string_split_regex(coalesce({_LOW}, ''), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
@@ -55,16 +55,26 @@ def _strength(level: str, source: str) -> str:
 
 
 _TAIL = "substr(url, nullif(strpos(url, '://'), 0) + 3)"
+_NAME = "regexp_replace(regexp_replace(host, '^[^@]*@', ''), '\\.?(:[0-9]*)?$', '')"
+
+
+def _part(pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name ELSE regexp_extract(name, '{pattern}', 1) END"
+
+
+#: The beta posterior's distribution function at MOST_BAD, as its power series.
+_CDF = f"(SELECT sum(exp((a + n) * ln({MOST_BAD}) + b * ln(1 - {MOST_BAD}) + lgamma(a + b + n) - lgamma(b) - lgamma(a + 1 + n))) FROM (SELECT unnest(range(0, 4 * ceil(a + b)::BIGINT + 200)) AS n))"
 OP9 = f"""WITH u AS (SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract({_TAIL}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(substr({_TAIL}, length(regexp_extract({_TAIL}, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path FROM pages),
-n AS (SELECT host, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html?)?/?$', 1) AS BIGINT) AS doc_id FROM u),
-o AS (SELECT host, (bad)::DOUBLE AS bad FROM n JOIN (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE host <> ''),
-h AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(bad) AS bad FROM o GROUP BY ALL),
+n AS (SELECT {_NAME} AS name, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html?)?/?$', 1) AS BIGINT) AS doc_id FROM u),
+o AS (SELECT name, (bad)::DOUBLE AS bad FROM n JOIN (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE name <> ''),
+h AS (SELECT name, count(*) AS n, sum(bad) AS bad, {_part(f"(?:^|\\.)((?:[^.]+\\.)?{SUFFIX})$")} AS domain, {_part(f"(?:^|\\.)({SUFFIX})$")} AS suffix FROM o GROUP BY ALL),
 dm AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad) AS bad FROM h GROUP BY ALL), sf AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad) AS bad FROM dm GROUP BY ALL),
 {_strength("a", "sf")}, {_strength("b", "dm")}, {_strength("c", "h")},
 sm AS (SELECT suffix, (a_s.str * a_s.p + bad) / (a_s.str + n) AS mean FROM sf, a_s), dmm AS (SELECT domain, (b_s.str * sm.mean + bad) / (b_s.str + n) AS mean FROM dm JOIN sm USING (suffix), b_s),
-ab AS (SELECT host, c_s.str * dmm.mean + bad AS a, c_s.str * (1 - dmm.mean) + n - bad AS b FROM h JOIN dmm USING (domain), c_s),
-low AS (SELECT host, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM ab),
+every AS (SELECT name, coalesce(h.n, 0) AS n, coalesce(h.bad, 0) AS bad, {_part(f"(?:^|\\.)((?:[^.]+\\.)?{SUFFIX})$")} AS domain, {_part(f"(?:^|\\.)({SUFFIX})$")} AS suffix FROM (SELECT DISTINCT name FROM n WHERE name <> '') LEFT JOIN h USING (name)),
+ab AS (SELECT name, c_s.str * top + bad AS a, c_s.str * (1 - top) + n - bad AS b FROM (SELECT every.*, coalesce(dmm.mean, sm.mean, a_s.p) AS top FROM every LEFT JOIN dmm USING (domain) LEFT JOIN sm USING (suffix), a_s), c_s),
+low AS (SELECT name, CASE WHEN a <= 0 THEN false WHEN b <= 0 THEN true ELSE {_CDF} < {DOUBT} END AS bad FROM ab),
 rl AS (SELECT r, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM u JOIN (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(action, rh, rp) ON (host = rh OR suffix(host, '.' || rh)) AND prefix(path, rp), LATERAL (SELECT rh || rp AS rule) GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN low > {MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN rl USING (r) LEFT JOIN low USING (host)"""
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN low.bad THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN rl USING (r) LEFT JOIN low ON low.name = {_NAME}"""
 
 ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op5_substring_dedup": OP5, "op6_quality_rules": OP6, "op9_url_filter": OP9}
