@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,9 @@ ship(__name__)
 
 #: N-grams of a profile, the longest ones, and about how many documents of each language a profile is learnt from.
 TOP, ORDER, SAMPLE = 300, 3, 2000
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: \w without digits, underscore and the numbers that are no letters (categories Nl and No) is Unicode's L*.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
 
 
 def gram_counts(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,9 @@ class Profiles:
 def learnt(df: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Profiles:
     """Profiles from about sample documents of each language, chosen by the hash of their key; whole texts.
 
-    Rows without language are left out. Tasks count n-grams, Spark adds them up and keeps the first TOP.
+    Rows without language are left out; null and wordless texts add nothing. Repeated rows are drawn together,
+    and rows with null keys too. Tasks count n-grams, Spark adds them up and keeps the first TOP; ties go to the
+    lower code. An empty table gives no profiles.
     """
     rows = df.select(F.col(f"`{language}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(2**20)).alias("draw")).where("lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -102,9 +108,10 @@ def learnt(df: DataFrame, text: str = "text", language: str = "lang", key: str =
 def identified(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """df without the text column, with lang_pred and score, from the text alone.
 
-    Null texts and texts without a letter are und with score 0, as are all without profiles. Equal
-    distances go to the first language by name. Repeated rows repeat; an empty table gives an empty result;
-    columns called lang_pred or score are replaced.
+    Null texts and texts without a letter (Unicode's L*) are und with score 0, as are all without profiles. Texts of
+    any length are read whole, in memory for their n-grams in proportion to them. Equal distances go to the first
+    language by name. Repeated rows repeat; an empty table gives an empty result; columns called lang_pred or
+    score are replaced.
     """
     keep = [c for c in df.columns if c not in (text, "lang_pred", "score")]
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused(df, "_text")))
