@@ -36,6 +36,21 @@ def name_code(name: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(name, F.lit(""))), F.lit(2**DIGIT_BITS)).cast("long")
 
 
+def with_shares(groups: DataFrame, dims: int) -> DataFrame:
+    """groups with _s0, _s1, ...: where each code stands in its dimension, as the share of all weight below its middle.
+
+    So all dimensions have the same scale: names, of which there may be two or thousands, and sizes. A dimension has at
+    most 2**DIGIT_BITS codes, which bounds what is broadcast and what one window orders.
+    """
+    for d in range(dims):
+        code = F.shiftright(f"_k{d}", DIGIT_BITS * (DIGITS - 1))
+        sums = groups.groupBy(code.alias("_code")).agg(F.sum("_weight").cast("double").alias("_w"))
+        upto = sums.select("_code", "_w", F.sum("_w").over(Window.orderBy("_code").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_w").over(Window.partitionBy(F.lit(1))).alias("_all"))
+        shares = upto.select("_code", F.try_divide(F.col("_upto") - F.col("_w") / 2, F.col("_all")).alias(f"_s{d}"))
+        groups = groups.join(F.broadcast(shares), code == F.col("_code")).drop("_code")
+    return groups
+
+
 def case_of(node: Column, values: dict[int, object], kind: str) -> Column:
     """A value for each tree node; there are at most as many nodes as shards."""
     out = None
@@ -59,8 +74,8 @@ def halve(node: Node, light: float) -> tuple[Node, Node, float]:
 
 
 def widths(groups: DataFrame, dims: int) -> dict[int, tuple[float, int]]:
-    """For each node: its weight, and the dimension with the widest range of codes (the first one at a tie)."""
-    spans = groups.groupBy("_node").agg(F.sum("_weight").cast("double").alias("w"), *[(F.max(f"_k{d}") - F.min(f"_k{d}")).alias(f"s{d}") for d in range(dims)])
+    """For each node: its weight, and the dimension with the widest range of shares (the first one at a tie)."""
+    spans = groups.groupBy("_node").agg(F.sum("_weight").cast("double").alias("w"), *[(F.max(f"_s{d}") - F.min(f"_s{d}")).alias(f"s{d}") for d in range(dims)])
     return {r["_node"]: (r["w"], max(range(dims), key=lambda d: (r[f"s{d}"], -d))) for r in spans.collect()}
 
 
@@ -96,7 +111,8 @@ def kd_shards(df: DataFrame, shards: int = 24, text: str = "text", names: tuple[
     """df with size, text_crc32, shard and slot columns: a k-d tree over names and size, all shards near equal in size.
 
     Rows with equal texts form a group that stays in one shard, placed by its smallest names. Size is the
-    text's UTF-8 bytes plus 8. A leaf's target is the total size over the number of shards; a node of k
+    text's UTF-8 bytes plus 8. A node is cut along its widest dimension, widths being measured in shares of all
+    weight (with_shares). A leaf's target is the total size over the number of shards; a node of k
     shards is cut where its lower k // 2 shards get their share. Groups heavier than 1/HEAVY of a leaf (at
     most HEAVY x shards of them) are dealt to the side with more room, and one that fills a leaf alone gets
     its own. Slots number the rows of a shard without gaps. Null texts have size 8 and the crc32 of the empty
@@ -112,6 +128,7 @@ def kd_shards(df: DataFrame, shards: int = 24, text: str = "text", names: tuple[
     tie = F.pmod(F.xxhash64("_group"), F.lit(2 ** (DIGIT_BITS * (DIGITS - 1)))).cast("long")
     codes = [*[name_code(F.col(f"_name{i}")) for i in range(len(names))], size_code(F.col("_size"))]
     groups = stored(groups.select("_group", "_weight", *[(F.shiftleft(c, DIGIT_BITS * (DIGITS - 1)) + tie).alias(f"_k{d}") for d, c in enumerate(codes)]))
+    groups = with_shares(groups, dims)
 
     total = groups.agg(F.sum("_weight")).first()[0] or 0
     heavy = [(r["_group"], r["_weight"]) for r in groups.where(F.col("_weight") * (HEAVY * shards) >= total).orderBy(F.desc("_weight"), "_group").limit(HEAVY * shards).collect()]
@@ -133,7 +150,7 @@ def kd_shards(df: DataFrame, shards: int = 24, text: str = "text", names: tuple[
         cut = weighted_cuts(at, dim, goal) if dim else {}
         for n, d in dim.items():
             step = F.when(place == n, F.when(F.col(f"_k{d}") < cut[n], 2 * n).otherwise(2 * n + 1)).otherwise(step)
-        light = stored(at.withColumn("_next", step.cast("int")).select("_group", "_weight", *[f"_k{d}" for d in range(dims)], F.col("_next").alias("_place")))
+        light = stored(at.withColumn("_next", step.cast("int")).select("_group", "_weight", *[f"_{c}{d}" for c in "ks" for d in range(dims)], F.col("_next").alias("_place")))
         tree, place = following, F.col("_place")
     shard_of |= {g: n.first for n in tree for g, _ in n.heavy}
     leaf = light.select("_group", case_of(place, {n.node: n.first for n in tree}, "int").alias("shard"))
