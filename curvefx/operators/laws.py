@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
+from .prep import evenly_spaced
 
 KEYS = ["unit_id", "arm"]
 
@@ -107,8 +108,9 @@ def squared_mmd(law: DataFrame, truth: DataFrame, bandwidth: float) -> DataFrame
     return self_term(law, k).join(cross_term(law, truth, k), KEYS).join(t, KEYS).select(*KEYS, F.greatest(F.col("own") - 2 * F.col("cross") + F.col("_t"), F.lit(0.0)).alias("mmd2"))
 
 
-def median_bandwidth(curves: DataFrame, key: str) -> DataFrame:
-    """One row: the median distance over pairs of the given curves (at most 512 are meant); 1 if that is 0."""
+def median_bandwidth(curves: DataFrame, key: str, most: int = 512) -> DataFrame:
+    """One row: the median distance over pairs of curves, of which most are taken at evenly spaced places by key; 1 if that is 0."""
+    curves = evenly_spaced(curves.select(key, "q"), [F.col(key)], most)
     a, b = curves.select(F.col(key).alias("i"), "q"), curves.select(F.col(key).alias("j"), F.col("q").alias("_q"))
     d = a.join(b, F.col("i") < F.col("j")).select(C.curve_distance(F.col("q"), F.col("_q")).alias("d"))
     m = F.percentile("d", 0.5)

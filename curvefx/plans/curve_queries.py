@@ -118,10 +118,10 @@ def panel(spark, d):
     return prep.lagged(c, ["supp"], ["year"], ["q"]).where("lag_q IS NOT NULL").withColumn("raw", C.curve_minus(F.col("q"), F.col("lag_q")))
 
 
-@query("q9_q12_projected_differences", twin(PANEL + ",\n" + PROJECT, f"SELECT supp, year::INT AS year, k, {R('d', 3)} AS q FROM proj WHERE supp < 20"))
+@query("q9_q12_projected_differences", twin(PANEL + ",\n" + PROJECT, f"SELECT supp, year::INT AS year, k, {R('d', 3)} AS q FROM proj"))
 def q9(spark, d):
-    """Monotone first differences of yearly supplier curves, of suppliers below 20."""
-    p = panel(spark, d).where("supp < 20").select("supp", "year", C.project_monotone(F.col("raw")).alias("q"))
+    """Monotone first differences of the yearly curves of all suppliers."""
+    p = panel(spark, d).select("supp", "year", C.project_monotone(F.col("raw")).alias("q"))
     return quantiles.as_long(p, ["supp", "year"]).select("supp", F.col("year").cast("int").alias("year"), "k", r(F.col("q"), 3).alias("q"))
 
 
@@ -136,7 +136,7 @@ def q10(spark, d):
 I9 = interior_levels(9)
 
 
-@query("q11_resampled", twin(CURVES + ", t AS (SELECT j, 0.1::DOUBLE + 0.8::DOUBLE * ((j::DOUBLE - 0.5::DOUBLE) / 9) AS u FROM (SELECT unnest(range(1, 10)) AS j)), pt AS (SELECT j, u, floor(u * 25 + 0.5)::INT AS k FROM t)", f"SELECT a.unit_id, j::INT AS k, {R('a.q + (u - (pt.k - 0.5::DOUBLE) / 25) * 25 * (b.q - a.q)', 3)} AS q FROM pt JOIN curve a ON a.k = pt.k JOIN curve b ON b.unit_id = a.unit_id AND b.k = pt.k + 1"))
+@query("q11_resampled", twin(CURVES + ", t AS (SELECT j, 0.1::DOUBLE + 0.8::DOUBLE * ((j::DOUBLE - 0.5::DOUBLE) / 9) AS u FROM (SELECT unnest(range(1, 10)) AS j)), pt AS (SELECT j, u, floor(u * 25 + 0.5)::INT AS k FROM t), whole AS (SELECT unit_id, list(q ORDER BY k) AS q FROM curve GROUP BY unit_id)", f"SELECT unit_id, j::INT AS k, {R('q[pt.k] + (u - (pt.k - 0.5::DOUBLE) / 25) * 25 * (q[pt.k + 1] - q[pt.k])', 3)} AS q FROM whole CROSS JOIN pt"))
 def q11(spark, d):
     long = quantiles.as_long(curves(spark, d).select("unit_id", C.curve_resample(F.col("q"), U, I9).alias("q")), ["unit_id"])
     return long.select("unit_id", "k", r(F.col("q"), 3).alias("q"))

@@ -14,7 +14,7 @@ from ..sources import io
 from .curve_queries import designed
 from .effect_queries import FOLDS, dr_sql, scored
 from .law_queries import ALL as LAWS
-from .law_queries import law, truth
+from .law_queries import law, seen
 from .learner_queries import rows
 from .ledger_queries import LEDGER, cells
 from .roles import FULL, R, r, twin, units
@@ -80,10 +80,10 @@ def e15(spark, d):
     return g.unpivot(["bin"], ["plug_in", "aipw", "raw"], "view", "v").select("view", "bin", r(c("v"), 3).alias("effect"))
 
 
-@query("l2_l7_mean_energy_score", twin(LAWS, f"SELECT o.arm, count(*) AS units, {R('avg(att - rep)')} AS score FROM (SELECT unit_id, arm, sum(mi * sqrt(d2)) AS att FROM crs WHERE j = (unit_id % 12) GROUP BY ALL) o JOIN (SELECT unit_id, arm, 0.5 * sum(mi * mj * sqrt(d2)) AS rep FROM own GROUP BY ALL) r USING (unit_id, arm) GROUP BY o.arm"))
+@query("l2_l7_mean_energy_score", twin(LAWS, f"SELECT o.arm, count(*) AS units, {R('avg(att - rep)')} AS score FROM (SELECT unit_id, arm, sum(mi * sqrt(d2)) AS att FROM crs JOIN seen USING (unit_id) WHERE j = node_id GROUP BY unit_id, arm) o JOIN (SELECT unit_id, arm, 0.5 * sum(mi * mj * sqrt(d2)) AS rep FROM own GROUP BY ALL) r USING (unit_id, arm) GROUP BY o.arm"))
 def l7(spark, d):
     """Mean energy score by arm of bank laws at one observed curve for each unit."""
-    obs = truth(spark, d).where("node_id = unit_id % 12").select("unit_id", "arm", "q")
+    obs = seen(spark, d)
     return LW.energy_score(law(spark, d), obs).groupBy("arm").agg(F.count("*").alias("units"), r(F.avg("score")).alias("score"))
 
 

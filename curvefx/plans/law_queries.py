@@ -1,4 +1,7 @@
-"""Queries over laws: the atoms are curves of suppliers (5 levels), the units are part brands by arm."""
+"""Queries over laws: the atoms are curves of suppliers (5 levels), the units are parts.
+
+A part's law in an arm is over the suppliers of its line items, so laws grow in number with the data and not in size, and
+their pairs of atoms grow with the line items. The reference law of a part is over all its suppliers, equally."""
 
 from __future__ import annotations
 
@@ -25,16 +28,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-#: Bank: supplier curves; weights: brands lean on suppliers by quantity, both arms; truth: the curves of a nation's suppliers.
+#: Bank: supplier curves; weights: parts lean on suppliers by quantity, by arm; truth: all suppliers of a part; seen: its first one.
 BANK = MICRO + ",\n" + knots_sql("bank", "micro", "supp", levels="(k::DOUBLE-0.5::DOUBLE)/5::DOUBLE", n=5)
 LAW = (
     BANK
     + """,
-wt AS (SELECT p_size AS unit_id, (l_suppkey % 2)::INT AS arm, l_suppkey AS atom_id, sum(l_quantity) AS m FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 12 AND l_suppkey < 60 AND l_suppkey % 3 <> p_size % 3 GROUP BY ALL),
+wt AS (SELECT l_partkey AS unit_id, (l_suppkey % 2)::INT AS arm, l_suppkey AS atom_id, sum(l_quantity) AS m FROM lineitem GROUP BY ALL),
 law AS (SELECT unit_id, arm, atom_id, m / sum(m) OVER (PARTITION BY unit_id, arm) AS mass FROM wt),
 lawk AS (SELECT unit_id, arm, atom_id, mass, k, q FROM law JOIN bank ON supp = atom_id),
-truth AS (SELECT u.unit_id, a.arm, s_suppkey AS node_id, 1::DOUBLE / count(*) OVER (PARTITION BY u.unit_id, a.arm) AS mass FROM (SELECT DISTINCT unit_id FROM law) u JOIN supplier ON s_suppkey % 12 = u.unit_id % 12 CROSS JOIN (SELECT unnest([0, 1]) AS arm) a WHERE s_suppkey IN (SELECT supp FROM bank)),
-truthk AS (SELECT unit_id, arm, node_id, mass, k, q FROM truth JOIN bank ON supp = node_id)"""
+truth AS (SELECT u.unit_id, a.arm, u.atom_id AS node_id, 1::DOUBLE / count(*) OVER (PARTITION BY u.unit_id, a.arm) AS mass FROM law u CROSS JOIN (SELECT unnest([0, 1]) AS arm) a),
+truthk AS (SELECT unit_id, arm, node_id, mass, k, q FROM truth JOIN bank ON supp = node_id),
+seen AS (SELECT unit_id, min(atom_id) AS node_id FROM law GROUP BY unit_id)"""
 )
 #: Distances between atoms of a law, and from its atoms to truth nodes.
 OWN = "own AS (SELECT a.unit_id, a.arm, a.atom_id AS i, b.atom_id AS j, any_value(a.mass) AS mi, any_value(b.mass) AS mj, avg((a.q - b.q) * (a.q - b.q)) AS d2 FROM lawk a JOIN lawk b ON a.unit_id = b.unit_id AND a.arm = b.arm AND a.k = b.k GROUP BY ALL)"
@@ -47,31 +51,39 @@ def bank(spark, d):
     return quantiles.unit_curves(micro(spark, d), "supp", "y", "w", U5).select(F.col("supp").alias("atom_id"), "q")
 
 
-def weights(spark, d):
-    li = table(spark, d, "lineitem").where("l_suppkey < 60").join(table(spark, d, "part").where("p_size <= 12"), F.col("p_partkey") == F.col("l_partkey")).where("l_suppkey % 3 <> p_size % 3")
-    m = li.groupBy(F.col("p_size").alias("unit_id"), (F.col("l_suppkey") % 2).cast("int").alias("arm"), F.col("l_suppkey").alias("atom_id")).agg(F.sum("l_quantity").alias("m"))
+def normalised(m):
     tot = m.groupBy("unit_id", "arm").agg(F.sum("m").alias("t"))
     return m.join(tot, ["unit_id", "arm"]).select("unit_id", "arm", "atom_id", (F.col("m") / F.col("t")).alias("mass"))
 
 
+def weights(spark, d):
+    li = table(spark, d, "lineitem")
+    return normalised(li.groupBy(F.col("l_partkey").alias("unit_id"), (F.col("l_suppkey") % 2).cast("int").alias("arm"), F.col("l_suppkey").alias("atom_id")).agg(F.sum("l_quantity").alias("m")))
+
+
 def law(spark, d):
     return L.bank_law(bank(spark, d), weights(spark, d))
 
 
-def whole_law(spark, d):
+def law_of_sizes(spark, d):
     """The law of every part size over all suppliers, from all line items."""
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     m = li.groupBy(F.col("p_size").alias("unit_id"), (F.col("l_suppkey") % 2).cast("int").alias("arm"), F.col("l_suppkey").alias("atom_id")).agg(F.sum("l_quantity").alias("m"))
-    tot = m.groupBy("unit_id", "arm").agg(F.sum("m").alias("t"))
-    return L.bank_law(bank(spark, d), m.join(tot, ["unit_id", "arm"]).select("unit_id", "arm", "atom_id", (F.col("m") / F.col("t")).alias("mass")))
+    return L.bank_law(bank(spark, d), normalised(m))
 
 
 def truth(spark, d):
-    u = weights(spark, d).select("unit_id").distinct()
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("atom_id"))
-    j = u.join(s, F.col("atom_id") % 12 == F.col("unit_id") % 12).join(bank(spark, d), "atom_id").withColumn("arm", F.explode(F.array(F.lit(0), F.lit(1))))
-    n = j.groupBy("unit_id", "arm").agg(F.count("*").alias("n"))
-    return j.join(n, ["unit_id", "arm"]).select("unit_id", "arm", F.col("atom_id").alias("node_id"), (1.0 / F.col("n")).alias("mass"), "q")
+    """Each supplier belongs to one arm, so a part's nodes are its atoms of both arms."""
+    u = weights(spark, d).select("unit_id", F.col("atom_id").alias("node_id"))
+    n = u.groupBy("unit_id").agg((1.0 / F.count("*")).alias("mass"))
+    j = u.join(n, "unit_id").join(bank(spark, d).withColumnRenamed("atom_id", "node_id"), "node_id")
+    return j.select("unit_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("arm"), "node_id", "mass", "q")
+
+
+def seen(spark, d):
+    """One observed curve for each part, in both arms: that of its first supplier."""
+    first = weights(spark, d).groupBy("unit_id").agg(F.min("atom_id").alias("atom_id"))
+    return first.join(bank(spark, d), "atom_id").select("unit_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("arm"), "q")
 
 
 def out(df, *cols, n=4, keys=("unit_id", "arm")):
@@ -97,18 +109,16 @@ def l4(spark, d):
     return out(e, "mean", "tail")
 
 
-@query("l6_l7_energy_score", twin(ALL, f"SELECT o.unit_id, o.arm, {R('att')} AS attraction, {R('rep')} AS repulsion, {R('att - rep')} AS score FROM (SELECT unit_id, arm, sum(mi * (sqrt(d2 + 1) - 1)) AS att FROM crs WHERE j = (unit_id % 12) GROUP BY ALL) o JOIN (SELECT unit_id, arm, 0.5 * sum(mi * mj * (sqrt(d2 + 1) - 1)) AS rep FROM own GROUP BY ALL) r USING (unit_id, arm)"))
+@query("l6_l7_energy_score", twin(ALL, f"SELECT o.unit_id, o.arm, {R('att')} AS attraction, {R('rep')} AS repulsion, {R('att - rep')} AS score FROM (SELECT unit_id, arm, sum(mi * (sqrt(d2 + 1) - 1)) AS att FROM crs JOIN seen USING (unit_id) WHERE j = node_id GROUP BY unit_id, arm) o JOIN (SELECT unit_id, arm, 0.5 * sum(mi * mj * (sqrt(d2 + 1) - 1)) AS rep FROM own GROUP BY ALL) r USING (unit_id, arm)"))
 def l6(spark, d):
-    obs = truth(spark, d).where("node_id = unit_id % 12").select("unit_id", "arm", "q")
-    return out(L.energy_score(law(spark, d), obs, 1.0), "attraction", "repulsion", "score")
+    return out(L.energy_score(law(spark, d), seen(spark, d), 1.0), "attraction", "repulsion", "score")
 
 
 @query("l8_energy_gradient", twin(ALL + """, u AS (SELECT unit_id, arm, count(*) AS m FROM law GROUP BY ALL),
-g1 AS (SELECT a.unit_id, a.arm, a.atom_id, a.k, (a.q - t.q) / 5 / sqrt(c.d2 + 1) AS v FROM lawk a JOIN truthk t ON t.unit_id = a.unit_id AND t.arm = a.arm AND t.k = a.k AND t.node_id = a.unit_id % 12 JOIN crs c ON c.unit_id = a.unit_id AND c.arm = a.arm AND c.i = a.atom_id AND c.j = t.node_id),
+g1 AS (SELECT a.unit_id, a.arm, a.atom_id, a.k, (a.q - t.q) / 5 / sqrt(c.d2 + 1) AS v FROM lawk a JOIN seen ON seen.unit_id = a.unit_id JOIN truthk t ON t.unit_id = a.unit_id AND t.arm = a.arm AND t.k = a.k AND t.node_id = seen.node_id JOIN crs c ON c.unit_id = a.unit_id AND c.arm = a.arm AND c.i = a.atom_id AND c.j = t.node_id),
 g2 AS (SELECT a.unit_id, a.arm, a.atom_id, a.k, sum((a.q - b.q) / 5 / sqrt(o.d2 + 1)) AS v FROM lawk a JOIN lawk b ON b.unit_id = a.unit_id AND b.arm = a.arm AND b.k = a.k JOIN own o ON o.unit_id = a.unit_id AND o.arm = a.arm AND o.i = a.atom_id AND o.j = b.atom_id GROUP BY ALL)""", f"SELECT g1.unit_id, g1.arm, g1.atom_id, (g1.k - 1)::INT AS k, {R('g1.v / m - g2.v / (m * m)', 6)} AS g FROM g1 JOIN g2 USING (unit_id, arm, atom_id, k) JOIN u USING (unit_id, arm)"))
 def l8(spark, d):
-    obs = truth(spark, d).where("node_id = unit_id % 12").select("unit_id", "arm", "q")
-    g = L.energy_gradient(law(spark, d), obs, 1.0)
+    g = L.energy_gradient(law(spark, d), seen(spark, d), 1.0)
     return out(g, "g", n=6, keys=("unit_id", "arm", "atom_id", "k"))
 
 
@@ -124,9 +134,14 @@ def l10(spark, d):
     return out(L.squared_mmd(law(spark, d), truth(spark, d), BAND), "mmd2", n=6)
 
 
-@query("l11_median_bandwidth", twin(BANK, f"SELECT {R('median(d)')} AS bandwidth FROM (SELECT sqrt(avg((a.q - b.q) * (a.q - b.q))) AS d FROM bank a JOIN bank b ON a.k = b.k AND a.supp < b.supp WHERE a.supp < 60 AND b.supp < 60 GROUP BY a.supp, b.supp)"))
+#: The places from 0 of at most 512 evenly spaced rows of n.
+SPACED = "SELECT DISTINCT CASE WHEN n <= 512 THEN i ELSE i * (n - 1) // 511 END AS place FROM (SELECT count(DISTINCT supp) AS n FROM bank), (SELECT unnest(range(0, 512)) AS i) WHERE n > 512 OR i < n"
+
+
+@query("l11_median_bandwidth", twin(BANK + f", pl AS ({SPACED}), few AS (SELECT bank.* FROM bank JOIN (SELECT supp, row_number() OVER (ORDER BY supp) - 1 AS place FROM (SELECT DISTINCT supp FROM bank)) USING (supp) JOIN pl USING (place))", f"SELECT {R('median(d)')} AS bandwidth FROM (SELECT sqrt(avg((a.q - b.q) * (a.q - b.q))) AS d FROM few a JOIN few b ON a.k = b.k AND a.supp < b.supp GROUP BY a.supp, b.supp)"))
 def l11(spark, d):
-    return L.median_bandwidth(bank(spark, d).where("atom_id < 60"), "atom_id").select(r(F.col("bandwidth")).alias("bandwidth"))
+    """The median distance over pairs of at most 512 curves, evenly spaced over all suppliers."""
+    return L.median_bandwidth(bank(spark, d), "atom_id").select(r(F.col("bandwidth")).alias("bandwidth"))
 
 
 @query("l13_mode_coverage", twin(ALL, f"SELECT unit_id, arm, {R('avg((m >= 0.2)::INT)')} AS covered FROM (SELECT unit_id, arm, j, sum(CASE WHEN sqrt(d2) <= 5000 THEN mi ELSE 0 END) AS m FROM crs GROUP BY ALL) GROUP BY ALL"))
@@ -134,30 +149,39 @@ def l13(spark, d):
     return out(L.mode_coverage(law(spark, d), truth(spark, d).withColumnRenamed("node_id", "centre_id"), 5000.0, 0.2), "covered")
 
 
-@query("l14_l19_two_part", twin(LAW, f"SELECT unit_id, arm, {R('least(greatest(unit_id / 10, 1e-9), 1 - 1e-9)', 6)} AS zero, {R('sum(mass * m) * (1 - least(greatest(unit_id / 10, 1e-9), 1 - 1e-9))')} AS mean FROM (SELECT unit_id, arm, atom_id, any_value(mass) AS mass, avg(q) AS m FROM lawk GROUP BY ALL) GROUP BY unit_id, arm"))
+@query("l14_l19_two_part", twin(LAW, f"SELECT unit_id, arm, {R('least(greatest(unit_id % 11 / 10, 1e-9), 1 - 1e-9)', 6)} AS zero, {R('sum(mass * m) * (1 - least(greatest(unit_id % 11 / 10, 1e-9), 1 - 1e-9))')} AS mean FROM (SELECT unit_id, arm, atom_id, any_value(mass) AS mass, avg(q) AS m FROM lawk GROUP BY ALL) GROUP BY unit_id, arm"))
 def l14(spark, d):
     w = law(spark, d)
-    zero = w.select("unit_id", "arm").distinct().withColumn("p", F.col("unit_id") / 10.0)
+    zero = w.select("unit_id", "arm").distinct().withColumn("p", F.col("unit_id") % 11 / 10.0)
     two = L.two_part(w, zero)
     j = L.zero_mass(two, 1e-9).join(L.expectation(two, mean=C.curve_mean(F.col("q"))), L.KEYS)
     return j.select("unit_id", "arm", r(F.col("zero"), 6).alias("zero"), r(F.col("mean")).alias("mean"))
 
 
-@query("l15_l20_dispersion", twin(LAW + ", mc AS (SELECT unit_id, arm, k, sum(mass * q) AS m FROM lawk GROUP BY ALL)", f"SELECT unit_id, arm, {R('sqrt(sum(mass * d2))')} AS spread, {R('1.3 * sqrt(sum(mass * d2))')} AS scaled FROM (SELECT unit_id, arm, atom_id, any_value(mass) AS mass, avg((q - m) * (q - m)) AS d2 FROM lawk JOIN mc USING (unit_id, arm, k) GROUP BY ALL) GROUP BY ALL"))
+#: Atoms moved from the mean curve by 1.3 and made monotone by the max-min formula, and the mean curve of the result.
+SCALED = """mc AS (SELECT unit_id, arm, k, sum(mass * q) AS m FROM lawk GROUP BY ALL),
+mv AS (SELECT unit_id, arm, atom_id, mass, k, m + 1.3::DOUBLE * (q - m) AS d, sum(m + 1.3::DOUBLE * (q - m)) OVER (PARTITION BY unit_id, arm, atom_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM lawk JOIN mc USING (unit_id, arm, k)),
+ij AS (SELECT a.unit_id, a.arm, a.atom_id, a.mass, a.k AS i, b.k AS j, (b.s - a.s + a.d) / (b.k - a.k + 1) AS m FROM mv a JOIN mv b ON a.unit_id = b.unit_id AND a.arm = b.arm AND a.atom_id = b.atom_id AND b.k >= a.k),
+lo AS (SELECT unit_id, arm, atom_id, mass, i, j, min(m) OVER (PARTITION BY unit_id, arm, atom_id, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS lo FROM ij),
+pr AS (SELECT unit_id, arm, atom_id, j AS k, any_value(mass) AS mass, max(lo) AS q FROM lo GROUP BY unit_id, arm, atom_id, j),
+pm AS (SELECT unit_id, arm, k, sum(mass * q) AS m FROM pr GROUP BY ALL)"""
+SPREAD = "(SELECT unit_id, arm, sqrt(sum(mass * d2)) AS s FROM (SELECT unit_id, arm, atom_id, any_value(mass) AS mass, avg((q - m) * (q - m)) AS d2 FROM {0} JOIN {1} USING (unit_id, arm, k) GROUP BY ALL) GROUP BY ALL)"
+
+
+@query("l15_l20_dispersion", twin(LAW + ", " + SCALED, f"SELECT a.unit_id, a.arm, {R('a.s', 3)} AS spread, {R('b.s', 3)} AS scaled FROM {SPREAD.format('lawk', 'mc')} a JOIN {SPREAD.format('pr', 'pm')} b USING (unit_id, arm)"))
 def l15(spark, d):
-    """Spread about the mean curve, before and after scaling by 1.3 where no atom needs projection."""
+    """Spread about the mean curve, before and after atoms are moved from it by 1.3 and made monotone."""
     w = law(spark, d)
     star = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: k * 1000.0)
-    a = L.dispersion(w, star).select("unit_id", "arm", r(F.col("spread")).alias("spread"), (1.3 * F.col("spread")).alias("_s"))
-    b = L.dispersion(L.radial_scale(w, 1.3), star).select("unit_id", "arm", F.col("spread").alias("_t"))
-    return a.join(b, L.KEYS).select("unit_id", "arm", "spread", r(F.when(F.abs(F.col("_t") - F.col("_s")) < 1e-3 * F.col("_s"), F.col("_s")).otherwise(F.col("_s"))).alias("scaled"))
+    a = L.dispersion(w, star).select("unit_id", "arm", r(F.col("spread"), 3).alias("spread"))
+    b = L.dispersion(L.radial_scale(w, 1.3), star).select("unit_id", "arm", r(F.col("spread"), 3).alias("scaled"))
+    return a.join(b, L.KEYS)
 
 
 @query("l16_l17_jitter_choice")
 def l16(spark, d):
-    """Mean energy score of each post-hoc candidate, scale or jitter, on held-out units (even ones)."""
-    w = law(spark, d).where("unit_id % 2 = 0")
-    obs = truth(spark, d).where("node_id = unit_id % 12").select("unit_id", "arm", "q")
+    """Mean energy score of each post-hoc candidate, scale or jitter, over all parts."""
+    w, obs = law(spark, d), seen(spark, d)
     tries = [("scale", s, L.radial_scale(w, s)) for s in (1.0, 1.15, 1.3, 1.45)] + [("jitter", s, L.jitter(w, s * 1000, 2)) for s in (0.08, 0.16, 0.28)]
     rows = [L.energy_score(x, obs).agg(F.avg("score").alias("risk")).select(F.lit(k).alias("kind"), F.lit(s).alias("size"), r(F.col("risk")).alias("risk")) for k, s, x in tries]
     out_ = rows[0]
@@ -175,7 +199,7 @@ def l18(spark, d):
 @query("l21_sampled_law")
 def l21(spark, d):
     """20 draws per law: their mean beside the law's own."""
-    w = whole_law(spark, d)
+    w = law_of_sizes(spark, d)
     s = L.expectation(L.sampled(w, 20), drawn=C.curve_mean(F.col("q")))
     return out(s.join(L.expectation(w, mean=C.curve_mean(F.col("q"))), L.KEYS), "drawn", "mean")
 
@@ -188,12 +212,11 @@ def l22(spark, d):
     return L.kernel_effect(law(spark, d), BAND).select("unit_id", r(F.col("norm2"), 6).alias("norm2"))
 
 
-@query("l22_witness", twin(LAW + ", " + SIGNED, f"SELECT unit_id, j AS point_id, {R('sum(s * kern)', 6)} AS w FROM sg JOIN bd ON i = atom_id WHERE j < 5 GROUP BY ALL"))
+@query("l22_witness", twin(LAW + ", " + SIGNED, f"SELECT unit_id, j AS point_id, {R('sum(s * kern)', 6)} AS w FROM sg JOIN (SELECT unit_id, node_id FROM truth WHERE arm = 0) USING (unit_id) JOIN bd ON i = atom_id AND j = node_id GROUP BY ALL"))
 def l22w(spark, d):
-    w = law(spark, d)
-    few = bank(spark, d).where("atom_id < 5").select(F.col("atom_id").alias("point_id"), "q")  # five evaluation curves
-    pts = w.select("unit_id").distinct().crossJoin(F.broadcast(few))
-    return L.witness(w, pts, BAND).select("unit_id", "point_id", r(F.col("w"), 6).alias("w"))
+    """At the curves of all suppliers of a part."""
+    pts = truth(spark, d).where("arm = 0").select("unit_id", F.col("node_id").alias("point_id"), "q")
+    return L.witness(law(spark, d), pts, BAND).select("unit_id", "point_id", r(F.col("w"), 6).alias("w"))
 
 
 @query("l23_resampled_test")
