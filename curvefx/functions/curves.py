@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 Curve = Column
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once where body uses it often, as inside a lambda over an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def not_negative(v: Column) -> Column:
+    """v, or 0 below it; null and NaN stay."""
+    return F.when(v < 0, F.lit(0.0)).otherwise(v)
+
+
 def total(a: Column) -> Column:
     """Sum of an array, from the left."""
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -27,9 +37,7 @@ def curve_mean(q: Curve, w: Column | None = None) -> Column:
     return dot(q, w)
 
 
-def central_moment(q: Curve, power: int, w: Column | None = None) -> Column:
-    mean = dot(q, w)
-
+def moment_about(q: Curve, mean: Column, power: int, w: Column | None = None) -> Column:
     def raised(x: Column) -> Column:
         d = x - mean
         out = d
@@ -40,20 +48,31 @@ def central_moment(q: Curve, power: int, w: Column | None = None) -> Column:
     return dot(F.transform(q, raised), w)
 
 
+def central_moment(q: Curve, power: int, w: Column | None = None) -> Column:
+    return let(dot(q, w), lambda mean: moment_about(q, mean, power, w))
+
+
 def curve_sd(q: Curve, w: Column | None = None) -> Column:
-    return F.sqrt(F.greatest(central_moment(q, 2, w), F.lit(0.0)))
+    return F.sqrt(let(central_moment(q, 2, w), not_negative))
 
 
 def curve_skew(q: Curve, w: Column | None = None, floor: float = 1e-12) -> Column:
     """Third moment over sd cubed; 0 where the sd is at most floor."""
-    sd = curve_sd(q, w)
-    return F.when(sd > floor, central_moment(q, 3, w) / (sd * sd * sd)).otherwise(F.when(sd.isNotNull(), F.lit(0.0)))
+
+    def about(mean: Column) -> Column:
+        sd = F.sqrt(let(moment_about(q, mean, 2, w), not_negative))
+        return let(sd, lambda s: F.when(s > floor, moment_about(q, mean, 3, w) / (s * s * s)).otherwise(F.when(s.isNotNull(), F.lit(0.0))))
+
+    return let(dot(q, w), about)
 
 
 def curve_skew_by_variance(q: Curve, w: Column | None = None) -> Column:
     """The other convention: 0 only where the variance is 0."""
-    var = central_moment(q, 2, w)
-    return F.when(var > 0, central_moment(q, 3, w) / F.pow(var, 1.5)).otherwise(F.when(var.isNotNull(), F.lit(0.0)))
+
+    def about(mean: Column) -> Column:
+        return let(moment_about(q, mean, 2, w), lambda var: F.when(var > 0, moment_about(q, mean, 3, w) / F.pow(var, 1.5)).otherwise(F.when(var.isNotNull(), F.lit(0.0))))
+
+    return let(dot(q, w), about)
 
 
 def curve_tail(q: Curve, k: int) -> Column:
@@ -71,12 +90,12 @@ def curve_dist2(a: Curve, b: Curve, w: Column | None = None) -> Column:
 
 
 def curve_distance(a: Curve, b: Curve, w: Column | None = None) -> Column:
-    return F.sqrt(F.greatest(curve_dist2(a, b, w), F.lit(0.0)))
+    return F.sqrt(let(curve_dist2(a, b, w), not_negative))
 
 
 def smoothed_distance(a: Curve, b: Curve, eps: float = 0.0, w: Column | None = None) -> Column:
     """sqrt(d2 + eps^2) - eps."""
-    return F.sqrt(F.greatest(curve_dist2(a, b, w), F.lit(0.0)) + eps * eps) - eps
+    return F.sqrt(let(curve_dist2(a, b, w), not_negative) + eps * eps) - eps
 
 
 def to_rescaled(q: Curve, w: Column | None = None) -> Column:
@@ -103,28 +122,41 @@ def violations(q: Curve) -> Column:
 
 
 def running_max(q: Curve) -> Column:
-    return F.transform(q, lambda x, i: F.array_max(F.slice(q, 1, i + 1)))
+    last = lambda s, x: F.coalesce(F.greatest(F.try_element_at(s, F.lit(-1)), x), x)
+    return F.aggregate(q, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(last(s, x))))
 
 
 def project_monotone(q: Curve, w: Column | None = None) -> Column:
-    """The nearest nondecreasing curve in the weighted norm, by the max-min formula; rising curves are returned as they are.
+    """The nearest nondecreasing curve in the weighted norm, by pooling; rising curves are returned as they are.
 
-    Coordinate k is max over i <= k of min over j >= k of the weighted average of i .. j. For up to about 64 levels.
+    One fold over the levels keeps the weighted sums S, M so far and those before each block. A new level's block starts
+    at the one of the open starts from which the average to here is largest. Each block takes its average.
     """
-    k = F.size(q)
-    ww = F.array_repeat(F.lit(1.0), k) if w is None else w
-    prefix = lambda a: F.aggregate(a, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    sums = F.struct(prefix(F.zip_with(q, ww, lambda a, b: a * b)).alias("s"), prefix(ww).alias("m"))
-    average = lambda p, i, j: (F.get(p["s"], j) - F.get(p["s"], i - 1)) / (F.get(p["m"], j) - F.get(p["m"], i - 1))
-    at = lambda p, c: F.array_max(F.transform(F.sequence(F.lit(1), c), lambda i: F.array_min(F.transform(F.sequence(c, k), lambda j: average(p, i, j)))))
-    solved = F.get(F.transform(F.array(sums), lambda p: F.transform(F.sequence(F.lit(1), k), lambda c: at(p, c))), F.lit(0))
-    return F.when(violations(q) > 0, solved).otherwise(q)
+    weight = lambda i: F.lit(1.0) if w is None else F.get(w, i)
+    levels = F.transform(q, lambda x, i: F.struct((x * weight(i)).alias("p"), weight(i).alias("m"), i.alias("i")))
+    start = F.struct(F.lit(0.0).alias("S"), F.lit(0.0).alias("M"), F.array().cast("array<struct<s:double,m:double,i:int>>").alias("starts"))
+
+    def best(a: Column) -> Column:
+        """How many starts stay: up to the one with the largest average, the first at a tie."""
+        tried = F.transform(a["starts"], lambda b, j: F.struct(((a["S"] - b["s"]) / (a["M"] - b["m"])).alias("v"), (-j - 1).alias("j")))
+        return -F.array_max(tried)["j"]
+
+    def add(a: Column, e: Column) -> Column:
+        opened = F.concat(a["starts"], F.array(F.struct(a["S"].alias("s"), a["M"].alias("m"), e["i"].alias("i"))))
+        grown = F.struct((a["S"] + e["p"]).alias("S"), (a["M"] + e["m"]).alias("M"), opened.alias("starts"))
+        return let(grown, lambda g: F.struct(g["S"], g["M"], F.slice(g["starts"], F.lit(1), best(g)).alias("starts")))
+
+    def values(a: Column) -> Column:
+        ends = F.concat(a["starts"], F.array(F.struct(a["S"].alias("s"), a["M"].alias("m"), F.size(q).alias("i"))))
+        value = lambda b, n: (n["s"] - b["s"]) / (n["m"] - b["m"])
+        return F.flatten(F.transform(a["starts"], lambda b, j: let(F.get(ends, j + 1), lambda n: F.array_repeat(value(b, n), n["i"] - b["i"]))))
+
+    return F.when(violations(q) > 0, let(F.aggregate(levels, start, add), values)).otherwise(q)
 
 
 def curve_cap(q: Curve, levels: list[float], level: float) -> Column:
     """Elementwise minimum with the curve's value at a level."""
-    top = value_at(q, levels, level)
-    return F.transform(q, lambda x: F.least(x, top))
+    return let(value_at(q, levels, level), lambda top: F.transform(q, lambda x: F.least(x, top)))
 
 
 def value_at(q: Curve, levels: list[float], u: float) -> Column:

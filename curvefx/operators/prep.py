@@ -122,14 +122,20 @@ def moderator_bin(m: Column) -> Column:
     return sum(((m >= e).cast("int") for e in (0.0, 0.5)), (m >= -0.5).cast("int"))
 
 
+def rank_in_group(df: DataFrame, group: str, order: list[Column], out: str = "rank") -> DataFrame:
+    """df with the row's place from 0 in its group: over sorted ranges with offsets, so that no group meets in one task."""
+    ranked = ordered.ranges(df, [group], order)
+    sizes = ranked.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"))
+    row = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
+    placed = ranked.withColumn("_i", row).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return placed.withColumn(out, (F.col("_i") + F.col("_start")).cast("long")).drop("_range", "_i", "_start", "_group", "_at")
+
+
 def folds_by_rank(df: DataFrame, arm: str, order: list[Column], folds: int, out: str = "fold") -> DataFrame:
     """Round robin within arms over a global order, which should end with a unique key."""
-    ranked = ordered.ranges(df, [arm], order)
-    sizes = ranked.groupBy(arm, "_range").agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(arm).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(arm, "_range", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"))
-    row = F.row_number().over(Window.partitionBy(arm, "_range").orderBy(*order)) - 1
-    return ranked.withColumn("_i", row).join(F.broadcast(starts), [arm, "_range"]).withColumn(out, ((F.col("_i") + F.col("_start")) % folds).cast("int")).drop("_range", "_i", "_start")
+    return rank_in_group(df, arm, order, out).withColumn(out, (F.col(out) % folds).cast("int"))
 
 
 def seeded_order(seed: int, key: str) -> Column:

@@ -25,13 +25,20 @@ def covered_levels(knots: DataFrame, keep: list[str], y: str, levels: list[float
     return rows.select(*keep, F.col("e.k").alias("k"), value.alias("q"))
 
 
-def unit_curves_long(df: DataFrame, unit: str, y: str, w: str, levels: list[float] | None = None, spread: bool = False) -> DataFrame:
+#: Usable rows of one unit above which its cumulative sums run over sorted ranges instead of in one task.
+LARGE_UNIT = 1_000_000
+
+
+def unit_curves_long(df: DataFrame, unit: str, y: str, w: str, levels: list[float] | None = None, spread: bool | None = None) -> DataFrame:
     """unit, k, q for every unit with a usable row.
 
-    spread runs the cumulative sums over sorted ranges, for units that are too large for one task.
+    spread runs the cumulative sums over sorted ranges, for units that are too large for one task; by default where the
+    largest unit has more than LARGE_UNIT rows. The result is the same.
     """
     levels = check_levels(levels or midpoint_levels())
     rows = df.where(usable(y, w)).select(F.col(unit), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"))
+    if spread is None:
+        spread = (rows.groupBy(unit).count().agg(F.max("count")).first()[0] or 0) > LARGE_UNIT
     if spread:
         knots = ordered.running_share(rows, [unit], "y", "w", [F.col("y"), F.col("w")])
     else:
@@ -42,7 +49,7 @@ def unit_curves_long(df: DataFrame, unit: str, y: str, w: str, levels: list[floa
 
 
 def as_arrays(long: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, q ARRAY<DOUBLE> from the long form, running maximum applied by the order of values."""
+    """keys, q ARRAY<DOUBLE> from the long form; interpolated order statistics rise with the levels by themselves."""
     return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda e: e["q"]).alias("q"))
 
 
@@ -50,7 +57,7 @@ def as_long(df: DataFrame, keys: list[str], q: str = "q") -> DataFrame:
     return df.select(*keys, F.posexplode(q).alias("_i", "q")).select(*keys, (F.col("_i") + 1).alias("k"), "q")
 
 
-def unit_curves(df: DataFrame, unit: str, y: str, w: str, levels: list[float] | None = None, spread: bool = False) -> DataFrame:
+def unit_curves(df: DataFrame, unit: str, y: str, w: str, levels: list[float] | None = None, spread: bool | None = None) -> DataFrame:
     """One curve per unit; units without a usable row are dropped."""
     return as_arrays(unit_curves_long(df, unit, y, w, levels, spread), [unit])
 

@@ -23,16 +23,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def star(spark, d):
-    """q_star: the average curve of control parts, one row."""
-    avg = quantiles.average_curve(curves_long(spark, d).join(units(spark, d).where("a = 0").select("unit_id"), "unit_id"))
-    return quantiles.as_arrays(avg.withColumn("g", F.lit(0)), ["g"]).select(F.col("q").alias("q_star"))
+def star_of(c, u):
+    """q_star: the average of the curves c of control units, one row."""
+    long = quantiles.as_long(c.join(u.where("a = 0").select("unit_id"), "unit_id"), ["unit_id"])
+    return quantiles.as_arrays(quantiles.average_curve(long).withColumn("g", F.lit(0)), ["g"]).select(F.col("q").alias("q_star"))
 
 
 def designed(spark, d):
-    """Units with curve, arm, moderator and bin, and the benchmark."""
-    u = prep.ecdf_moderator(units(spark, d), "moderator_raw", "unit_id").withColumn("bin", prep.moderator_bin(F.col("m")))
-    return curves(spark, d).join(u, "unit_id").crossJoin(F.broadcast(star(spark, d)))  # one benchmark row
+    """Units with curve, arm, moderator and bin, and the benchmark. Curves are made once and stored."""
+    u = units(spark, d)
+    c = ordered.stored(curves(spark, d))
+    placed = prep.ecdf_moderator(u, "moderator_raw", "unit_id").withColumn("bin", prep.moderator_bin(F.col("m")))
+    return c.join(placed, "unit_id").crossJoin(F.broadcast(star_of(c, u)))  # one benchmark row
 
 
 @query("flagship", twin(FULL, f"""SELECT bin, name, count(*) AS n, {R("avg(v) FILTER (a = 1) - avg(v) FILTER (a = 0)")} AS contrast FROM (
@@ -202,10 +204,10 @@ def t1(spark, d):
 
 @query("t2_sorted_atoms", twin(",\n".join([CURVES, UNITS]), f"SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY f) - 1 AS atom_id, {R('f', 3)} AS first FROM (SELECT brand, max(q) FILTER (k = 1) AS f FROM curve JOIN units USING (unit_id) GROUP BY brand, unit_id)"))
 def t2(spark, d):
-    """Atoms of each brand's law in lexicographic order, shown by their first coordinates."""
+    """Atoms of each brand's law in lexicographic order, numbered over sorted ranges, shown by their first coordinates."""
     c = curves(spark, d).join(units(spark, d).select("unit_id", "brand"), "unit_id")
-    s = c.groupBy("brand").agg(F.array_sort(F.collect_list("q")).alias("atoms"))
-    return s.select("brand", F.posexplode("atoms").alias("atom_id", "q")).select("brand", F.col("atom_id").cast("long").alias("atom_id"), r(F.get("q", F.lit(0)), 3).alias("first"))
+    ranked = prep.rank_in_group(c, "brand", [F.col("q")], "atom_id")
+    return ranked.select("brand", "atom_id", r(F.get("q", F.lit(0)), 3).alias("first"))
 
 
 @query("t3_initial_atoms", twin(FULL + ", o AS (SELECT unit_id, row_number() OVER (ORDER BY round(mean, 6), unit_id) - 1 AS rk, count(*) OVER () AS n FROM func)", "SELECT i::INT AS atom_id, unit_id FROM o JOIN (SELECT unnest(range(0, 10)) AS i) ON rk = floor((i + 0.5) * n / 10)"))
@@ -238,4 +240,4 @@ def p19(spark, d):
     return j.agg(F.count("*").alias("units"), F.sum(bad).alias("not_finite"), F.count(F.when(F.col("a") == 0, 1)).alias("controls"), F.count(F.when(F.col("a") == 1, 1)).alias("treated"), F.count(F.when(~F.col("a").isin(0, 1), 1)).alias("bad_arm"))
 
 
-__all__ = ["FUNCS", "ORACLES", "QUERIES", "STAR", "designed", "query", "star"]
+__all__ = ["FUNCS", "ORACLES", "QUERIES", "STAR", "designed", "query", "star_of"]
