@@ -1,10 +1,11 @@
-"""Byte-level BPE by merge replay over the distinct words of each slice of the corpus.
-
-A task reads its slice of the corpus in blocks of BLOCK_BYTES of text. Of a block it keeps the distinct words, laid out
-as one linked list of tokens, and an inverted index from a pair's rank to the positions of that pair. Ranks are
-replayed in order over all words at once; a merge touches only its neighbours, whose new pairs enter the index. The
-index of words is by block and not shuffled over the corpus: moving every word occurrence twice would cost several
-times the text, and a word's merges depend on the word alone, so results are the same.
+"""Byte-level BPE by corpus-level merge replay.
+
+Tasks cut the texts into words, block by block of BLOCK_BYTES of text: a block has its own numbering of words, and a text
+becomes a row of numbers. The distinct words of the whole corpus are then dealt by hash, each to one partition, which
+lays its words out as one linked list of tokens with an inverted index from a pair's rank to the positions of that pair.
+Ranks are replayed in order over all of them at once; a merge touches only its neighbours, whose new pairs enter
+the index. At last every block gets the tokens of its own words back, which its size bounds, and puts its texts together.
+So each word of the corpus is merged once, and no word's occurrences are shuffled, only one row for each block it is in.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, unused
+from .common import ship, stored
 
 ship(__name__)
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
+#: Bytes of distinct words that are replayed at once.
+REPLAY_BYTES = 8_000_000
 NONE = np.int32(2**31 - 1)
 #: White_Space of Unicode, which the pattern's \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,14 +72,31 @@ class Merges:
         return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], NONE)
 
     def alone(self, word: bytes) -> list[int]:
-        """One word by repeated merging of its lowest-ranked, leftmost pair."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, i = min((self.by_bytes.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.by_bytes[p] for p in parts]
+        """One word by repeated merging of its lowest-ranked, leftmost pair: a heap of pairs over a linked list."""
+        n, by_bytes = len(word), self.by_bytes
+        parts = [word[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [by_bytes.get(word[i : i + 2], -1) for i in range(n - 1)] + [-1] * (n > 0)
+        heap = [(r, i) for i, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if rank[i] != r:  # the pair is gone
+                continue
+            j = after[i]
+            k = after[j]
+            parts[i] += parts[j]
+            parts[j], rank[j], after[i] = b"", -1, k
+            if k < n:
+                before[k] = i
+            for x, y in ((i, k), (before[i], i)):
+                if x >= 0 and y < n:
+                    rank[x] = by_bytes.get(parts[x] + parts[y], -1)
+                    if rank[x] >= 0:
+                        heapq.heappush(heap, (rank[x], x))
+                elif x >= 0:
+                    rank[x] = -1
+        return [by_bytes[p] for p in parts if p]
 
 
 def first_of_runs(pos: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -152,19 +173,63 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     return ids, starts
 
 
-def encode_block(texts: list[str], split: regex.Pattern, merges: Merges) -> Iterator[np.ndarray]:
-    """The token ids of each text of a block."""
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, their low bytes first, then the next ones."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd").compress(planes.tobytes(), asbytes=True) if len(codes) else b""
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def cut(texts: list[str | None], split: regex.Pattern) -> tuple[list[bytes], list[int], list[str]]:
+    """Of a block's texts: the packed numbers and the number of their words; and the words in the order of their numbers."""
     number: dict[str, int] = {}
-    rows = [np.fromiter((number.setdefault(w, len(number)) for w in split.findall(t)), np.int32) for t in texts]
-    if not number:
-        yield from (np.zeros(0, np.int32) for _ in texts)
-        return
-    ids, starts = replay([w.encode() for w in number], merges)
-    size = np.diff(starts)
-    for row in rows:
-        n = size[row]
-        at = np.repeat(starts[row] - np.r_[0, np.cumsum(n)[:-1]] if len(n) else n, n) + np.arange(int(n.sum()))
-        yield ids[at]
+    codes, sizes = [], []
+    for t in texts:
+        row = np.fromiter((number.setdefault(w, len(number)) for w in split.findall(t or "")), np.int64)
+        codes.append(packed(row))
+        sizes.append(len(row))
+    return codes, sizes, list(number)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+    """Tables of about BLOCK_BYTES, a single longer text alone."""
+    held, size = [], 0
+    for b in itertools.chain(batches, [None]):
+        for at in range(0, b.num_rows, 256) if b is not None else [None]:
+            part = b.slice(at, 256) if b is not None else None
+            if held and (part is None or size + part.nbytes > BLOCK_BYTES):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+            if part is not None and part.num_rows:
+                held.append(part)
+                size += part.nbytes
+
+
+def word_tokens(words: DataFrame, merges) -> DataFrame:
+    """word and ids (packed 32-bit integers) for every distinct word; merges is a broadcast Merges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in itertools.chain(batches, [None]):
+            if held and (b is None or size + b.nbytes > REPLAY_BYTES):
+                column = pa.chunked_array(held).combine_chunks()
+                ids, starts = replay([w.encode() for w in column.to_pylist()], merges.value)
+                raw = pa.py_buffer(ids.astype("<i4").tobytes())
+                offsets = pa.py_buffer((starts * 4).astype("<i4").tobytes())
+                tokens = pa.Array.from_buffers(pa.binary(), len(column), [None, offsets, raw])
+                yield pa.RecordBatch.from_arrays([column, tokens], ["word", "ids"])
+                held, size = [], 0
+            if b is not None and b.num_rows:
+                held.append(b.column(0))
+                size += b.nbytes
+
+    return words.select("word").distinct().mapInArrow(run, "word string, ids binary")
 
 
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
@@ -172,48 +237,64 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
 
     path names a file of ranks on the driver, whose size is that of the vocabulary; pattern splits texts, and no
     special tokens are used. Ids are hashed as little-endian unsigned 32-bit integers; decoding joins the tokens'
-    bytes. A null text counts as empty: no ids. Columns of df that are called like an output are replaced.
+    bytes. A null text counts as empty: no ids. Texts and words of any length are encoded whole; a word of n bytes takes
+    time in the order of n log n. One result row for each row of df, repeated rows too; an empty table gives an empty
+    result. Columns of df that are called like an output are replaced.
     """
     with open(path, "rb") as f:
         merges = df.sparkSession.sparkContext.broadcast(Merges(read_ranks(f)))
     keep = [c for c in df.columns if c != text and c not in outputs]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(unused(df, "_text")))
-    added = T.StructType.fromDDL(", ".join(f"{c} {OUTPUTS[c]}" for c in outputs))
-    schema = T.StructType([*[df.schema[c] for c in keep], *added.fields])
+    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    # the kept columns travel by position, so that no name can clash
+    held = [f"c{i}" for i in range(len(keep))]
+    src = own.toDF(*held, "_text")
+    fields = [T.StructField(h, src.schema[h].dataType) for h in held]
     spelled = splitter(pattern)
 
-    def made(texts: list[str], split: regex.Pattern, m: Merges) -> list[pa.Array]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(spelled)
+        for whole in blocks(batches, len(held)):
+            codes, sizes, words = cut(whole.column(len(held)).to_pylist(), split)
+            n, name = whole.num_rows, int.from_bytes(os.urandom(8), "little", signed=True)
+            lists = pa.array([words] + [None] * (n - 1), pa.list_(pa.string()))
+            columns = [*whole.columns[:-1], pa.array([name] * n, pa.int64()), pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), lists]
+            yield from pa.Table.from_arrays(columns, names=[*held, "_block", "_codes", "_size", "_words"]).to_batches(max_chunksize=4096)
+
+    cuts = stored(src.mapInArrow(number, T.StructType([*fields, *T.StructType.fromDDL("_block long, _codes binary, _size long, _words array<string>").fields])))
+    words = cuts.where("_words IS NOT NULL").select("_block", F.posexplode("_words").alias("no", "word"))
+    back = words.join(word_tokens(words, merges), "word").select(F.col("_block").alias("_name"), "no", "ids")
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = merges.value
+        right = right.sort_by("no")
+        tokens = right.column("ids").combine_chunks()
+        parts = tokens.to_pylist()
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(parts), "<i4")
         cols: dict[str, list] = {c: [] for c in outputs}
-        for ids in encode_block(texts, split, m):
+        for raw, n_words in zip(left.column("_codes").to_pylist(), left.column("_size").to_pylist()):
+            row = unpacked(raw, n_words)
+            n = size[row]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if n_words else 0
+            got = ids[np.repeat(starts[row] - (ends - n), n) + np.arange(total)]
             for c in outputs:
                 if c == "ids":
-                    cols[c].append(ids)
+                    cols[c].append(got)
                 elif c == "n_tokens":
-                    cols[c].append(len(ids))
+                    cols[c].append(total)
                 elif c == "ids_sha256":
-                    cols[c].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    cols[c].append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
                 else:
-                    cols[c].append(hashlib.sha256(b"".join(map(m.tokens.__getitem__, ids.tolist()))).hexdigest())
+                    cols[c].append(hashlib.sha256(b"".join(map(m.tokens.__getitem__, got.tolist()))).hexdigest())
         kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-        return [pa.array(cols[c], kinds.get(c, pa.string())) for c in outputs]
+        return pa.Table.from_arrays([*[left.column(h) for h in held], *[pa.array(cols[c], kinds.get(c, pa.string())) for c in outputs]], names=[*held, *outputs])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, m = regex.compile(spelled), merges.value
-        held, size = [], 0
-        for b in itertools.chain(batches, [None]):
-            for at in range(0, b.num_rows, 256) if b is not None else [None]:
-                part = b.slice(at, 256) if b is not None else None
-                if held and (part is None or size + part.nbytes > BLOCK_BYTES):
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    texts = [t or "" for t in whole.column(len(keep)).to_pylist()]
-                    out = made(texts, split, m)
-                    yield from pa.Table.from_arrays([*whole.columns[:-1], *out], names=[*keep, *outputs]).to_batches(max_chunksize=4096)
-                    held, size = [], 0
-                if part is not None and part.num_rows:
-                    held.append(part)
-                    size += part.nbytes
-
-    return src.mapInArrow(run, schema)
+    added = T.StructType.fromDDL(", ".join(f"{c} {OUTPUTS[c]}" for c in outputs)).fields
+    texts = cuts.select(*held, "_block", "_codes", "_size")
+    out = texts.groupBy("_block").cogroup(back.groupBy("_name")).applyInArrow(put, T.StructType([*fields, *added]))
+    return out.toDF(*keep, *outputs)
 
 
 def decoded(ids: list[int], tokens: dict[int, bytes]) -> bytes:

@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from curvefx.llm import html_extract, language_id, oracles, pii, queries, sharding, url_filter  # noqa: E402
+from curvefx.llm import bpe, html_extract, language_id, oracles, pii, queries, sharding, url_filter  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,6 +85,41 @@ def test_op2_equals_the_tree_by_hand(spark):
     assert len(used) == 8 and max(used.values()) < 1.1 * min(used.values())
 
 
+# op3
+
+
+def test_op3_long_words(spark):
+    """Words of random letters as tiktoken encodes them, and one of 300,000 within seconds."""
+    import public_tokenizers as P
+    from test_operators import tiktoken_encoding
+
+    rng, e = random.Random(6), tiktoken_encoding()
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [word(n, a) for n in (1, 9, 500, 3000) for a in ("abcdefghijklmnopqrstuvwxyz", "ab", "aß日", "é")] + ["ab " * 20, None, ""]
+    d = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string").repartition(3)
+    rows = bpe.encoded(d, queries.RANKS, P.PATTERN, outputs=("ids",)).collect()
+    assert len(rows) == len(texts) + 1 and all(r["ids"] == e.encode_ordinary(texts[r["doc_id"]] or "") for r in rows)
+    assert bpe.encoded(d.where("false"), queries.RANKS, P.PATTERN).count() == 0
+    long = spark.createDataFrame([(1, word(300_000, "abcdefghijklmnopqrstuvwxyz"))], "doc_id long, text string")
+    began = time.time()
+    assert bpe.encoded(long, queries.RANKS, P.PATTERN, outputs=("n_tokens",)).first()["n_tokens"] > 100_000
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("block", [12_000_000, 3000])
+def test_op3_blocks_share_words(spark, monkeypatch, block):
+    """The same words in many blocks, so that each block gets the tokens of its own numbering back."""
+    import public_tokenizers as P
+    from test_operators import tiktoken_encoding
+
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", block)
+    e, rows = tiktoken_encoding(), [r for r in texts_of(spark)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = {r["doc_id"]: (r["lang"], r["ids"]) for r in bpe.encoded(d, queries.RANKS, P.PATTERN, outputs=("ids",)).collect()}
+    assert got == {i: (g, e.encode_ordinary(t or "")) for i, t, g in rows}
+
+
 # op7
 
 
