@@ -1,13 +1,18 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least SHARE, and what they connect.
 
-Candidates meet in BANDS buckets, each named by ROWS min-hashes: two sets of similarity s share one with probability
-1 - (1 - s^ROWS)^BANDS, 0.999997 at 0.8. Every link is then checked on the whole sets. First each set is checked
-against the least of its bucket; afterwards all pairs of a bucket that are not yet connected are checked, so a large
-family of near copies costs one check a member and bucket, and no pair is left out.
+Candidates meet at the anchors of the covering code that simhash.py describes. A text has two fingerprints of 64 majority
+bits, each of which goes to about 61 anchors. Fingerprints are of its two-word shingles, of which a changed word touches
+two, not five: with scattered changes, similarity 0.8 means that about a tenth of the bits differ. That is more than the
+code guarantees, but pairs so close still share an anchor of one fingerprint or the other: 0.99 of them at 0.8, and 0.87
+of those that differ in one long passage instead (a seventh of the bits). At an anchor all pairs that differ in
+at most MOST_BITS of both fingerprints are candidates, and every link is checked on the whole five-word sets.
+Anchors with more than PAIRWISE sets are compared with their least one first, and afterwards in pairs that are not yet
+connected; a family of near copies costs one check a member and anchor then, and no candidate is left out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,37 +23,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, stored
-from .simhash import components
+from .simhash import anchors, code_tables, components, majority
 
 ship(__name__)
 
-SIZE, BANDS, ROWS = 5, 32, 5
+#: Words of a shingle, for the similarity and for fingerprints.
+SIZE, PRINTED = 5, 2
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
-_rng = np.random.default_rng(42)
-XORS, FACTORS = (_rng.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
-FACTORS |= np.uint64(1)
+#: Guaranteed bits of the anchors, and the most bits of 128 in which candidates differ (three deviations over 0.8's mean of 19 at worst).
+THRESHOLD, MOST_BITS = 2, 32
+PAIRWISE = 32
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The different XXH64 of the text's word shingles, sorted, A-Z lower-cased; one of all words if they are fewer."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    grams = map(join, zip(*[words[i:] for i in range(SIZE)])) if len(words) > SIZE else [join(words)]
+    grams = map(join, zip(*[words[i:] for i in range(size)])) if len(words) > size else [join(words)]
     return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
 
 
-def buckets(hashes: np.ndarray) -> list[int]:
-    """The BANDS buckets of a set, as signed longs; none for an empty one."""
-    if not len(hashes):
-        return []
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        low = np.minimum(low, ((hashes[at : at + 1024, None] ^ XORS) * FACTORS).min(axis=0))
-    named = [xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return np.array(named, np.uint64).view(np.int64).tolist()
+def fingerprints(hashes: np.ndarray) -> tuple[int, int]:
+    """Majority bits of a set's hashes, and of the same hashes mixed once more; 0 for an empty set."""
+    mixed = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return majority(iter([hashes])), majority(iter([mixed ^ mixed >> np.uint64(32)]))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -58,23 +59,107 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, node (a digest of the shingle set), n (its size) and its buckets."""
+    """doc_id, _row, node (a digest of the shingle set), n (its size) and its two fingerprints."""
     src = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_row"), F.col("text").cast("string"))
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("_row long, node long, n int, buckets array<long>")])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("_row long, node long, n int, fp long, fq long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, names = [], [], []
+            nodes, sizes, prints = [], [], []
             for t in b.column(2):
                 h = shingles(t.as_py())
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7) - 2**63)
                 sizes.append(len(h))
-                names.append(buckets(h))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "_row", "node", "n", "buckets"])
+                prints.append(fingerprints(shingles(t.as_py(), PRINTED)))
+            p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "_row", "node", "n", "fp", "fq"])
 
     return src.mapInArrow(run, schema)
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of runs of whole anchors, which stand in order in the first column."""
+    held: list[np.ndarray] | None = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None and b.num_rows:
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if held is None:
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1])) if b is not None else len(held[0])
+        if cut:
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held] if b is not None else None
+
+
+def close(fp: np.ndarray, fq: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs i, j differ in at most MOST_BITS bits."""
+    bits = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fq[i] ^ fq[j]).view(np.uint64))
+    return bits <= MOST_BITS
+
+
+def met(members: DataFrame) -> DataFrame:
+    """a, b, anchor, fp, fq: candidate pairs a < b of nodes, and, with null b, the members a of anchors above PAIRWISE.
+
+    Anchors up to that size give all their candidates, larger ones those with their least node.
+    """
+    single, patterns = code_tables(THRESHOLD)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, *prints = (c.to_numpy() for c in b.columns)
+            for at in range(0, len(node), 2048):
+                for k in (0, 1):
+                    r, key = anchors(prints[k][at : at + 2048].view(np.uint64), single, patterns)
+                    r = r + at
+                    yield pa.RecordBatch.from_arrays([pa.array((key << 1 | k).astype(np.int32)), pa.array(node[r]), pa.array(prints[0][r]), pa.array(prints[1][r])], ["anchor", "node", "fp", "fq"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, node, fp, fq in groups(batches):
+            starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            sizes = np.diff(np.r_[starts, len(anchor)])
+            large = np.repeat(sizes > PAIRWISE, sizes)
+            pairs = []
+            for k in range(1, int(sizes[sizes <= PAIRWISE].max(initial=1))):
+                i = np.flatnonzero((anchor[k:] == anchor[:-k]) & ~large[:-k])
+                i = i[close(fp, fq, i, i + k)]
+                pairs.append(np.stack([node[i], node[i + k]], 1))
+            member = np.flatnonzero(large)
+            least = np.repeat(starts, sizes)[member]  # nodes stand in order within an anchor
+            ok = (least != member) & close(fp, fq, least, member)
+            pairs.append(np.stack([node[least[ok]], node[member[ok]]], 1))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            n, m = len(found), len(member)
+            none = np.r_[np.zeros(n, bool), np.ones(m, bool)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.r_[found[:, 0], node[member]]), pa.array(np.r_[found[:, 1], node[member]], mask=none), pa.array(np.r_[np.zeros(n, np.int32), anchor[member]]),
+                pa.array(np.r_[np.zeros(n, np.int64), fp[member]]), pa.array(np.r_[np.zeros(n, np.int64), fq[member]]),
+            ], ["a", "b", "anchor", "fp", "fq"])
+
+    copies = members.select("node", "fp", "fq").mapInArrow(spread, "anchor int, node long, fp long, fq long")
+    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "a long, b long, anchor int, fp long, fq long")
+
+
+def unconnected(placed: DataFrame) -> DataFrame:
+    """a, b: candidates of an anchor that have different roots; placed has anchor, root, node, fp and fq."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, root, node, fp, fq in groups(batches):
+            cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if root[s] == root[e - 1]:
+                    continue
+                for i in range(s, e - 1):  # roots stand in order within an anchor
+                    j = np.arange(max(i + 1, s + int(np.searchsorted(root[s:e], root[i], side="right"))), e)
+                    j = j[close(fp, fq, np.full(len(j), i), j)]
+                    if len(j):
+                        low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    rows = placed.select("anchor", "root", "node", "fp", "fq")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "root", "node").mapInArrow(meet, "a long, b long").distinct()
+
+
 def checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs a, b of nodes whose whole sets are similar, read again from one text of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -100,26 +185,26 @@ def checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, _row (the hash of id and text) and component, the same number for all rows that similarity connects.
 
-    One result row for each row of docs. Rows without words are connected with each other; a null id is like any other.
+    One result row for each row of docs, repeated rows too; an empty table gives an empty result. Texts are read whole.
+    Rows without words are connected with each other; a null id is like any other. Ties have no effect: a component's
+    number only says which rows it holds. Only doc_id and text are read.
     """
     rows = stored(signed(docs))
-    members = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")).select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("least")).where("m > 1"), "bucket")
-    shared = stored(shared.select("bucket", "node", "n", "least"))
-    fits = lambda x, y: F.least(x, y) * DENOMINATOR >= F.greatest(x, y) * NUMERATOR
-    stars = stored(shared.where(F.col("node") != F.col("least.node")).where(fits(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
-    found = stored(checked(stars, rows, docs))
-    roots = stored(components(found))
-    placed = shared.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("bucket")
-    open_ = stored(placed.join(mixed, "bucket", "left_semi"))
-    kinds = open_.select("bucket", "root").distinct()
-    met = kinds.alias("x").join(kinds.alias("y"), "bucket").where("x.root < y.root").select("bucket", F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    left = open_.select("bucket", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"))
-    right = open_.select("bucket", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    cross = met.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).where(fits(F.col("na"), F.col("nb")))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = stored(cross.join(stars, ["a", "b"], "left_anti"))
-    more = checked(cross, rows, docs).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    final = components(more)
+    members = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fq").alias("fq"))
+    found = stored(met(members.where("n > 0")))
+    sizes = members.select("node", "n")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes allow the similarity."""
+        x, y = sizes.select(F.col("node").alias("a"), F.col("n").alias("_x")), sizes.select(F.col("node").alias("b"), F.col("n").alias("_y"))
+        fits = F.least("_x", "_y") * DENOMINATOR >= F.greatest("_x", "_y") * NUMERATOR
+        return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b")
+
+    first = stored(fitting(found.where("b IS NOT NULL").select("a", "b").distinct()))
+    links = stored(checked(first, rows, docs))
+    roots = stored(components(links))
+    placed = found.where("b IS NULL").select(F.col("a").alias("node"), "anchor", "fp", "fq").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stored(fitting(unconnected(placed).join(first, ["a", "b"], "left_anti")))
+    all_links = checked(more, rows, docs).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    final = components(all_links)
     return rows.join(final, "node", "left").select("doc_id", "_row", F.coalesce("root", "node").alias("component"))

@@ -85,21 +85,26 @@ def anchors(fps: np.ndarray, single: list[np.ndarray], patterns: list[np.ndarray
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """The 64 bits that over half of all hashes have set; hashes come in parts."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        for at in range(0, len(h), 65536):
+            part = np.ascontiguousarray(h[at : at + 65536])
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += len(part)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, size: int) -> int:
     """64 majority bits of the XXH64 (seed 42) of the text's word shingles, A-Z lower-cased; 0 without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0
-    join = b" ".join
-    grams = map(join, zip(*[words[i:] for i in range(size)])) if len(words) > size else [join(words)]
-    counts, n = np.zeros(64, np.int64), 0
-    while part := list(itertools.islice(grams, 65536)) if not isinstance(grams, list) else grams:
-        h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in part), np.uint64, len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(part)
-        if isinstance(grams, list):
-            break
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    grams = map(join, zip(*[words[i:] for i in range(size)])) if len(words) > size else iter([join(words)])
+    hashes = (np.fromiter((digest(g, 42) for g in part), np.uint64) for part in iter(lambda: list(itertools.islice(grams, 65536)), []))
+    return majority(hashes)
 
 
 def fingerprints(df: DataFrame, text: str = "text", size: int = 3, out: str = "fp") -> DataFrame:
