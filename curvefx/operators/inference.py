@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from .ordered import ranges
 
 
@@ -60,14 +61,14 @@ def standardised_differences(df: DataFrame, arm: str, columns: dict[str, Column]
     return g.select("feature", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt((F.col("v1") + F.col("v0")) / 2)).alias("smd"))
 
 
-def permutation_test(df: DataFrame, key: str, y: str, arm: str, draws: int, seed: int = 0) -> DataFrame:
-    """observed, p_plus_one, p_share of the mean difference under draws hashed reassignments with the same number treated in expectation.
+def permutation_test(df: DataFrame, key: str, y: str, arm: str, rounds: int, seed: int = 0) -> DataFrame:
+    """observed, p_plus_one, p_share of the mean difference under seeded reassignments, rounds of them, with the same number treated in expectation.
 
     Each row makes its own assignment in every draw, so draws add up inside tasks; the table of units is read once.
     """
     share = df.agg(F.avg(F.col(arm).cast("double")).alias("_s"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(key)), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
-    many = df.select(key, F.col(y).alias("_y"), F.col(arm).alias("_a")).crossJoin(F.broadcast(share)).withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))))  # one row of share
+    u = draws.uniform(F.lit(seed), F.col("draw"), F.col(key))
+    many = df.select(key, F.col(y).alias("_y"), F.col(arm).alias("_a")).crossJoin(F.broadcast(share)).withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))))  # one row of share
     on = F.when(F.col("draw") < 0, F.col("_a") == 1).otherwise(u < F.col("_s"))
     d = many.groupBy("draw").agg((F.avg(F.when(on, F.col("_y"))) - F.avg(F.when(~on, F.col("_y")))).alias("d"))
     seen = d.where("draw < 0").select(F.col("d").alias("observed"))
@@ -76,11 +77,11 @@ def permutation_test(df: DataFrame, key: str, y: str, arm: str, draws: int, seed
 
 
 def bootstrap_rows(df: DataFrame, unit: str, key: list[str], seed: int, draw: Column | None = None) -> DataFrame:
-    """A resample of each unit's rows of the same size: row i of a unit takes the row at a hashed place."""
+    """A resample of each unit's rows of the same size: row i of a unit takes the row at a seeded place."""
     over = Window.partitionBy(unit).orderBy(*key)
     numbered = df.withColumn("_i", F.row_number().over(over) - 1)
     size = df.groupBy(unit).agg(F.count("*").alias("_n"))
-    place = numbered.select(unit, "_i").join(size, unit).select(unit, F.pmod(F.xxhash64(F.lit(seed), F.col(unit), F.col("_i"), *([draw] if draw is not None else [])), F.col("_n")).alias("_i"))
+    place = numbered.select(unit, "_i").join(size, unit).select(unit, (draws.number(F.lit(seed), F.col(unit), F.col("_i"), *([draw] if draw is not None else [])) % F.col("_n")).alias("_i"))
     return place.join(numbered, [unit, "_i"]).drop("_i")
 
 

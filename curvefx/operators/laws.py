@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
+from ..functions import draws
 from .prep import evenly_spaced
 
 KEYS = ["unit_id", "arm"]
@@ -139,17 +140,12 @@ def radial_scale(law: DataFrame, factor: float) -> DataFrame:
     return law.join(m, KEYS).select(*KEYS, "atom_id", "mass", C.project_monotone(moved).alias("q"))
 
 
-def unit_normal(*keys: Column) -> Column:
-    """A standard normal number that the keys decide, by Box and Muller on two hashes."""
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
-    return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
-
-
 def jitter(law: DataFrame, scale: float, copies: int, seed: int = 0) -> DataFrame:
     """Copies of each atom with Gaussian noise in rescaled coordinates, projected; noise depends on seed and ids alone."""
     many = law.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_c"))
-    noisy = F.transform("q", lambda x, k: x + scale * F.sqrt(F.size("q")) * unit_normal(F.lit(seed), *[F.col(c) for c in KEYS], F.col("atom_id"), F.col("_c"), k))
-    return many.select(*KEYS, (F.col("atom_id") * copies + F.col("_c")).alias("atom_id"), (F.col("mass") / copies).alias("mass"), C.project_monotone(noisy).alias("q"))
+    noisy = F.transform("q", lambda x, k: x + scale * F.sqrt(F.size("q")) * draws.normal(F.lit(seed), *[F.col(c) for c in KEYS], F.col("atom_id"), F.col("_c"), k))
+    many = many.withColumn("_q", noisy)  # by itself: in one select, atom_id inside the lambda would mean the new one
+    return many.select(*KEYS, (F.col("atom_id") * copies + F.col("_c")).alias("atom_id"), (F.col("mass") / copies).alias("mass"), C.project_monotone(F.col("_q")).alias("q"))
 
 
 def resampled(law: DataFrame, source: list[float], target: list[float]) -> DataFrame:
@@ -172,12 +168,13 @@ def dispersion(law: DataFrame, star: Column) -> DataFrame:
 
 
 def sampled(law: DataFrame, m: int, seed: int = 0) -> DataFrame:
-    """m draws per unit and arm by hashed uniforms on the cumulative mass; the atoms of one law meet in one task."""
+    """m draws per unit and arm by seeded uniforms on the cumulative mass; the atoms of one law meet in one task."""
     over = Window.partitionBy(*KEYS).orderBy("atom_id")
     c = law.withColumn("_to", F.sum("mass").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_from", F.col("_to") - F.col("mass"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in KEYS], F.col("_d")), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
-    draws = c.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).where((u > F.col("_from")) & (u <= F.col("_to")))
-    return draws.select(*KEYS, F.col("_d").alias("atom_id"), F.lit(1.0 / m).alias("mass"), "q")
+    u = draws.uniform(F.lit(seed), *[F.col(k) for k in KEYS], F.col("_d"))
+    many = law.select(*KEYS).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_d")).withColumn("_u", u)
+    drawn = c.join(many, KEYS).where((F.col("_u") > F.col("_from")) & (F.col("_u") <= F.col("_to")))
+    return drawn.select(*KEYS, F.col("_d").alias("atom_id"), F.lit(1.0 / m).alias("mass"), "q")
 
 
 def witness(law: DataFrame, points: DataFrame, bandwidth: float) -> DataFrame:
@@ -194,9 +191,9 @@ def kernel_effect(law: DataFrame, bandwidth: float) -> DataFrame:
 
 
 def resampled_test(norms: DataFrame, alpha: float) -> DataFrame:
-    """unit_id, value, critical, p from group -1 (observed) and resampled groups: quantile type 7 and the share at or above."""
+    """unit_id, value, critical, p from group -1 (observed) and resampled groups: quantile type 7 and the share at or above (less 1e-9, so that equal norms count)."""
     seen = norms.where("grp = -1").select("unit_id", F.col("norm2").alias("value"))
-    re = norms.where("grp >= 0").join(seen, "unit_id").groupBy("unit_id").agg(F.first("value").alias("value"), F.percentile("norm2", 1 - alpha).alias("critical"), F.avg((F.col("norm2") >= F.col("value")).cast("double")).alias("p"))
+    re = norms.where("grp >= 0").join(seen, "unit_id").groupBy("unit_id").agg(F.first("value").alias("value"), F.percentile("norm2", 1 - alpha).alias("critical"), F.avg((F.col("norm2") >= F.col("value") - 1e-9).cast("double")).alias("p"))
     return re
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
+from ..functions import draws
 from ..operators import effects as E
 from ..operators import inference as I
 from ..operators import ordered, prep, quantiles
 from .curve_queries import designed
-from .roles import FULL, R, micro, r, table, twin, units
+from .roles import CURVES, FULL, R, knots_sql, micro, r, table, twin, units
 
 QUERIES, ORACLES = {}, {}
 
@@ -175,14 +176,21 @@ def i4(spark, d):
     return s.select("feature", r(c("smd"), 6).alias("smd"))
 
 
-@query("i5_permutation_test")
+@query("i5_permutation_test", twin(FULL + f""", u AS (SELECT unit_id, a, mean FROM func JOIN units USING (unit_id)), s AS (SELECT avg(a) AS s FROM u),
+d AS (SELECT draw, avg(mean) FILTER (dealt) - avg(mean) FILTER (NOT dealt) AS d FROM (SELECT draw, mean, CASE WHEN draw < 0 THEN a = 1 ELSE {draws.uniform_sql(0, 'draw', 'unit_id')} < s END AS dealt FROM u CROSS JOIN s CROSS JOIN (SELECT unnest(range(-1, 200)) AS draw)) GROUP BY draw),
+o AS (SELECT d AS observed FROM d WHERE draw < 0)""", f"SELECT {R('any_value(observed)', 6)} AS observed, {R('(count(*) FILTER (abs(d) >= abs(observed)) + 1) / (count(*) + 1)', 6)} AS p_plus_one, {R('count(*) FILTER (abs(d) >= abs(observed)) / count(*)', 6)} AS p_share FROM d CROSS JOIN o WHERE draw >= 0"))
 def i5(spark, d):
     u = designed(spark, d).select("unit_id", "a", C.curve_mean(F.col("q")).alias("mean"))
     t = I.permutation_test(u, "unit_id", "mean", "a", 200)
     return t.select(*[r(F.col(c), 6).alias(c) for c in t.columns])
 
 
-@query("i6_bootstrap_curves")
+#: Each part's line items in a full order, and for each place the row at a seeded place.
+RESAMPLE = f"""mm AS (SELECT l_partkey AS unit_id, l_extendedprice AS y, l_quantity AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_quantity, l_orderkey, l_linenumber, l_suppkey, l_shipdate) - 1 AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem),
+re AS (SELECT a.unit_id, b.y, b.w FROM (SELECT unit_id, {draws.number_sql(5, 'unit_id', 'i')} % n AS i FROM mm) a JOIN mm b USING (unit_id, i))"""
+
+
+@query("i6_bootstrap_curves", twin(",\n".join([CURVES, RESAMPLE, knots_sql("again", "re", "unit_id")]), f"SELECT k, {R('avg(abs(curve.q - again.q))')} AS change FROM curve JOIN again USING (unit_id, k) GROUP BY k"))
 def i6(spark, d):
     """Curves of one resample of every part's rows: mean absolute change by level."""
     m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("unit_id"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("w"), "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
@@ -192,11 +200,14 @@ def i6(spark, d):
     return j.groupBy("k").agg(r(F.avg(F.abs(F.col("q") - F.col("_q")))).alias("change"))
 
 
-@query("i7_split_half_noise")
+HALVES = f"hv AS (SELECT l_partkey || '|' || split || '|' || {draws.number_sql('split', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} % 2 AS hu, l_extendedprice AS y, l_quantity AS w FROM lineitem CROSS JOIN (SELECT unnest(range(0, 5)) AS split))"
+
+
+@query("i7_split_half_noise", twin(HALVES + ",\n" + knots_sql("half", "hv", "hu") + ", hs AS (SELECT split_part(hu, '|', 1) AS unit_id, split_part(hu, '|', 2)::INT AS split, split_part(hu, '|', 3) AS h, k, q FROM half)", f"SELECT split, count(*) AS units, {R('avg(d)')} AS distance FROM (SELECT a.split, a.unit_id, sqrt(avg((a.q - b.q) * (a.q - b.q))) AS d FROM hs a JOIN hs b ON a.unit_id = b.unit_id AND a.split = b.split AND a.k = b.k WHERE a.h = '0' AND b.h = '1' GROUP BY a.split, a.unit_id) GROUP BY split"))
 def i7(spark, d):
     """Mean distance between the curves of two hashed halves of every part's rows, over five splits."""
     m = table(spark, d, "lineitem").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    half = F.pmod(F.xxhash64("split", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"), F.lit(2))
+    half = draws.number(*[F.col(c) for c in ("split", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]) % 2
     c = quantiles.unit_curves(m.withColumn("u", F.concat_ws("|", "l_partkey", "split", half)), "u", "l_extendedprice", "l_quantity")
     p = c.select(F.split("u", r"\|").alias("s"), "q").select(F.col("s")[0].cast("long").alias("unit_id"), F.col("s")[1].cast("int").alias("split"), F.col("s")[2].cast("int").alias("half"), "q")
     j = p.where("half = 0").join(p.where("half = 1").select("unit_id", "split", F.col("q").alias("_q")), ["unit_id", "split"])

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
+from ..functions import draws
 from ..grid import midpoint_levels
 from ..operators import laws as L
-from ..operators import quantiles
+from ..operators import ordered, quantiles
 from .roles import MICRO, R, knots_sql, micro, r, table, twin
 
 QUERIES, ORACLES = {}, {}
@@ -178,12 +179,27 @@ def l15(spark, d):
     return a.join(b, L.KEYS)
 
 
-@query("l16_l17_jitter_choice")
+SCALES, JITTERS, COPIES = (1.0, 1.15, 1.3, 1.45), (0.08, 0.16, 0.28), 2
+#: Every candidate's atoms, made monotone, as lists; and their mean energy scores at the observed curves.
+TRIES = f"""mc AS (SELECT unit_id, arm, k, sum(mass * q) AS m FROM lawk GROUP BY ALL),
+mv AS (SELECT 'scale' AS kind, f AS size, unit_id, arm, atom_id, mass, k, m + f * (q - m) AS d FROM lawk JOIN mc USING (unit_id, arm, k) CROSS JOIN (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in SCALES)}]) AS f)
+UNION ALL SELECT 'jitter', f, unit_id, arm, atom_id * {COPIES} + c, mass / {COPIES}, k, q + f * 1000 * sqrt(5) * {draws.normal_sql(0, "unit_id", "arm", "atom_id", "c", "k - 1")} FROM lawk CROSS JOIN (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in JITTERS)}]) AS f) CROSS JOIN (SELECT unnest(range(0, {COPIES})) AS c)),
+cs AS (SELECT *, sum(d) OVER (PARTITION BY kind, size, unit_id, arm, atom_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM mv),
+ij AS (SELECT a.kind, a.size, a.unit_id, a.arm, a.atom_id, a.mass, a.k AS i, b.k AS j, (b.s - a.s + a.d) / (b.k - a.k + 1) AS m FROM cs a JOIN cs b ON a.kind = b.kind AND a.size = b.size AND a.unit_id = b.unit_id AND a.arm = b.arm AND a.atom_id = b.atom_id AND b.k >= a.k),
+lo AS (SELECT kind, size, unit_id, arm, atom_id, mass, i, j, min(m) OVER (PARTITION BY kind, size, unit_id, arm, atom_id, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS lo FROM ij),
+pr AS (SELECT kind, size, unit_id, arm, atom_id, j AS k, any_value(mass) AS mass, max(lo) AS q FROM lo GROUP BY ALL),
+whole AS (SELECT kind, size, unit_id, arm, atom_id, any_value(mass) AS mass, list(q ORDER BY k) AS q FROM pr GROUP BY ALL),
+ob AS (SELECT unit_id, list(q ORDER BY k) AS y FROM seen JOIN bank ON supp = node_id GROUP BY unit_id),
+att AS (SELECT kind, size, unit_id, arm, sum(mass * list_distance(q, y) / sqrt(5)) AS att FROM whole JOIN ob USING (unit_id) GROUP BY ALL),
+rep AS (SELECT a.kind, a.size, a.unit_id, a.arm, 0.5 * sum(a.mass * b.mass * list_distance(a.q, b.q) / sqrt(5)) AS rep FROM whole a JOIN whole b ON a.kind = b.kind AND a.size = b.size AND a.unit_id = b.unit_id AND a.arm = b.arm GROUP BY ALL)"""
+
+
+@query("l16_l17_jitter_choice", twin(LAW + ",\n" + TRIES, f"SELECT kind, size, {R('avg(att - rep)', 3)} AS risk FROM att JOIN rep USING (kind, size, unit_id, arm) GROUP BY kind, size"))
 def l16(spark, d):
     """Mean energy score of each post-hoc candidate, scale or jitter, over all parts."""
-    w, obs = law(spark, d), seen(spark, d)
-    tries = [("scale", s, L.radial_scale(w, s)) for s in (1.0, 1.15, 1.3, 1.45)] + [("jitter", s, L.jitter(w, s * 1000, 2)) for s in (0.08, 0.16, 0.28)]
-    rows = [L.energy_score(x, obs).agg(F.avg("score").alias("risk")).select(F.lit(k).alias("kind"), F.lit(s).alias("size"), r(F.col("risk")).alias("risk")) for k, s, x in tries]
+    w, obs = ordered.stored(law(spark, d)), seen(spark, d)
+    tries = [("scale", s, L.radial_scale(w, s)) for s in SCALES] + [("jitter", s, L.jitter(w, s * 1000, COPIES)) for s in JITTERS]
+    rows = [L.energy_score(ordered.stored(x), obs).agg(F.avg("score").alias("risk")).select(F.lit(k).alias("kind"), F.lit(s).alias("size"), r(F.col("risk"), 3).alias("risk")) for k, s, x in tries]
     out_ = rows[0]
     for x in rows[1:]:
         out_ = out_.union(x)
@@ -196,7 +212,15 @@ def l18(spark, d):
     return out(L.expectation(w, at_04=C.curve_at(F.col("q"), 0)), "at_04")
 
 
-@query("l21_sampled_law")
+SIZES = BANK + f""",
+ws AS (SELECT p_size AS unit_id, (l_suppkey % 2)::INT AS arm, l_suppkey AS atom_id, sum(l_quantity) AS m FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+ls AS (SELECT unit_id, arm, atom_id, m / sum(m) OVER (PARTITION BY unit_id, arm) AS mass FROM ws),
+am AS (SELECT supp AS atom_id, avg(q) AS mean FROM bank GROUP BY supp),
+cm AS (SELECT ls.*, mean, sum(mass) OVER (PARTITION BY unit_id, arm ORDER BY atom_id ROWS UNBOUNDED PRECEDING) AS upto FROM ls JOIN am USING (atom_id)),
+dr AS (SELECT unit_id, arm, {draws.uniform_sql(0, "unit_id", "arm", "d")} AS u FROM (SELECT DISTINCT unit_id, arm FROM ls) CROSS JOIN (SELECT unnest(range(0, 20)) AS d))"""
+
+
+@query("l21_sampled_law", twin(SIZES, f"SELECT a.unit_id, a.arm, {R('drawn')} AS drawn, {R('mean')} AS mean FROM (SELECT unit_id, arm, sum(mean) / 20 AS drawn FROM cm JOIN dr USING (unit_id, arm) WHERE u > upto - mass AND u <= upto GROUP BY ALL) a JOIN (SELECT unit_id, arm, sum(mass * mean) AS mean FROM cm GROUP BY ALL) b USING (unit_id, arm)"))
 def l21(spark, d):
     """20 draws per law: their mean beside the law's own."""
     w = law_of_sizes(spark, d)
@@ -219,16 +243,22 @@ def l22w(spark, d):
     return L.witness(law(spark, d), pts, BAND).select("unit_id", "point_id", r(F.col("w"), 6).alias("w"))
 
 
-@query("l23_resampled_test")
+DEALT = f"""dl AS (SELECT unit_id, grp, atom_id, mass, {draws.number_sql("grp", "unit_id", "atom_id")} % 2 AS arm FROM law CROSS JOIN (SELECT unnest(range(0, 10)) AS grp)),
+ds AS (SELECT unit_id, grp, atom_id, mass / sum(mass) OVER (PARTITION BY unit_id, grp, arm) * CASE WHEN arm = 1 THEN 1 ELSE -1 END AS s FROM dl),
+nd AS (SELECT x.unit_id, x.grp, sum(x.s * y.s * kern) AS norm2 FROM ds x JOIN ds y USING (unit_id, grp) JOIN bd ON i = x.atom_id AND j = y.atom_id GROUP BY ALL),
+nv AS (SELECT x.unit_id, sum(x.s * y.s * kern) AS v FROM sg x JOIN sg y USING (unit_id) JOIN bd ON i = x.atom_id AND j = y.atom_id GROUP BY x.unit_id)"""
+
+
+@query("l23_resampled_test", twin(LAW + ", " + SIGNED + ", " + DEALT, f"SELECT unit_id, {R('any_value(v)', 6)} AS value, {R('quantile_cont(norm2, 0.95)', 6)} AS critical, {R('avg((norm2 >= v - 1e-9)::INT)', 6)} AS p FROM nd JOIN nv USING (unit_id) GROUP BY unit_id"))
 def l23(spark, d):
-    """Kernel effect of each unit against ten groups whose arms are dealt anew by hash."""
+    """Kernel effect of each unit against ten groups whose arms are dealt anew by seeded numbers."""
     w = law(spark, d)
     parts = [L.kernel_effect(w, BAND).withColumn("grp", F.lit(-1))]
     many = w.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("grp"))
-    dealt = many.withColumn("arm", (F.pmod(F.xxhash64("grp", "unit_id", "atom_id"), F.lit(2))).cast("int"))
+    dealt = many.withColumn("arm", (draws.number(F.col("grp"), F.col("unit_id"), F.col("atom_id")) % 2).cast("int"))
     tot = dealt.groupBy("unit_id", "arm", "grp").agg(F.sum("mass").alias("t"))
     again = dealt.join(tot, ["unit_id", "arm", "grp"]).withColumn("mass", F.col("mass") / F.col("t")).withColumn("unit_id", F.col("unit_id") * 100 + F.col("grp"))
-    parts.append(L.kernel_effect(again.select("unit_id", "arm", "atom_id", "mass", "q"), BAND).select(F.expr("unit_id div 100").cast("int").alias("unit_id"), "norm2", (F.col("unit_id") % 100).cast("int").alias("grp")))
+    parts.append(L.kernel_effect(again.select("unit_id", "arm", "atom_id", "mass", "q"), BAND).select(F.expr("unit_id div 100").alias("unit_id"), "norm2", (F.col("unit_id") % 100).cast("int").alias("grp")))
     t = L.resampled_test(parts[0].union(parts[1]), 0.05)
     return t.select("unit_id", *[r(F.col(c), 6).alias(c) for c in ("value", "critical", "p")])
 

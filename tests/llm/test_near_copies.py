@@ -62,3 +62,36 @@ def test_rows_with_null_or_equal_ids_stay(spark):
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (5, text("c")), (5, text("d")), (5, text("e")), (6, text("a")), (None, text("d"))]
     got = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, spark.createDataFrame(rows, NAMES), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(2, text("c")), (5, text("d")), (5, text("e")), (6, text("a")), (None, text("b"))], key=str)
+
+
+def test_similar_pairs_of_the_tables_meet(spark):
+    """Of all pairs of texts of sf0.01 with a similarity of 0.8 or more, nine tenths or more are joined, and no others."""
+    rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    root, got = brute([t or "" for _, t in rows]), {r["doc_id"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(rows, NAMES)).collect()}
+    want = {}
+    for (i, _), g in zip(rows, root):
+        want.setdefault(g, []).append(i)
+    by = {}
+    for i, c in got.items():
+        by.setdefault(c, []).append(i)
+    place = {i: g for g, ids in want.items() for i in ids}
+    assert all(len({place[i] for i in ids}) == 1 for ids in by.values())
+    linked = [(a, b) for ids in want.values() for a, b in zip(ids, ids[1:])]
+    assert len(linked) > 20 and sum(got[a] == got[b] for a, b in linked) >= 0.9 * len(linked)
+
+
+def test_large_families_at_one_anchor(spark, monkeypatch):
+    """Few pairs are allowed at an anchor, so that the star and the unconnected pairs after it do the work."""
+    monkeypatch.setattr(near_copies, "PAIRWISE", 2)
+    rng = random.Random(9)
+    base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in range(k, k + 2 + k % 3):
+            words[at * 5 % 300] = f"x{k}.{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"z{rng.randrange(5000)}" for _ in range(300)), None, "", None]
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), NAMES)).collect()}
+    assert len({got[i] for i in range(60)}) == 1 and got[60] != got[0] and got[61] == got[62] == got[63]
+    assert near_copies.near_copies(spark.createDataFrame([], NAMES)).count() == 0
