@@ -1,4 +1,4 @@
-"""A corpus run: quality rules, near-dedup by shingle similarity, benchmark decontamination, PII redaction, byte-level BPE."""
+"""A corpus run: quality rules, near-dedup by SimHash anchors and shingle similarity, benchmark decontamination, PII redaction, byte-level BPE."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from curvefx.llm import bpe, decontamination, near_copies, pii, quality_rules
 from curvefx.llm.common import stored, table
 from curvefx.llm.queries import RANKS
 
-#: No SQL: min-hashes, the PII model and BPE are not expressible; tests compare run() with brute force.
+#: No SQL: fingerprints, the PII model and BPE are not expressible; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
