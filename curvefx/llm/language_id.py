@@ -19,17 +19,13 @@ ship(__name__)
 
 #: N-grams of a profile, the longest ones, and about how many documents of each language a profile is learnt from.
 TOP, ORDER, SAMPLE = 300, 3, 2000
-#: \w without digits, underscore and the numbers that are no letters (categories Nl and No) is Unicode's L*.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
+#: Anything but \w, digits and underscore is no letter (Unicode's L*), nor are the numbers of categories Nl and No.
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+NUMBERS = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
 
 
-def gram_counts(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams, 1 to order <= 3, of the letters of a whole text.
-
-    Letters are lower-cased, and anything else is a blank at word ends. A code holds three characters of 21 bits.
-    """
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+def counted(letters: str, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of words that stand between single blanks; a code holds three characters of 21 bits."""
     if not letters:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -42,6 +38,20 @@ def gram_counts(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.nd
     return codes[own], counts[own]
 
 
+def gram_counts(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams, 1 to order <= 3, of the letters of a whole text.
+
+    Letters are lower-cased, and anything else is a blank at word ends.
+    """
+    letters = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    codes, counts = counted(letters, order)
+    single = codes[: np.searchsorted(codes, np.uint64(2**21))]
+    if len(odd := single[np.isin(single, np.array(NUMBERS, np.uint64))]):  # few texts hold such numbers
+        letters = NOT_LETTERS.sub(" ", letters.translate(dict.fromkeys(odd.tolist(), " "))).strip()
+        codes, counts = counted(letters, order)
+    return codes, counts
+
+
 def ranking(codes: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
     """The codes of the most frequent n-grams, in order; ties by code."""
     return codes[np.lexsort((codes, -counts))[:top]]
