@@ -57,6 +57,36 @@ def by_bin(df: DataFrame, psi: str, bins: int = 4, bin: str = "bin", keys: list[
     return got.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def law_contrasts(means: DataFrame, units: DataFrame, value: str, bin: str = "bin") -> DataFrame:
+    """bin, n, contrast: the arms' difference of a functional's mean under each unit's own laws, by bin and overall (bin -1).
+
+    means has unit_id, arm and value; units with a law in one arm only are left out.
+    """
+    on = lambda k: F.max(F.when(F.col("arm") == k, F.col(value)))
+    d = means.groupBy("unit_id").agg((on(1) - on(0)).alias("_d")).where("_d IS NOT NULL").join(units.select("unit_id", bin), "unit_id")
+    both = d.select("_d", F.explode(F.array(F.col(bin), F.lit(-1))).alias(bin))
+    return both.groupBy(bin).agg(F.count("*").alias("n"), F.avg("_d").alias("contrast"))
+
+
+def calibrated_levels(law: DataFrame, units: DataFrame, source: list[float], target: list[float]) -> DataFrame:
+    """k, n, effect, if_se: doubly robust effects of the curve's values at other levels, from stored out-of-fold laws.
+
+    law has unit_id, arm, mass and q; units has unit_id, a, e and q, all curves at the source levels. An arm's regression
+    value is the law's mean over its finite atoms, or where a unit has no such atom the mean over all units.
+    """
+    from ..functions import curves as C
+
+    at = lambda q: F.posexplode(C.curve_resample(q, source, target)).alias("k", "v")
+    finite = F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    means = law.where(finite).select("unit_id", "arm", "mass", at(F.col("q"))).groupBy("unit_id", "arm", "k").agg((F.sum(F.col("mass") * F.col("v")) / F.sum("mass")).alias("mu"))
+    whole = means.groupBy("k").agg(*[F.avg(F.when(F.col("arm") == a, F.col("mu"))).alias(f"_w{a}") for a in (0, 1)])
+    side = lambda a: means.where(F.col("arm") == a).select("unit_id", "k", F.col("mu").alias(f"_m{a}"))
+    own = units.select("unit_id", "a", "e", at(F.col("q"))).withColumnRenamed("v", "_h")
+    j = own.join(side(0), ["unit_id", "k"], "left").join(side(1), ["unit_id", "k"], "left").join(F.broadcast(whole), "k")  # a row for each level
+    psi = aipw(F.col("_h"), F.col("a"), F.col("e"), F.coalesce("_m0", "_w0"), F.coalesce("_m1", "_w1"))
+    return marginal(j.withColumn("_psi", psi), "_psi", ["k"]).select("k", "n", "effect", "if_se")
+
+
 def overlap(df: DataFrame, e: str, arm: str, low: float = LOW, high: float = HIGH) -> DataFrame:
     c, a = F.col(e), F.col(arm)
     share = lambda x: F.avg(x.cast("double"))

@@ -197,6 +197,18 @@ def resampled_test(norms: DataFrame, alpha: float) -> DataFrame:
     return re
 
 
+def uniform_band(values: DataFrame, alpha: float) -> DataFrame:
+    """unit_id, point_id, value, low, high from group -1 (observed) and resampled groups at points (unit_id, grp, point_id, value).
+
+    A unit's half width is the quantile (type 7) over groups of the largest absolute deviation over its points.
+    """
+    seen = values.where("grp = -1").select("unit_id", "point_id", "value")
+    off = values.where("grp >= 0").select("unit_id", "grp", "point_id", F.col("value").alias("_v")).join(seen, ["unit_id", "point_id"])
+    worst = off.groupBy("unit_id", "grp").agg(F.max(F.abs(F.col("_v") - F.col("value"))).alias("_d"))
+    half = worst.groupBy("unit_id").agg(F.percentile("_d", 1 - alpha).alias("_h"))
+    return seen.join(half, "unit_id").select("unit_id", "point_id", "value", (F.col("value") - F.col("_h")).alias("low"), (F.col("value") + F.col("_h")).alias("high"))
+
+
 def weight_violations(law: DataFrame, arm_of_atom: DataFrame) -> DataFrame:
     """Counts of laws not normalised, atoms of the other arm with mass, and negative masses."""
     sums = law.groupBy(*KEYS).agg(F.sum("mass").alias("_m")).agg(F.count(F.when(F.abs(F.col("_m") - 1) > 1e-9, 1)).alias("not_normalised"))

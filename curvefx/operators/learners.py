@@ -85,25 +85,55 @@ def boost_mean(rows: DataFrame, models: list[int], steps: int = 10, rate: float
     return state
 
 
-def nuisances(units: DataFrame, folds: int = 3, steps: int = 10) -> DataFrame:
-    """unit_id with out-of-fold e and m ARRAY, each row scored once by models that didn't see its fold."""
-    rows = with_models(units.withColumn("y", F.concat(F.array(F.col("a").cast("double")), "y")), folds, 1)
-    out = boost_mean(rows, list(range(folds)), steps).where("NOT train")
-    return out.select("unit_id", clipped(F.get("f", F.lit(0))).alias("e"), F.slice("f", 2, F.size("f") - 1).alias("m"))
+def fold_average(state: DataFrame) -> DataFrame:
+    """unit_id and f ARRAY: the average of all models' values, for rows that none of them was trained on."""
+    long = state.select("unit_id", F.posexplode("f").alias("k", "v")).groupBy("unit_id", "k").agg(F.avg("v").alias("v"))
+    return long.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("f"))
 
 
-def r_learner(units: DataFrame, penalties: list[float], folds: int = 3, steps: int = 10) -> tuple[float, DataFrame]:
-    """The chosen mass penalty, and unit_id with out-of-fold tau, mu0 = m - e tau and mu1 = m + (1 - e) tau (arrays)."""
-    n = nuisances(units, folds, steps)
+def nuisances(units: DataFrame, folds: int = 3, steps: int = 10, new: DataFrame | None = None, given: dict[str, Callable[[Column], Column] | Column] | None = None) -> DataFrame:
+    """unit_id with out-of-fold e and m ARRAY, each row scored once by models that didn't see its fold.
+
+    Rows of new (unit_id, x) are scored by the average of the fold models. given may hold e or m (m an array) as
+    columns of units or as functions of x; what is given isn't fitted.
+    """
+    given = {k: v(F.col("x")) if callable(v) and not isinstance(v, Column) else v for k, v in (given or {}).items()}
+    asked = units if new is None else units.unionByName(new.withColumn("fold", F.lit(-1)), allowMissingColumns=True)
+    if set(given) == {"e", "m"}:
+        return asked.select("unit_id", clipped(given["e"]).alias("e"), given["m"].alias("m"))
+    target = F.when(F.col("a").isNotNull(), F.concat(F.array(F.col("a").cast("double")), "y"))
+    rows = with_models(asked.withColumn("y", target), folds, 1).withColumn("train", F.col("train") & (F.col("fold") >= 0))
+    width = len(units.select("y").first()["y"]) + 1
+    rows = rows.withColumn("y", F.coalesce("y", F.array_repeat(F.lit(0.0), width))).withColumn("a", F.coalesce("a", F.lit(0)))
+    state = boost_mean(rows, list(range(folds)), steps).where("NOT train")
+    got = fold_average(state.where("fold < 0")).unionByName(state.where("fold >= 0").select("unit_id", "f")) if new is not None else state.select("unit_id", "f")
+    out = got.select("unit_id", F.get("f", F.lit(0)).alias("_e"), F.slice("f", 2, F.size("f") - 1).alias("_m"))
+    if given:
+        out = out.join(asked.select("unit_id", *[v.alias(k) for k, v in given.items()]), "unit_id")
+    return out.select("unit_id", clipped(F.col("e" if "e" in given else "_e")).alias("e"), F.col("m" if "m" in given else "_m").alias("m"))
+
+
+def r_learner(units: DataFrame, penalties: list[float], folds: int = 3, steps: int = 10, per_column: bool = False, given: dict | None = None) -> tuple[float | list[float], DataFrame]:
+    """The chosen mass penalty, and unit_id with out-of-fold tau, mu0 = m - e tau and mu1 = m + (1 - e) tau (arrays).
+
+    The penalty has the least held-out loss summed over columns, the stronger one at a tie; with per_column each column
+    of y has its own, and a list is returned. given is as for nuisances.
+    """
+    n = nuisances(units, folds, steps, given=given)
     d = units.select("unit_id", "a", "x", "y", "fold").join(n, "unit_id").select("unit_id", "a", "x", "fold", "e", "m", F.zip_with("y", "m", lambda y, m: y - m).alias("y"), (F.col("a") - F.col("e")).alias("w"))
     rules = Rules(2, 10, 2, "r_loss", {i * folds + f: p for i, p in enumerate(penalties) for f in range(folds)})
     state = boost_mean(with_models(d, folds, len(penalties)), list(range(folds * len(penalties))), steps, rules=rules).where("NOT train")
-    loss = F.aggregate(F.zip_with("y", "f", lambda y, f: (y - F.col("w") * f) * (y - F.col("w") * f)), F.lit(0.0), lambda s, v: s + v)
-    risk = {r["i"]: r["v"] for r in state.groupBy(F.floor(F.col("model") / folds).cast("int").alias("i")).agg(F.avg(loss).alias("v")).collect()}
-    best = min(risk, key=lambda i: (risk[i], -penalties[i]))
-    own = state.where(F.floor(F.col("model") / folds) == best)
+    variant = F.floor(F.col("model") / folds).cast("int")
+    losses = F.zip_with("y", "f", lambda y, f: (y - F.col("w") * f) * (y - F.col("w") * f))
+    risk = {(r["i"], r["k"]): r["v"] for r in state.select(variant.alias("i"), F.posexplode(losses).alias("k", "l")).groupBy("i", "k").agg(F.avg("l").alias("v")).collect()}  # a row for each penalty and column
+    columns = sorted({k for _, k in risk})
+    choose = lambda ks: min(range(len(penalties)), key=lambda i: (sum(risk[i, k] for k in ks), -penalties[i]))
+    best = [choose([k]) if per_column else choose(columns) for k in columns]
+    picked = F.array(*[F.max(F.when(variant == i, F.get("f", F.lit(k)))) for k, i in zip(columns, best)])
+    own = state.groupBy("unit_id").agg(F.first("e").alias("e"), F.first("m").alias("m"), picked.alias("f"))
     e = F.col("e")
-    return penalties[best], own.select("unit_id", "e", F.col("f").alias("tau"), F.zip_with("m", "f", lambda m, t: m - e * t).alias("mu0"), F.zip_with("m", "f", lambda m, t: m + (1 - e) * t).alias("mu1"))
+    out = own.select("unit_id", "e", F.col("f").alias("tau"), F.zip_with("m", "f", lambda m, t: m - e * t).alias("mu0"), F.zip_with("m", "f", lambda m, t: m + (1 - e) * t).alias("mu1"))
+    return [penalties[i] for i in best] if per_column else penalties[best[0]], out
 
 
 def x_learner(units: DataFrame, folds: int = 3, steps: int = 10) -> DataFrame:
@@ -132,22 +162,34 @@ def propensity_model(kind: str | Callable, n: int, seed: int = 0):
     return RandomForestClassifier(labelCol="a", numTrees=200, minInstancesPerNode=5, seed=seed)
 
 
-def propensities(units: DataFrame, kind: str | Callable = "logistic", folds: int = 3, seed: int = 0) -> DataFrame:
-    """unit_id, e: out-of-fold probabilities, clipped; a training part with one arm gives its constant rate."""
+def propensities(units: DataFrame, kind: str | Callable = "logistic", folds: int = 3, seed: int = 0, new: DataFrame | None = None) -> DataFrame:
+    """unit_id, e: out-of-fold probabilities, clipped; a training part with one arm gives its constant rate.
+
+    Rows of new (unit_id, x) get the average of the fold models.
+    """
     d = stored(units.select("unit_id", "a", "fold", array_to_vector("x").alias("features")))
-    parts = []
+    fresh = stored(new.select("unit_id", array_to_vector("x").alias("features"))) if new is not None else None
+    parts, extra = [], []
     for f in range(folds):
         train = d.where(F.col("fold") != f)
         s = train.agg(F.count("*").alias("n"), F.avg("a").alias("p")).first()
         test = d.where(F.col("fold") == f)
         if not s["n"] or s["p"] in (0.0, 1.0):
-            parts.append(test.select("unit_id", F.lit(float(s["p"] or 0.0)).alias("e")))
-            continue
-        model = propensity_model(kind, s["n"], seed).fit(train)
-        parts.append(model.transform(test).select("unit_id", vector_to_array("probability")[1].alias("e")))
+            score = lambda df, p=float(s["p"] or 0.0): df.select("unit_id", F.lit(p).alias("e"))
+        else:
+            model = propensity_model(kind, s["n"], seed).fit(train)
+            score = lambda df, model=model: model.transform(df).select("unit_id", vector_to_array("probability")[1].alias("e"))
+        parts.append(score(test))
+        if fresh is not None:
+            extra.append(score(fresh))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if extra:
+        more = extra[0]
+        for p in extra[1:]:
+            more = more.unionByName(p)
+        out = out.unionByName(more.groupBy("unit_id").agg(F.avg("e").alias("e")))
     return out.withColumn("e", clipped(F.col("e")))
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import curves as C
 from ..functions import draws
+from ..grid import midpoint_levels
 from ..operators import effects as E
 from ..operators import inference as I
+from ..operators import laws as L
 from ..operators import ordered, prep, quantiles
 from .curve_queries import designed
-from .roles import CURVES, FULL, R, knots_sql, micro, r, table, twin, units
+from .law_queries import LAW, law
+from .roles import BINNED, CURVES, FULL, UNITS, R, knots_sql, micro, r, table, twin, units
 
 QUERIES, ORACLES = {}, {}
 
@@ -100,6 +103,34 @@ def e6(spark, d):
     return scored(spark, d).groupBy("bin").agg(r(F.avg(F.col("mu1_mean") - F.col("mu0_mean"))).alias("plug_in"), r(F.avg("psi_mean")).alias("aipw"))
 
 
+#: Laws of parts by arm, and the bins of parts.
+LAWS = LAW + ",\n" + UNITS + ",\n" + BINNED
+
+
+@query("e6_law_contrasts", twin(LAWS + ", le AS (SELECT unit_id, arm, sum(mass * m) AS v FROM (SELECT unit_id, arm, atom_id, any_value(mass) AS mass, avg(q) AS m FROM lawk GROUP BY ALL) GROUP BY ALL), ld AS (SELECT unit_id, max(v) FILTER (arm = 1) - max(v) FILTER (arm = 0) AS d FROM le GROUP BY unit_id), lb AS (SELECT bin, d FROM ld JOIN binned USING (unit_id) WHERE d IS NOT NULL)", f"SELECT bin, count(*) AS n, {R('avg(d)')} AS contrast FROM (SELECT bin, d FROM lb UNION ALL SELECT -1, d FROM lb) GROUP BY bin"))
+def e6_laws(spark, d):
+    """Plug-in contrasts of the mean from each part's own laws of both arms, by bin and overall."""
+    means = L.expectation(law(spark, d), mean=C.curve_mean(F.col("q")))
+    u = prep.ecdf_moderator(units(spark, d), "moderator_raw", "unit_id").withColumn("bin", prep.moderator_bin(F.col("m")))
+    return E.law_contrasts(means, u, "mean").select("bin", "n", r(F.col("contrast")).alias("contrast"))
+
+
+#: The levels 0.2, 0.4, 0.6 and 0.8 lie halfway between two of the five source levels.
+DENSE = "lq AS (SELECT unit_id, arm, atom_id, any_value(mass) AS mass, list(q ORDER BY k) AS q FROM lawk GROUP BY ALL), lm AS (SELECT unit_id, arm, j, sum(mass * (q[j] + q[j + 1]) / 2) / sum(mass) AS mu FROM lq CROSS JOIN (SELECT unnest(range(1, 5)) AS j) GROUP BY ALL), lw AS (SELECT j, avg(mu) FILTER (arm = 0) AS w0, avg(mu) FILTER (arm = 1) AS w1 FROM lm GROUP BY j)"
+OWN5 = knots_sql("five", "micro", "unit_id", levels="(k::DOUBLE-0.5::DOUBLE)/5::DOUBLE", n=5)
+
+
+@query("e9_calibrated_levels", twin(LAWS + ",\n" + OWN5 + ", " + DENSE + ", fq AS (SELECT unit_id, list(q ORDER BY k) AS q FROM five GROUP BY unit_id), pz AS (SELECT u.unit_id, a, lw.j, (SELECT avg(a) FROM units) AS e, (q[lw.j] + q[lw.j + 1]) / 2 AS h, coalesce(x.mu, w0) AS mu0, coalesce(y.mu, w1) AS mu1 FROM units u JOIN fq USING (unit_id) CROSS JOIN lw LEFT JOIN lm x ON x.unit_id = u.unit_id AND x.j = lw.j AND x.arm = 0 LEFT JOIN lm y ON y.unit_id = u.unit_id AND y.j = lw.j AND y.arm = 1), pq AS (SELECT j, mu1 - mu0 + a / e * (h - mu1) - (1 - a) / (1 - e) * (h - mu0) AS psi FROM pz)", f"SELECT (j - 1)::INT AS k, count(*) AS n, {R('avg(psi)')} AS effect, {R('stddev_pop(psi) / sqrt(count(*))')} AS if_se FROM pq GROUP BY j"))
+def e9_levels(spark, d):
+    """Doubly robust effects at levels between the stored ones, with the known treatment share."""
+    u = units(spark, d)
+    own = quantiles.unit_curves(micro(spark, d), "unit_id", "y", "w", midpoint_levels(5))
+    share = u.agg(E.clipped(F.avg("a")).alias("e"))
+    j = own.join(u.select("unit_id", "a"), "unit_id").crossJoin(F.broadcast(share))  # one row
+    got = E.calibrated_levels(law(spark, d), j, midpoint_levels(5), [0.2, 0.4, 0.6, 0.8])
+    return got.select("k", "n", r(F.col("effect")).alias("effect"), r(F.col("if_se")).alias("if_se"))
+
+
 @query("e9_coordinate_effects", twin(",\n".join([FULL, "pt AS (SELECT bin, k, avg(q) FILTER (a = 1) - avg(q) FILTER (a = 0) AS d FROM curve JOIN binned USING (unit_id) GROUP BY ALL)"]), f"SELECT k, {R('sum(d * n) / sum(n)')} AS effect FROM pt JOIN (SELECT bin, count(*) AS n FROM binned JOIN func USING (unit_id) GROUP BY bin) USING (bin) GROUP BY k"))
 def e9(spark, d):
     """Post-stratified arm difference at every level."""

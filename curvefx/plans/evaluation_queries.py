@@ -60,7 +60,11 @@ def a7(spark, d):
     return L.paired_stats(p, ["method"]).select("method", "n", r(c("mean_diff"), 5).alias("mean_diff"), r(c("se"), 5).alias("se"))
 
 
-@query("e12_seed_replications")
+def seed_sql(seed: int) -> str:
+    return twin(dr_sql("mean").replace("md5('7:'", f"md5('{seed}:'"), f"SELECT {seed} AS seed, avg(psi) AS v FROM ps")
+
+
+@query("e12_seed_replications", f"SELECT count(*) AS n, {R('avg(v)')} AS mean, {R('stddev_samp(v)')} AS sd, string_agg({R('v', 3)}::VARCHAR, ',' ORDER BY seed) AS effects FROM (" + " UNION ALL ".join(f"SELECT * FROM ({seed_sql(k)})" for k in (1, 2, 3)) + ")")
 def e12(spark, d):
     """The mean's effect under three seeded fold plans: mean, sd and the values in order."""
     u = ordered.stored(designed(spark, d).select("unit_id", "a", "bin", "type", C.curve_mean(c("q")).alias("mean")))

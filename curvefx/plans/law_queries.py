@@ -263,6 +263,26 @@ def l23(spark, d):
     return t.select("unit_id", *[r(F.col(c), 6).alias(c) for c in ("value", "critical", "p")])
 
 
+BANDED = """vo AS (SELECT unit_id, -1 AS grp, k, sum(q * mass * CASE WHEN arm = 1 THEN 1 ELSE -1 END) AS v FROM lawk GROUP BY ALL UNION ALL SELECT unit_id, grp, k, sum(s * q) FROM ds JOIN bank ON supp = atom_id GROUP BY ALL),
+wd AS (SELECT unit_id, g.grp, max(abs(g.v - o.v)) AS d FROM vo g JOIN (SELECT unit_id, k, v FROM vo WHERE grp = -1) o USING (unit_id, k) WHERE g.grp >= 0 GROUP BY ALL),
+hw AS (SELECT unit_id, quantile_cont(d, 0.9) AS h FROM wd GROUP BY unit_id)"""
+
+
+@query("l23_uniform_band", twin(LAW + ", " + DEALT.partition(",\nnd AS")[0] + ", " + BANDED, f"SELECT unit_id, (k - 1)::INT AS point_id, {R('v', 3)} AS value, {R('v - h', 3)} AS low, {R('v + h', 3)} AS high FROM vo JOIN hw USING (unit_id) WHERE grp = -1"))
+def l23_band(spark, d):
+    """A band over all levels for the arms' difference of mean curves, from ten groups with arms dealt anew."""
+    w = ordered.stored(law(spark, d))
+    many = w.select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("grp"))
+    dealt = many.withColumn("arm", (draws.number(F.col("grp"), F.col("unit_id"), F.col("atom_id")) % 2).cast("int"))
+    tot = dealt.groupBy("unit_id", "arm", "grp").agg(F.sum("mass").alias("t"))
+    again = dealt.join(tot, ["unit_id", "arm", "grp"]).withColumn("mass", F.col("mass") / F.col("t"))
+    both = again.select("unit_id", "grp", "arm", "mass", "q").unionByName(w.select("unit_id", F.lit(-1).alias("grp"), "arm", "mass", "q"))
+    sign = F.when(F.col("arm") == 1, 1.0).otherwise(-1.0)
+    v = both.select("unit_id", "grp", (F.col("mass") * sign).alias("s"), F.posexplode("q").alias("point_id", "x")).groupBy("unit_id", "grp", "point_id").agg(F.sum(F.col("s") * F.col("x")).alias("value"))
+    b = L.uniform_band(v, 0.1)
+    return b.select("unit_id", "point_id", *[r(F.col(c), 3).alias(c) for c in ("value", "low", "high")])
+
+
 @query("l24_weight_violations", twin(LAW, "SELECT (SELECT count(*) FROM (SELECT 1 FROM law GROUP BY unit_id, arm HAVING abs(sum(mass) - 1) > 1e-9)) AS not_normalised, (SELECT count(*) FROM law WHERE arm <> atom_id % 2 AND mass > 0) AS other_arm, (SELECT count(*) FROM law WHERE mass < 0) AS negative"))
 def l24(spark, d):
     arms = bank(spark, d).select("atom_id", (F.col("atom_id") % 2).cast("int").alias("arm"))

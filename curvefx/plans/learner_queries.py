@@ -57,6 +57,46 @@ def m2(spark, d):
     return g.select("bin", "a", "n", r(F.col("s")).alias("s"), r(eff / (eff + 50), 6).alias("ridge_factor"))
 
 
+#: Counts, sums and squares of the price by size bin and arm, and the leaf rules' values for both arms.
+LEAVES = """lg AS (SELECT (size // 10)::INT AS bin, count(*) FILTER (a = 0)::DOUBLE AS n0, count(*) FILTER (a = 1)::DOUBLE AS n1, coalesce(avg(moderator_raw) FILTER (a = 0), 0) AS m0, coalesce(avg(moderator_raw) FILTER (a = 1), 0) AS m1, avg(moderator_raw) AS p, var_samp(moderator_raw) FILTER (a = 0) / count(*) FILTER (a = 0) AS v0, var_samp(moderator_raw) FILTER (a = 1) / count(*) FILTER (a = 1) AS v1 FROM units GROUP BY 1),
+lf AS (SELECT *, n1 / (n0 + n1) AS s, n0 * n1 / (n0 + n1) / (n0 * n1 / (n0 + n1) + 20) AS ridge, CASE WHEN m1 = m0 THEN 0 ELSE greatest(0, 1 - 2 * (coalesce(v0, 0) + coalesce(v1, 0)) / ((m1 - m0) * (m1 - m0))) END AS cut FROM lg),
+lv AS (SELECT bin, 'forced' AS rule, p AS v0, p AS v1 FROM lf UNION ALL SELECT bin, 'independent', CASE WHEN n0 * n1 = 0 THEN p ELSE m0 END, CASE WHEN n0 * n1 = 0 THEN p ELSE m1 END FROM lf
+UNION ALL SELECT bin, 'arm_shrinkage', CASE WHEN n0 * n1 = 0 THEN p ELSE (n0 * m0 + 20 * p) / (n0 + 20) END, CASE WHEN n0 * n1 = 0 THEN p ELSE (n1 * m1 + 20 * p) / (n1 + 20) END FROM lf
+UNION ALL SELECT bin, 'ridge', CASE WHEN n0 * n1 = 0 THEN p ELSE p - s * ridge * (m1 - m0) END, CASE WHEN n0 * n1 = 0 THEN p ELSE p + (1 - s) * ridge * (m1 - m0) END FROM lf
+UNION ALL SELECT bin, 'threshold', CASE WHEN n0 * n1 = 0 THEN p ELSE p - s * cut * (m1 - m0) END, CASE WHEN n0 * n1 = 0 THEN p ELSE p + (1 - s) * cut * (m1 - m0) END FROM lf)"""
+
+
+@query("m2_leaf_rules", twin(UNITS + ", " + LEAVES, f"SELECT bin, rule, {R('v0', 3)} AS arm_0, {R('v1', 3)} AS arm_1 FROM lv"))
+def m2_rules(spark, d):
+    """The five leaf rules on the price by size bin; a row for each bin reaches the driver."""
+    import numpy as np
+
+    p = F.col("moderator_raw")
+    g = units(spark, d).groupBy(F.expr("size div 10").cast("int").alias("bin")).agg(*[f(F.when(F.col("a") == k, v)).alias(f"{n}{k}") for k in (0, 1) for n, f, v in (("n", F.count, p), ("s", F.sum, p), ("q", F.sum, p * p))]).collect()
+    out = []
+    for x in g:
+        n, s, q = (np.array([x[f"{c}0"] or 0, x[f"{c}1"] or 0], float) for c in "nsq")
+        for rule, penalty in (("forced", 0.0), ("independent", 0.0), ("arm_shrinkage", 20.0), ("ridge", 20.0), ("threshold", 2.0)):
+            v = trees.leaf_values(n, n, q, s[:, None], trees.Rules(rule=rule), penalty)
+            out.append((x["bin"], rule, float(v[0][0]), float(v[1][0])))
+    t = spark.createDataFrame(out, "bin int, rule string, arm_0 double, arm_1 double")
+    return t.select("bin", "rule", r(F.col("arm_0"), 3).alias("arm_0"), r(F.col("arm_1"), 3).alias("arm_1"))
+
+
+#: The gain of each cut of the brand number, in order, and the record holders of a scan over them.
+CUTS = """bn AS (SELECT regexp_extract(brand, '(\\d+)', 1)::DOUBLE AS x, moderator_raw AS v FROM units), bs AS (SELECT x, count(*) AS n, sum(v) AS s FROM bn GROUP BY x),
+cu AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER (ORDER BY x) AS ls, sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM bs),
+ga AS (SELECT (x + nx) / 2 AS cut, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn AS gain FROM cu WHERE nx IS NOT NULL AND ln >= 5 AND tn - ln >= 5)"""
+
+
+@query("w9_first_improvement", twin(UNITS + ", " + CUTS, "SELECT 0 AS feature, cut FROM (SELECT cut, gain, coalesce(max(gain) OVER (ORDER BY cut ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS before FROM ga) WHERE gain > before + 1e-15 ORDER BY cut DESC LIMIT 1"))
+def w9(spark, d):
+    """The cut that a scan for strict improvement over the brand number settles on."""
+    t = units(spark, d).select(F.lit(0).alias("model"), "a", F.array(F.regexp_extract("brand", r"(\d+)", 1).cast("double")).alias("x"), F.array("moderator_raw").alias("v"), F.lit(1.0).alias("mass"))
+    tree = trees.grow(t, [0], trees.cut_points(t, 1), trees.Rules(depth=1, leaf=5, arm_leaf=0))[0]
+    return spark.createDataFrame([(f, float(c)) for f, c in tree.splits.values()], "feature int, cut double")
+
+
 @query("m4_m18_booster_trace")
 def m4(spark, d):
     """Risk before and after every step of a particle booster."""
@@ -122,6 +162,33 @@ def m11(spark, d):
     return t.agg(F.count("*").alias("n"), F.lit(penalty).alias("penalty"), g("tau", 0).alias("tau_mean"), g("tau", 1).alias("tau_sd"), g("mu0", 0).alias("mu0_mean"), g("mu1", 0).alias("mu1_mean"))
 
 
+@query("m10_m16_new_rows")
+def m10(spark, d):
+    """Units of fold 2 as new rows: scored by the average of the models of the other folds, with both kinds of model."""
+    u = rows(spark, d).withColumn("y", F.array(C.curve_mean(F.col("q"))))
+    old, new = u.where("fold < 2"), u.where("fold = 2").select("unit_id", "x")
+    n = learners.nuisances(old, 2, 4, new)
+    e = learners.propensities(old, "logistic", 2, new=new).select("unit_id", F.col("e").alias("logistic"))
+    return n.join(e, "unit_id").join(u.select("unit_id", "fold"), "unit_id").groupBy("fold").agg(F.count("*").alias("n"), r(F.avg("e"), 3).alias("boosted"), r(F.avg("logistic"), 3).alias("logistic"), r(F.avg(F.get("m", F.lit(0))), 2).alias("m"))
+
+
+@query("m13_penalty_by_column")
+def m13(spark, d):
+    """Effects on mean and sd with a penalty for each; the propensity is given, not fitted."""
+    u = rows(spark, d).withColumn("y", F.array(C.curve_mean(F.col("q")), C.curve_sd(F.col("q"))))
+    chosen, t = learners.r_learner(u, [1.0, 50.0], 3, 3, per_column=True, given={"e": F.lit(0.5)})
+    g = lambda i: r(F.avg(F.get("tau", F.lit(i))), 2)
+    return t.agg(F.count("*").alias("n"), F.lit(chosen[0]).alias("penalty_mean"), F.lit(chosen[1]).alias("penalty_sd"), g(0).alias("tau_mean"), g(1).alias("tau_sd"))
+
+
+@query("m15_forest_propensities")
+def m15_forest(spark, d):
+    """Out-of-fold propensities of a forest of 200 trees: overlap summaries."""
+    u = rows(spark, d)
+    o = effects.overlap(u.join(learners.propensities(u, "forest"), "unit_id"), "e", "a")
+    return o.select(*[r(F.col(c), 3).alias(c) for c in o.columns])
+
+
 @query("m12_x_learner")
 def m12(spark, d):
     u = rows(spark, d).withColumn("y", F.array(C.curve_mean(F.col("q"))))
