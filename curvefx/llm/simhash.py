@@ -28,6 +28,8 @@ BLOCK, CHECK_BITS, RADIUS = 23, 11, 3
 GENERATOR = 0b101011100011
 #: Groups at an anchor above this size are linked through shared neighbours, in linear time.
 PAIRWISE = 32
+#: Members of an anchor that a task holds; those of a larger one go on to an exchange by one-bit neighbour.
+MOST_MEMBERS = 500_000
 
 
 def remainder(word: int) -> int:
@@ -121,11 +123,9 @@ def fingerprints(df: DataFrame, text: str = "text", size: int = 3, out: str = "f
     return src.mapInArrow(run, schema)
 
 
-def neighbour_links(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all of fps within threshold <= 2: such a pair shares a word within one bit of both,
-    and any two that share one are within two bits. Threshold 0 or 1 checks each link."""
-    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
-    keys = (fps[:, None] ^ flips[None, :]).ravel()
+def neighbour_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all of fps within two bits: such a pair shares a word within one bit of both, and any two that share one are within two bits."""
+    keys, _ = one_bit_words(fps)
     owner = np.repeat(np.arange(len(fps)), 65)
     o = np.argsort(keys, kind="stable")
     k, w = keys[o], owner[o]
@@ -166,18 +166,27 @@ def group_links(anchor: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np
         right.append(fps[i + k])
     for s, m in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE]) if threshold == 2 else ():
         own = fps[s : s + m]
-        tree = np.array(spanning(m, *neighbour_links(own, threshold)), np.int64).reshape(-1, 2)
+        tree = np.array(spanning(m, *neighbour_links(own)), np.int64).reshape(-1, 2)
         left.append(own[tree[:, 0]])
         right.append(own[tree[:, 1]])
     return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
 
+def one_bit_words(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words within one bit of each of fps, and the fingerprint of each."""
+    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    return (fps[:, None] ^ flips[None, :]).ravel(), np.repeat(fps, 65)
+
+
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """Pairs a, b of distinct fingerprints whose links connect all that differ in at most threshold bits.
+    """Pairs a, b of distinct fingerprints whose links connect all that differ in at most threshold bits, 2 at most.
 
     fps has distinct values in column fp. Groups of up to PAIRWISE fingerprints at an anchor give all their
-    links; larger ones a spanning forest of them, so no group emits its pairs.
+    links; larger ones a spanning forest of them, so no group emits its pairs. A task holds MOST_MEMBERS of an anchor: if
+    there are more, every member goes to all words within one bit of it, where neighbours in order are linked.
     """
+    if not 0 <= threshold <= 2:
+        raise ValueError("fingerprints are linked at two bits or fewer")
     single, patterns = code_tables(threshold)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,22 +196,59 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
                 r, key = anchors(x[at : at + 2048], single, patterns)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(x[at + r].view(np.int64))], ["anchor", "fp"])
 
+    def told(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+
+    def passed_on(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(fp), 10_000):
+            yield told(*one_bit_words(fp[at : at + 10_000]), 1)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, fp = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        """Links (kind 0), and words with a fingerprint each (kind 1) of anchors that are too large."""
+        anchor, fp, large = np.zeros(0, np.int32), np.zeros(0, np.uint64), -1
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 anchor = np.concatenate([anchor, b.column(0).to_numpy()])
                 fp = np.concatenate([fp, b.column(1).to_numpy().view(np.uint64)])
+            rest = int(np.searchsorted(anchor, large, side="right"))  # more of the large anchor
+            yield from passed_on(fp[:rest])
+            anchor, fp = anchor[rest:], fp[rest:]
             cut = int(np.searchsorted(anchor, anchor[-1])) if b is not None and len(anchor) else len(anchor)
             if cut:
                 a, c = group_links(anchor[:cut], fp[:cut], threshold)
                 if len(a):
                     pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
+                    yield told(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), 0)
                 anchor, fp = anchor[cut:], fp[cut:]
+            if threshold == 2 and len(anchor) > MOST_MEMBERS:
+                large = int(anchor[0])
+                yield from passed_on(fp)
+                anchor, fp = anchor[:0], fp[:0]
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links, and of each word the fingerprints that follow each other."""
+        word, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a, c, kind = (x.to_numpy() for x in b.columns)
+            own = kind == 0
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(c[own])], ["a", "b"])
+            w, f = a[~own], c[~own]
+            if not len(w):
+                continue
+            if word is not None:
+                w, f = np.r_[word, w], np.r_[last, f]
+            same = (w[1:] == w[:-1]) & (f[1:] != f[:-1])
+            x, y = f[:-1][same].view(np.uint64), f[1:][same].view(np.uint64)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
+            word, last = w[-1], f[-1]
 
     copies = fps.select("fp").mapInArrow(spread, "anchor int, fp long")
-    return copies.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(meet, "a long, b long").distinct()
+    found = copies.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(meet, "a long, b long, kind int")
+    return found.repartition("a").sortWithinPartitions("kind", "a", "b").mapInArrow(neighbours, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -230,7 +276,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     """key, fp (signed long) and component_id, the smallest key that the row reaches over links, itself included.
 
     One result row for each row of df; repeated rows and equal keys repeat. Null and wordless texts have
-    fingerprint 0 and are linked like any other. A row with a null key takes part in linking and gets the
+    fingerprint 0 and are linked like any other; texts of any length are read whole. A row with a null key takes part in linking and gets the
     smallest non-null key it reaches, or null. An empty table gives an empty result; other columns are not read.
     """
     rows = stored(fingerprints(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_text", size))
