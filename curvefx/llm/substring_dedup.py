@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship
 
@@ -139,7 +140,7 @@ def keys_of(ids: list[int], texts: list[str | None], window: int, m: int) -> Ite
 def cut_slice(docs: list[int | None], ids: list[int], texts: list[str | None], wanted: list[list[int]], window: int, m: int) -> Iterator[tuple]:
     """Super-k-mers (key, doc, rid, start, n, packed) with wanted minimisers, equal ones once as their earliest; a
     repeat is a row without packed string that says which windows of its document occurred earlier."""
-    seen: dict[bytes, tuple] = {}
+    seen: dict[bytes | tuple, tuple] = {}
     docs = [-(2**63) if d is None else d for d in docs]
     mark = lambda row, key: key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     # a mark that two pairs share only lets a super-k-mer through that meets no other
@@ -155,6 +156,8 @@ def cut_slice(docs: list[int | None], ids: list[int], texts: list[str | None], w
                 seen[packed] = early
                 if (early[1], early[3]) != (late[1], late[3]):
                     yield (late[2], *late[1:5], None)  # spread by row: a hot minimiser's repeats don't meet
+                elif late[2] != early[2]:  # another text with the same key: an earlier occurrence elsewhere has to reach both
+                    seen[packed, late[2]] = late
     yield from seen.values()
 
 
@@ -303,15 +306,20 @@ def repeats(rows: DataFrame, window: int = 20, m: int = M) -> DataFrame:
 def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20) -> DataFrame:
     """key, n_words, n_removed, and kept_text: the words that no repeated window covers, joined by one space.
 
-    Repeats are judged on the input: a window is removed if its words also start in a row with a smaller key
-    (a long), or earlier in its own. Rows that share a key count as one document for that order, so equal
+    Repeats are judged on the input: a window is removed if its words also start in a row with a smaller key, or earlier
+    in its own. Whole numbers are in their own order, other keys in that of their hashes. Texts of any length are read
+    whole, in pieces. Rows that share a key count as one document for that order, so equal
     starts in them remove nothing. A null key comes first. Null, empty and short texts have no window and keep
     their words. An empty table gives an empty result; other columns are not read.
     """
     t = F.col(f"`{text}`").cast("string")
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{key}`").cast("string"), t).alias("rid"), t.alias("text"))
+    kind = df.schema[key].dataType
+    whole = isinstance(kind, T.IntegralType)
+    name, own = ("doc", []) if whole else ("own", [F.col(f"`{key}`").alias("own")])
+    doc = F.col(f"`{key}`").cast("long") if whole else F.when(F.col(f"`{key}`").isNotNull(), F.xxhash64(F.col(f"`{key}`").cast("string")))
+    rows = df.select(doc.alias("doc"), F.xxhash64(F.col(f"`{key}`").cast("string"), t).alias("rid"), t.alias("text"), *own)
     spans = repeats(rows, window).groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(spans, "rid", "left").select("doc", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
+    joined = rows.join(spans, "rid", "left").select(name, "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,4 +336,4 @@ def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", wind
                     kept.append(b" ".join(itertools.compress(words, (~hit).tolist())).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [key, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(cover, f"`{key}` long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(cover, f"`{key}` {'long' if whole else kind.simpleString()}, n_words long, n_removed long, kept_text string")
