@@ -5,7 +5,8 @@ a fixed grid, the number of good documents and of good ones rejected. A cutoff m
 binomial test rejects "the rule drops more than ALPHA of good documents" at level DELTA over the number of all
 tests (Bonferroni over strata, rules and grid), which is the Clopper-Pearson bound. The strictest such cutoff is
 taken, and a rule without one is not applied in that stratum. At most ALPHA x rules of a stratum's good documents
-are then lost, with probability 1 - DELTA for all strata at once.
+are then lost, with probability 1 - DELTA for all strata at once: that is the bound on what a document faces that
+all rules judge.
 """
 
 from __future__ import annotations
@@ -68,16 +69,29 @@ def rule_values(df: DataFrame) -> dict[str, Column]:
     return {"symbols": F.col("n_symbols") / words, "dup_lines": F.col("n_dup_lines") * 8 / words, "repeats": F.col("n_repeat_words") / words, "shouting": F.col("n_loud") / chars, "word_length": F.col("word_chars") / words}
 
 
+def log_factorial(x: Column) -> Column:
+    """ln x! of a whole number: exact below 16, else by Stirling's series, with an error below 1e-10."""
+    d = F.greatest(x, F.lit(16)).cast("double")
+    series = d * F.log(d) - d + F.log(2 * F.pi() * d) / 2 + 1 / (12 * d) - 1 / (360 * d * d * d) + 1 / (1260 * d * d * d * d * d)
+    return F.when(x < 16, F.log(F.factorial(F.least(x, F.lit(16)).cast("int")).cast("double"))).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial (n, p), summed term by term with logarithms, so that large n don't underflow."""
-    start = F.struct((n * F.log(F.lit(1.0 - p))).alias("log"), F.exp(n * F.log(F.lit(1.0 - p))).alias("sum"))
-    odds = F.log(F.lit(p / (1 - p)))
+    """P(X <= k) for X binomial (n, p) and k of at most np: the terms from k downward, which only get smaller.
+
+    Terms further than twelve standard deviations below k are left out; they add less than 1e-30 of the sum, so that the
+    number of terms grows with the root of n.
+    """
+    terms = F.least(k, F.ceil(12 * F.sqrt(n * p * (1 - p))) + 60)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
-    def add(a: Column, i: Column) -> Column:
-        term = a["log"] + F.log((n - i + 1) / i) + odds
-        return F.struct(term.alias("log"), (a["sum"] + F.exp(term)).alias("sum"))
+    def add(a: Column, j: Column) -> Column:
+        term = a["term"] * (k - j) * (1 - p) / ((n - k + j + 1) * p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    return F.when(k >= 1, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, add, lambda a: a["sum"])).otherwise(F.exp(n * F.log(F.lit(1.0 - p))))
+    top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1.0 - p)))
+    rest = F.when(terms >= 1, F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(terms.cast("long"), F.lit(1)) - 1), start, add, lambda a: a["sum"])).otherwise(F.lit(1.0))
+    return top * rest
 
 
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -101,7 +115,8 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     for texts that reach an admissible cutoff of their stratum. labels says of keys whether they are good (1);
     rows with null keys or labels are left out, and a key with several labels counts as good if all are.
     Null strata form one stratum. Without labels no cutoff is admissible and only the base rule rejects.
-    Repeated rows repeat; an empty table gives an empty result. _row hashes key and text.
+    Texts are read whole at any length. Repeated rows repeat; an empty table gives an empty result. Ties at a cutoff
+    reject. _row hashes key and text.
     """
     k = F.col(f"`{key}`")
     rows = docs.select(k.alias("_key"), F.xxhash64(k.cast("string"), F.col(f"`{text}`").cast("string")).alias("_row"), F.coalesce(column_or_null(docs, stratum, "string"), F.lit("")).alias("stratum"), F.col(f"`{text}`").alias("_text"))
