@@ -212,24 +212,36 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
 
 
 def word_tokens(words: DataFrame, merges) -> DataFrame:
-    """word and ids (packed 32-bit integers) for every distinct word; merges is a broadcast Merges."""
+    """name, nos, sizes, ids (packed 32-bit integers): of a block's words, their numbers, their numbers of tokens, and those tokens.
+
+    words has _block, no and word; merges is a broadcast Merges. All rows of a word come together, so that it is merged
+    once; the rows of a block are packed, so that few travel back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in itertools.chain(batches, [None]):
             if held and (b is None or size + b.nbytes > REPLAY_BYTES):
-                column = pa.chunked_array(held).combine_chunks()
-                ids, starts = replay([w.encode() for w in column.to_pylist()], merges.value)
-                raw = pa.py_buffer(ids.astype("<i4").tobytes())
-                offsets = pa.py_buffer((starts * 4).astype("<i4").tobytes())
-                tokens = pa.Array.from_buffers(pa.binary(), len(column), [None, offsets, raw])
-                yield pa.RecordBatch.from_arrays([column, tokens], ["word", "ids"])
+                table = pa.Table.from_batches(held).combine_chunks()
+                coded = table.column("word").combine_chunks().dictionary_encode()
+                ids, starts = replay([w.encode() for w in coded.dictionary.to_pylist()], merges.value)
+                block = table.column("_block").to_numpy()
+                order = np.argsort(block, kind="stable")
+                no, which = table.column("no").to_numpy()[order], coded.indices.to_numpy()[order]
+                n = np.diff(starts)[which]
+                ends = np.cumsum(n)
+                tokens = ids[np.repeat(starts[which] - (ends - n), n) + np.arange(int(ends[-1]))].astype("<i4")
+                cuts = np.r_[np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]]), len(order)]
+                at = np.r_[0, ends]
+                rows = [(no[s:e].astype("<i4").tobytes(), n[s:e].astype("<i4").tobytes(), tokens[at[s] : at[e]].tobytes()) for s, e in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(block[order][cuts[:-1]]), *[pa.array(c, pa.binary()) for c in zip(*rows)]], ["name", "nos", "sizes", "ids"])
                 held, size = [], 0
             if b is not None and b.num_rows:
-                held.append(b.column(0))
+                held.append(b)
                 size += b.nbytes
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary")
+    together = words.repartition("word").sortWithinPartitions("word")
+    return together.mapInArrow(run, "name long, nos binary, sizes binary, ids binary")
 
 
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
@@ -262,16 +274,14 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
 
     cuts = stored(src.mapInArrow(number, T.StructType([*fields, *T.StructType.fromDDL("_block long, _codes binary, _size long, _words array<string>").fields])))
     words = cuts.where("_words IS NOT NULL").select("_block", F.posexplode("_words").alias("no", "word"))
-    back = words.join(word_tokens(words, merges), "word").select(F.col("_block").alias("_name"), "no", "ids")
+    back = word_tokens(words, merges)
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
         m = merges.value
-        right = right.sort_by("no")
-        tokens = right.column("ids").combine_chunks()
-        parts = tokens.to_pylist()
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(parts), "<i4")
+        no, sizes, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), "<i4") for c in ("nos", "sizes", "ids"))
+        size, starts = np.zeros((2, len(no)), np.int64)
+        size[no] = sizes
+        starts[no] = np.cumsum(sizes, dtype=np.int64) - sizes
         cols: dict[str, list] = {c: [] for c in outputs}
         for raw, n_words in zip(left.column("_codes").to_pylist(), left.column("_size").to_pylist()):
             row = unpacked(raw, n_words)
@@ -293,7 +303,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
 
     added = T.StructType.fromDDL(", ".join(f"{c} {OUTPUTS[c]}" for c in outputs)).fields
     texts = cuts.select(*held, "_block", "_codes", "_size")
-    out = texts.groupBy("_block").cogroup(back.groupBy("_name")).applyInArrow(put, T.StructType([*fields, *added]))
+    out = texts.groupBy("_block").cogroup(back.groupBy("name")).applyInArrow(put, T.StructType([*fields, *added]))
     return out.toDF(*keep, *outputs)
 
 
