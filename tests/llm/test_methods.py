@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from curvefx.llm import bpe, html_extract, language_id, oracles, pii, queries, sharding, url_filter  # noqa: E402
+from curvefx.llm import bpe, html_extract, language_id, oracles, pii, quality_rules, queries, sharding, simhash, substring_dedup, url_filter  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -120,6 +120,67 @@ def test_op3_blocks_share_words(spark, monkeypatch, block):
     assert got == {i: (g, e.encode_ordinary(t or "")) for i, t, g in rows}
 
 
+# op4
+
+
+def test_op4_anchors_beyond_a_task(spark, monkeypatch):
+    """Anchors of which a task holds only a few members are linked by the exchange by one-bit neighbours, just the same."""
+    monkeypatch.setattr(simhash, "MOST_MEMBERS", 3)
+    rng = random.Random(12)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    for b in list(fps)[:6]:
+        x = b
+        for _ in range(40):
+            x ^= 1 << rng.randrange(64)
+            fps.add(x if rng.random() < 0.5 else b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    fps = sorted(fps)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    found = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))
+    assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 2 for r in found.collect())
+    got = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    groups = lambda of: {frozenset(f for f in fps if of(f) == c) for c in {of(f) for f in fps}}
+    assert groups(lambda f: got.get(signed(f), signed(f))) == groups(find)
+    with pytest.raises(ValueError, match="two bits"):
+        simhash.links(found, 3)
+
+
+# op5
+
+
+def test_op5_two_texts_of_one_key_and_text_keys(spark):
+    """An earlier document's words go from both texts that share a later key; keys may be text."""
+    t = " ".join(f"w{i}" for i in range(30))
+    docs = [(5, t + " a"), (5, t + " b"), (1, t)]
+    got = sorted(map(tuple, substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).select("doc_id", "n_removed").collect()))
+    assert got == [(1, 0), (5, 30), (5, 30)]
+    named = spark.createDataFrame([(f"k{i}", x) for i, (_, x) in enumerate(docs)] + [(None, "short")], "doc_id string, text string")
+    rows = substring_dedup.without_repeats(named).collect()
+    assert sorted(r["n_removed"] for r in rows) == [0, 0, 30, 30] and {r["doc_id"] for r in rows} == {"k0", "k1", "k2", None}
+
+
+# op6
+
+
+def test_op6_binomial_tail(spark):
+    rows = [(k, n) for n in (0, 1, 5, 15, 16, 40, 300, 5000, 100_000) for k in {0, 1, 2, n // 200, n // 100} if k <= 0.01 * n]
+    d = spark.createDataFrame(rows, "k long, n long").withColumn("p", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.01))
+    for r in d.collect():
+        want = math.fsum(math.exp(math.lgamma(r["n"] + 1) - math.lgamma(i + 1) - math.lgamma(r["n"] - i + 1) + i * math.log(0.01) + (r["n"] - i) * math.log(0.99)) for i in range(r["k"] + 1))
+        assert abs(r["p"] - want) <= 1e-9 * want, r
+
+
 # op7
 
 
