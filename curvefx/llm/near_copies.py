@@ -6,8 +6,10 @@ two, not five: with scattered changes, similarity 0.8 means that about a tenth o
 code guarantees, but pairs so close still share an anchor of one fingerprint or the other: 0.99 of them at 0.8, and 0.87
 of those that differ in one long passage instead (a seventh of the bits). At an anchor all pairs that differ in
 at most MOST_BITS of both fingerprints are candidates, and every link is checked on the whole five-word sets.
-Anchors with more than PAIRWISE sets are compared with their least one first, and afterwards in pairs that are not yet
-connected; a family of near copies costs one check a member and anchor then, and no candidate is left out.
+Where an anchor has more than LINEAR candidate pairs a member, as in a family of near copies, no pairs go out: all are
+compared with the member that has the most candidates, then those that this leaves apart with their closest one, and at last
+the sets of what is still unconnected meet at the anchor, where every remaining candidate is checked in place and only
+links leave. So rows grow with members and not with pairs, and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ ship(__name__)
 SIZE, PRINTED = 5, 2
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Guaranteed bits of the anchors, and the most bits of 128 in which candidates differ (three deviations over 0.8's mean of 19 at worst).
-THRESHOLD, MOST_BITS = 2, 32
-PAIRWISE = 32
+#: Guaranteed bits of the anchors, and the most bits of 128 in which candidates differ: 0.8 means 12 to 19 of them, and those that
+#: share an anchor lie below that (21 at most of the similar pairs of check tables).
+THRESHOLD, MOST_BITS = 2, 24
+#: Candidate pairs a member that an anchor sends out; and members whose sets meet in one task.
+LINEAR, TILE = 8, 10_000
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -92,16 +96,26 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             held = [c[cut:] for c in held] if b is not None else None
 
 
-def close(fp: np.ndarray, fq: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs i, j differ in at most MOST_BITS bits."""
-    bits = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fq[i] ^ fq[j]).view(np.uint64))
-    return bits <= MOST_BITS
+def apart(fp: np.ndarray, fq: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of bits in which the pairs i, j differ."""
+    return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fq[i] ^ fq[j]).view(np.uint64))
+
+
+def candidates(fp: np.ndarray, fq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places i < j of all pairs that differ in at most MOST_BITS bits, some rows at a time."""
+    step = max(1, 2_000_000 // max(len(fp), 1))
+    for at in range(0, len(fp), step):
+        own = slice(at, min(at + step, len(fp)))
+        bits = np.bitwise_count((fp[own, None] ^ fp[None, at:]).view(np.uint64)).astype(np.uint8) + np.bitwise_count((fq[own, None] ^ fq[None, at:]).view(np.uint64))
+        i, j = np.nonzero(bits <= MOST_BITS)
+        up = i < j
+        yield i[up] + at, j[up] + at
 
 
 def met(members: DataFrame) -> DataFrame:
-    """a, b, anchor, fp, fq: candidate pairs a < b of nodes, and, with null b, the members a of anchors above PAIRWISE.
+    """a, b, anchor, fp, fq: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
 
-    Anchors up to that size give all their candidates, larger ones those with their least node.
+    Of such an anchor, the pairs of the member with the most candidates go out; of other ones all.
     """
     single, patterns = code_tables(THRESHOLD)
 
@@ -116,48 +130,128 @@ def met(members: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for anchor, node, fp, fq in groups(batches):
-            starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            sizes = np.diff(np.r_[starts, len(anchor)])
-            large = np.repeat(sizes > PAIRWISE, sizes)
-            pairs = []
-            for k in range(1, int(sizes[sizes <= PAIRWISE].max(initial=1))):
-                i = np.flatnonzero((anchor[k:] == anchor[:-k]) & ~large[:-k])
-                i = i[close(fp, fq, i, i + k)]
-                pairs.append(np.stack([node[i], node[i + k]], 1))
-            member = np.flatnonzero(large)
-            least = np.repeat(starts, sizes)[member]  # nodes stand in order within an anchor
-            ok = (least != member) & close(fp, fq, least, member)
-            pairs.append(np.stack([node[least[ok]], node[member[ok]]], 1))
-            found = np.unique(np.concatenate(pairs), axis=0)
-            n, m = len(found), len(member)
+            cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
+            two = np.flatnonzero(np.diff(cuts) == 2)  # most anchors that are shared at all
+            i = cuts[two]
+            i = i[apart(fp, fq, i, i + 1) <= MOST_BITS]
+            pairs, large = [np.stack([node[i], node[i + 1]], 1)], []
+            for s, e in zip(cuts[:-1][np.diff(cuts) > 2], cuts[1:][np.diff(cuts) > 2]):
+                degree, found, n = np.zeros(e - s, np.int64), [], 0
+                for i, j in candidates(fp[s:e], fq[s:e]):
+                    degree += np.bincount(i, minlength=e - s) + np.bincount(j, minlength=e - s)
+                    n += len(i)
+                    if n <= LINEAR * (e - s):
+                        found.append(np.stack([node[s + i], node[s + j]], 1))
+                if n > LINEAR * (e - s):
+                    hub = int(degree.argmax())
+                    j = np.flatnonzero(degree)
+                    large.append(s + j)
+                    j = j[(j != hub) & (apart(fp[s:e], fq[s:e], np.full(len(j), hub), j) <= MOST_BITS)]
+                    a = np.full(len(j), node[s + hub])
+                    found = [np.stack([np.minimum(a, node[s + j]), np.maximum(a, node[s + j])], 1)]
+                pairs += found
+            out, member = np.unique(np.concatenate(pairs), axis=0), np.concatenate(large) if large else np.zeros(0, int)
+            n, m = len(out), len(member)
             none = np.r_[np.zeros(n, bool), np.ones(m, bool)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.r_[found[:, 0], node[member]]), pa.array(np.r_[found[:, 1], node[member]], mask=none), pa.array(np.r_[np.zeros(n, np.int32), anchor[member]]),
-                pa.array(np.r_[np.zeros(n, np.int64), fp[member]]), pa.array(np.r_[np.zeros(n, np.int64), fq[member]]),
-            ], ["a", "b", "anchor", "fp", "fq"])
+            if n + m:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.r_[out[:, 0], node[member]]), pa.array(np.r_[out[:, 1], node[member]], mask=none), pa.array(np.r_[np.zeros(n, np.int32), anchor[member]]),
+                    pa.array(np.r_[np.zeros(n, np.int64), fp[member]]), pa.array(np.r_[np.zeros(n, np.int64), fq[member]]),
+                ], ["a", "b", "anchor", "fp", "fq"])
 
     copies = members.select("node", "fp", "fq").mapInArrow(spread, "anchor int, node long, fp long, fq long")
     return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "a long, b long, anchor int, fp long, fq long")
 
 
+def by_anchor(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Begin and end of each anchor whose members have different roots (the second column)."""
+    anchor, root = columns[:2]
+    cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if (root[s:e] != root[s]).any():
+            yield s, e
+
+
+def closest(placed: DataFrame) -> DataFrame:
+    """a, b: for each node outside the largest root of an anchor, its closest candidate with another root."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in groups(batches):
+            _, root, node, fp, fq = columns
+            pairs = [np.zeros((0, 2), np.int64)]
+            for s, e in by_anchor(columns):
+                names, counts = np.unique(root[s:e], return_counts=True)
+                for i in s + np.flatnonzero(root[s:e] != names[counts.argmax()]):
+                    j = s + np.flatnonzero(root[s:e] != root[i])
+                    bits = apart(fp, fq, np.full(len(j), i), j)
+                    if bits.min() <= MOST_BITS:
+                        pairs.append(np.sort(node[[i, j[bits.argmin()]]])[None, :])
+            out = np.unique(np.concatenate(pairs), axis=0)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    rows = placed.select("anchor", "root", "node", "fp", "fq")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "a long, b long").distinct()
+
+
 def unconnected(placed: DataFrame) -> DataFrame:
-    """a, b: candidates of an anchor that have different roots; placed has anchor, root, node, fp and fq."""
+    """anchor, root, node, fp, fq: the members of anchors that are in a candidate pair of different roots."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, root, node, fp, fq in groups(batches):
-            cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if root[s] == root[e - 1]:
-                    continue
-                for i in range(s, e - 1):  # roots stand in order within an anchor
-                    j = np.arange(max(i + 1, s + int(np.searchsorted(root[s:e], root[i], side="right"))), e)
-                    j = j[close(fp, fq, np.full(len(j), i), j)]
-                    if len(j):
-                        low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+        for columns in groups(batches):
+            _, root, _, fp, fq = columns
+            use = np.zeros(len(root), bool)
+            for s, e in by_anchor(columns):
+                for i, j in candidates(fp[s:e], fq[s:e]):
+                    apart_ = root[s + i] != root[s + j]
+                    use[s + i[apart_]] = use[s + j[apart_]] = True
+            if use.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["anchor", "root", "node", "fp", "fq"])
 
     rows = placed.select("anchor", "root", "node", "fp", "fq")
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "root", "node").mapInArrow(meet, "a long, b long").distinct()
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "anchor int, root long, node long, fp long, fq long")
+
+
+def sets_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and its packed set, from one text of each."""
+    places = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_row").alias("_row"))
+    own = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_row"), F.col("text").cast("string").alias("text"))
+    texts = own.join(places, "_row").groupBy("node").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "set"])
+
+    return texts.mapInArrow(run, "node long, set binary")
+
+
+def settled(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between the different roots of unconnected(), each candidate checked on whole sets unless a link found before spares it.
+
+    An anchor with more than TILE members is dealt over tiles, so that any two of its members meet in one of them.
+    """
+    tiles = left.groupBy("anchor").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int")
+    dealt = left.join(tiles, "anchor").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    dealt = dealt.withColumn("tile", F.xxhash64("anchor", F.least("_own", "_with"), F.greatest("_own", "_with"))).join(sets, "node").select("tile", "root", "node", "fp", "fq", "set")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in groups(batches):
+            tile, root, node, fp, fq, packed = columns
+            links = []
+            cuts = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = [np.frombuffer(x, np.uint64) for x in packed[s:e]]
+                now = np.unique(root[s:e], return_inverse=True)[1]
+                for i, j in candidates(fp[s:e], fq[s:e]):
+                    for x, y in zip(i[now[i] != now[j]].tolist(), j[now[i] != now[j]].tolist()):
+                        if now[x] != now[y] and similar(own[x], own[y]):
+                            links.append((node[s + x], node[s + y]))
+                            now[now == now[y]] = now[x]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return dealt.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(meet, "a long, b long").distinct()
 
 
 def checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -200,11 +294,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
         fits = F.least("_x", "_y") * DENOMINATOR >= F.greatest("_x", "_y") * NUMERATOR
         return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b")
 
-    first = stored(fitting(found.where("b IS NOT NULL").select("a", "b").distinct()))
-    links = stored(checked(first, rows, docs))
-    roots = stored(components(links))
-    placed = found.where("b IS NULL").select(F.col("a").alias("node"), "anchor", "fp", "fq").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stored(fitting(unconnected(placed).join(first, ["a", "b"], "left_anti")))
-    all_links = checked(more, rows, docs).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    final = components(all_links)
-    return rows.join(final, "node", "left").select("doc_id", "_row", F.coalesce("root", "node").alias("component"))
+    tried = stored(fitting(found.where("b IS NOT NULL").select("a", "b").distinct()))
+    roots = stored(components(checked(tried, rows, docs)))
+    large = found.where("b IS NULL").select(F.col("a").alias("node"), "anchor", "fp", "fq")
+    placed = lambda: large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tree = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    near = stored(fitting(closest(placed())).join(tried, ["a", "b"], "left_anti"))
+    roots = stored(components(checked(near, rows, docs).union(tree())))
+    left = stored(unconnected(placed()))
+    sets = sets_of(left.select("node").distinct(), rows, docs)
+    roots = components(settled(left, sets).union(tree()))
+    return rows.join(roots, "node", "left").select("doc_id", "_row", F.coalesce("root", "node").alias("component"))

@@ -81,8 +81,9 @@ def test_similar_pairs_of_the_tables_meet(spark):
 
 
 def test_large_families_at_one_anchor(spark, monkeypatch):
-    """Few pairs are allowed at an anchor, so that the star and the unconnected pairs after it do the work."""
-    monkeypatch.setattr(near_copies, "PAIRWISE", 2)
+    """No pairs are sent out, so that the hubs, the closest ones and the tiles of two sets do the work."""
+    monkeypatch.setattr(near_copies, "LINEAR", 0)
+    monkeypatch.setattr(near_copies, "TILE", 5)
     rng = random.Random(9)
     base = [f"b{rng.randrange(5000)}" for _ in range(300)]
     texts = []
