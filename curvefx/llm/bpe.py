@@ -1,11 +1,14 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Tasks cut the texts into words, block by block of BLOCK_BYTES of text: a block has its own numbering of words, and a text
-becomes a row of numbers. The distinct words of the whole corpus are then dealt by hash, each to one partition, which
-lays its words out as one linked list of tokens with an inverted index from a pair's rank to the positions of that pair.
-Ranks are replayed in order over all of them at once; a merge touches only its neighbours, whose new pairs enter
-the index. At last every block gets the tokens of its own words back, which its size bounds, and puts its texts together.
-So each word of the corpus is merged once, and no word's occurrences are shuffled, only one row for each block it is in.
+becomes a row of numbers. The distinct words of all blocks are dealt by hash to buckets, and a bucket lays its distinct
+words out as one linked list of tokens with an inverted index from a pair's rank to the positions of that pair. Ranks are
+replayed in order over all of them at once; a merge touches only its neighbours, whose new pairs enter the index. At
+last every block gets the tokens of its own words back, which its size bounds, and puts its texts together. So each
+word of the corpus is merged once, and no word's occurrences are shuffled, only one entry for each block it is in.
+
+Numbers, words and tokens travel packed, in two exchanges: texts by block and words by bucket in the first, tokens by block
+in the second.
 """
 
 from __future__ import annotations
@@ -14,17 +17,18 @@ import base64
 import hashlib
 import heapq
 import itertools
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stored
+from .common import ship
 
 ship(__name__)
 
@@ -34,6 +38,8 @@ REPLAY_BYTES = 8_000_000
 NONE = np.int32(2**31 - 1)
 #: White_Space of Unicode, which the pattern's \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Columns of a block's tokens from one bucket.
+NAMES, KINDS = ["name", "nos", "n", "sizes", "ids", "n_ids"], [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -186,7 +192,7 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def cut(texts: list[str | None], split: regex.Pattern) -> tuple[list[bytes], list[int], list[str]]:
+def cut(texts: list[str | None], split: regex.Pattern) -> tuple[list[bytes], list[int], list[bytes]]:
     """Of a block's texts: the packed numbers and the number of their words; and the words in the order of their numbers."""
     number: dict[str, int] = {}
     codes, sizes = [], []
@@ -194,7 +200,28 @@ def cut(texts: list[str | None], split: regex.Pattern) -> tuple[list[bytes], lis
         row = np.fromiter((number.setdefault(w, len(number)) for w in split.findall(t or "")), np.int64)
         codes.append(packed(row))
         sizes.append(len(row))
-    return codes, sizes, list(number)
+    return codes, sizes, [w.encode() for w in number]
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Lengths and bytes of words, compressed."""
+    raw = np.fromiter(map(len, words), "<u4", len(words)).tobytes() + b"".join(words)
+    return len(words).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked_words(raw: bytes) -> list[bytes]:
+    n, size = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+    raw = pa.Codec("zstd").decompress(raw[8:], size, asbytes=True)
+    ends = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4"), dtype=np.int64) + 4 * n
+    return [raw[i:j] for i, j in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def dealt(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has words, and the numbers of its words."""
+    which = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(which, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(words) else ():
+        yield int(which[part[0]]), part
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
@@ -211,37 +238,30 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
                 size += part.nbytes
 
 
-def word_tokens(words: DataFrame, merges) -> DataFrame:
-    """name, nos, sizes, ids (packed 32-bit integers): of a block's words, their numbers, their numbers of tokens, and those tokens.
-
-    words has _block, no and word; merges is a broadcast Merges. All rows of a word come together, so that it is merged
-    once; the rows of a block are packed, so that few travel back.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in itertools.chain(batches, [None]):
-            if held and (b is None or size + b.nbytes > REPLAY_BYTES):
-                table = pa.Table.from_batches(held).combine_chunks()
-                coded = table.column("word").combine_chunks().dictionary_encode()
-                ids, starts = replay([w.encode() for w in coded.dictionary.to_pylist()], merges.value)
-                block = table.column("_block").to_numpy()
-                order = np.argsort(block, kind="stable")
-                no, which = table.column("no").to_numpy()[order], coded.indices.to_numpy()[order]
-                n = np.diff(starts)[which]
-                ends = np.cumsum(n)
-                tokens = ids[np.repeat(starts[which] - (ends - n), n) + np.arange(int(ends[-1]))].astype("<i4")
-                cuts = np.r_[np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]]), len(order)]
-                at = np.r_[0, ends]
-                rows = [(no[s:e].astype("<i4").tobytes(), n[s:e].astype("<i4").tobytes(), tokens[at[s] : at[e]].tobytes()) for s, e in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(block[order][cuts[:-1]]), *[pa.array(c, pa.binary()) for c in zip(*rows)]], ["name", "nos", "sizes", "ids"])
-                held, size = [], 0
-            if b is not None and b.num_rows:
-                held.append(b)
-                size += b.nbytes
-
-    together = words.repartition("word").sortWithinPartitions("word")
-    return together.mapInArrow(run, "name long, nos binary, sizes binary, ids binary")
+def replayed(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words and the start of each word, REPLAY_BYTES of words at a time."""
+    ids, sizes, at, size = [], [], 0, 0
+    for i, w in enumerate([*words, None]):
+        if i > at and (w is None or size + len(w) > REPLAY_BYTES):
+            got, starts = replay(words[at:i], merges)
+            ids.append(got)
+            sizes.append(np.diff(starts))
+            at, size = i, 0
+        size += len(w or b"")
+    return (np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(sizes))]) if ids else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+
+def bucket_tokens(rows: list[tuple[int, bytes, bytes, int]], merges: Merges) -> Iterator[tuple[int, bytes, int, bytes, bytes, int]]:
+    """For a bucket's rows (block, packed words, packed numbers, how many): block, packed numbers, how many, packed numbers of tokens, packed tokens, how many."""
+    known: dict[bytes, int] = {}
+    which = [np.fromiter((known.setdefault(w, len(known)) for w in unpacked_words(words)), np.int64, n) for _, words, _, n in rows]
+    ids, starts = replayed(list(known), merges)
+    size = np.diff(starts)
+    for (block, _, nos, count), own in zip(rows, which):
+        n = size[own]
+        ends = np.cumsum(n)
+        tokens = ids[np.repeat(starts[own] - (ends - n), n) + np.arange(int(ends[-1]))]
+        yield block, nos, count, packed(n), packed(tokens), len(tokens)
 
 
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
@@ -254,7 +274,8 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
     result. Columns of df that are called like an output are replaced.
     """
     with open(path, "rb") as f:
-        merges = df.sparkSession.sparkContext.broadcast(Merges(read_ranks(f)))
+        # as plain values: workers need no copy of the package to read a broadcast
+        shared = df.sparkSession.sparkContext.broadcast(vars(Merges(read_ranks(f))))
     keep = [c for c in df.columns if c != text and c not in outputs]
     own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     # the kept columns travel by position, so that no name can clash
@@ -262,30 +283,58 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
     src = own.toDF(*held, "_text")
     fields = [T.StructField(h, src.schema[h].dataType) for h in held]
     spelled = splitter(pattern)
+    buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inner = T.StructType.fromDDL("_key long, _size long, _codes binary, _words binary, _block long").fields
+
+    def vocabulary() -> Merges:
+        m = Merges.__new__(Merges)
+        m.__dict__ = shared.value
+        return m
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts (by the odd name of their block, which its words give it), then the words (by an even bucket)."""
         split = regex.compile(spelled)
         for whole in blocks(batches, len(held)):
             codes, sizes, words = cut(whole.column(len(held)).to_pylist(), split)
-            n, name = whole.num_rows, int.from_bytes(os.urandom(8), "little", signed=True)
-            lists = pa.array([words] + [None] * (n - 1), pa.list_(pa.string()))
-            columns = [*whole.columns[:-1], pa.array([name] * n, pa.int64()), pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), lists]
-            yield from pa.Table.from_arrays(columns, names=[*held, "_block", "_codes", "_size", "_words"]).to_batches(max_chunksize=4096)
-
-    cuts = stored(src.mapInArrow(number, T.StructType([*fields, *T.StructType.fromDDL("_block long, _codes binary, _size long, _words array<string>").fields])))
-    words = cuts.where("_words IS NOT NULL").select("_block", F.posexplode("_words").alias("no", "word"))
-    back = word_tokens(words, merges)
+            n, digest = whole.num_rows, xxhash.xxh64()
+            for w in words:
+                digest.update(w + b"\0")
+            digest.update(np.array(sizes).tobytes())
+            name = (digest.intdigest() - 2**63) | 1
+            parts = list(dealt(words, buckets))
+            m = len(parts)
+            kept = [pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, pa.nulls(m, c.type)]) for c in whole.columns[:-1]]
+            columns = [
+                pa.array([name] * n + [2 * k for k, _ in parts], pa.int64()), pa.array(sizes + [len(p) for _, p in parts], pa.int64()),
+                pa.array(codes + [packed(p) for _, p in parts], pa.binary()), pa.array([None] * n + [packed_words([words[i] for i in p.tolist()]) for _, p in parts], pa.binary()), pa.array([name] * (n + m), pa.int64()),
+            ]
+            yield from pa.Table.from_arrays([*kept, *columns], names=[*held, *[f.name for f in inner]]).to_batches(max_chunksize=4096)
+
+    def replay_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, m = None, [], vocabulary()
+        for b in itertools.chain(batches, [None]):
+            part = b.filter(b.column("_words").is_valid()).select(["_key", "_block", "_words", "_codes", "_size"]).to_pylist() if b is not None else [None]
+            for x in part:
+                if rows and (x is None or x["_key"] != at):
+                    for out in itertools.batched(bucket_tokens(rows, m), 64):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], NAMES)
+                    rows = []
+                if x is not None:
+                    at = x["_key"]
+                    rows.append((x["_block"], x["_words"], x["_codes"], x["_size"]))
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = merges.value
-        no, sizes, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), "<i4") for c in ("nos", "sizes", "ids"))
+        left = left.filter(pa.compute.is_null(left.column("_words")))
+        m = vocabulary()
+        parts = [(unpacked(x["nos"], x["n"]), unpacked(x["sizes"], x["n"]), unpacked(x["ids"], x["n_ids"])) for x in right.to_pylist()]
+        no, sizes, ids = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*parts) if parts else ((), (), ())))
         size, starts = np.zeros((2, len(no)), np.int64)
         size[no] = sizes
-        starts[no] = np.cumsum(sizes, dtype=np.int64) - sizes
+        starts[no] = np.cumsum(sizes) - sizes
         cols: dict[str, list] = {c: [] for c in outputs}
         for raw, n_words in zip(left.column("_codes").to_pylist(), left.column("_size").to_pylist()):
             row = unpacked(raw, n_words)
-            n = size[row]
+            n = size[row]  # a number without tokens, as after a source that gave other rows when read again, is an error here
             ends = np.cumsum(n)
             total = int(ends[-1]) if n_words else 0
             got = ids[np.repeat(starts[row] - (ends - n), n) + np.arange(total)]
@@ -302,8 +351,10 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
         return pa.Table.from_arrays([*[left.column(h) for h in held], *[pa.array(cols[c], kinds.get(c, pa.string())) for c in outputs]], names=[*held, *outputs])
 
     added = T.StructType.fromDDL(", ".join(f"{c} {OUTPUTS[c]}" for c in outputs)).fields
-    texts = cuts.select(*held, "_block", "_codes", "_size")
-    out = texts.groupBy("_block").cogroup(back.groupBy("name")).applyInArrow(put, T.StructType([*fields, *added]))
+    # one exchange of texts and words, which both sides read
+    first = src.mapInArrow(number, T.StructType([*fields, *inner])).repartition("_key")
+    back = first.sortWithinPartitions("_key").mapInArrow(replay_buckets, "name long, nos binary, n long, sizes binary, ids binary, n_ids long")
+    out = first.groupBy("_key").cogroup(back.groupBy("name")).applyInArrow(put, T.StructType([*fields, *added]))
     return out.toDF(*keep, *outputs)
 
 
