@@ -6,10 +6,13 @@ target_id, arm (nullable), value (nullable), status in ok, not_applicable, faile
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curves import normal_tail
+from .ordered import stored
 
 COORDINATES = ["dgp", "method", "seed", "n_grid", "n_particles"]
 
@@ -51,6 +54,25 @@ def cost_summary(ledger: DataFrame, keys: list[str], value: str = "wall_seconds"
     return once.groupBy(*keys).agg(F.percentile("v", 0.5).alias("median"), F.max("v").alias("largest"), F.count("*").alias("cells"))
 
 
+def evaluated(laws: DataFrame, evaluators: dict[str, Callable[[DataFrame], DataFrame]], key: str) -> DataFrame:
+    """key, metric, value, status and failure_reason: every evaluator's value (columns key and value) for each key of laws.
+
+    An evaluator that raises marks its metric failed for all keys, with the reason; a key without a value is
+    not_applicable. Each evaluator's result is stored at once, so that its faults show here and spare the others.
+    """
+    keys = stored(laws.select(key).distinct())
+    out = None
+    for metric, f in evaluators.items():
+        try:
+            got = stored(f(laws).select(key, F.col("value").cast("double").alias("value")))
+            rows = keys.join(got, key, "left").select(key, F.lit(metric).alias("metric"), "value", F.when(F.col("value").isNull(), "not_applicable").otherwise("ok").alias("status"), F.lit(None).cast("string").alias("failure_reason"))
+        except Exception as fault:  # whatever a user's evaluator raises
+            reason = f"{type(fault).__name__}: {fault}".partition("\n")[0][:600]
+            rows = keys.select(key, F.lit(metric).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit("failed").alias("status"), F.lit(reason).alias("failure_reason"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def rmse_delta(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Root mean square over replications and its delta-method standard error."""
     v2 = F.col("value") * F.col("value")

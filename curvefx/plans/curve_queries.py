@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
+from ..functions import sql
 from ..grid import array_of, interior_levels, midpoint_levels
 from ..operators import ordered, prep, quantiles
 from .roles import BINNED, CURVES, FULL, FUNCS, MICRO, STAR, UNITS, R, curves, curves_long, knots_sql, micro, r, table, twin, units
@@ -75,6 +76,15 @@ def q4(spark, d):
     return designed(spark, d).select("unit_id", *[r(c).alias(n) for n, c in zip(C.FUNCTIONALS, C.functionals(F.col("q"), F.col("q_star")))])
 
 
+@query("q4_sql_functions", twin(FULL, f"SELECT unit_id, {', '.join(f'{R(c)} AS {c}' for c in C.FUNCTIONALS)}, {R('p90')} AS p90 FROM func JOIN (SELECT unit_id, max(q) FILTER (k = 23) AS p90 FROM curve GROUP BY unit_id) USING (unit_id)"))
+def q4_sql(spark, d):
+    """The functionals, and one of the user's own, as functions of SQL text."""
+    sql.register(spark, {"curve_p90": "(q ARRAY<DOUBLE>) RETURNS DOUBLE RETURN q[22]"})
+    shown = {"mean": "curve_mean(q)", "sd": "curve_sd(q)", "skew": "curve_skew(q)", "tail": "curve_tail(q)", "reference": "curve_distance(q, q_star)", "p90": "curve_p90(q)"}
+    text = ", ".join(f"round({f} + 1.234e-6D, 4) AS {n}" for n, f in shown.items())
+    return spark.sql(f"SELECT unit_id, {text} FROM {{units}}", units=designed(spark, d).select("unit_id", "q", "q_star"))
+
+
 @query("q5_alternative_benchmarks", twin(FULL, f"""SELECT unit_id, {R("sqrt(avg(pow(q / mean - s / ms, 2)))", 8)} AS normalised, {R("sqrt(avg(pow(q - mean * (1 - (k::DOUBLE - 0.5) / 25), 2)))")} AS to_ramp FROM curve JOIN mom USING (unit_id) JOIN star USING (k) CROSS JOIN (SELECT avg(s) AS ms FROM star) GROUP BY unit_id"""))
 def q5(spark, d):
     """Distance to the benchmark after both are divided by their means, and to a ramp."""

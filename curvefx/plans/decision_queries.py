@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions as D
+from ..operators import ledger as L
 from .ledger_queries import JACK, LEDGER, cells, rounded, rsql
 from .roles import R, r, twin
 
@@ -147,6 +148,17 @@ def a13_scaling(spark, d):
     return rounded(D.dimension_scaling(cells(spark, d).where("metric = 'level_rmse'"), "n_grid", "wall_seconds", 100.0), ["n_grid", "cells", "decision"])
 
 
+@query("a1_extra_evaluators", twin(LEDGER, f"SELECT dgp, 'level' AS metric, {R('avg(value) FILTER (metric = $$level_rmse$$)', 5)} AS value, 'ok' AS status, NULL AS failure_reason FROM cells GROUP BY dgp UNION ALL SELECT dgp, 'of_click', {R('avg(value) FILTER (dgp = $$click$$)', 5)}, CASE WHEN dgp = 'click' THEN 'ok' ELSE 'not_applicable' END, NULL FROM cells GROUP BY dgp UNION ALL SELECT dgp, 'faulty', NULL, 'failed', 'ValueError: no such target' FROM cells GROUP BY dgp"))
+def a1_extra(spark, d):
+    """A user's evaluators beside each other: one for all designs, one for a single design, one that raises."""
+
+    def faulty(c):
+        raise ValueError("no such target")
+
+    own = {"level": lambda c: c.where("metric = 'level_rmse'").groupBy("dgp").agg(F.avg("value").alias("value")), "of_click": lambda c: c.where("dgp = 'click'").groupBy("dgp").agg(F.avg("value").alias("value")), "faulty": faulty}
+    return L.evaluated(cells(spark, d), own, "dgp").withColumn("value", r(F.col("value"), 5))
+
+
 @query("a15_guarded_ledger", twin(LEDGER + ", " + JACK, f"SELECT dgp, method, metric, {R('avg(value)', 5)} AS mean, (SELECT count(*) FROM (SELECT DISTINCT dgp, method, metric FROM ledger)) AS expected FROM cells GROUP BY dgp, method, metric"))
 def a15_guarded(spark, d):
     """One row for each design, method and metric of the ledger: exactly so many, or an error."""
