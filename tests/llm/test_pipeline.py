@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from test_near_copies import brute as jaccard_groups  # noqa: E402
 from test_operators import python_cutoffs, tiktoken_encoding  # noqa: E402
 
 from curvefx.llm import pii, quality_rules  # noqa: E402
@@ -23,8 +24,8 @@ def test_run(spark):
     raw = quality_rules.features(spark.read.parquet(f"{DATA}/documents.parquet").withColumn("stratum", F.coalesce("lang", F.lit("")))).collect()
     cuts, value = python_cutoffs(raw, labels)
     kept = [r["doc_id"] for r in raw if not brute.op6(docs[r["doc_id"]]["text"])[5] and not any(value(r)[k] >= c for (s, k), c in cuts.items() if s == r["stratum"])]
-    groups = brute.op4([(d, docs[d]["text"]) for d in kept])
-    kept = [d for d in kept if groups[d][1] == d]
+    root = jaccard_groups([docs[d]["text"] or "" for d in kept])  # five words, similarity 0.8
+    kept = [d for d, r in zip(kept, root) if d == min(x for x, y in zip(kept, root) if y == r)]
     dirty = brute.op1([(d, docs[d]["text"]) for d in kept], items)
     kept = [d for d in kept if not dirty[d][4]]
     frame = spark.createDataFrame([(d, docs[d]["text"]) for d in kept], "doc_id long, text string")
