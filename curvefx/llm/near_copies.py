@@ -1,4 +1,4 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least SHARE, and what they connect.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least 0.8, and what they connect.
 
 Candidates meet at the anchors of the covering code that simhash.py describes. A text has two fingerprints of 64 majority
 bits, each of which goes to about 61 anchors. Fingerprints are of its two-word shingles, of which a changed word touches
