@@ -7,7 +7,7 @@ code guarantees, but pairs so close still share an anchor of one fingerprint or
 of those that differ in one long passage instead (a seventh of the bits). At an anchor all pairs that differ in
 at most MOST_BITS of both fingerprints are candidates, and every link is checked on the whole five-word sets.
 Where an anchor has more than LINEAR candidate pairs a member, as in a family of near copies, no pairs go out: all are
-compared with the member that has the most candidates, then those that this leaves apart with their closest one, and at last
+compared with one member that has many candidates, then those that this leaves apart with their closest one, and at last
 the sets of what is still unconnected meet at the anchor, where every remaining candidate is checked in place and only
 links leave. So rows grow with members and not with pairs, and no candidate is left out.
 """
@@ -37,7 +37,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: share an anchor lie below that (21 at most of the similar pairs of check tables).
 THRESHOLD, MOST_BITS = 2, 24
 #: Candidate pairs a member that an anchor sends out; and members whose sets meet in one task.
-LINEAR, TILE = 8, 10_000
+LINEAR, TILE = 4, 10_000
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -115,7 +115,7 @@ def candidates(fp: np.ndarray, fq: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 def met(members: DataFrame) -> DataFrame:
     """a, b, anchor, fp, fq: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
 
-    Of such an anchor, the pairs of the member with the most candidates go out; of other ones all.
+    Of such an anchor, the pairs of one member go out: the least node with half the most candidates; of other ones all.
     """
     single, patterns = code_tables(THRESHOLD)
 
@@ -143,7 +143,7 @@ def met(members: DataFrame) -> DataFrame:
                     if n <= LINEAR * (e - s):
                         found.append(np.stack([node[s + i], node[s + j]], 1))
                 if n > LINEAR * (e - s):
-                    hub = int(degree.argmax())
+                    hub = int((2 * degree >= degree.max()).argmax())  # the least node of many candidates, which is the same at many anchors
                     j = np.flatnonzero(degree)
                     large.append(s + j)
                     j = j[(j != hub) & (apart(fp[s:e], fq[s:e], np.full(len(j), hub), j) <= MOST_BITS)]
