@@ -1,7 +1,7 @@
 """Laws: weighted sets of curves per unit and arm, as long tables unit_id, arm, atom_id, mass, q.
 
-Pairs are formed inside one unit and arm by equi-joins; distances between the atoms of a shared bank are computed once
-per bank, not per unit. Grid weights are equal unless given.
+Sums over pairs of atoms of a unit come from pairs.py, in blocks inside tasks; distances between the atoms of a shared
+bank are computed once per bank, not per unit. Grid weights are equal unless given.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves as C
 from ..functions import draws
+from . import pairs
 from .prep import evenly_spaced
 
 KEYS = ["unit_id", "arm"]
@@ -49,11 +50,15 @@ def effective_support(law: DataFrame) -> DataFrame:
     return law.groupBy(*KEYS).agg((1.0 / F.sum(F.col("mass") * F.col("mass"))).alias("support"))
 
 
-def self_term(law: DataFrame, kernel: Callable[[Column, Column], Column]) -> DataFrame:
-    """KEYS, own: sum over pairs of atoms of mass, mass and kernel."""
-    a = law.select(*KEYS, "mass", "q")
-    b = law.select(*KEYS, F.col("mass").alias("_m"), F.col("q").alias("_q"))
-    return a.join(b, KEYS).groupBy(*KEYS).agg(F.sum(F.col("mass") * F.col("_m") * kernel(F.col("q"), F.col("_q"))).alias("own"))
+def sided(law: DataFrame, other: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Rows for pairs.pair_sums: a law is side 0, and other (keys, mass, q), at units that the law has, side 1."""
+    rows = law.select(*keys, F.lit(0).alias("side"), "mass", "q")
+    return rows if other is None else rows.unionByName(other.join(law.select(*keys).distinct(), keys, "left_semi").select(*keys, F.lit(1).alias("side"), "mass", "q"))
+
+
+def self_term(law: DataFrame, kernel: Callable) -> DataFrame:
+    """KEYS, own: sum over pairs of atoms of mass, mass and kernel (of squared distances)."""
+    return pairs.pair_sums(sided(law), KEYS, kernel).select(*KEYS, F.col("s00").alias("own"))
 
 
 def self_term_of_bank(bank: DataFrame, weights: DataFrame, kernel: Callable[[Column, Column], Column]) -> DataFrame:
@@ -64,38 +69,27 @@ def self_term_of_bank(bank: DataFrame, weights: DataFrame, kernel: Callable[[Col
     return used.join(pairs, ["i", "j"]).groupBy(*KEYS).agg(F.sum(F.col("mass") * F.col("_m") * F.col("_k")).alias("own"))
 
 
-def cross_term(law: DataFrame, other: DataFrame, kernel: Callable[[Column, Column], Column], keys: list[str] = KEYS) -> DataFrame:
-    """KEYS, cross: sum of mass, mass and kernel over atoms of both laws; other has keys, mass and q."""
-    b = other.select(*keys, F.col("mass").alias("_m"), F.col("q").alias("_q"))
-    return law.join(b, keys).groupBy(*KEYS).agg(F.sum(F.col("mass") * F.col("_m") * kernel(F.col("q"), F.col("_q"))).alias("cross"))
-
-
 def energy_score(law: DataFrame, observed: DataFrame, eps: float = 0.0) -> DataFrame:
-    """KEYS, attraction, repulsion, score of a law at observed curves (KEYS, q): lower is better."""
-    kernel = lambda a, b: C.smoothed_distance(a, b, eps)
-    att = cross_term(law, observed.withColumn("mass", F.lit(1.0)), kernel)
-    both = att.join(self_term(law, kernel), KEYS)
-    return both.select(*KEYS, F.col("cross").alias("attraction"), (0.5 * F.col("own")).alias("repulsion"), (F.col("cross") - 0.5 * F.col("own")).alias("score"))
+    """KEYS, attraction, repulsion, score of a law at observed curves (KEYS, q): lower is better. Units without an observed curve have no row."""
+    seen = observed.select(*KEYS, F.lit(1.0).alias("mass"), "q")
+    both = pairs.pair_sums(sided(law.join(seen.select(*KEYS).distinct(), KEYS, "left_semi"), seen), KEYS, pairs.smoothed(eps))
+    return both.select(*KEYS, F.col("s01").alias("attraction"), (0.5 * F.col("s00")).alias("repulsion"), (F.col("s01") - 0.5 * F.col("s00")).alias("score"))
 
 
 def energy_risk(law: DataFrame, truth: DataFrame, eps: float = 0.0, own: DataFrame | None = None) -> DataFrame:
-    """KEYS, risk against a weighted reference law."""
-    kernel = lambda a, b: C.smoothed_distance(a, b, eps)
-    both = cross_term(law, truth, kernel).join(own if own is not None else self_term(law, kernel), KEYS)
-    return both.select(*KEYS, (F.col("cross") - 0.5 * F.col("own")).alias("risk"))
+    """KEYS, risk against a weighted reference law; own may hold the law's own term."""
+    both = pairs.pair_sums(sided(law.join(truth.select(*KEYS).distinct(), KEYS, "left_semi"), truth), KEYS, pairs.smoothed(eps))
+    both = both.withColumn("own", F.col("s00")) if own is None else both.join(own, KEYS)
+    return both.select(*KEYS, (F.col("s01") - 0.5 * F.col("own")).alias("risk"))
 
 
 def energy_gradient(law: DataFrame, observed: DataFrame, eps: float = 0.0) -> DataFrame:
     """KEYS, atom_id, k, g: the score's derivative in each coordinate of each atom of a uniform law with an observed curve; 0 at exact collisions without eps."""
     law = law.join(observed.select(*KEYS), KEYS, "left_semi")
-    a = law.select(*KEYS, "atom_id", "q")
+    rows = law.select(*KEYS, "atom_id", F.lit(0).alias("side"), "q")
+    seen = observed.join(law.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS, F.lit(None).cast(law.schema["atom_id"].dataType).alias("atom_id"), F.lit(1).alias("side"), "q")
     size = law.groupBy(*KEYS).agg(F.count("*").alias("m"))
-    part = lambda x, y: F.zip_with(x, y, lambda p, o: F.coalesce(F.try_divide((p - o) / F.size(x), F.sqrt(C.curve_dist2(x, y) + eps * eps)), F.lit(0.0)))
-    att = a.join(observed.select(*KEYS, F.col("q").alias("_y")), KEYS).select(*KEYS, "atom_id", F.posexplode(part(F.col("q"), F.col("_y"))).alias("k", "v")).withColumn("sign", F.lit(1.0))
-    rep = a.join(a.select(*KEYS, F.col("q").alias("_y")), KEYS).select(*KEYS, "atom_id", F.posexplode(part(F.col("q"), F.col("_y"))).alias("k", "v")).withColumn("sign", F.lit(-1.0))
-    both = att.unionByName(rep).join(size, KEYS)
-    scale = F.when(F.col("sign") > 0, 1.0 / F.col("m")).otherwise(-1.0 / (F.col("m") * F.col("m")))
-    return both.groupBy(*KEYS, "atom_id", "k").agg(F.sum(F.col("v") * scale).alias("g"))
+    return pairs.pull(rows.unionByName(seen), KEYS, "atom_id", eps).join(size, KEYS).select(*KEYS, "atom_id", "k", (F.col("att") / F.col("m") - F.col("rep") / (F.col("m") * F.col("m"))).alias("g"))
 
 
 def gaussian(bandwidth: float) -> Callable[[Column, Column], Column]:
@@ -104,9 +98,8 @@ def gaussian(bandwidth: float) -> Callable[[Column, Column], Column]:
 
 def squared_mmd(law: DataFrame, truth: DataFrame, bandwidth: float) -> DataFrame:
     """KEYS, mmd2: squared kernel distance of two laws with the same keys, at least 0."""
-    k = gaussian(bandwidth)
-    t = self_term(truth, k).withColumnRenamed("own", "_t")
-    return self_term(law, k).join(cross_term(law, truth, k), KEYS).join(t, KEYS).select(*KEYS, F.greatest(F.col("own") - 2 * F.col("cross") + F.col("_t"), F.lit(0.0)).alias("mmd2"))
+    both = pairs.pair_sums(sided(law.join(truth.select(*KEYS).distinct(), KEYS, "left_semi"), truth), KEYS, pairs.gaussian(bandwidth))
+    return both.select(*KEYS, F.greatest(F.col("s00") - 2 * F.col("s01") + F.col("s11"), F.lit(0.0)).alias("mmd2"))
 
 
 def median_bandwidth(curves: DataFrame, key: str, most: int = 512) -> DataFrame:
@@ -183,11 +176,10 @@ def witness(law: DataFrame, points: DataFrame, bandwidth: float) -> DataFrame:
     return points.join(signed, "unit_id").groupBy("unit_id", "point_id").agg(F.sum(F.col("_s") * gaussian(bandwidth)(F.col("q"), F.col("_q"))).alias("w"))
 
 
-def kernel_effect(law: DataFrame, bandwidth: float) -> DataFrame:
-    """unit_id, norm2: squared norm of the difference of the two arms' mean embeddings."""
-    s = law.select("unit_id", (F.col("mass") * F.when(F.col("arm") == 1, 1.0).otherwise(-1.0)).alias("s"), "q")
-    t = s.select("unit_id", F.col("s").alias("_s"), F.col("q").alias("_q"))
-    return s.join(t, "unit_id").groupBy("unit_id").agg(F.sum(F.col("s") * F.col("_s") * gaussian(bandwidth)(F.col("q"), F.col("_q"))).alias("norm2"))
+def kernel_effect(law: DataFrame, bandwidth: float, keys: list[str] = ["unit_id"]) -> DataFrame:  # noqa: B006
+    """keys, norm2: squared norm of the difference of the two arms' mean embeddings."""
+    rows = law.select(*keys, (F.col("arm") == 1).cast("int").alias("side"), "mass", "q")
+    return pairs.pair_sums(rows, keys, pairs.gaussian(bandwidth)).select(*keys, (F.col("s00") + F.col("s11") - 2 * F.col("s01")).alias("norm2"))
 
 
 def resampled_test(norms: DataFrame, alpha: float) -> DataFrame:

@@ -115,9 +115,13 @@ def l6(spark, d):
     return out(L.energy_score(law(spark, d), seen(spark, d), 1.0), "attraction", "repulsion", "score")
 
 
-@query("l8_energy_gradient", twin(ALL + """, u AS (SELECT unit_id, arm, count(*) AS m FROM law GROUP BY ALL),
-g1 AS (SELECT a.unit_id, a.arm, a.atom_id, a.k, (a.q - t.q) / 5 / sqrt(c.d2 + 1) AS v FROM lawk a JOIN seen ON seen.unit_id = a.unit_id JOIN truthk t ON t.unit_id = a.unit_id AND t.arm = a.arm AND t.k = a.k AND t.node_id = seen.node_id JOIN crs c ON c.unit_id = a.unit_id AND c.arm = a.arm AND c.i = a.atom_id AND c.j = t.node_id),
-g2 AS (SELECT a.unit_id, a.arm, a.atom_id, a.k, sum((a.q - b.q) / 5 / sqrt(o.d2 + 1)) AS v FROM lawk a JOIN lawk b ON b.unit_id = a.unit_id AND b.arm = a.arm AND b.k = a.k JOIN own o ON o.unit_id = a.unit_id AND o.arm = a.arm AND o.i = a.atom_id AND o.j = b.atom_id GROUP BY ALL)""", f"SELECT g1.unit_id, g1.arm, g1.atom_id, (g1.k - 1)::INT AS k, {R('g1.v / m - g2.v / (m * m)', 6)} AS g FROM g1 JOIN g2 USING (unit_id, arm, atom_id, k) JOIN u USING (unit_id, arm)"))
+#: Atoms as lists, the observed curve among them as atom 0 of side 1, and of each atom the sum of weights 1 / (5 distance) and of weighted curves, by side.
+PULLS = """bl AS (SELECT supp, list(q ORDER BY k) AS q FROM bank GROUP BY supp),
+pt AS (SELECT unit_id, arm, atom_id, 0 AS side, q FROM law JOIN bl ON supp = atom_id UNION ALL SELECT unit_id, arm, node_id, 1, q FROM seen JOIN bl ON supp = node_id JOIN (SELECT DISTINCT unit_id, arm FROM law) USING (unit_id)),
+pw AS (SELECT unit_id, arm, a.atom_id, b.side, any_value(a.q) AS q, count(*) AS m, sum(w) AS w, [{0}] AS s FROM (SELECT a.unit_id, a.arm, a, b, 1 / (5 * sqrt(list_distance(a.q, b.q) * list_distance(a.q, b.q) / 5 + 1)) AS w FROM pt a JOIN pt b ON a.unit_id = b.unit_id AND a.arm = b.arm WHERE a.side = 0) GROUP BY ALL)""".format(", ".join(f"sum(w * b.q[{k}])" for k in range(1, 6)))
+
+
+@query("l8_energy_gradient", twin(LAW + ",\n" + PULLS, f"SELECT x.unit_id, x.arm, x.atom_id, (k - 1)::INT AS k, {R('(y.w * x.q[k] - y.s[k]) / x.m - (x.w * x.q[k] - x.s[k]) / (x.m * x.m)', 6)} AS g FROM pw x JOIN pw y ON y.unit_id = x.unit_id AND y.arm = x.arm AND y.atom_id = x.atom_id AND x.side = 0 AND y.side = 1 CROSS JOIN (SELECT unnest(range(1, 6)) AS k)"))
 def l8(spark, d):
     g = L.energy_gradient(law(spark, d), seen(spark, d), 1.0)
     return out(g, "g", n=6, keys=("unit_id", "arm", "atom_id", "k"))
