@@ -23,13 +23,15 @@ from .common import ship, stored
 ship(__name__)
 
 #: Random lines; half a window's width in radii; the chance that a vector at the very radius is passed over.
-LINES, HALF, MISS = 64, 1.0, 0.1
-#: Windows grow from radius / 9 by this factor, in so many steps.
-GROWTH, STEPS = 3.0, 3
+LINES, HALF, MISS = 128, 1.0, 0.1
+#: Windows grow to the radius by this factor, in so many steps.
+GROWTH, STEPS = 4.0, 2
 #: One row of so many, and at most so many bytes of rows, are compared with every query first: they bound its radius.
 SHARE, SAMPLE_BYTES = 8, 8_000_000
 #: Bytes of vectors in a block, and of queries in a block.
-BLOCK_BYTES, QUERY_BYTES = 2_000_000, 500_000
+BLOCK_BYTES, QUERY_BYTES = 3_000_000, 2_000_000
+#: Windows with a smaller share of all entries are read from the arrays; of wider ones, ranks are compared with their ends.
+NARROW = 0.05
 
 
 def least_collisions() -> int:
@@ -65,33 +67,51 @@ class Block:
         values = (np.hstack([rows, spare[:, None]]) @ lines(rows.shape[1])).T
         self.order = np.argsort(values, axis=1)
         self.values = np.take_along_axis(values, self.order, 1)
+        self.rank = np.empty(values.shape, np.uint16 if len(rows) < 2**16 else np.uint32)  # each vector's place in each array
+        np.put_along_axis(self.rank, self.order, np.arange(len(rows), dtype=self.rank.dtype)[None, :], 1)
+        self.rough = rows.astype(np.float32)
+
+    def collisions(self, ends: np.ndarray) -> np.ndarray:
+        """In how many of a query's windows (lines, 2) each vector lies."""
+        size = ends[:, 1] - ends[:, 0]
+        if size.sum() < NARROW * self.rank.size:
+            return np.bincount(np.concatenate([o[a:b] for o, (a, b) in zip(self.order, ends.tolist())]), minlength=len(self.rows))
+        kind = self.rank.dtype
+        inside = self.rank - ends[:, :1].astype(kind) < size[:, None].astype(kind)  # ranks below a window wrap around
+        return inside.view(np.uint8).sum(0, dtype=np.uint8 if LINES < 256 else np.int64)
 
     def radius(self, query: np.ndarray, score: float) -> float:
         """The distance of a vector with this inner product to the query brought to the largest norm."""
         return math.sqrt(max(0.0, 2 * self.most**2 - 2 * score * self.most / math.sqrt(query @ query)))
 
+    def windows(self, centres: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """Begin and end in each line's order of each query's window: (queries, lines, 2)."""
+        sides = centres[:, :, None] + half[:, None, None] * np.array([-1.0, 1.0])
+        return np.stack([v.searchsorted(sides[:, i]) for i, v in enumerate(self.values)], 1)
+
     def search(self, queries: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and scores of its k best rows that reach its floor, among those with enough collisions."""
         need, slack = least_collisions(), 1e-9 * (self.most + 1)
         scaled = queries * (self.most / np.sqrt((queries * queries).sum(1)))[:, None]
         centres = np.hstack([scaled, np.zeros((len(queries), 1))]) @ lines(self.rows.shape[1])
         n = len(self.rows)
-        for query, centre, floor in zip(queries, centres, floors):
+        wholes = np.array([self.radius(q, f) if f > -np.inf else 0.0 for q, f in zip(queries, floors)])
+        planned = np.array([self.windows(centres, HALF * wholes * GROWTH ** (step + 1 - STEPS) + slack) for step in range(STEPS)])
+        for at, (query, centre, floor, whole) in enumerate(zip(queries, centres, floors, wholes)):
             if floor == -np.inf:  # fewer than k rows bound it: all are compared
                 some = np.arange(n)
                 got = scores(self.rows, query)
             else:
                 kth, some, got, seen = floor, np.zeros(0, np.int64), np.zeros(0), np.zeros(n, bool)
-                whole = self.radius(query, floor)
                 for step in range(STEPS):
-                    reach = min(whole * GROWTH ** (step + 1 - STEPS), self.radius(query, kth))
-                    half = HALF * reach + slack
-                    ends = [v.searchsorted((c - half, c + half)) for v, c in zip(self.values, centre)]
-                    count = np.bincount(np.concatenate([o[a:b] for o, (a, b) in zip(self.order, ends)]), minlength=n)
-                    new = np.flatnonzero((count >= need) & ~seen)
+                    reach, ends = whole * GROWTH ** (step + 1 - STEPS), planned[step, at]
+                    if self.radius(query, kth) < reach:  # better ones are known by now
+                        reach = self.radius(query, kth)
+                        ends = self.windows(centre[None], np.array([HALF * reach + slack]))[0]
+                    new = np.flatnonzero((self.collisions(ends) >= need) & ~seen)
                     if len(new):
                         seen[new] = True
-                        near = new[self.rows[new] @ query >= kth - slack * self.most]
+                        near = new[self.rough[new] @ query.astype(np.float32) >= kth - 1e-5 * self.most * np.sqrt(query @ query)]
                         some, got = np.append(some, near), np.append(got, scores(self.rows[near], query))
                         if len(got) >= k:
                             kth = max(kth, np.partition(got, -k)[-k])
