@@ -23,7 +23,7 @@ from .common import ship, unused
 ship(__name__)
 
 #: Bytes of text that are searched together; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Grid places that are made at once.
 PLACES = 2_000_000
 #: Passes over the first places of streaks, before all that are left are extended at once.
