@@ -26,10 +26,19 @@ BLOCK = frozenset("address article blockquote body br caption center dd details
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal newsletter subscribe signup sidebar widget nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright comment comments disqus respond reply replies share sharing social related recommended".split())
 BESIDE = frozenset("a area bar block bottom box buttons container form icons item left links list main page panel right section site slot thread top wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Words of class and id names beside a post's author and time.
+MARKS = frozenset("author avatar byline user username nick posted timestamp date datetime time ago".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A text of fewer characters is short; one of as many outside links may be a paragraph of the article.
+SHORT, PARAGRAPH = 200, 80
+#: Signs that make a container furniture if its name is a hint, and if not.
+SIGNS, SIGNS_UNNAMED = 1, 3
 #: A sibling of the article's containers is furniture if this share of its text or more is in links.
 LINKED = 0.5
 
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
+PLAIN_NAME = re.compile(r"[A-Za-z][^\s/<>]*")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ATTR_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?")
 EQUALS = re.compile(r"\s*=\s*")
 UNQUOTED = re.compile(r"[^\s>]*")
@@ -38,10 +47,16 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "up", "parts", "score", "text", "linked", "skip", "block", "form")
+    __slots__ = ("tag", "up", "parts", "score", "text", "linked", "skip", "block", "form", "hint", "mark", "kind")
 
-    def __init__(self, tag: str, up: Element | None, skip: bool = False):
+    def __init__(self, tag: str, up: Element | None, skip: bool = False, attrs: dict[str, str] | None = None):
         self.tag, self.up, self.skip = tag, up, skip
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}" if attrs else ""
+        words = {w.lower() for w in NAME_WORD.findall(names)} if names != " " else set()
+        #: Whether a name has a word of furniture; whether it is an author's or a time; what makes siblings alike.
+        self.hint = not words.isdisjoint(UNWANTED) or any(w.startswith("adsby") for w in words)
+        self.mark = tag == "time" or not words.isdisjoint(MARKS)
+        self.kind = (tag, attrs.get("class", "")) if attrs else (tag, "")
         #: The nearest block and form that the element is or lies in.
         self.block: Element | None = self if tag in BLOCK else up and up.block
         self.form: Element | None = self if tag == "form" else up and up.form
@@ -64,7 +79,7 @@ def unwanted(tag: str, attrs: dict[str, str]) -> bool:
     if not attrs or tag in ("html", "body"):
         return False
     role = attrs.get("role", "").lower().strip()
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or role in ROLES:
+    if "hidden" in attrs or HIDDEN.search(attrs.get("style", "")) or attrs.get("aria-hidden", "").lower() == "true" or role in ROLES:
         return True
     return furniture(attrs.get("class", "")) or furniture(attrs.get("id", ""))
 
@@ -74,9 +89,13 @@ class Scanner:
 
     def __init__(self, page: str):
         self.page = page
-        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.last = {q: page.rfind(q) for q in "\"'>"}
         self.strict = True
 
+    def name(self, at: int) -> re.Match | None:
+        """A tag's name at this place, if a > follows at all; once a tag hasn't ended, names end at < too."""
+        return (NAME if self.strict else PLAIN_NAME).match(self.page, at) if at < self.last[">"] else None
+
     def attributes(self, at: int) -> tuple[int, dict[str, str], bool] | None:
         """The place after a tag's >, its attributes by name (the first of a name counts) and whether a slash ends it."""
         page, out = self.page, {}
@@ -153,7 +172,7 @@ def parsed(page: str) -> Element:
             at = text_from = end + 1
             continue
         closing = page.startswith("/", at + 1)
-        m = NAME.match(page, at + 1 + closing)
+        m = scan.name(at + 1 + closing)
         found = scan.tag(m.end()) if m else None
         if not found:
             at += 1
@@ -175,7 +194,7 @@ def parsed(page: str) -> Element:
             head = None
         if tag in BLOCK and (node := now.block) and (node.tag == "p" and tag != "br" or node.tag == tag in ("li", "dt", "dd")):
             leave(node.up)
-        child = Element(tag, now, unwanted(tag, attrs))
+        child = Element(tag, now, unwanted(tag, attrs), attrs)
         now.parts.append(child)
         if tag in ("article", "main"):
             form = child.form
@@ -249,6 +268,58 @@ def totals(root: Element, found: list[tuple[Element, str, int]]) -> None:
         e.up.linked += e.linked
 
 
+def anywhere(element: Element | None, is_so, known: dict[int, bool]) -> bool:
+    """Whether something holds of the element or of one around it; known keeps the answers."""
+    way = []
+    while element is not None and id(element) not in known:
+        way.append(element)
+        element = element.up
+    answer = known[id(element)] if element is not None else False
+    for e in reversed(way):
+        answer = known[id(e)] = answer or is_so(e)
+    return answer
+
+
+def attached(root: Element, found: list[tuple[Element, str, int]], on_way: set[int]) -> set[int]:
+    """Ids of containers that don't hold the best one and are reader comments, adverts, notices or lists of other pages.
+
+    Signs: it stands after the article's last paragraph, has siblings of its kind, holds an author or time, or is half in
+    links; for one whose name is a hint, that it is short. Such a name calls for one sign, no name for three. Nothing goes
+    that has as much text as all that isn't in question.
+    """
+    order, at = [root], 0
+    while at < len(order):
+        order += [p for p in order[at].parts if isinstance(p, Element) and not p.skip]
+        at += 1
+    marks: set[int] = set()
+    for e in reversed(order):
+        if e.mark or id(e) in marks:
+            marks |= {id(e)} | ({id(e.up)} if e.up is not None else set())
+    alike: dict[tuple, list[Element]] = {}
+    for e in order:
+        if e.tag in BLOCK and e.text and e.up is not None:
+            alike.setdefault((id(e.up), e.kind, id(e) in marks), []).append(e)
+    family = lambda e: alike.get((id(e.up), e.kind, id(e) in marks), [e])
+    twins = lambda e: len(family(e)) > 1
+    asked = {id(e): e for e in order if e.text and id(e) not in on_way and (e.hint or twins(e) and id(e) in marks)}
+    inside: dict[int, bool] = {}
+    free = [i for i, (owner, _, _) in enumerate(found) if not anywhere(owner, lambda e: id(e) in asked, inside)]
+    most = sum(len(found[i][1]) for i in free)
+    last = max((i for i in free if len(found[i][1]) - found[i][2] >= PARAGRAPH), default=-1)
+    first: dict[int, int] = {}
+    for i, (owner, _, _) in enumerate(found):
+        while owner is not None and id(owner) not in first:
+            first[id(owner)] = i
+            owner = owner.up
+    out = set()
+    size = {k: sum(x.text for x in family(e)) for k, e in asked.items()}
+    for k, e in asked.items():
+        signs = (first[k] > last >= 0) + twins(e) + (k in marks) + (e.linked >= LINKED * e.text) + (e.hint and e.text < SHORT)
+        if size[k] < most and signs >= (SIGNS if e.hint else SIGNS_UNNAMED):
+            out.add(k)
+    return out
+
+
 def scored(found: list[tuple[Element, str, int]]) -> Element:
     """The container with the most points; totals() has been set.
 
@@ -274,7 +345,7 @@ def main_text(page: str | None) -> str:
 
     The best container is found by scored(). If an article element is around it, or else a main element, that element
     is the article and all of it stays. Otherwise the siblings of the best container and of those around it stay,
-    however short, unless LINKED of their text is in links. A page without containers gives its whole text;
+    however short, unless LINKED of their text is in links. What attached() finds goes in either case. A page without containers gives its whole text;
     skipped elements never count.
     """
     root = parsed(page or "")
@@ -288,11 +359,11 @@ def main_text(page: str | None) -> str:
         chain.append(chain[-1].up)
     whole = next((e for kind in ("article", "main") for e in chain if e.tag == kind), None)
     inside = {id(whole or best)}
-    barred: set[int] = set()
+    on_way = {id(e) for e in chain}
+    barred = attached(root, found, on_way)
     if not whole:
-        on_way = {id(e) for e in chain}
         inside = {id(chain[-1])}
-        barred = {id(p) for e in chain[1:] for p in e.parts if isinstance(p, Element) and id(p) not in on_way and p.text and p.linked >= LINKED * p.text}
+        barred |= {id(p) for e in chain[1:] for p in e.parts if isinstance(p, Element) and id(p) not in on_way and p.text and p.linked >= LINKED * p.text}
     known: dict[int, bool] = {}
 
     def kept(element: Element) -> bool:
