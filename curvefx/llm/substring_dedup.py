@@ -171,16 +171,17 @@ class Bucket:
     def __init__(self, key: int, window: int):
         self.key, self.window = key, window
         self.first: dict[bytes, tuple] = {}
-        self.whole: dict[bytes, tuple] = {}
+        self.whole: dict[bytes, tuple] = {}  # the first row of each packed string
 
     def add(self, doc: int, rid: int, start: int, n: int, packed: bytes) -> Iterator[tuple]:
         """Rows (key, doc, rid, start, n, packed): repeats with packed None and the row as key, and windows passed on."""
-        if packed in self.whole:
-            if self.whole[packed] != (doc, start):
+        if old := self.whole.get(packed):
+            if old[:2] != (doc, start):
                 yield rid, doc, rid, start, n, None
-            return
-        if len(self.first) < MOST_WINDOWS:
-            self.whole[packed] = (doc, start)
+            if old[:2] != (doc, start) or old[2] == rid:
+                return  # another text with the same key and start goes on: what was late in the first one is late in it too
+        elif len(self.first) < MOST_WINDOWS:
+            self.whole[packed] = (doc, start, rid)
         offs = [0, *(i + 1 for i, c in enumerate(packed) if c == 32), len(packed) + 1]
         begun = None
         for j in range(n):
