@@ -70,9 +70,13 @@ o AS (SELECT name, (bad)::DOUBLE AS bad FROM n JOIN (SELECT doc_id, max(CASE WHE
 h AS (SELECT name, count(*) AS n, sum(bad) AS bad, {_part(f"(?:^|\\.)((?:[^.]+\\.)?{SUFFIX})$")} AS domain, {_part(f"(?:^|\\.)({SUFFIX})$")} AS suffix FROM o GROUP BY ALL),
 dm AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad) AS bad FROM h GROUP BY ALL), sf AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad) AS bad FROM dm GROUP BY ALL),
 {_strength("a", "sf")}, {_strength("b", "dm")}, {_strength("c", "h")},
-sm AS (SELECT suffix, (a_s.str * a_s.p + bad) / (a_s.str + n) AS mean FROM sf, a_s), dmm AS (SELECT domain, (b_s.str * sm.mean + bad) / (b_s.str + n) AS mean FROM dm JOIN sm USING (suffix), b_s),
 every AS (SELECT name, coalesce(h.n, 0) AS n, coalesce(h.bad, 0) AS bad, {_part(f"(?:^|\\.)((?:[^.]+\\.)?{SUFFIX})$")} AS domain, {_part(f"(?:^|\\.)({SUFFIX})$")} AS suffix FROM (SELECT DISTINCT name FROM n WHERE name <> '') LEFT JOIN h USING (name)),
-ab AS (SELECT name, c_s.str * top + bad AS a, c_s.str * (1 - top) + n - bad AS b FROM (SELECT every.*, coalesce(dmm.mean, sm.mean, a_s.p) AS top FROM every LEFT JOIN dmm USING (domain) LEFT JOIN sm USING (suffix), a_s), c_s),
+tot AS (SELECT coalesce(sum(n), 0) AS tn, coalesce(sum(bad), 0) AS tb FROM sf),
+own AS (SELECT every.*, coalesce(x.n, 0) AS dn, coalesce(x.bad, 0) AS db, coalesce(y.n, 0) AS sn, coalesce(y.bad, 0) AS sb FROM every LEFT JOIN dm x ON x.domain = every.domain LEFT JOIN sf y ON y.suffix = every.suffix),
+m1 AS (SELECT own.*, CASE WHEN tn > sn THEN (tb - sb) / (tn - sn) ELSE a_s.p END AS top FROM own, tot, a_s),
+m2 AS (SELECT m1.*, (a_s.str * top + (sb - db)) / (a_s.str + (sn - dn)) AS sm FROM m1, a_s),
+m3 AS (SELECT m2.*, (b_s.str * sm + (db - bad)) / (b_s.str + (dn - n)) AS mean FROM m2, b_s),
+ab AS (SELECT name, c_s.str * mean + bad AS a, c_s.str * (1 - mean) + n - bad AS b FROM m3, c_s),
 low AS (SELECT name, CASE WHEN a <= 0 THEN false WHEN b <= 0 THEN true ELSE {_CDF} < {DOUBT} END AS bad FROM ab),
 rl AS (SELECT r, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM u JOIN (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(action, rh, rp) ON (host = rh OR suffix(host, '.' || rh)) AND prefix(path, rp), LATERAL (SELECT rh || rp AS rule) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN low.bad THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN rl USING (r) LEFT JOIN low ON low.name = {_NAME}"""

@@ -110,33 +110,36 @@ def strength(counts: DataFrame, level: str) -> DataFrame:
     noise = p * (1 - p)
     raw = (noise - spread) / (spread - noise * F.col("inv") / F.col("m"))
     usable = (F.col("m") > 1) & (spread - noise * F.col("inv") / F.col("m") > 1e-9)
-    return total.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.when(usable, raw).otherwise(F.lit(STRONGEST)))).alias(f"m_{level}"), F.coalesce(p, F.lit(0.0)).alias(f"p_{level}"))
+    return total.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.when(usable, raw).otherwise(F.lit(STRONGEST)))).alias(f"m_{level}"), F.coalesce(p, F.lit(0.0)).alias(f"p_{level}"), F.coalesce("tn", F.lit(0)).alias(f"n_{level}"), F.coalesce("tb", F.lit(0.0)).alias(f"bad_{level}"))
 
 
 def reputation(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """name, n, bad, mean, low: each host name's posterior bad share and its lower DOUBT-quantile, exact for the beta posterior.
 
-    outcomes has name and bad (0 or 1). Names of others that have no outcome get n = 0 and the bound of their prior,
-    whose mean is the domain's, without labels there the suffix's, else that of all pages. Priors run from all pages to
-    suffixes, domains and hosts: a level's mean is shrunk toward the one above it with a strength that fits how
-    much its members differ.
+    outcomes has name and bad (0 or 1). Priors run from all pages to suffixes, domains and hosts: a level's mean is shrunk
+    toward the one above it with a strength that fits how much its members differ. No page counts twice: a host's prior is
+    of the domain's other hosts, that of the suffix's other domains, that of all pages of other suffixes (of all pages if
+    there are none). Names of others that have no outcome get n = 0 and the bound of their prior.
     """
     levels = lambda df: df.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name")))
     hosts = levels(outcomes.groupBy("name").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     priors = [strength(d, k) for d, k in ((suffixes, "suffix"), (domains, "domain"), (hosts, "host"))]
-    prior = {k: v for row in (p.first() for p in priors) for k, v in row.asDict().items()}  # three rows of two numbers
-    shrunk = lambda bad, n, m, mean: (F.lit(m) * mean + bad) / (F.lit(m) + n)
-    s = suffixes.select("suffix", shrunk(F.col("bad"), F.col("n"), prior["m_suffix"], F.lit(prior["p_suffix"])).alias("suffix_mean"))
-    d = domains.join(s, "suffix").select("domain", shrunk(F.col("bad"), F.col("n"), prior["m_domain"], F.col("suffix_mean")).alias("domain_mean"))
+    prior = {k: v for row in (p.first() for p in priors) for k, v in row.asDict().items()}  # three rows of four numbers
     if others is not None:
         new = others.select("name").distinct().join(hosts, "name", "left_anti")
         hosts = hosts.unionByName(levels(new.select("name", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("bad"))))
-    above = F.coalesce("domain_mean", "suffix_mean", F.lit(prior["p_suffix"]))
-    a = F.lit(prior["m_host"]) * above + F.col("bad")
-    b = F.lit(prior["m_host"]) * (1 - above) + F.col("n") - F.col("bad")
-    posterior = hosts.join(d, "domain", "left").join(s, "suffix", "left").select("name", "n", "bad", a.alias("a"), b.alias("b"))
+    named = lambda df, k: df.select(k, F.col("n").alias(f"{k}_n"), F.col("bad").alias(f"{k}_bad"))
+    h = hosts.join(named(domains, "domain"), "domain", "left").join(named(suffixes, "suffix"), "suffix", "left").na.fill(0, ["domain_n", "domain_bad", "suffix_n", "suffix_bad"])
+    rest_n, rest_bad = F.lit(prior["n_suffix"]) - F.col("suffix_n"), F.lit(prior["bad_suffix"]) - F.col("suffix_bad")
+    shrunk = lambda level, mean, n, bad: (F.lit(prior[f"m_{level}"]) * mean + bad) / (F.lit(prior[f"m_{level}"]) + n)
+    h = h.withColumn("mean", F.when(rest_n > 0, rest_bad / rest_n).otherwise(F.lit(prior["p_suffix"])))
+    h = h.withColumn("mean", shrunk("suffix", F.col("mean"), F.col("suffix_n") - F.col("domain_n"), F.col("suffix_bad") - F.col("domain_bad")))
+    h = h.withColumn("mean", shrunk("domain", F.col("mean"), F.col("domain_n") - F.col("n"), F.col("domain_bad") - F.col("bad")))
+    a = F.lit(prior["m_host"]) * F.col("mean") + F.col("bad")
+    b = F.lit(prior["m_host"]) * (1 - F.col("mean")) + F.col("n") - F.col("bad")
+    posterior = h.select("name", "n", "bad", a.alias("a"), b.alias("b"))
     return posterior.select("name", "n", "bad", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), lower_bound(F.col("a"), F.col("b")).alias("low"))
 
 
