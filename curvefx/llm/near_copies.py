@@ -1,11 +1,11 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least 0.8, and what they connect.
 
-Candidates meet at the anchors of the covering code that simhash.py describes. A text has two fingerprints of 64 majority
+Candidates meet at the anchors of the covering code that simhash.py describes. A text has three fingerprints of 64 majority
 bits, each of which goes to about 61 anchors. Fingerprints are of its two-word shingles, of which a changed word touches
 two, not five: with scattered changes, similarity 0.8 means that about a tenth of the bits differ. That is more than the
-code guarantees, but pairs so close still share an anchor of one fingerprint or the other: 0.99 of them at 0.8, and 0.87
-of those that differ in one long passage instead (a seventh of the bits). At an anchor all pairs that differ in
-at most MOST_BITS of both fingerprints are candidates, and every link is checked on the whole five-word sets.
+code guarantees, but pairs so close still share an anchor of one of the fingerprints, also where they differ in one long
+passage and a seventh of the bits differ (README has measured shares). At an anchor all pairs that differ in
+at most MOST_BITS of all three are candidates, and every link is checked on the whole five-word sets.
 Where an anchor has more than LINEAR candidate pairs a member, as in a family of near copies, no pairs go out: all are
 compared with one member that has many candidates, then those that this leaves apart with their closest one, and at last
 the sets of what is still unconnected meet at the anchor, where every remaining candidate is checked in place and only
@@ -33,11 +33,14 @@ ship(__name__)
 SIZE, PRINTED = 5, 2
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Guaranteed bits of the anchors, and the most bits of 128 in which candidates differ: 0.8 means 12 to 19 of them, and those that
-#: share an anchor lie below that (21 at most of the similar pairs of check tables).
-THRESHOLD, MOST_BITS = 2, 24
-#: Candidate pairs a member that an anchor sends out; and members whose sets meet in one task.
-LINEAR, TILE = 4, 10_000
+#: Guaranteed bits of the anchors, and the most bits of 192 in which candidates differ: a similarity of 0.8 means 18 to 28 of
+#: them, with a deviation of five.
+THRESHOLD, MOST_BITS = 2, 44
+#: Candidate pairs a member that an anchor sends out; members whose sets meet in one task; and, where an anchor has more,
+#: members of which one becomes its hub.
+LINEAR, TILE, HUBS = 4, 10_000, 64
+PRINTS = ["fp", "fq", "fr"]
+PRINT_KINDS = "fp long, fq long, fr long"
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -50,10 +53,14 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
 
 
-def fingerprints(hashes: np.ndarray) -> tuple[int, int]:
-    """Majority bits of a set's hashes, and of the same hashes mixed once more; 0 for an empty set."""
-    mixed = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return majority(iter([hashes])), majority(iter([mixed ^ mixed >> np.uint64(32)]))
+def fingerprints(hashes: np.ndarray) -> list[int]:
+    """Majority bits of a set's hashes, and of the same hashes mixed once and twice more; 0 for an empty set."""
+    out = []
+    for _ in PRINTS:
+        out.append(majority(iter([hashes])))
+        hashes = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = hashes ^ hashes >> np.uint64(32)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -63,9 +70,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, node (a digest of the shingle set), n (its size) and its two fingerprints."""
+    """doc_id, _row, node (a digest of the shingle set), n (its size) and its fingerprints."""
     src = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_row"), F.col("text").cast("string"))
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("_row long, node long, n int, fp long, fq long")])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(f"_row long, node long, n int, {PRINT_KINDS}")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,47 +82,56 @@ def signed(docs: DataFrame) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7) - 2**63)
                 sizes.append(len(h))
                 prints.append(fingerprints(shingles(t.as_py(), PRINTED)))
-            p = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "_row", "node", "n", "fp", "fq"])
+            p = np.array(prints, np.uint64).reshape(-1, len(PRINTS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(c) for c in p.T]], ["doc_id", "_row", "node", "n", *PRINTS])
 
     return src.mapInArrow(run, schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of runs of whole anchors, which stand in order in the first column."""
-    held: list[np.ndarray] | None = None
-    for b in itertools.chain(batches, [None]):
-        if b is not None and b.num_rows:
-            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        if held is None:
+    held: list[list[np.ndarray]] = []  # parts of one anchor
+    whole = lambda: [np.concatenate(x) for x in zip(*held)]
+    for b in batches:
+        if not b.num_rows:
             continue
-        cut = int(np.searchsorted(held[0], held[0][-1])) if b is not None else len(held[0])
-        if cut:
-            yield [c[:cut] for c in held]
-            held = [c[cut:] for c in held] if b is not None else None
-
-
-def apart(fp: np.ndarray, fq: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        if held and (cut or held[0][0][0] != new[0][0]):
+            held.append([c[:cut] for c in new])
+            yield whole()
+            held = []
+        elif cut:
+            yield [c[:cut] for c in new]
+        held.append([c[cut:] for c in new])
+    if held:
+        yield whole()
+
+
+def apart(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The number of bits in which the pairs i, j differ."""
-    return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fq[i] ^ fq[j]).view(np.uint64))
+    return sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(int) for p in prints)
 
 
-def candidates(fp: np.ndarray, fq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The places i < j of all pairs that differ in at most MOST_BITS bits, some rows at a time."""
-    step = max(1, 2_000_000 // max(len(fp), 1))
-    for at in range(0, len(fp), step):
-        own = slice(at, min(at + step, len(fp)))
-        bits = np.bitwise_count((fp[own, None] ^ fp[None, at:]).view(np.uint64)).astype(np.uint8) + np.bitwise_count((fq[own, None] ^ fq[None, at:]).view(np.uint64))
+def candidates(prints: list[np.ndarray], rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places i < j of all pairs that differ in at most MOST_BITS bits, or all i, j of which i is in rows; some at a time."""
+    n = len(prints[0])
+    step = max(1, 2_000_000 // max(n, 1))
+    for at in range(0, n if rows is None else len(rows), step):
+        own = np.arange(at, min(at + step, n)) if rows is None else rows[at : at + step]
+        low = at if rows is None else 0
+        bits = sum(np.bitwise_count((p[own, None] ^ p[None, low:]).view(np.uint64)) for p in prints)
         i, j = np.nonzero(bits <= MOST_BITS)
-        up = i < j
-        yield i[up] + at, j[up] + at
+        i, j = own[i], j + low
+        use = i < j if rows is None else i != j
+        yield i[use], j[use]
 
 
 def met(members: DataFrame) -> DataFrame:
-    """a, b, anchor, fp, fq: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
+    """a, b, anchor and fingerprints: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
 
-    Of such an anchor, the pairs of one member go out: the least node with half the most candidates; of other ones all.
+    Of such an anchor, the pairs of one member go out: the least node with half the most candidates; of other ones all. An
+    anchor of more than TILE members has too many by itself, and its hub is one of HUBS members.
     """
     single, patterns = code_tables(THRESHOLD)
 
@@ -123,30 +139,31 @@ def met(members: DataFrame) -> DataFrame:
         for b in batches:
             node, *prints = (c.to_numpy() for c in b.columns)
             for at in range(0, len(node), 2048):
-                for k in (0, 1):
+                for k in range(len(PRINTS)):
                     r, key = anchors(prints[k][at : at + 2048].view(np.uint64), single, patterns)
                     r = r + at
-                    yield pa.RecordBatch.from_arrays([pa.array((key << 1 | k).astype(np.int32)), pa.array(node[r]), pa.array(prints[0][r]), pa.array(prints[1][r])], ["anchor", "node", "fp", "fq"])
+                    yield pa.RecordBatch.from_arrays([pa.array((key << 2 | k).astype(np.int32)), pa.array(node[r]), *[pa.array(p[r]) for p in prints]], ["anchor", "node", *PRINTS])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, node, fp, fq in groups(batches):
+        for anchor, node, *prints in groups(batches):
             cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
             two = np.flatnonzero(np.diff(cuts) == 2)  # most anchors that are shared at all
             i = cuts[two]
-            i = i[apart(fp, fq, i, i + 1) <= MOST_BITS]
+            i = i[apart(prints, i, i + 1) <= MOST_BITS]
             pairs, large = [np.stack([node[i], node[i + 1]], 1)], []
             for s, e in zip(cuts[:-1][np.diff(cuts) > 2], cuts[1:][np.diff(cuts) > 2]):
-                degree, found, n = np.zeros(e - s, np.int64), [], 0
-                for i, j in candidates(fp[s:e], fq[s:e]):
-                    degree += np.bincount(i, minlength=e - s) + np.bincount(j, minlength=e - s)
+                degree, found, n, own = np.zeros(e - s, np.int64), [], 0, [p[s:e] for p in prints]
+                some = np.linspace(0, e - s - 1, HUBS).astype(int) if e - s > TILE else None
+                for i, j in candidates(own, some):
+                    degree += np.bincount(i, minlength=e - s) + (np.bincount(j, minlength=e - s) if some is None else 0)
                     n += len(i)
                     if n <= LINEAR * (e - s):
                         found.append(np.stack([node[s + i], node[s + j]], 1))
-                if n > LINEAR * (e - s):
+                if n > LINEAR * (e - s) or some is not None:
                     hub = int((2 * degree >= degree.max()).argmax())  # the least node of many candidates, which is the same at many anchors
-                    j = np.flatnonzero(degree)
+                    j = np.flatnonzero(degree) if some is None else np.arange(e - s)
                     large.append(s + j)
-                    j = j[(j != hub) & (apart(fp[s:e], fq[s:e], np.full(len(j), hub), j) <= MOST_BITS)]
+                    j = j[(j != hub) & (apart(own, np.full(len(j), hub), j) <= MOST_BITS)]
                     a = np.full(len(j), node[s + hub])
                     found = [np.stack([np.minimum(a, node[s + j]), np.maximum(a, node[s + j])], 1)]
                 pairs += found
@@ -154,13 +171,11 @@ def met(members: DataFrame) -> DataFrame:
             n, m = len(out), len(member)
             none = np.r_[np.zeros(n, bool), np.ones(m, bool)]
             if n + m:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[out[:, 0], node[member]]), pa.array(np.r_[out[:, 1], node[member]], mask=none), pa.array(np.r_[np.zeros(n, np.int32), anchor[member]]),
-                    pa.array(np.r_[np.zeros(n, np.int64), fp[member]]), pa.array(np.r_[np.zeros(n, np.int64), fq[member]]),
-                ], ["a", "b", "anchor", "fp", "fq"])
+                columns = [pa.array(np.r_[out[:, 0], node[member]]), pa.array(np.r_[out[:, 1], node[member]], mask=none), pa.array(np.r_[np.zeros(n, np.int32), anchor[member]])]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.r_[np.zeros(n, np.int64), p[member]]) for p in prints]], ["a", "b", "anchor", *PRINTS])
 
-    copies = members.select("node", "fp", "fq").mapInArrow(spread, "anchor int, node long, fp long, fq long")
-    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "a long, b long, anchor int, fp long, fq long")
+    copies = members.select("node", *PRINTS).mapInArrow(spread, f"anchor int, node long, {PRINT_KINDS}")
+    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"a long, b long, anchor int, {PRINT_KINDS}")
 
 
 def by_anchor(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -177,39 +192,43 @@ def closest(placed: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches):
-            _, root, node, fp, fq = columns
+            _, root, node, *prints = columns
             pairs = [np.zeros((0, 2), np.int64)]
             for s, e in by_anchor(columns):
                 names, counts = np.unique(root[s:e], return_counts=True)
                 for i in s + np.flatnonzero(root[s:e] != names[counts.argmax()]):
                     j = s + np.flatnonzero(root[s:e] != root[i])
-                    bits = apart(fp, fq, np.full(len(j), i), j)
+                    bits = apart(prints, np.full(len(j), i), j)
                     if bits.min() <= MOST_BITS:
                         pairs.append(np.sort(node[[i, j[bits.argmin()]]])[None, :])
             out = np.unique(np.concatenate(pairs), axis=0)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    rows = placed.select("anchor", "root", "node", "fp", "fq")
+    rows = placed.select("anchor", "root", "node", *PRINTS)
     return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "a long, b long").distinct()
 
 
 def unconnected(placed: DataFrame) -> DataFrame:
-    """anchor, root, node, fp, fq: the members of anchors that are in a candidate pair of different roots."""
+    """anchor, root, node and fingerprints: the members of anchors that are in a candidate pair of different roots.
+
+    Such a pair has a member outside the anchor's largest root, so only those are compared with all.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches):
-            _, root, _, fp, fq = columns
+            _, root, _, *prints = columns
             use = np.zeros(len(root), bool)
             for s, e in by_anchor(columns):
-                for i, j in candidates(fp[s:e], fq[s:e]):
+                names, counts = np.unique(root[s:e], return_counts=True)
+                for i, j in candidates([p[s:e] for p in prints], np.flatnonzero(root[s:e] != names[counts.argmax()])):
                     apart_ = root[s + i] != root[s + j]
                     use[s + i[apart_]] = use[s + j[apart_]] = True
             if use.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["anchor", "root", "node", "fp", "fq"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["anchor", "root", "node", *PRINTS])
 
-    rows = placed.select("anchor", "root", "node", "fp", "fq")
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "anchor int, root long, node long, fp long, fq long")
+    rows = placed.select("anchor", "root", "node", *PRINTS)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"anchor int, root long, node long, {PRINT_KINDS}")
 
 
 def sets_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -233,17 +252,17 @@ def settled(left: DataFrame, sets: DataFrame) -> DataFrame:
     tiles = left.groupBy("anchor").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int")
     dealt = left.join(tiles, "anchor").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    dealt = dealt.withColumn("tile", F.xxhash64("anchor", F.least("_own", "_with"), F.greatest("_own", "_with"))).join(sets, "node").select("tile", "root", "node", "fp", "fq", "set")
+    dealt = dealt.withColumn("tile", F.xxhash64("anchor", F.least("_own", "_with"), F.greatest("_own", "_with"))).join(sets, "node").select("tile", "root", "node", "set", *PRINTS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches):
-            tile, root, node, fp, fq, packed = columns
+            tile, root, node, packed, *prints = columns
             links = []
             cuts = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own = [np.frombuffer(x, np.uint64) for x in packed[s:e]]
                 now = np.unique(root[s:e], return_inverse=True)[1]
-                for i, j in candidates(fp[s:e], fq[s:e]):
+                for i, j in candidates([p[s:e] for p in prints]):
                     for x, y in zip(i[now[i] != now[j]].tolist(), j[now[i] != now[j]].tolist()):
                         if now[x] != now[y] and similar(own[x], own[y]):
                             links.append((node[s + x], node[s + y]))
@@ -284,7 +303,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     number only says which rows it holds. Only doc_id and text are read.
     """
     rows = stored(signed(docs))
-    members = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fq").alias("fq"))
+    members = rows.groupBy("node").agg(F.first("n").alias("n"), *[F.first(p).alias(p) for p in PRINTS])
     found = stored(met(members.where("n > 0")))
     sizes = members.select("node", "n")
 
@@ -296,7 +315,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     tried = stored(fitting(found.where("b IS NOT NULL").select("a", "b").distinct()))
     roots = stored(components(checked(tried, rows, docs)))
-    large = found.where("b IS NULL").select(F.col("a").alias("node"), "anchor", "fp", "fq")
+    large = found.where("b IS NULL").select(F.col("a").alias("node"), "anchor", *PRINTS)
     placed = lambda: large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tree = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     near = stored(fitting(closest(placed())).join(tried, ["a", "b"], "left_anti"))

@@ -170,6 +170,34 @@ def test_op5_two_texts_of_one_key_and_text_keys(spark):
     assert sorted(r["n_removed"] for r in rows) == [0, 0, 30, 30] and {r["doc_id"] for r in rows} == {"k0", "k1", "k2", None}
 
 
+def test_op5_groups_of_shared_keys_equal_brute_force(spark):
+    """Texts that share a key lose what an earlier key has, wherever in the corpus they are read."""
+    rng = random.Random(3)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for g in range(30):
+        first, tail = words(24), words(30)
+        docs += [(10 * g, " ".join(first)), (10 * g + 5, " ".join(first + words(9) + tail)), (10 * g + 5, " ".join(first + words(9) + tail)), (10 * g + 5, docs[-1][1] if docs else "x")]
+    docs += docs[:40]
+    rng.shuffle(docs)
+    where = {}
+    for d, t in docs:
+        w = t.split()
+        for i in range(len(w) - 19):
+            at = (d, i)
+            where[tuple(w[i : i + 20])] = min(where.get(tuple(w[i : i + 20]), at), at)
+    want = []
+    for d, t in docs:
+        w, gone = t.split(), set()
+        for i in range(len(w) - 19):
+            if where[tuple(w[i : i + 20])] < (d, i):
+                gone |= set(range(i, i + 20))
+        want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    for parts in (1, 4):
+        got = substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 # op6
 
 
@@ -325,6 +353,48 @@ def test_op8_malformed_megabytes():
         assert time.time() - began < 15, s
 
 
+PROSE = "<p>" + "The council met on Monday, and after a long debate, it chose to repair the bridge over the river. " * 3 + "</p>"
+ADDED = "comment-body user-comment post-comments comment_text CommentThread google-ad adsbygoogle advert-300x250 related-posts cookie-law-info".split()
+
+
+@pytest.mark.parametrize("name", ADDED)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_op8_comments_adverts_and_notices_go(tag, name):
+    junk = f'<div class="{name}">JUNK words from a reader who says much about it</div>'
+    for page in (f"<{tag}>{PROSE * 4}{junk}</{tag}>", f"<{tag}>{PROSE * 4}</{tag}>{junk}", f"<div id=w><{tag}>{PROSE * 2}{junk}{PROSE * 2}</{tag}></div>"):
+        text = html_extract.main_text(f"<html><body><nav>menu</nav>{page}<footer>foot</footer></body></html>")
+        assert "JUNK" not in text and text.count("The council") == 12
+
+
+def test_op8_threads_without_names_and_hidden_text_go():
+    thread = "".join(f"<li><b>{n}</b> <time>1 May</time> I like JUNK, but not much</li>" for n in ("Ann", "Bob", "Cid"))
+    text = html_extract.main_text(f"<article>{PROSE * 3}<p style='display: none'>JUNK</p><ol>{thread}</ol></article>")
+    assert "JUNK" not in text and text.count("The council") == 9
+    text = html_extract.main_text(f"<div class=alert-text>{PROSE * 3}</div><div class=comment>{'JUNK, a very, very, long comment, with commas. ' * 40}</div>")
+    assert "JUNK" not in text and text.count("The council") == 9
+    dated = "".join(f"<section><time>{i} May</time>{PROSE}</section>" for i in range(4))  # an article made of dated parts stays
+    assert html_extract.main_text(f"<div>{PROSE}{dated}</div>").count("The council") == 15
+
+
+def test_op8_score_decides_without_article_or_main():
+    """Several containers of random size: the one with the prose wins, and all of it stays, in page order."""
+    rng = random.Random(8)
+    for _ in range(60):
+        prose = [" ".join(f"word{rng.randrange(500)}," for _ in range(rng.randrange(15, 60))) for _ in range(rng.randrange(3, 9))]
+        body = "".join(f"<p>{t}</p>" for t in prose)
+        lists = [f"<div><ul>{''.join(f'<li><a href=/{i}>JUNK link {i}</a></li>' for i in range(rng.randrange(3, 30)))}</ul></div>" for _ in range(rng.randrange(1, 4))]
+        parts = lists + [f"<div><div>{body}</div></div>"]
+        rng.shuffle(parts)
+        assert html_extract.main_text(f"<body>{''.join(parts)}</body>") == " ".join(prose)
+
+
+def test_op8_unclosed_tags_take_linear_time():
+    began = time.time()
+    for page in ("<div" * 250_000, "<a<" * 330_000, "<a<a " * 200_000, '<a b="' * 170_000, '<p x="' + "<a<" * 200_000 + '> <b"' + "<a<" * 100_000):
+        html_extract.main_text(page)
+    assert time.time() - began < 30
+
+
 def test_op8_empty_and_repeated(spark):
     d = spark.createDataFrame([(1, "<p>x</p>"), (1, "<p>x</p>"), (None, None)], "page_id long, html string")
     assert sorted(map(tuple, html_extract.extracted(d).collect()), key=str) == [(1, "x", 1), (1, "x", 1), (None, "", 0)]

@@ -96,3 +96,58 @@ def test_large_families_at_one_anchor(spark, monkeypatch):
     got = {r["doc_id"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), NAMES)).collect()}
     assert len({got[i] for i in range(60)}) == 1 and got[60] != got[0] and got[61] == got[62] == got[63]
     assert near_copies.near_copies(spark.createDataFrame([], NAMES)).count() == 0
+
+
+def changed(rng, kind, words, fresh):
+    n = len(words)
+    if kind == "appended":
+        return words + fresh(int(n * rng.uniform(0.17, 0.25)))
+    if kind == "replaced":
+        m = int(n * rng.uniform(0.08, 0.12))
+        at = rng.randrange(n - m)
+        return words[:at] + fresh(m) + words[at + m :]
+    out = list(words)
+    for _ in range(max(1, int(n * rng.uniform(0.015, 0.026)))):
+        out[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+def test_recall_of_three_kinds_of_changes(spark):
+    """Pairs of similarity 0.80 to 0.84: at least nine tenths of each kind are linked, and no two pairs are."""
+    rng = random.Random(21)
+    weights = [1 / (i + 2) for i in range(3000)]
+    fresh = lambda n: rng.choices([f"w{i}" for i in range(3000)], weights, k=n)
+    texts, kinds = [], ("appended", "replaced", "scattered")
+    for kind in kinds:
+        for n in (150, 400):
+            made = 0
+            while made < 50:
+                a = fresh(n)
+                b = changed(rng, kind, a, fresh)
+                x, y = grams(" ".join(a)), grams(" ".join(b))
+                if 0.8 <= len(x & y) / len(x | y) <= 0.84:
+                    texts += [" ".join(a), " ".join(b)]
+                    made += 1
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), NAMES)).collect()}
+    for k in range(3):
+        assert sum(got[i] == got[i + 1] for i in range(200 * k, 200 * k + 200, 2)) >= 90
+    assert len(set(got.values())) >= 300
+
+
+def test_anchors_beyond_a_tile(spark, monkeypatch):
+    """An anchor of more members than a tile isn't compared pair by pair, and loses no link."""
+    monkeypatch.setattr(near_copies, "TILE", 20)
+    monkeypatch.setattr(near_copies, "HUBS", 4)
+    rng = random.Random(2)
+    texts = []
+    for _ in range(3):
+        words = [f"v{rng.randrange(900)}" for _ in range(150)]
+        for _ in range(60):
+            texts.append(" ".join(words))
+            if rng.random() < 0.5:
+                words = list(words)
+                for _ in range(rng.choice([1, 3, 6])):
+                    words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+    root, got = brute(texts), {r["doc_id"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), NAMES)).collect()}
+    groups = lambda of: {frozenset(i for i in range(len(texts)) if of[i] == c) for c in set(of)}
+    assert groups([got[i] for i in range(len(texts))]) == groups(root)
