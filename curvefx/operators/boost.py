@@ -1,43 +1,31 @@
 """Particle boosters: laws of curves by unit and arm, moved along the energy score's gradient by shared trees.
 
-All models (folds, penalties, seeds) train in lock step over one table: model INT, unit_id, a, x, q and p, the particles
-as one flat array. Every step is a fixed number of jobs for all models: gradient and trees, one scan that tries all
-step sizes, and the stored new state.
+All models (folds, penalties, seeds, placebos) train in lock step over one table with one row for each unit: unit_id, x, q,
+and arrays with an entry for each model, a (arm), t (1 where it trains on the unit), optionally e (propensity, for the
+contrast rule), and p, the particles, model after model. Every step is a fixed number of jobs for all models: gradient and
+trees, one scan that tries all step sizes, and the stored new state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import prep, trees
+from . import monotone, ordered, trees
 from .ordered import stored
-from .trees import Rules, Tree, matrix
+from .trees import Forest, Rules, matrix
 
 ship(__name__)
 
-
-def project(values: np.ndarray) -> np.ndarray:
-    """Rows made nondecreasing under equal weights, by the max-min formula for all falling rows at once; rising rows stay as they are.
-
-    Coordinate k is the largest, over starts up to k, of the smallest average from the start to an end at k or later.
-    """
-    out, k = values.copy(), values.shape[1]
-    bad = np.flatnonzero((np.diff(values, axis=1) < 0).any(1))
-    start, end = np.arange(k)[:, None], np.arange(k)[None, :]
-    for at in range(0, len(bad), 4096):
-        rows = bad[at : at + 4096]
-        sums = np.pad(np.cumsum(values[rows], 1), ((0, 0), (1, 0)))
-        average = np.where(end >= start, (sums[:, None, 1:] - sums[:, :-1, None]) / np.maximum(end - start + 1, 1), np.inf)
-        least = np.minimum.accumulate(average[:, :, ::-1], axis=2)[:, :, ::-1]
-        out[rows] = np.where(start <= end, least, -np.inf).max(1)
-    return out
+#: Rows that are held as matrices at a time.
+ROWS = 1024
+project = monotone.pooled
 
 
 def scores(p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
@@ -58,26 +46,44 @@ def descent(p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
     return -(part(d, na) - part(e, nb).sum(2) / m)
 
 
+TABLE = f"step int, size array<double>, start array<double>, contrast boolean, nodes array<struct<{trees.NODES.replace(' int', ': int').replace(' double', ': double').replace(' array', ': array')}>>"
+
+
 @dataclass
 class Booster:
-    """Steps (size, trees by model) from initial particles, and a trace of each step by model."""
+    """Initial particles (models, particles, levels), steps (size by model, forest), and a trace of each step by model."""
 
     start: np.ndarray
-    particles: int
-    steps: list[tuple[dict[int, float], dict[int, Tree]]] = field(default_factory=list)
+    steps: list[tuple[np.ndarray, Forest]] = field(default_factory=list)
     trace: list[tuple] = field(default_factory=list)
 
+    def only(self, models: list[int]) -> Booster:
+        """The booster of some of the models, in that order."""
+        cut = lambda f: Forest(f.root[models], f.feature, f.cut, f.low, f.high, f.share, f.value, f.contrast)
+        return Booster(self.start[models], [(s[models], cut(f)) for s, f in self.steps])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row for the start (step -1) and each step, with its node table; small, and of plain types, to be written anywhere."""
+        rows = [(-1, [float(n) for n in self.start.shape], self.start.ravel().tolist(), False, [])]
+        rows += [(i, s.tolist(), None, f.contrast, f.rows()) for i, (s, f) in enumerate(self.steps)]
+        return spark.createDataFrame(rows, TABLE)
 
-def mapped(df: DataFrame, f, out: str) -> DataFrame:
-    """df with column out made by f(model, arm, x, p, q) from NumPy arrays."""
+    @classmethod
+    def of_table(cls, table: DataFrame) -> Booster:
+        first, *rows = table.orderBy("step").collect()
+        shape = [int(n) for n in first["size"]]
+        return cls(np.array(first["start"]).reshape(shape), [(np.array(r["size"]), Forest.of_rows(r["nodes"], shape[0], r["contrast"])) for r in rows])
+
+
+def mapped(df: DataFrame, f: Callable[[Callable[[str], np.ndarray]], np.ndarray], out: str) -> DataFrame:
+    """df with the array column out made by f from a function that gives a column of arrays as a matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                c = b.slice(at, 2048)
-                model, arm = (c.column(c.schema.get_field_index(n)).to_numpy() for n in ("model", "a"))
-                made = f(model, arm, matrix(c, "x"), matrix(c, "p"), matrix(c, "q"))
-                col = pa.array(made.reshape(len(made), -1).tolist(), pa.list_(pa.float64()))
+            for at in range(0, b.num_rows, ROWS):
+                c = b.slice(at, ROWS)
+                made = f(lambda name, c=c: matrix(c, name))
+                col = pa.array(list(made.reshape(len(made), -1)), pa.list_(pa.float64()))
                 names = [n for n in c.schema.names if n != out]
                 yield pa.RecordBatch.from_arrays([*[c.column(c.schema.get_field_index(n)) for n in names], col], [*names, out])
 
@@ -86,82 +92,178 @@ def mapped(df: DataFrame, f, out: str) -> DataFrame:
     return df.mapInArrow(run, full)
 
 
-def moved(model: np.ndarray, arm: np.ndarray, x: np.ndarray, p: np.ndarray, sizes: dict[int, float], grown: dict[int, Tree], k: int) -> np.ndarray:
-    """Flat particles after one step, projected."""
+def summed(df: DataFrame, f: Callable[[Callable[[str], np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The sum over rows of f's result, an array of one shape for any batch, added up inside tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                c = b.slice(at, ROWS)
+                total = total + f(lambda name, c=c: matrix(c, name))
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([list(total.shape)], pa.list_(pa.int32())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["shape", "v"])
+
+    parts = df.mapInArrow(run, "shape array<int>, v array<double>").select("shape", F.posexplode("v").alias("k", "v"))
+    got = parts.groupBy("shape", "k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    return np.array([r["v"] for r in got]).reshape(got[0]["shape"]) if got else np.zeros(0)
+
+
+def start_particles(units: DataFrame, particles: int, order: str) -> np.ndarray:
+    """(models, particles, levels): of each model's training curves by total, then order, those at ranks floor((i + 0.5) n / particles).
+
+    Units are sorted once, over ranges; counts by range give every model's places.
+    """
+    keys = [F.col("_m"), F.col(order)]
+    r = ordered.ranges(units.select("t", "q", order, F.aggregate("q", F.lit(0.0), lambda s, v: s + v).alias("_m")), [], keys)
+    models = len(units.select("t").first()["t"])
+    counts = {x["_range"]: x["v"] for x in r.groupBy("_range").agg(F.array(*[F.sum(F.get("t", F.lit(m)).cast("long")) for m in range(models)]).alias("v")).collect()}  # a row for each range
+    total = np.sum(list(counts.values()), 0)
+    before, at = {}, np.zeros(models, np.int64)
+    for k in sorted(counts):
+        before[k] = at.copy()
+        at = at + np.array(counts[k])
+    wanted = [{int((i + 0.5) * n / particles): None for i in range(particles)} for n in total]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, q, ranges = matrix(b, "t"), matrix(b, "q"), b.column("_range").to_numpy()
+            out: list[list] = [[], [], []]
+            for k in np.unique(ranges).tolist():
+                own = np.flatnonzero(ranges == k)
+                place = seen.get(k, before[k]) + np.cumsum(t[own], 0).astype(np.int64)
+                seen[k] = place[-1]
+                for m in range(models):
+                    for i in np.flatnonzero((t[own, m] != 0) & np.isin(place[:, m] - 1, list(wanted[m]))):
+                        for c, v in zip(out, (m, int(place[i, m]) - 1, q[own[i]].tolist())):
+                            c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], ["model", "rank", "q"])
+
+    rows = r.repartition("_range").sortWithinPartitions("_range", *keys).select("t", "q", "_range").mapInArrow(pick, "model int, rank bigint, q array<double>").collect()  # models x particles
+    by = {(x["model"], x["rank"]): x["q"] for x in rows}
+    return np.array([[by[m, int((i + 0.5) * total[m] / particles)] for i in range(particles)] for m in range(models)])
+
+
+def moved(x: np.ndarray, a: np.ndarray, e: np.ndarray | None, p: np.ndarray, sizes: np.ndarray, forest: Forest) -> np.ndarray:
+    """Particles (n, models, M, K) after one step, projected; a model of size 0 stays."""
+    go = np.flatnonzero(sizes)
     out = p.copy()
-    for m in np.unique(model).tolist():
-        if sizes.get(m):
-            own = model == m
-            cand = p[own] + sizes[m] * grown[m].predict(x[own], arm[own])
-            out[own] = project(cand.reshape(-1, k)).reshape(len(cand), -1)
+    if len(go):
+        n, models, m, k = p.shape
+        change = forest.predict(x, a.astype(np.int64), e).reshape(n, models, m, k)[:, go]
+        out[:, go] = project((p[:, go] + sizes[go][:, None, None] * change).reshape(-1, k)).reshape(n, len(go), m, k)
     return out
 
 
-def fit(units: DataFrame, models: list[int], particles: int = 5, steps: int = 5, rate: float = 0.5, eps: float = 1e-3, rules: Rules = Rules(), halvings: int = 6, order: str = "unit_id") -> tuple[Booster, DataFrame]:
-    """A booster over units (model, unit_id, a, x, q, train BOOLEAN), and the final state of all rows.
+def fit(units: DataFrame, particles: int = 5, steps: int = 5, rate: float = 0.5, eps: float = 1e-3, rules: Rules = Rules(), halvings: int = 6, order: str = "unit_id") -> tuple[Booster, DataFrame]:
+    """A booster over units (unit_id, x, q, a, t and optionally e, arrays over models), and the final state of all rows.
 
-    Trees and risks use train rows only; the others follow along, so a held-out fold's laws come with the fit.
-    A model stops when no tried step size lowers its risk.
+    Trees and risks use the rows that a model trains on; the others follow along, so held-out laws come with the fit. A
+    model stops when no tried step size lowers its risk. e is for the contrast rule, which without it uses leaf shares.
     """
-    start_rows = prep.order_statistics(units.where(F.col("model") == models[0]).where("train").withColumn("_m", F.aggregate("q", F.lit(0.0), lambda s, v: s + v)), [F.col("_m"), F.col(order)], particles).orderBy("atom_id").collect()
-    start = np.array([r["q"] for r in start_rows])
-    k, width = start.shape[1], len(start_rows[0]["x"])
-    cuts = trees.cut_points(units.where(F.col("model") == models[0]), width)
-    state = stored(units.withColumn("p", F.array(*[F.lit(float(v)) for v in start.ravel()])))
-    book, alive = Booster(start, particles), set(models)
+    start = start_particles(units, particles, order)
+    models, _, k = start.shape
+    cuts = trees.cut_points(units, len(units.select("x").first()["x"]))
+    has_e = "e" in units.columns
+    of = lambda p, n: p.reshape(n, models, -1, k)
+    e_of = lambda get: get("e") if has_e else None
+    state = stored(mapped(units, lambda get, flat=start.ravel(): np.repeat(flat[None, :], len(get("x")), 0), "p"))
+    book, alive = Booster(start), np.ones(models, bool)
+    sizes = [0.0, *[rate / 2**i for i in range(halvings)]]
     for number in range(steps):
-        if not alive:
+        if not alive.any():
             break
-        grad = mapped(state.where("train").where(F.col("model").isin(sorted(alive))), lambda model, arm, x, p, q: descent(p.reshape(len(p), -1, q.shape[1]), q, eps), "v")
-        rows = stored(grad.select("model", "a", "x", "v", F.lit(1.0).alias("mass")))
-        grown = trees.grow(rows, sorted(alive), cuts, rules)
-        sizes = [0.0, *[rate / 2**i for i in range(halvings)]]
-
-        def tried(model, arm, x, p, q, grown=grown, sizes=sizes, k=k):
-            """Scores of a row before and after every step size."""
-            cols = [moved(model, arm, x, p, dict.fromkeys(grown, s), grown, k) if s else p for s in sizes]
-            return np.stack([scores(c.reshape(len(c), -1, k), q, eps) for c in cols], 1)
-
-        risk = mapped(state.where("train").where(F.col("model").isin(sorted(alive))), tried, "r")
-        means = risk.groupBy("model").agg(*[F.avg(F.get("r", F.lit(i))).alias(f"r{i}") for i in range(len(sizes))]).collect()
-        chosen: dict[int, float] = {}
-        for r in means:
-            ok = [i for i in range(1, len(sizes)) if r[f"r{i}"] <= r["r0"] + 1e-12]
-            if ok:
-                chosen[r["model"]] = sizes[ok[0]]
-            book.trace.append((number, r["model"], float(r["r0"]), float(r[f"r{ok[0]}"]) if ok else None, chosen.get(r["model"], 0.0), ok[0] - 1 if ok else halvings))
-        alive = set(chosen)
-        if chosen:
-            book.steps.append((chosen, grown))
-            state = stored(mapped(state, lambda model, arm, x, p, q, s=chosen, g=grown, k=k: moved(model, arm, x, p, s, g, k), "p"))
+
+        def gradient(get, alive=alive):
+            q, p = get("q"), of(get("p"), len(get("q")))
+            v = np.zeros_like(p)
+            for m in np.flatnonzero(alive):
+                v[:, m] = descent(p[:, m], q, eps)
+            return v
+
+        named = ["x", "a", "t", F.transform("t", lambda t: t.cast("double")).alias("mass"), "v"]
+        named += [F.zip_with("a", "e", lambda a, e: a - e).alias("w")] if has_e and rules.rule == "contrast" else []
+        rows = stored(mapped(state, gradient, "v").select(*named))
+        forest = trees.grow(rows, models, cuts, rules, np.flatnonzero(alive).tolist())
+
+        def tried(get, forest=forest, alive=alive):
+            """Training rows and sums of their scores before and after every step size, by model."""
+            q, t, x, a = get("q"), get("t"), get("x"), get("a")
+            p = of(get("p"), len(q))
+            cols = [moved(x, a, e_of(get), p, np.where(alive, s, 0.0), forest) for s in sizes]
+            out = np.zeros((models, len(sizes) + 1))
+            for m in np.flatnonzero(alive):
+                own = t[:, m] != 0
+                out[m] = [own.sum(), *[scores(c[own, m], q[own], eps).sum() for c in cols]]
+            return out
+
+        risk = summed(state, tried)
+        chosen = np.zeros(models)
+        for m in np.flatnonzero(alive).tolist():
+            r = risk[m, 1:] / risk[m, 0]
+            ok = [i for i in range(1, len(sizes)) if r[i] <= r[0] + 1e-12]
+            chosen[m] = sizes[ok[0]] if ok else 0.0
+            book.trace.append((number, m, float(r[0]), float(r[ok[0]]) if ok else None, float(chosen[m]), ok[0] - 1 if ok else halvings))
+        alive = chosen > 0
+        if alive.any():
+            book.steps.append((chosen, forest))
+            state = stored(mapped(state, lambda get, s=chosen, f=forest: moved(get("x"), get("a"), e_of(get), of(get("p"), len(get("x"))), s, f), "p"))
     return book, state
 
 
 def predict(book: Booster, rows: DataFrame, arm: int | None = None) -> DataFrame:
-    """rows (model, unit_id, a, x, q) with p: the law of each row's arm, or of the given one, atoms in lexicographic order."""
-    k = book.start.shape[1]
+    """rows (unit_id, x, a array; optionally e) with p: every model's law of each row's arm, or of the given one, atoms in lexicographic order."""
+    models, m, k = book.start.shape
+    has_e = "e" in rows.columns
+
+    def replay(get):
+        x = get("x")
+        n = len(x)
+        a = get("a").astype(np.int64) if arm is None else np.full((n, models), arm)
+        p = np.repeat(book.start[None], n, 0)
+        for sizes, forest in book.steps:
+            p = moved(x, a, get("e") if has_e else None, p, sizes, forest)
+        flat = p.reshape(-1, m, k)
+        order = np.lexsort(np.moveaxis(flat, 2, 0)[::-1], axis=-1)
+        return np.take_along_axis(flat, order[:, :, None], 1).reshape(n, -1)
+
+    return mapped(rows, replay, "p")
+
+
+def held_out_risk(state: DataFrame, models: int, k: int, eps: float = 1e-3) -> np.ndarray:
+    """Mean energy score by model of the rows that it was not trained on."""
+
+    def total(get):
+        q, t = get("q"), get("t")
+        p, out = get("p").reshape(len(q), models, -1, k), np.zeros((models, 2))
+        for m in range(models):
+            own = t[:, m] == 0
+            out[m] = scores(p[own, m], q[own], eps).sum(), own.sum()
+        return out
+
+    s = summed(state, total)
+    return s[:, 0] / s[:, 1]
 
-    def replay(model, own, x, p, q):
-        a = own if arm is None else np.full(len(own), arm)
-        for sizes, grown in book.steps:
-            p = moved(model, a, x, p, sizes, grown, k)
-        atoms = p.reshape(len(p), -1, k)
-        return np.stack([a_[np.lexsort(a_.T[::-1])] for a_ in atoms]) if len(atoms) else atoms
 
-    return mapped(rows.withColumn("p", F.array(*[F.lit(float(v)) for v in book.start.ravel()])), replay, "p")
+def law_of(model: Column | int, models: int, p: str = "p") -> Column:
+    """One model's flat particles from the array of all."""
+    size = (F.size(p) / models).cast("int")
+    return F.slice(p, (model if isinstance(model, Column) else F.lit(model)) * size + 1, size)
 
 
-def held_out_risk(state: DataFrame, eps: float = 1e-3) -> DataFrame:
-    """model, risk: mean energy score of the rows that were not trained on."""
-    r = mapped(state.where("NOT train"), lambda model, arm, x, p, q: scores(p.reshape(len(p), -1, q.shape[1]), q, eps)[:, None], "r")
-    return r.groupBy("model").agg(F.avg(F.get("r", F.lit(0))).alias("risk"))
+def atoms_of(p: Column, k: int) -> Column:
+    """Flat particles as an array of curves."""
+    return F.transform(F.sequence(F.lit(0), (F.size(p) / k - 1).cast("int")), lambda i: F.slice(p, i * k + 1, k))
 
 
 def as_law(state: DataFrame, k: int, arm: str = "a") -> DataFrame:
-    """The long law table of particles: unit_id, arm, atom_id, mass, q."""
-    m = F.size("p") / k
-    atoms = F.transform(F.sequence(F.lit(0), (m - 1).cast("int")), lambda i: F.struct(i.alias("atom_id"), F.slice("p", i * k + 1, k).alias("q")))
-    return state.select("unit_id", F.col(arm).alias("arm"), (1.0 / m).alias("mass"), F.explode(atoms).alias("e")).select("unit_id", "arm", "e.atom_id", "mass", "e.q")
+    """The long law table of one model's flat particles p: unit_id, arm, atom_id, mass, q."""
+    rows = state.select("unit_id", F.col(arm).alias("arm"), (k / F.size("p")).alias("mass"), F.posexplode(atoms_of(F.col("p"), k)).alias("atom_id", "q"))
+    return rows.select("unit_id", "arm", "atom_id", "mass", "q")
 
 
 def trace_table(book: Booster, spark) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Cross-fitted learners over unit tables: curve laws, mean regressors, R- and X-learners, two-part laws, propensities."""
+"""Cross-fitted learners over unit tables: curve laws, mean regressors, R- and X-learners, two-part laws, propensities.
+
+All models of a learner train in lock step: a unit is one row, with arrays over models (boost.py, trees.py).
+"""
 
 from __future__ import annotations
 
@@ -11,84 +14,150 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import boost, laws, trees
+from . import boost, laws, prep, trees
 from .boost import Booster
-from .effects import clipped
+from .effects import aipw, clipped
 from .ordered import stored
-from .trees import Rules, matrix
+from .trees import Rules
 
 ship(__name__)
 
 
-def with_models(units: DataFrame, folds: int, variants: int, fold: str = "fold") -> DataFrame:
-    """Every unit once for each model = variant * folds + held-out fold; train where the unit's fold isn't held out."""
-    many = units.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds * variants - 1))))
-    return many.withColumn("train", F.col(fold) != F.col("model") % folds)
-
-
-def cross_fitted_laws(units: DataFrame, penalties: list[float], folds: int = 3, **settings) -> tuple[float, DataFrame, DataFrame, Booster]:
-    """The penalty with the least held-out risk (the stronger at a tie), risks by penalty, out-of-fold state, and the fit.
+def in_runs(units: DataFrame, seeds: list[int], placebos: list[int] = [], folds: int = 3, arm: str = "a", key: str = "unit_id") -> DataFrame:  # noqa: B006
+    """key, a and fold ARRAYS: an entry for each seed, with the real arms, then for each placebo, with arms dealt anew.
 
-    units: unit_id, a, x, q, fold. All folds and penalties train in lock step, and the winner's held-out laws are kept.
+    A placebo's arms are those of all units in the order of seeded hashes, so their counts stay. Folds go round within a
+    run's arms in the order of another seeded hash. All runs are ranked together, so the jobs don't grow with their number.
     """
-    rows = with_models(units, folds, len(penalties))
-    rules = settings.pop("rules", Rules())
-    rules = Rules(rules.depth, rules.leaf, rules.arm_leaf, rules.rule, {i * folds + f: p for i, p in enumerate(penalties) for f in range(folds)})
-    book, state = boost.fit(rows, list(range(folds * len(penalties))), rules=rules, **settings)
-    risk = boost.held_out_risk(state).withColumn("variant", F.floor(F.col("model") / folds).cast("int")).groupBy("variant").agg(F.avg("risk").alias("risk"))
-    table = {r["variant"]: r["risk"] for r in risk.collect()}
-    best = min(table, key=lambda i: (table[i], -penalties[i]))
-    own = (F.floor(F.col("model") / folds) == best) & ~F.col("train")
-    risks = units.sparkSession.createDataFrame([(float(penalties[i]), float(v)) for i, v in sorted(table.items())], "penalty double, risk double")
-    return penalties[best], risks, state.where(own), book
-
-
-def arm_means(state: DataFrame, book: Booster, functionals: dict[str, Callable[[Column], Column]], k: int) -> DataFrame:
-    """unit_id, mu0_h, mu1_h: each functional's mean under the predicted laws of both arms."""
-    parts = []
-    for arm in (0, 1):
-        law = boost.as_law(boost.predict(book, state.select("model", "unit_id", "a", "x", "q"), arm).withColumn("arm", F.lit(arm)), k, "arm")
-        parts.append(laws.expectation(law, **{f"mu{arm}_{n}": h(F.col("q")) for n, h in functionals.items()}).drop("arm"))
-    return parts[0].join(parts[1], "unit_id")
+    runs = [(s, False) for s in seeds] + [(s, True) for s in placebos]
+    own = stored(units.select(F.col(key).alias("_key"), F.col(arm).cast("int").alias("_a")))
+    natural = prep.rank_in_group(own.withColumn("_g", F.lit(0)), "_g", [F.col("_key")], "_r").select("_r", F.col("_a").alias("_dealt"))
+    table = F.array(*[F.struct(F.lit(i).alias("_run"), F.lit(s).alias("_seed"), F.lit(p).alias("_placebo")) for i, (s, p) in enumerate(runs)])
+    many = own.select("_key", "_a", F.inline(table))
+    hashed = lambda text: F.md5(F.concat(F.lit(text), F.col("_seed"), F.lit(":"), F.col("_key").cast("string")))
+    dealt = prep.rank_in_group(many.where("_placebo").withColumn("_h", hashed("arm:")), "_run", [F.col("_h"), F.col("_key")], "_r").join(natural, "_r")
+    both = many.where("NOT _placebo").select("_key", "_run", "_seed", "_a").unionByName(dealt.select("_key", "_run", "_seed", F.col("_dealt").alias("_a")))
+    both = both.withColumn("_cell", F.col("_run") * 2 + F.col("_a")).withColumn("_h", hashed("fold:"))
+    ranked = prep.folds_by_rank(both, "_cell", [F.col("_h"), F.col("_key")], folds)
+    entries = F.array_sort(F.collect_list(F.struct("_run", F.col("_a").alias("a"), "fold")))
+    lists = ranked.groupBy(F.col("_key").alias(key)).agg(entries.alias("_e"))
+    return lists.select(key, F.transform("_e", lambda e: e["a"]).alias("a"), F.transform("_e", lambda e: e["fold"]).alias("fold"))
+
+
+def as_array(df: DataFrame, name: str, kind: str = "int") -> Column:
+    """An array column, or a single run's value as an array of one."""
+    return F.col(name) if df.schema[name].dataType.typeName() == "array" else F.array(F.col(name).cast(kind))
+
+
+def with_models(units: DataFrame, folds: int, variants: int) -> DataFrame:
+    """units with arrays a, t and, if it is there, e over models (run * variants + variant) * folds + held-out fold; t is 1 where the unit's fold isn't held out.
+
+    a, fold and e may be arrays over runs, or a single run's values.
+    """
+    each = folds * variants
+    if "e" in units.columns:
+        units = units.withColumn("e", F.flatten(F.transform(as_array(units, "e", "double"), lambda e: F.array_repeat(e, each))))
+    arms = F.flatten(F.transform(as_array(units, "a"), lambda a: F.array_repeat(a, each)))
+    train = F.flatten(F.transform(as_array(units, "fold"), lambda f: F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda m: (m % folds != f).cast("int"))))
+    return units.withColumns({"t": train, "a": arms})
 
 
-def boost_mean(rows: DataFrame, models: list[int], steps: int = 10, rate: float = 0.3, rules: Rules = Rules(depth=2, leaf=10, arm_leaf=0, rule="forced")) -> DataFrame:
-    """rows (model, unit_id, a, x, y ARRAY, train; optional w) with f ARRAY: boosted means, or effects where w = a - e is given.
+def cross_fitted_laws(units: DataFrame, penalties: list[float], folds: int = 3, **settings) -> tuple[list[float], DataFrame, DataFrame, Booster]:
+    """For each run the penalty with the least held-out risk (the stronger at a tie); run, penalty, risk; units with p, and the winners' booster.
 
-    With w the loss is (y - w f)^2, whose leaves are sum(w r) / sum(w^2).
+    units: unit_id, a, x, q, fold and optionally e (as arrays over runs, or single values). All runs, penalties and folds
+    train in lock step. The booster has models run * folds + fold, and p their laws of every unit's own arm, in or out of fold.
     """
-    width = len(rows.select("x").first()["x"])
-    cuts = trees.cut_points(rows.where(F.col("model") == models[0]), width)
-    if "w" in rows.columns:
-        state = stored(rows.withColumn("f", F.transform("y", lambda v: F.lit(0.0))))
-    else:  # start from each model's training mean
-        long = rows.where("train").select("model", F.posexplode("y").alias("k", "v")).groupBy("model", "k").agg(F.avg("v").alias("v"))
-        means = long.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("f"))
-        state = stored(rows.join(F.broadcast(means), "model"))  # one row for each model
-    w = F.col("w") if "w" in rows.columns else F.lit(1.0)
+    runs = len(units.select(as_array(units, "a").alias("a")).first()["a"])
+    variants = len(penalties)
+    rows = with_models(units.withColumn("_own", F.struct(*[F.col(f"`{c}`") for c in units.columns])), folds, variants)
+    rules = settings.pop("rules", Rules())
+    by_model = {(g * variants + i) * folds + f: p for g in range(runs) for i, p in enumerate(penalties) for f in range(folds)}
+    rules = Rules(rules.depth, rules.leaf, rules.arm_leaf, rules.rule, by_model, rules.shared, rules.gain)
+    book, state = boost.fit(rows, rules=rules, **settings)
+    models, _, k = book.start.shape
+    risk = boost.held_out_risk(state, models, k).reshape(runs, variants, folds).mean(2)
+    best = [min(range(variants), key=lambda i, g=g: (risk[g, i], -penalties[i])) for g in range(runs)]
+    table = units.sparkSession.createDataFrame([(g, float(penalties[i]), float(risk[g, i])) for g in range(runs) for i in range(variants)], "run int, penalty double, risk double")
+    kept = [(g * variants + best[g]) * folds + f for g in range(runs) for f in range(folds)]
+    p = F.concat(*[boost.law_of(m, models) for m in kept])
+    return [penalties[i] for i in best], table, state.select(*[F.col(f"_own.`{c}`") for c in units.columns if c != "p"], p.alias("p")), book.only(kept)
+
+
+def arm_means(units: DataFrame, book: Booster, functionals: dict[str, Callable[[Column], Column]], folds: int = 3) -> DataFrame:
+    """unit_id, run, a, fold and mu0_h, mu1_h: each functional's mean under the out-of-fold laws of both arms, a row for each run.
+
+    book has models run * folds + fold, as cross_fitted_laws() gives it.
+    """
+    models, _, k = book.start.shape
+    rows = with_models(units.withColumns({"_arms": as_array(units, "a"), "_folds": as_array(units, "fold")}), folds, 1)
+    named = ["unit_id", "x", "a", "_arms", "_folds", *(["e"] if "e" in units.columns else [])]
+    both = boost.predict(book, boost.predict(book, rows.select(*named), 0).withColumnRenamed("p", "p0"), 1).withColumnRenamed("p", "p1")
+    mean_of = lambda h: lambda own: F.aggregate(F.transform(boost.atoms_of(own, k), lambda q: h(q)), F.lit(0.0), lambda s, v: s + v) * k / F.size(own)
+    own_fold = lambda p: lambda f, g: boost.law_of(g * folds + f, models, p)
+    out = [F.transform(F.transform("_folds", own_fold(f"p{arm}")), mean_of(h)).alias(f"mu{arm}_{n}") for arm in (0, 1) for n, h in functionals.items()]
+    zipped = both.select("unit_id", F.col("_arms").alias("a"), F.col("_folds").alias("fold"), *out)
+    cols = [c for c in zipped.columns if c != "unit_id"]
+    return zipped.select("unit_id", F.posexplode(F.arrays_zip(*cols)).alias("run", "z")).select("unit_id", "run", *[F.col(f"z.{c}").alias(c) for c in cols])
+
+
+def calibrated_runs(units: DataFrame, penalties: list[float], functionals: dict[str, Callable[[Column], Column]], folds: int = 3, propensity_steps: int = 5, **settings) -> tuple[list[float], DataFrame]:
+    """Penalties by run, and unit_id, run, a, e and psi_h: doubly robust scores of every run from its own laws and propensities.
+
+    units: unit_id, x, q, and a and fold as arrays over runs (in_runs). One fit of laws and one of propensities serve all runs.
+    """
+    chosen, _, state, book = cross_fitted_laws(units, penalties, folds, **settings)
+    mu = arm_means(state, book, functionals, folds)
+    rows = with_models(units.select("unit_id", "x", "a", "fold"), folds, 1)
+    fitted = boost_mean(rows.select("unit_id", "x", "t", "fold", F.transform("a", lambda a: a.cast("double")).alias("y")), propensity_steps)
+    e = fitted.select("unit_id", F.posexplode(F.transform("fold", lambda f, g: F.get("f", g * folds + f))).alias("run", "e"))
+    values = units.select("unit_id", *[h(F.col("q")).alias(f"h_{n}") for n, h in functionals.items()])
+    j = mu.join(e, ["unit_id", "run"]).join(values, "unit_id").withColumn("e", clipped(F.col("e")))
+    psi = [aipw(F.col(f"h_{n}"), F.col("a"), F.col("e"), F.col(f"mu0_{n}"), F.col(f"mu1_{n}")).alias(f"psi_{n}") for n in functionals]
+    return chosen, j.select("unit_id", "run", "a", "e", *psi)
+
+
+def boost_mean(rows: DataFrame, steps: int = 10, rate: float = 0.3, rules: Rules = Rules(depth=2, leaf=10, arm_leaf=0, rule="forced")) -> DataFrame:
+    """rows (unit_id, x, t, y; optionally a and w; arrays over models) with f: boosted means, or effects where w = a - e is given.
+
+    y and f have a model's columns after another's. With w the loss is (y - w f)^2, whose leaves are sum(w r) / sum(w^2);
+    without, every model starts from the mean of the rows that it trains on.
+    """
+    first = rows.select("x", "t", "y").first()
+    models, width, weighted = len(first["t"]), len(first["x"]), "w" in rows.columns
+    cuts = trees.cut_points(rows, width)
+    if weighted:
+        start = np.zeros(len(first["y"]))
+    else:
+        at = lambda get: np.concatenate([(get("y").reshape(len(get("t")), models, -1) * get("t")[:, :, None]).sum(0), get("t").sum(0)[:, None]], 1)
+        s = boost.summed(rows, at)
+        start = (s[:, :-1] / np.maximum(s[:, -1:], 1)).ravel()
+    state = stored(boost.mapped(rows, lambda get: np.repeat(start[None, :], len(get("x")), 0), "f"))
+
+    def target(get):
+        y, f = (get(c).reshape(len(get("t")), models, -1) for c in "yf")
+        w = get("w")[:, :, None] if weighted else 1.0
+        return w * (y - w * f)
+
+    mass = F.transform("w", lambda w: w * w) if weighted else F.transform("t", lambda t: F.lit(1.0))
+    arms = F.col("a") if weighted else F.transform("t", lambda t: F.lit(0))
     for _ in range(steps):
-        v = F.zip_with("y", "f", lambda y, f: w * (y - w * f))
-        train = stored(state.where("train").select("model", F.lit(0).alias("a") if "w" not in rows.columns else "a", "x", v.alias("v"), (w * w).alias("mass")))
-        grown = trees.grow(train, models, cuts, rules)
-
-        def step(batches, grown=grown):
-            import pyarrow as pa
+        train = stored(boost.mapped(state, target, "v").select("x", "t", "v", mass.alias("mass"), arms.alias("a")))
+        forest = trees.grow(train, models, cuts, rules)
+        move = lambda get, forest=forest: get("f") + rate * forest.predict(get("x"), np.zeros((len(get("x")), models), np.int64)).reshape(len(get("x")), -1)
+        state = stored(boost.mapped(state, move, "f"))
+    return state
 
-            for b in batches:
-                model, x, f = b.column(b.schema.get_field_index("model")).to_numpy(), matrix(b, "x"), matrix(b, "f").copy()
-                for m in np.unique(model).tolist():
-                    own = model == m
-                    f[own] += rate * grown[m].predict(x[own], np.zeros(int(own.sum()), np.int64))
-                yield b.set_column(b.schema.get_field_index("f"), "f", pa.array(f.tolist(), pa.list_(pa.float64())))
 
-        state = stored(state.mapInArrow(step, state.schema))
-    return state
+def of_model(model: Column, models: int, column: str = "f") -> Column:
+    """One model's entries of an array over models."""
+    return boost.law_of(model, models, column)
 
 
-def fold_average(state: DataFrame) -> DataFrame:
-    """unit_id and f ARRAY: the average of all models' values, for rows that none of them was trained on."""
-    long = state.select("unit_id", F.posexplode("f").alias("k", "v")).groupBy("unit_id", "k").agg(F.avg("v").alias("v"))
-    return long.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("f"))
+def average(models: int, column: str = "f") -> Column:
+    """The average over models of an array with several entries for each."""
+    size = (F.size(column) / models).cast("int")
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: F.get(column, m * size + i)), F.lit(0.0), lambda s, v: s + v) / models)
 
 
 def nuisances(units: DataFrame, folds: int = 3, steps: int = 10, new: DataFrame | None = None, given: dict[str, Callable[[Column], Column] | Column] | None = None) -> DataFrame:
@@ -101,13 +170,14 @@ def nuisances(units: DataFrame, folds: int = 3, steps: int = 10, new: DataFrame
     asked = units if new is None else units.unionByName(new.withColumn("fold", F.lit(-1)), allowMissingColumns=True)
     if set(given) == {"e", "m"}:
         return asked.select("unit_id", clipped(given["e"]).alias("e"), given["m"].alias("m"))
-    target = F.when(F.col("a").isNotNull(), F.concat(F.array(F.col("a").cast("double")), "y"))
-    rows = with_models(asked.withColumn("y", target), folds, 1).withColumn("train", F.col("train") & (F.col("fold") >= 0))
     width = len(units.select("y").first()["y"]) + 1
-    rows = rows.withColumn("y", F.coalesce("y", F.array_repeat(F.lit(0.0), width))).withColumn("a", F.coalesce("a", F.lit(0)))
-    state = boost_mean(rows, list(range(folds)), steps).where("NOT train")
-    got = fold_average(state.where("fold < 0")).unionByName(state.where("fold >= 0").select("unit_id", "f")) if new is not None else state.select("unit_id", "f")
-    out = got.select("unit_id", F.get("f", F.lit(0)).alias("_e"), F.slice("f", 2, F.size("f") - 1).alias("_m"))
+    target = F.when(F.col("a").isNotNull(), F.concat(F.array(F.col("a").cast("double")), "y")).otherwise(F.array_repeat(F.lit(0.0), width))
+    rows = asked.withColumn("_y", target).withColumn("a", F.coalesce("a", F.lit(0)))
+    seen = F.col("fold") >= 0
+    rows = with_models(rows.select("unit_id", "x", "a", "fold", F.flatten(F.array_repeat("_y", folds)).alias("y")), folds, 1).withColumn("t", F.transform("t", lambda t: F.when(seen, t).otherwise(0)))
+    state = boost_mean(rows.drop("a"), steps)
+    f = F.when(seen, of_model(F.col("fold"), folds)).otherwise(average(folds))
+    out = state.select("unit_id", f.alias("f")).select("unit_id", F.get("f", F.lit(0)).alias("_e"), F.slice("f", 2, F.size("f") - 1).alias("_m"))
     if given:
         out = out.join(asked.select("unit_id", *[v.alias(k) for k, v in given.items()]), "unit_id")
     return out.select("unit_id", clipped(F.col("e" if "e" in given else "_e")).alias("e"), F.col("m" if "m" in given else "_m").alias("m"))
@@ -120,35 +190,40 @@ def r_learner(units: DataFrame, penalties: list[float], folds: int = 3, steps: i
     of y has its own, and a list is returned. given is as for nuisances.
     """
     n = nuisances(units, folds, steps, given=given)
-    d = units.select("unit_id", "a", "x", "y", "fold").join(n, "unit_id").select("unit_id", "a", "x", "fold", "e", "m", F.zip_with("y", "m", lambda y, m: y - m).alias("y"), (F.col("a") - F.col("e")).alias("w"))
+    variants = len(penalties)
+    models = folds * variants
+    d = units.select("unit_id", "a", "x", "y", "fold").join(n, "unit_id").select("unit_id", "a", "x", "fold", F.col("e").alias("_e"), "m", F.zip_with("y", "m", lambda y, m: y - m).alias("_y"), (F.col("a") - F.col("e")).alias("_w"))
     rules = Rules(2, 10, 2, "r_loss", {i * folds + f: p for i, p in enumerate(penalties) for f in range(folds)})
-    state = boost_mean(with_models(d, folds, len(penalties)), list(range(folds * len(penalties))), steps, rules=rules).where("NOT train")
-    variant = F.floor(F.col("model") / folds).cast("int")
-    losses = F.zip_with("y", "f", lambda y, f: (y - F.col("w") * f) * (y - F.col("w") * f))
-    risk = {(r["i"], r["k"]): r["v"] for r in state.select(variant.alias("i"), F.posexplode(losses).alias("k", "l")).groupBy("i", "k").agg(F.avg("l").alias("v")).collect()}  # a row for each penalty and column
+    rows = with_models(d, folds, variants).withColumns({"y": F.flatten(F.array_repeat("_y", models)), "w": F.array_repeat("_w", models)})
+    state = boost_mean(rows, steps, rules=rules)
+    own = F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), lambda i: of_model(i * folds + F.col("fold"), models))
+    state = stored(state.select("unit_id", F.col("_e").alias("e"), "m", "_y", "_w", own.alias("own")))
+    losses = F.transform("own", lambda f: F.zip_with("_y", f, lambda y, t: (y - F.col("_w") * t) * (y - F.col("_w") * t)))
+    risk = {(r["i"], r["k"]): r["v"] for r in state.select(F.posexplode(losses).alias("i", "l")).select("i", F.posexplode("l").alias("k", "l")).groupBy("i", "k").agg(F.avg("l").alias("v")).collect()}  # a row for each penalty and column
     columns = sorted({k for _, k in risk})
-    choose = lambda ks: min(range(len(penalties)), key=lambda i: (sum(risk[i, k] for k in ks), -penalties[i]))
+    choose = lambda ks: min(range(variants), key=lambda i: (sum(risk[i, k] for k in ks), -penalties[i]))
     best = [choose([k]) if per_column else choose(columns) for k in columns]
-    picked = F.array(*[F.max(F.when(variant == i, F.get("f", F.lit(k)))) for k, i in zip(columns, best)])
-    own = state.groupBy("unit_id").agg(F.first("e").alias("e"), F.first("m").alias("m"), picked.alias("f"))
+    own = state.select("unit_id", "e", "m", F.array(*[F.get(F.get("own", F.lit(i)), F.lit(k)) for k, i in zip(columns, best)]).alias("f"))
     e = F.col("e")
     out = own.select("unit_id", "e", F.col("f").alias("tau"), F.zip_with("m", "f", lambda m, t: m - e * t).alias("mu0"), F.zip_with("m", "f", lambda m, t: m + (1 - e) * t).alias("mu1"))
     return [penalties[i] for i in best] if per_column else penalties[best[0]], out
 
 
+def by_arm(units: DataFrame, folds: int, steps: int, y: Column) -> DataFrame:
+    """unit_id, f0, f1: out-of-fold means of y (an array) from models of the units of either arm."""
+    rows = with_models(units.withColumns({"_arm": F.col("a"), "_y": y}), folds, 2)
+    rows = rows.withColumn("t", F.transform("t", lambda t, m: F.when(F.floor(m / folds) == F.col("_arm"), t).otherwise(0)))
+    state = boost_mean(rows.select("unit_id", "x", "t", "fold", F.flatten(F.array_repeat("_y", 2 * folds)).alias("y")), steps)
+    return state.select("unit_id", *[of_model(F.lit(a * folds) + F.col("fold"), 2 * folds).alias(f"f{a}") for a in (0, 1)])
+
+
 def x_learner(units: DataFrame, folds: int = 3, steps: int = 10) -> DataFrame:
     """unit_id, tau ARRAY: imputed effects of both arms, blended by the propensity; out of fold throughout."""
     n = nuisances(units, folds, steps).select("unit_id", "e")
-    both = with_models(units, folds, 2).withColumn("arm_", F.floor(F.col("model") / folds).cast("int"))
-    fitted = boost_mean(both.withColumn("train", F.col("train") & (F.col("a") == F.col("arm_"))), list(range(2 * folds)), steps)
-    own = fitted.where(F.col("fold") == F.col("model") % folds)
-    mu = own.groupBy("unit_id").agg(F.first(F.when(F.col("arm_") == 0, F.col("f")), ignorenulls=True).alias("mu0"), F.first(F.when(F.col("arm_") == 1, F.col("f")), ignorenulls=True).alias("mu1"))
-    d = units.join(mu, "unit_id")
-    effect = F.when(F.col("a") == 1, F.zip_with("y", "mu0", lambda y, m: y - m)).otherwise(F.zip_with("mu1", "y", lambda m, y: m - y))
-    again = with_models(d.withColumn("y", effect).drop("mu0", "mu1"), folds, 2).withColumn("arm_", F.floor(F.col("model") / folds).cast("int"))
-    t = boost_mean(again.withColumn("train", F.col("train") & (F.col("a") == F.col("arm_"))), list(range(2 * folds)), steps).where(F.col("fold") == F.col("model") % folds)
-    tau = t.groupBy("unit_id").agg(F.first(F.when(F.col("arm_") == 0, F.col("f")), ignorenulls=True).alias("t0"), F.first(F.when(F.col("arm_") == 1, F.col("f")), ignorenulls=True).alias("t1"))
-    return tau.join(n, "unit_id").select("unit_id", F.zip_with("t0", "t1", lambda a, b: F.col("e") * a + (1 - F.col("e")) * b).alias("tau"))
+    d = stored(units.join(by_arm(units, folds, steps, F.col("y")), "unit_id"))
+    effect = F.when(F.col("a") == 1, F.zip_with("y", "f0", lambda y, m: y - m)).otherwise(F.zip_with("f1", "y", lambda m, y: m - y))
+    tau = by_arm(d.drop("f0", "f1").join(d.select("unit_id", effect.alias("_effect")), "unit_id"), folds, steps, F.col("_effect"))
+    return tau.join(n, "unit_id").select("unit_id", F.zip_with("f0", "f1", lambda a, b: F.col("e") * a + (1 - F.col("e")) * b).alias("tau"))
 
 
 def propensity_model(kind: str | Callable, n: int, seed: int = 0):
@@ -193,16 +268,46 @@ def propensities(units: DataFrame, kind: str | Callable = "logistic", folds: int
     return out.withColumn("e", clipped(F.col("e")))
 
 
-def zero_rates(units: DataFrame, zero: str, least: int = 8) -> DataFrame:
-    """unit_id, arm, p: the chance of a zero curve in both arms, by a logistic model of each arm; one class gives its rate."""
-    d = stored(units.select("unit_id", F.col("a").alias("arm"), F.col(zero).cast("int").alias("a"), array_to_vector("x").alias("features")))
+def zero_rates(units: DataFrame, zero: str, least: int = 8, folds: int = 0) -> DataFrame:
+    """unit_id, arm, p: the chance of a zero curve in both arms, by a logistic model of each arm; one class gives its rate.
+
+    With folds, units' fold is held out of the models that score them. Fewer than least rows give their rate, too.
+    """
+    d = stored(units.select("unit_id", F.col("a").alias("arm"), *(["fold"] if folds else []), F.col(zero).cast("int").alias("a"), array_to_vector("x").alias("features")))
     out = None
-    for arm in (0, 1):
-        own = d.where(F.col("arm") == arm)
-        s = own.agg(F.count("*").alias("n"), F.avg("a").alias("p")).first()
-        if not s["n"] or s["p"] in (0.0, 1.0) or s["n"] < least:
-            got = d.select("unit_id", F.lit(arm).alias("arm"), F.lit(float(s["p"] or 0.0)).alias("p"))
-        else:
-            got = propensity_model("logistic", s["n"]).fit(own).transform(d).select("unit_id", F.lit(arm).alias("arm"), vector_to_array("probability")[1].alias("p"))
-        out = got if out is None else out.unionByName(got)
+    for held in range(folds) if folds else [None]:
+        asked = d if held is None else d.where(F.col("fold") == held)
+        for arm in (0, 1):
+            own = d.where((F.col("arm") == arm) & (F.lit(True) if held is None else F.col("fold") != held))
+            s = own.agg(F.count("*").alias("n"), F.avg("a").alias("p")).first()
+            if not s["n"] or s["p"] in (0.0, 1.0) or s["n"] < least:
+                got = asked.select("unit_id", F.lit(arm).alias("arm"), F.lit(float(s["p"] or 0.0)).alias("p"))
+            else:
+                got = propensity_model("logistic", s["n"]).fit(own).transform(asked).select("unit_id", F.lit(arm).alias("arm"), vector_to_array("probability")[1].alias("p"))
+            out = got if out is None else out.unionByName(got)
     return out
+
+
+def two_part_laws(units: DataFrame, zero: str, folds: int = 3, least: int = 8, **settings) -> DataFrame:
+    """unit_id, arm, atom_id, mass, q: out-of-fold laws of both arms, a zero curve with the chance of zero_rates() and fitted atoms.
+
+    units: unit_id, a, x, q, fold and the boolean zero. The booster trains on non-zero units alone and predicts all. With
+    fewer than least of them outside some fold the atoms are one curve, the mean of all non-zero ones; without any, zero.
+    """
+    rates = zero_rates(units, zero, least, folds)
+    masked = F.transform("t", lambda t: F.when(F.col(zero), 0).otherwise(t))
+    rows = with_models(units, folds, 1).withColumn("t", masked)
+    counts = [r["n"] for r in units.where(~F.col(zero)).groupBy("fold").agg(F.count("*").alias("n")).collect()]  # a row for each fold
+    if sum(counts) - max(counts, default=0) < least:
+        levels = len(units.select("q").first()["q"])
+        mean = units.where(~F.col(zero)).agg(*[F.coalesce(F.avg(F.get("q", F.lit(i))), F.lit(0.0)).alias(f"q{i}") for i in range(levels)]).first()
+        law = units.select("unit_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("arm"), F.lit(0).alias("atom_id"), F.lit(1.0).alias("mass"), F.array(*[F.lit(float(v)) for v in mean]).alias("q"))
+        return laws.two_part(law, rates)
+    book, state = boost.fit(rows, **settings)
+    models, _, k = book.start.shape
+    law = None
+    for arm in (0, 1):
+        made = boost.predict(book, state.select("unit_id", "x", "a", "fold"), arm)
+        own = made.select("unit_id", F.lit(arm).alias("arm"), boost.law_of(F.col("fold"), models).alias("p"))
+        law = boost.as_law(own, k, "arm") if law is None else law.unionByName(boost.as_law(own, k, "arm"))
+    return laws.two_part(law, rates)

@@ -1,8 +1,10 @@
 """Histogram trees shared by two arms, grown level by level as Spark jobs, for many models at once.
 
-Training rows have columns model INT, a INT, x ARRAY<DOUBLE>, v ARRAY<DOUBLE>, mass DOUBLE. A split's gain is
-|V_left|^2 / M_left + |V_right|^2 / M_right - |V|^2 / M with sums V of v and M of mass; with v = target and mass 1 that is
-the drop of the pooled squared error. Each level is one job for all models: tasks add up histograms by model, node,
+A training row is a unit, with one entry for each model in its arrays: x ARRAY<DOUBLE> (features, common to all models),
+a ARRAY<INT> (arms), t ARRAY<INT> (1 where the model trains on the unit), mass ARRAY<DOUBLE>, v ARRAY<DOUBLE> (targets, model
+after model) and, for the contrast rule, w ARRAY<DOUBLE> (arm less propensity). So rows don't grow with models. A split's gain
+is |V_left|^2 / M_left + |V_right|^2 / M_right - |V|^2 / M with sums V of v and M of mass; with v = target and mass 1 that
+is the drop of the pooled squared error. Each level is one job for all models: tasks add up histograms by model, node,
 feature, bin and arm, Spark reduces them and finds each feature's best cut, and one small row for each model, node and
 feature reaches the driver. Cuts are midpoints of distinct values while there are at most BINS, else of quantile bins.
 """
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -23,36 +25,112 @@ from ..shipping import ship
 ship(__name__)
 
 BINS = 32
-HIST = "model int, node int, feature int, bin int, arm int, n long, mass double, ss double, vec array<double>"
+SUMS = "n long, mass double, ss double, w double, ww double, vec array<double>, wvec array<double>"
+HIST = f"model int, node int, feature int, bin int, arm int, {SUMS}"
+NODES = "model int, node int, feature int, cut double, low int, high int, share double, value0 array<double>, value1 array<double>"
 
 
 @dataclass
-class Tree:
-    """Splits (feature, cut) by heap number, the root being 1, and leaf values by number and arm."""
-
-    splits: dict[int, tuple[int, float]] = field(default_factory=dict)
-    leaves: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+class Forest:
+    """One tree for each model as node arrays. A leaf has feature -1; values are by arm, or b and d under the contrast rule.
+
+    Node numbers are places in the arrays; root is -1 for a model without a tree, which predicts zeros.
+    """
+
+    root: np.ndarray
+    feature: list[int] = field(default_factory=list)
+    cut: list[float] = field(default_factory=list)
+    low: list[int] = field(default_factory=list)
+    high: list[int] = field(default_factory=list)
+    share: list[float] = field(default_factory=list)
+    value: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    contrast: bool = False
+
+    def add(self) -> int:
+        for c, v in ((self.feature, -1), (self.cut, np.nan), (self.low, -1), (self.high, -1), (self.share, 0.0)):
+            c.append(v)
+        return len(self.feature) - 1
+
+    def split(self, node: int, feature: int, cut: float) -> list[int]:
+        self.feature[node], self.cut[node] = feature, cut
+        self.low[node], self.high[node] = self.add(), self.add()
+        return [self.low[node], self.high[node]]
 
     def route(self, x: np.ndarray) -> np.ndarray:
-        node = np.ones(len(x), np.int64)
-        for k in sorted(self.splits):
-            f, cut = self.splits[k]
-            here = node == k
-            node[here] = 2 * k + (x[here, f] > cut)
-        return node
-
-    def predict(self, x: np.ndarray, arm: np.ndarray) -> np.ndarray:
-        node = self.route(x)
-        out = np.zeros((len(x), len(next(iter(self.leaves.values()))[0])))
-        for k, values in self.leaves.items():
-            for a in (0, 1):
-                out[(node == k) & (arm == a)] = values[a]
+        """The leaf of each row in each model's tree, walked level by level for all models at once."""
+        node = np.repeat(self.root[None, :], len(x), 0)
+        feature, cut, low, high = np.array(self.feature + [-1]), np.array(self.cut + [np.nan]), np.array(self.low + [-1]), np.array(self.high + [-1])
+        row = np.arange(len(x))[:, None]
+        while True:
+            f = feature[node]
+            inner = f >= 0
+            if not inner.any():
+                return node
+            right = x[row, np.maximum(f, 0)] > cut[node]
+            node = np.where(inner, np.where(right, high[node], low[node]), node)
+
+    def predict(self, x: np.ndarray, arm: np.ndarray, e: np.ndarray | None = None) -> np.ndarray:
+        """(rows, models, values) for arms (rows, models); e has propensities for the contrast rule, else the leaf's treated share is used."""
+        leaf = self.route(x)
+        width = len(next(iter(self.value.values()))[0]) if self.value else 1
+        table = np.zeros((len(self.feature) + 1, 2, width))
+        for k, pair in self.value.items():
+            table[k] = pair
+        if not self.contrast:
+            return table[leaf, arm]
+        centre = np.array(self.share + [0.0])[leaf] if e is None else e
+        return table[leaf, 0] + (arm - centre)[:, :, None] * table[leaf, 1]
+
+    def splits(self, model: int = 0) -> dict[int, tuple[int, float]]:
+        """Splits of one tree by heap number, the root being 1."""
+        out, todo = {}, [(1, int(self.root[model]))]
+        while todo:
+            k, node = todo.pop()
+            if node >= 0 and self.feature[node] >= 0:
+                out[k] = (self.feature[node], self.cut[node])
+                todo += [(2 * k, self.low[node]), (2 * k + 1, self.high[node])]
+        return dict(sorted(out.items()))
+
+    def leaves(self, model: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Values of one tree's leaves by heap number."""
+        out, todo = {}, [(1, int(self.root[model]))]
+        while todo:
+            k, node = todo.pop()
+            if node >= 0 and self.feature[node] >= 0:
+                todo += [(2 * k, self.low[node]), (2 * k + 1, self.high[node])]
+            elif node in self.value:
+                out[k] = self.value[node]
+        return dict(sorted(out.items()))
+
+    def rows(self) -> list[tuple]:
+        """The node table NODES; model is set at roots only."""
+        roots = {int(r): m for m, r in enumerate(self.root) if r >= 0}
+        vec = lambda k, i: [float(v) for v in self.value[k][i]] if k in self.value else None
+        return [(roots.get(k), k, self.feature[k], None if np.isnan(self.cut[k]) else float(self.cut[k]), self.low[k], self.high[k], float(self.share[k]), vec(k, 0), vec(k, 1)) for k in range(len(self.feature))]
+
+    @classmethod
+    def of_rows(cls, rows: list, models: int, contrast: bool = False) -> Forest:
+        out = cls(np.full(models, -1), contrast=contrast)
+        for r in sorted(rows, key=lambda r: r["node"]):
+            k = out.add()
+            out.feature[k], out.low[k], out.high[k], out.share[k] = r["feature"], r["low"], r["high"], r["share"]
+            out.cut[k] = np.nan if r["cut"] is None else r["cut"]
+            if r["value0"] is not None:
+                out.value[k] = np.array(r["value0"]), np.array(r["value1"])
+            if r["model"] is not None:
+                out.root[r["model"]] = k
         return out
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows(), NODES)
+
 
 @dataclass(frozen=True)
 class Rules:
-    """Growth limits and the leaf rule: forced, arm_shrinkage, ridge, threshold, independent or r_loss; penalty by model."""
+    """Growth limits and the leaf rule: forced, arm_shrinkage, ridge, threshold, independent, r_loss or contrast; penalty by model.
+
+    gain "solve" (contrast only) takes what b + w d explains on each side of a cut in place of what b explains.
+    """
 
     depth: int = 2
     leaf: int = 5
@@ -60,10 +138,11 @@ class Rules:
     rule: str = "ridge"
     penalty: dict[int, float] = field(default_factory=dict)
     shared: float = 1.0
+    gain: str = "pooled"
 
 
 def cut_points(df: DataFrame, width: int, bins: int = BINS) -> list[list[float]]:
-    """Candidate cuts of each feature."""
+    """Candidate cuts of each feature, over all rows of df: features alone, so held-out rows may be among them."""
     rows = df.select(*[F.get("x", F.lit(f)).alias(f"x{f}") for f in range(width)])
     few = rows.agg(*[F.approx_count_distinct(f"x{f}").alias(f"x{f}") for f in range(width)]).first()
     probs = [i / bins for i in range(1, bins)]
@@ -78,50 +157,54 @@ def cut_points(df: DataFrame, width: int, bins: int = BINS) -> list[list[float]]
 
 
 def matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of one length as rows."""
     c = b.column(b.schema.get_field_index(name))
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
 
 
-def histograms(rows: DataFrame, trees: dict[int, Tree], open_nodes: dict[int, list[int]], cuts: list[list[float]], by_feature: bool) -> DataFrame:
+def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool) -> DataFrame:
     """Sums by model, node, feature, bin and arm over rows in open nodes; one feature -1 and bin 0 without by_feature."""
-    width = len(cuts)
+    width, models, wanted = len(cuts), len(forest.root), np.array(sorted(open_nodes))
+    named = [c for c in ("x", "a", "t", "v", "mass", "w") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            model, arm, mass = (b.column(b.schema.get_field_index(n)).to_numpy() for n in ("model", "a", "mass"))
-            x, v = matrix(b, "x"), matrix(b, "v")
+            x, arm, train, mass = (matrix(b, c) for c in ("x", "a", "t", "mass"))
+            v = matrix(b, "v").reshape(len(x), models, -1)
+            w = matrix(b, "w") if "w" in named else None
             binned = np.stack([np.searchsorted(np.array(cuts[f]), x[:, f], side="left") for f in range(width)], 1)
-            for m in np.unique(model).tolist():
-                own = np.flatnonzero(model == m)
-                node = trees[m].route(x[own]) if m in trees else np.ones(len(own), np.int64)
-                keep = np.isin(node, open_nodes.get(m, []))
-                own, node = own[keep], node[keep]
+            nodes = forest.route(x)
+            for m in range(models):
+                own = np.flatnonzero((train[:, m] != 0) & np.isin(nodes[:, m], wanted))
                 if not len(own):
                     continue
+                node, vm, mm, am = nodes[own, m], v[own, m], mass[own, m], arm[own, m].astype(np.int64)
+                wm = w[own, m] if w is not None else np.zeros(len(own))
+                square = (vm**2).sum(1)
                 for f in range(width) if by_feature else (-1,):
                     bin_ = binned[own, f] if f >= 0 else np.zeros(len(own), np.int64)
-                    code = (node * 64 + bin_) * 2 + arm[own]
-                    u, inv = np.unique(code, return_inverse=True)
-                    vec = np.zeros((len(u), v.shape[1]))
-                    np.add.at(vec, inv, v[own])
-                    n, w, ss = np.bincount(inv), np.bincount(inv, mass[own]), np.bincount(inv, (v[own] ** 2).sum(1))
+                    u, inv = np.unique((node * 64 + bin_) * 2 + am, return_inverse=True)
+                    plain = [np.bincount(inv), *[np.bincount(inv, c) for c in (mm, square, wm, wm * wm)]]
+                    vec, wvec = np.zeros((len(u), vm.shape[1])), np.zeros((len(u), vm.shape[1]))
+                    np.add.at(vec, inv, vm)
+                    if w is not None:
+                        np.add.at(wvec, inv, wm[:, None] * vm)
                     for i, k in enumerate(u.tolist()):
+                        new = [*[c[i] for c in plain], vec[i], wvec[i]]
                         key = (m, k // 128, f, k // 2 % 64, k % 2)
-                        old = sums.setdefault(key, [0, 0.0, 0.0, 0.0])
-                        old[0] += int(n[i])
-                        old[1] += float(w[i])
-                        old[2] += float(ss[i])
-                        old[3] = old[3] + vec[i]
+                        sums[key] = [p + q for p, q in zip(sums[key], new)] if key in sums else new
         if sums:
-            cols = list(zip(*sums))
-            vals = list(zip(*sums.values()))
-            arrays = [*[pa.array(c, pa.int32()) for c in cols], pa.array(vals[0], pa.int64()), pa.array(vals[1]), pa.array(vals[2]), pa.array([x.tolist() for x in vals[3]], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["model", "node", "feature", "bin", "arm", "n", "mass", "ss", "vec"])
+            keys, vals = list(zip(*sums)), list(zip(*sums.values()))
+            lists = [pa.array([c.tolist() for c in col], pa.list_(pa.float64())) for col in vals[5:]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in keys], pa.array(vals[0], pa.int64()), *[pa.array(c, pa.float64()) for c in vals[1:5]], *lists], HIST_NAMES)
+
+    return rows.select(*named).mapInArrow(run, HIST)
 
-    return rows.select("model", "a", "x", "v", "mass").mapInArrow(run, HIST)
+
+HIST_NAMES = [c.split()[0] for c in HIST.split(", ")]
 
 
 def first_improvement(gains: np.ndarray, slack: float = 1e-15) -> int | None:
@@ -133,26 +216,49 @@ def first_improvement(gains: np.ndarray, slack: float = 1e-15) -> int | None:
     return at
 
 
-def best_cut(pdf: pd.DataFrame, leaf: int, arm_leaf: int) -> tuple[int, float] | None:
+def explained(n: np.ndarray, mass: np.ndarray, w: np.ndarray, ww: np.ndarray, vec: np.ndarray, wvec: np.ndarray, solve: bool) -> np.ndarray:
+    """What a leaf explains of its squares: by b alone, or (solve) by b + w d, from the sums of each side."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (vec**2).sum(-1) / mass
+        if solve:
+            spread = ww - w * w / n
+            cross = wvec - (w / n)[..., None] * vec
+            out = out + np.where(spread > 1e-12, (cross**2).sum(-1) / np.where(spread > 1e-12, spread, 1.0), 0.0)
+    return out
+
+
+def best_cut(pdf: pd.DataFrame, leaf: int, arm_leaf: int, solve: bool = False) -> tuple[int, float] | None:
     """The bin after which to cut one feature of one node, and its gain."""
     bins = int(pdf.bin.max()) + 1
     dim = len(pdf.vec.iloc[0])
-    n, mass, vec = np.zeros((bins, 2)), np.zeros(bins), np.zeros((bins, dim))
-    for b, a, k, w, s in zip(pdf.bin, pdf.arm, pdf.n, pdf.mass, pdf.vec):
-        n[b, a] += k
-        mass[b] += w
-        vec[b] += s
-    ln, lm, lv = np.cumsum(n, 0)[:-1], np.cumsum(mass)[:-1], np.cumsum(vec, 0)[:-1]
-    rn, rm, rv = n.sum(0) - ln, mass.sum() - lm, vec.sum(0) - lv
-    fine = (ln.sum(1) >= leaf) & (rn.sum(1) >= leaf) & (np.minimum(ln, rn).min(1) >= arm_leaf) & (lm > 0) & (rm > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (lv**2).sum(1) / lm + (rv**2).sum(1) / rm - (vec.sum(0) ** 2).sum() / mass.sum()
+    arms, plain, vec, wvec = np.zeros((bins, 2)), np.zeros((bins, 3)), np.zeros((bins, dim)), np.zeros((bins, dim))
+    np.add.at(arms, (pdf.bin.to_numpy(), pdf.arm.to_numpy()), pdf.n.to_numpy())
+    np.add.at(plain, pdf.bin.to_numpy(), pdf[["mass", "w", "ww"]].to_numpy())
+    np.add.at(vec, pdf.bin.to_numpy(), np.stack(pdf.vec))
+    np.add.at(wvec, pdf.bin.to_numpy(), np.stack(pdf.wvec))
+    left, ln = [np.cumsum(c, 0)[:-1] for c in (plain, vec, wvec)], np.cumsum(arms, 0)[:-1]
+    right, rn = [c.sum(0) - s for c, s in zip((plain, vec, wvec), left)], arms.sum(0) - ln
+    fine = (ln.sum(1) >= leaf) & (rn.sum(1) >= leaf) & (np.minimum(ln, rn).min(1) >= arm_leaf) & (left[0][:, 0] > 0) & (right[0][:, 0] > 0)
+    of = lambda n, s: explained(n.sum(-1), s[0][..., 0], s[0][..., 1], s[0][..., 2], s[1], s[2], solve)
+    gain = of(ln, left) + of(rn, right) - of(arms.sum(0), [plain.sum(0), vec.sum(0), wvec.sum(0)])
     # a cut after an empty bin repeats the one before it
-    fine &= n.sum(1)[:-1] > 0
+    fine &= arms.sum(1)[:-1] > 0
     at = first_improvement(np.where(fine, gain, -np.inf))
     return None if at is None else (at, float(gain[at]))
 
 
+def contrast_values(n: np.ndarray, w: np.ndarray, ww: np.ndarray, vec: np.ndarray, wvec: np.ndarray, penalty: float, leaf_share: bool) -> tuple[np.ndarray, np.ndarray]:
+    """b and d of the regression of v on w = arm - propensity with a ridge on d, from sums by arm; leaf_share centres arms at the leaf's own share."""
+    total, g = n.sum(), vec.sum(0) / n.sum()
+    if leaf_share:
+        mean, spread, cross = 0.0, n[0] * n[1] / total, vec[1] - n[1] / total * vec.sum(0)
+    else:
+        mean = w.sum() / total
+        spread, cross = ww.sum() - total * mean**2, wvec.sum(0) - mean * vec.sum(0)
+    d = cross / spread * (spread / (spread + penalty)) if spread > 1e-12 else np.zeros_like(g)
+    return g - mean * d, d
+
+
 def leaf_values(n: np.ndarray, mass: np.ndarray, ss: np.ndarray, vec: np.ndarray, rules: Rules, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Values for both arms from their counts, masses, squares and sums."""
     if rules.rule == "r_loss":  # masses are squared residual treatments, with a ridge on their sum
@@ -178,44 +284,45 @@ def leaf_values(n: np.ndarray, mass: np.ndarray, ss: np.ndarray, vec: np.ndarray
     return pooled - share * factor * gap, pooled + (1 - share) * factor * gap
 
 
-def grow(rows: DataFrame, models: list[int], cuts: list[list[float]], rules: Rules) -> dict[int, Tree]:
-    """One tree for each model; rows are read once for each level and once for the leaves."""
-    trees = {m: Tree() for m in models}
-    open_nodes = {m: [1] for m in models}
-    leaf, arm_leaf = rules.leaf, rules.arm_leaf
+def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None) -> Forest:
+    """One tree for each model (or each of alive); rows are read once for each level and once for the leaves."""
+    forest = Forest(np.full(models, -1), contrast=rules.rule == "contrast")
+    for m in range(models) if alive is None else alive:
+        forest.root[m] = forest.add()
+    open_nodes, leaf, arm_leaf, solve = list(range(len(forest.feature))), rules.leaf, rules.arm_leaf, rules.gain == "solve"
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = best_cut(pdf, leaf, arm_leaf)
+        got = best_cut(pdf, leaf, arm_leaf, solve)
         head = pdf.iloc[0]
-        return pd.DataFrame([(head.model, head.node, head.feature, *got)] if got else [], columns=["model", "node", "feature", "bin", "gain"])
+        return pd.DataFrame([(head.node, head.feature, *got)] if got else [], columns=["node", "feature", "bin", "gain"])
 
     for _ in range(rules.depth):
-        if not any(open_nodes.values()):
+        if not open_nodes:
             break
-        found = histograms(rows, trees, open_nodes, cuts, True).groupBy("model", "node", "feature").applyInPandas(search, "model int, node int, feature int, bin int, gain double").collect()
-        best: dict[tuple[int, int], tuple] = {}
-        for r in sorted(found, key=lambda r: (r["model"], r["node"], r["feature"])):
-            k = r["model"], r["node"]
-            if r["gain"] > best.get(k, (0, 0, 1e-15))[2] + 1e-15:
-                best[k] = (r["feature"], r["bin"], r["gain"])
-        open_nodes = {m: [] for m in models}
-        for (m, node), (f, b, _) in best.items():
-            trees[m].splits[node] = (f, cuts[f][b])
-            open_nodes[m] += [2 * node, 2 * node + 1]
-    ends = {m: [k for k in ({1} | {c for s in t.splits for c in (2 * s, 2 * s + 1)}) if k not in t.splits] for m, t in trees.items()}
+        found = histograms(rows, forest, open_nodes, cuts, True).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double").collect()
+        best: dict[int, tuple] = {}
+        for r in sorted(found, key=lambda r: (r["node"], r["feature"])):
+            if r["gain"] > best.get(r["node"], (0, 0, 1e-15))[2] + 1e-15:
+                best[r["node"]] = (r["feature"], r["bin"], r["gain"])
+        open_nodes = [k for node, (f, b, _) in sorted(best.items()) for k in forest.split(node, f, cuts[f][b])]
+    ends = [k for k, f in enumerate(forest.feature) if f < 0]
     sums: dict[tuple[int, int], list] = {}
-    for r in histograms(rows, trees, ends, cuts, False).groupBy("model", "node", "arm").applyInPandas(added, "model int, node int, arm int, n long, mass double, ss double, vec array<double>").collect():
+    for r in histograms(rows, forest, ends, cuts, False).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
         sums.setdefault((r["model"], r["node"]), []).append(r)
     for (m, node), parts in sums.items():
         dim = len(parts[0]["vec"])
-        n, mass, ss, vec = np.zeros(2), np.zeros(2), np.zeros(2), np.zeros((2, dim))
+        n, mass, ss, w, ww, vec, wvec = *(np.zeros(2) for _ in range(5)), np.zeros((2, dim)), np.zeros((2, dim))
         for r in parts:
-            n[r["arm"]], mass[r["arm"]], ss[r["arm"]], vec[r["arm"]] = r["n"], r["mass"], r["ss"], r["vec"]
-        trees[m].leaves[node] = leaf_values(n, mass, ss, vec, rules, rules.penalty.get(m, rules.shared))
-    return trees
+            for c, name in ((n, "n"), (mass, "mass"), (ss, "ss"), (w, "w"), (ww, "ww"), (vec, "vec"), (wvec, "wvec")):
+                c[r["arm"]] = r[name]
+        penalty = rules.penalty.get(m, rules.shared)
+        forest.share[node] = float(n[1] / n.sum())
+        forest.value[node] = contrast_values(n, w, ww, vec, wvec, penalty, "w" not in rows.columns) if forest.contrast else leaf_values(n, mass, ss, vec, rules, penalty)
+    return forest
 
 
 def added(pdf: pd.DataFrame) -> pd.DataFrame:
     """Partial sums of one node and arm added up."""
     head = pdf.iloc[0]
-    return pd.DataFrame([(head.model, head.node, head.arm, pdf.n.sum(), pdf.mass.sum(), pdf.ss.sum(), np.sum(np.stack(pdf.vec), 0))], columns=["model", "node", "arm", "n", "mass", "ss", "vec"])
+    names = ["n", "mass", "ss", "w", "ww"]
+    return pd.DataFrame([(head.model, head.node, head.arm, *[pdf[c].sum() for c in names], np.sum(np.stack(pdf.vec), 0), np.sum(np.stack(pdf.wvec), 0))], columns=["model", "node", "arm", *names, "vec", "wvec"])

@@ -103,8 +103,8 @@ def m3(spark, d):
 @query("m6_squared_distance_booster")
 def m6(spark, d):
     """Boosted mean curves by arm: average fitted curve of each level beside the observed one."""
-    u = rows(spark, d).withColumn("y", c("q")).withColumn("model", c("a")).withColumn("train", F.lit(True))
-    f = learners.boost_mean(u, [0, 1], 4)
+    u = rows(spark, d).withColumns({"y": F.concat("q", "q"), "t": F.array((c("a") == 0).cast("int"), c("a"))})
+    f = learners.boost_mean(u.select("unit_id", "x", "t", "y", "q", c("a").alias("own")), 4).select(c("own").alias("a"), "q", learners.of_model(c("own"), 2).alias("f"))
     g = f.select("a", F.posexplode(F.arrays_zip("f", "q")).alias("k", "z")).groupBy("a", "k").agg(r(F.avg("z.f"), 2).alias("fitted"), r(F.avg("z.q"), 2).alias("observed"))
     return g
 

@@ -1,4 +1,4 @@
-"""Learner queries on the units of the curve queries; no SQL twins, tests hold them to slow definitions and invariants."""
+"""Learner queries on the units of the curve queries. Those without SQL twins are held to slow definitions, row by row, in tests/test_learners.py."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import curves as C
 from ..grid import midpoint_levels
 from ..operators import boost, effects, laws, learners, ordered, prep, quantiles, trees
+from .effect_queries import dr_sql, scored
 from .roles import R, UNITS, micro, r, twin, units
 
 QUERIES, ORACLES = {}, {}
@@ -32,16 +33,26 @@ def rows(spark, d):
     return ordered.stored(u.join(q, "unit_id").select("unit_id", "a", x.alias("x"), "q", "fold", "m"))
 
 
+def single(u):
+    """Units as rows of one model that trains on all of them."""
+    return u.withColumns({"t": F.array(F.lit(1)), "a": F.array("a")})
+
+
+def one_target(df, x, v, w=None):
+    """Training rows of one tree with one feature and one target."""
+    one = [F.array(F.lit(1)).alias("t"), F.array(F.lit(1.0)).alias("mass")]
+    return df.select(F.array("a").alias("a"), F.array(x.cast("double")).alias("x"), F.array(v).alias("v"), *one, *([F.array(w).alias("w")] if w is not None else []))
+
+
 FAST = {"particles": 5, "steps": 3, "halvings": 4}
 
 
 @query("m1_shared_tree")
 def m1(spark, d):
     """One shared tree on whole curves: leaf values of both arms."""
-    t = rows(spark, d).select(F.lit(0).alias("model"), "a", "x", F.col("q").alias("v"), F.lit(1.0).alias("mass"))
-    cuts = trees.cut_points(t, 3)
-    tree = trees.grow(t, [0], cuts, trees.Rules(depth=2, leaf=20, arm_leaf=5, shared=50.0))[0]
-    out = [(k, a, i, float(v)) for k, vals in sorted(tree.leaves.items()) for a in (0, 1) for i, v in enumerate(vals[a])]
+    t = single(rows(spark, d)).select("a", "x", "t", F.col("q").alias("v"), F.array(F.lit(1.0)).alias("mass"))
+    tree = trees.grow(t, 1, trees.cut_points(t, 3), trees.Rules(depth=2, leaf=20, arm_leaf=5, shared=50.0))
+    out = [(k, a, i, float(v)) for k, vals in tree.leaves().items() for a in (0, 1) for i, v in enumerate(vals[a])]
     return spark.createDataFrame(out, "leaf int, arm int, k int, value double").withColumn("value", r(F.col("value"), 3))
 
 
@@ -92,16 +103,54 @@ ga AS (SELECT (x + nx) / 2 AS cut, ls * ls / ln + (ts - ls) * (ts - ls) / (tn -
 @query("w9_first_improvement", twin(UNITS + ", " + CUTS, "SELECT 0 AS feature, cut FROM (SELECT cut, gain, coalesce(max(gain) OVER (ORDER BY cut ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS before FROM ga) WHERE gain > before + 1e-15 ORDER BY cut DESC LIMIT 1"))
 def w9(spark, d):
     """The cut that a scan for strict improvement over the brand number settles on."""
-    t = units(spark, d).select(F.lit(0).alias("model"), "a", F.array(F.regexp_extract("brand", r"(\d+)", 1).cast("double")).alias("x"), F.array("moderator_raw").alias("v"), F.lit(1.0).alias("mass"))
-    tree = trees.grow(t, [0], trees.cut_points(t, 1), trees.Rules(depth=1, leaf=5, arm_leaf=0))[0]
-    return spark.createDataFrame([(f, float(c)) for f, c in tree.splits.values()], "feature int, cut double")
+    t = one_target(units(spark, d), F.regexp_extract("brand", r"(\d+)", 1), F.col("moderator_raw"))
+    tree = trees.grow(t, 1, trees.cut_points(t, 1), trees.Rules(depth=1, leaf=5, arm_leaf=0))
+    return spark.createDataFrame([(f, float(c)) for f, c in tree.splits().values()], "feature int, cut double")
+
+
+#: Gains of the cuts of the brand number by what b, or b + w d, explains of the mean on each side, and the values on each side of the first best cut.
+CONTRAST = """cr AS (SELECT regexp_extract(brand, '(\\d+)', 1)::DOUBLE AS x, h, ps.a - e AS w FROM ps JOIN units USING (unit_id)),
+cs AS (SELECT x, count(*) AS n, sum(h) AS g, sum(w) AS w, sum(w * w) AS ww, sum(w * h) AS wg FROM cr GROUP BY x),
+ct AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER o AS n, sum(g) OVER o AS g, sum(w) OVER o AS w, sum(ww) OVER o AS ww, sum(wg) OVER o AS wg, sum(n) OVER () AS tn, sum(g) OVER () AS tg, sum(w) OVER () AS tw, sum(ww) OVER () AS tww, sum(wg) OVER () AS twg FROM cs WINDOW o AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+cg AS (SELECT (x + nx) / 2 AS cut, g * g / n + (tg - g) * (tg - g) / (tn - n) AS pooled, pow(wg - w * g / n, 2) / (ww - w * w / n) + pow((twg - wg) - (tw - w) * (tg - g) / (tn - n), 2) / ((tww - ww) - (tw - w) * (tw - w) / (tn - n)) AS more FROM ct WHERE nx IS NOT NULL AND n >= 20 AND tn - n >= 20),
+cc AS (SELECT 'pooled' AS gain, first(cut ORDER BY pooled DESC, cut) AS cut FROM cg UNION ALL SELECT 'solve', first(cut ORDER BY pooled + more DESC, cut) FROM cg)"""
+
+
+@query("m3_contrast_tree", twin(dr_sql("mean") + ",\n" + CONTRAST, f"SELECT gain, cut, (x > cut)::INT AS side, count(*) AS n, {R('avg(h) - avg(w) * regr_slope(h, w) * regr_sxx(h, w) / (regr_sxx(h, w) + 30)', 3)} AS b, {R('regr_slope(h, w) * regr_sxx(h, w) / (regr_sxx(h, w) + 30)', 3)} AS d FROM cr CROSS JOIN cc GROUP BY gain, cut, side"))
+def m3_tree(spark, d):
+    """A tree of one cut of the brand number whose leaves are b + (a - e) d, by either gain; the propensity is cross-fitted."""
+    s = ordered.stored(scored(spark, d).join(units(spark, d).select("unit_id", F.regexp_extract("brand", r"(\d+)", 1).cast("double").alias("x")), "unit_id").select("a", "x", "mean", (F.col("a") - F.col("e")).alias("w")))
+    t = one_target(s, F.col("x"), F.col("mean"), F.col("w"))
+    cuts, out = trees.cut_points(t, 1), None
+    for gain in ("pooled", "solve"):
+        tree = trees.grow(t, 1, cuts, trees.Rules(depth=1, leaf=20, arm_leaf=0, rule="contrast", shared=30.0, gain=gain))
+        cut, leaves = tree.splits()[1][1], tree.leaves()
+        values = spark.createDataFrame([(gain, float(cut), k - 2, float(v[0][0]), float(v[1][0])) for k, v in leaves.items()], "gain string, cut double, side int, b double, d double")
+        n = s.groupBy((F.col("x") > cut).cast("int").alias("side")).agg(F.count("*").alias("n"))
+        one = values.join(n, "side").select("gain", "cut", "side", "n", r(F.col("b"), 3).alias("b"), r(F.col("d"), 3).alias("d"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("m3_contrast_booster")
+def m3_booster(spark, d):
+    """A particle booster with prognostic and contrast leaves: risk before and after each step, and the mean contrast of the laws' means, by propensity basis."""
+    u, out = rows(spark, d), None
+    e = learners.nuisances(u.withColumn("y", F.array(C.curve_mean(F.col("q")))), 3, 3).select("unit_id", "e")
+    for basis, part in (("leaf_share", u), ("cross_fitted", ordered.stored(u.join(e, "unit_id")))):
+        one = single(part).withColumn("e", F.array("e")) if "e" in part.columns else single(part)
+        book, state = boost.fit(one, rules=trees.Rules(leaf=20, arm_leaf=5, rule="contrast", shared=50.0), **FAST)
+        mean = lambda arm, book=book, state=state: boost.predict(book, state.drop("p"), arm).agg(F.avg(F.aggregate("p", F.lit(0.0), lambda s, v: s + v) / F.size("p"))).first()[0]
+        gap = mean(1) - mean(0)
+        t = boost.trace_table(book, spark).select(F.lit(basis).alias("basis"), "step", r(F.col("before")).alias("before"), r(F.col("after")).alias("after"), r(F.lit(float(gap)), 2).alias("contrast"))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @query("m4_m18_booster_trace")
 def m4(spark, d):
     """Risk before and after every step of a particle booster."""
-    u = rows(spark, d).withColumn("model", F.lit(0)).withColumn("train", F.lit(True))
-    book, _ = boost.fit(u, [0], rules=trees.Rules(leaf=20, arm_leaf=5, shared=50.0), **FAST)
+    book, _ = boost.fit(single(rows(spark, d)), rules=trees.Rules(leaf=20, arm_leaf=5, shared=50.0), **FAST)
     t = boost.trace_table(book, spark)
     return t.select("step", "model", "backtracks", *[r(F.col(c)).alias(c) for c in ("before", "after", "size")])
 
@@ -109,20 +158,20 @@ def m4(spark, d):
 @query("m5_separate_arms")
 def m5(spark, d):
     """A booster of each arm without sharing: the arm is the model."""
-    u = rows(spark, d).withColumn("model", F.col("a")).withColumn("train", F.lit(True))
-    book, state = boost.fit(u, [0, 1], rules=trees.Rules(leaf=20, arm_leaf=0, rule="forced"), **FAST)
-    law = boost.as_law(state, K)
+    u = rows(spark, d).withColumns({"own": F.col("a"), "t": F.array((F.col("a") == 0).cast("int"), F.col("a")), "a": F.array("a", "a")})
+    _, state = boost.fit(u, rules=trees.Rules(leaf=20, arm_leaf=0, rule="forced"), **FAST)
+    law = boost.as_law(state.select("unit_id", "own", boost.law_of(F.col("own"), 2).alias("p")), K, "own")
     return laws.expectation(law, mean=C.curve_mean(F.col("q"))).groupBy("arm").agg(F.count("*").alias("units"), r(F.avg("mean"), 2).alias("mean"))
 
 
 @query("m7_predicted_laws")
 def m7(spark, d):
-    """Predicted laws of both arms for all units: mean curve contrast by level, and the effective support."""
-    u = rows(spark, d).withColumn("model", F.lit(0)).withColumn("train", F.lit(True))
-    book, state = boost.fit(u, [0], rules=trees.Rules(leaf=20, arm_leaf=5, shared=50.0), **FAST)
-    both = None
+    """Predicted laws of both arms for all units, from a booster written as node tables and read back: mean curve contrast by level."""
+    u = single(rows(spark, d))
+    fitted, _ = boost.fit(u, rules=trees.Rules(leaf=20, arm_leaf=5, shared=50.0), **FAST)
+    book, both = boost.Booster.of_table(ordered.stored(fitted.table(spark))), None
     for arm in (0, 1):
-        law = boost.as_law(boost.predict(book, state.select("model", "unit_id", "a", "x", "q"), arm).withColumn("arm", F.lit(arm)), K, "arm")
+        law = boost.as_law(boost.predict(book, u.select("unit_id", "x", "a"), arm).withColumn("arm", F.lit(arm)), K, "arm")
         both = law if both is None else both.unionByName(law)
     m = laws.mean_curve(both).select("unit_id", "arm", F.posexplode("q").alias("k", "q"))
     on = lambda k: F.avg(F.when(F.col("arm") == k, F.col("q")))
@@ -133,16 +182,16 @@ def m7(spark, d):
 def m8(spark, d):
     """The whole run: penalty by held-out energy, out-of-fold laws, functionals, propensities, doubly robust effects by bin."""
     u = rows(spark, d)
-    penalty, _, state, book = learners.cross_fitted_laws(u, [0.0, 50.0, 500.0], 3, rules=trees.Rules(leaf=20, arm_leaf=5), **FAST)
+    penalties, _, state, book = learners.cross_fitted_laws(u, [0.0, 50.0, 500.0], 3, rules=trees.Rules(leaf=20, arm_leaf=5), **FAST)
     hs = {"mean": C.curve_mean, "sd": C.curve_sd}
-    mu = learners.arm_means(state, book, hs, K)
+    mu = learners.arm_means(state, book, hs).drop("run", "a", "fold")
     e = learners.propensities(u, "logistic")
     j = u.join(mu, "unit_id").join(e, "unit_id").withColumn("bin", prep.moderator_bin(F.col("m")))
     long = None
     for n, h in hs.items():
         s = effects.by_bin(j.withColumn("psi", effects.aipw(h(F.col("q")), F.col("a"), F.col("e"), F.col(f"mu0_{n}"), F.col(f"mu1_{n}"))), "psi").withColumn("name", F.lit(n))
         long = s if long is None else long.unionByName(s)
-    return long.select("name", "bin", "n", F.lit(float(penalty)).alias("penalty"), r(F.col("effect"), 2).alias("effect"), r(F.col("if_se"), 2).alias("if_se"))
+    return long.select("name", "bin", "n", F.lit(float(penalties[0])).alias("penalty"), r(F.col("effect"), 2).alias("effect"), r(F.col("if_se"), 2).alias("if_se"))
 
 
 @query("m9_m10_nuisances")
@@ -198,15 +247,13 @@ def m12(spark, d):
 
 @query("m14_two_part_law")
 def m14(spark, d):
-    """Zero curves (units without a return) by a logistic model of each arm, mixed into uniform laws of the rest."""
+    """Zero curves (units with few returns) by out-of-fold logistic models of each arm, mixed into laws that a booster fits on the other units."""
     from .roles import table
 
     u = rows(spark, d)
     back = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("unit_id")).agg(F.count("*").alias("k"))
-    z = u.join(back, "unit_id", "left").withColumn("zero", F.coalesce("k", F.lit(0)) < 8)
-    p = learners.zero_rates(z, "zero")
-    law = boost.as_law(z.where("NOT zero").withColumn("p", F.flatten(F.array("q", F.transform("q", lambda v: v * 1.1)))), K)
-    mixed = laws.two_part(law, p)
+    z = ordered.stored(u.join(back, "unit_id", "left").withColumn("zero", F.coalesce("k", F.lit(0)) < 8))
+    mixed = learners.two_part_laws(z, "zero", 3, rules=trees.Rules(leaf=20, arm_leaf=5, shared=50.0), **FAST)
     return laws.zero_mass(mixed, 1e-9).join(laws.expectation(mixed, mean=C.curve_mean(F.col("q"))), laws.KEYS).groupBy("arm").agg(F.count("*").alias("units"), r(F.avg("zero"), 3).alias("zero"), r(F.avg("mean"), 2).alias("mean"))
 
 
@@ -219,3 +266,17 @@ def m15(spark, d):
         o = effects.overlap(u.join(learners.propensities(u, kind), "unit_id"), "e", "a").withColumn("kind", F.lit(kind))
         out = o if out is None else out.unionByName(o)
     return out.select("kind", *[r(F.col(c), 3).alias(c) for c in out.columns if c != "kind"])
+
+
+@query("e12_e13_learner_runs")
+def learner_runs(spark, d):
+    """The whole estimator under three seeds and a placebo, all models in one fit: effects on mean and sd by run."""
+    u = rows(spark, d)
+    runs = learners.in_runs(u.select("unit_id", "a"), [1, 2, 3], [1])
+    many = ordered.stored(u.drop("a", "fold").join(runs, "unit_id"))
+    hs = {"mean": C.curve_mean, "sd": C.curve_sd}
+    chosen, s = learners.calibrated_runs(many, [50.0, 500.0], hs, rules=trees.Rules(leaf=20, arm_leaf=5), **FAST)
+    long = s.select("run", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"psi_{n}").alias("psi")) for n in hs])))
+    table = spark.createDataFrame([(i, "placebo" if i == 3 else "seed", float(c)) for i, c in enumerate(chosen)], "run int, kind string, penalty double")
+    e = effects.marginal(long, "psi", ["run", "name"]).join(table, "run")
+    return e.select("run", "kind", "penalty", "name", "n", r(F.col("effect"), 2).alias("effect"), r(F.col("if_se"), 2).alias("if_se"))
