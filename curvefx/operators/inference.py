@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..shipping import ship
 from .ordered import ranges
+from .trees import matrix
+
+ship(__name__)
+ship(draws.__name__)
+
+#: Units whose arms are dealt at a time, for all draws.
+UNITS = 256
 
 
 def ols_cluster(df: DataFrame, y: str, x: list[str], cluster: str, extra_df: int = 0) -> DataFrame:
@@ -76,6 +87,61 @@ def permutation_test(df: DataFrame, key: str, y: str, arm: str, rounds: int, see
     return d.where("draw >= 0").crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), ((hits + 1) / (F.count("*") + 1)).alias("p_plus_one"), (hits / F.count("*")).alias("p_share"))  # one row
 
 
+def permutation_tests(df: DataFrame, key: str, y: str, arm: str, rounds: int, bin: str | None = None, bins: int = 4, seed: int = 0) -> DataFrame:
+    """scope, part, observed, p_plus_one, p_share of arm differences: of y's average (scope all), by bin, and by coordinate of y (an array).
+
+    In every draw a unit is treated by its own seeded number, with the share of treated units as its chance. A task turns
+    its units into a matrix of draws by scopes of sums and counts; those matrices alone travel, and meet by scope. key
+    holds whole numbers of at least 0. Scopes without both arms have a null difference and no p.
+    """
+    share = df.agg(F.avg(F.col(arm).cast("double"))).first()[0]
+    if share is None:
+        return df.sparkSession.createDataFrame([], "scope string, part int, observed double, p_plus_one double, p_share double")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(arm).cast("int").alias("a"), F.col(y).alias("y"), (F.col(bin).cast("int") if bin else F.lit(-1)).alias("bin"))
+    limit = int(share * draws.PRIME)
+    n_bins = bins if bin else 0
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = None, np.arange(rounds)[:, None]
+        for b in batches:
+            for at in range(0, b.num_rows, UNITS):
+                c = b.slice(at, UNITS)
+                ids, a, bin_ = (c.column(c.schema.get_field_index(n)).to_numpy() for n in ("key", "a", "bin"))
+                q = matrix(c, "y")
+                mean, inside = q.mean(1)[:, None], (bin_[:, None] == np.arange(n_bins)).astype(float)
+                values = np.hstack([mean, mean * inside, q, np.ones_like(mean), inside])
+                treated = np.vstack([(a == 1)[None], draws.mixed(seed, ids[None, :], number) < limit]).astype(float)
+                part = np.stack([treated @ values, np.repeat(values.sum(0)[None], rounds + 1, 0)])
+                total = part if total is None else total + part
+        if total is not None:
+            columns = np.moveaxis(total, 2, 0).reshape(total.shape[2], -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns)), pa.int32()), pa.array(list(columns), pa.list_(pa.float64()))], ["scope", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), matrix(b, "v")):
+                sums[k] = sums[k] + v if k in sums else v.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["scope", "v"])
+
+    kind = "scope int, v array<double>"
+    got = {r["scope"]: np.array(r["v"]).reshape(2, -1) for r in rows.mapInArrow(deal, kind).repartition("scope").mapInArrow(add, kind).collect()}  # draws for each scope
+    levels = len(got) - 2 - 2 * n_bins
+    base = 1 + n_bins + levels  # where counts begin
+    out = []
+    for i in range(base):
+        count = got[base + (i if i <= n_bins else 0)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = got[i][0] / count[0] - (got[i][1] - got[i][0]) / (count[1] - count[0])
+        fine = np.isfinite(d[1:])
+        hits = int((np.abs(d[1:][fine]) >= abs(d[0])).sum())
+        name, part = ("all", -1) if i == 0 else ("bin", i - 1) if i <= n_bins else ("coordinate", i - 1 - n_bins)
+        ok = np.isfinite(d[0]) and fine.any()
+        out.append((name, part, float(d[0]) if np.isfinite(d[0]) else None, (hits + 1) / (int(fine.sum()) + 1) if ok else None, hits / int(fine.sum()) if ok else None))
+    return df.sparkSession.createDataFrame(out, "scope string, part int, observed double, p_plus_one double, p_share double")
+
+
 def bootstrap_rows(df: DataFrame, unit: str, key: list[str], seed: int, draw: Column | None = None) -> DataFrame:
     """A resample of each unit's rows of the same size: row i of a unit takes the row at a seeded place."""
     over = Window.partitionBy(unit).orderBy(*key)

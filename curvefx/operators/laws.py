@@ -6,16 +6,23 @@ bank are computed once per bank, not per unit. Grid weights are equal unless giv
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import curves as C
 from ..functions import draws
+from ..shipping import ship
 from . import pairs
 from .prep import evenly_spaced
 
+ship(__name__)
+ship(draws.__name__)
+
 KEYS = ["unit_id", "arm"]
 
 
@@ -161,13 +168,27 @@ def dispersion(law: DataFrame, star: Column) -> DataFrame:
 
 
 def sampled(law: DataFrame, m: int, seed: int = 0) -> DataFrame:
-    """m draws per unit and arm by seeded uniforms on the cumulative mass; the atoms of one law meet in one task."""
-    over = Window.partitionBy(*KEYS).orderBy("atom_id")
-    c = law.withColumn("_to", F.sum("mass").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_from", F.col("_to") - F.col("mass"))
-    u = draws.uniform(F.lit(seed), *[F.col(k) for k in KEYS], F.col("_d"))
-    many = law.select(*KEYS).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_d")).withColumn("_u", u)
-    drawn = c.join(many, KEYS).where((F.col("_u") > F.col("_from")) & (F.col("_u") <= F.col("_to")))
-    return drawn.select(*KEYS, F.col("_d").alias("atom_id"), F.lit(1.0 / m).alias("mass"), "q")
+    """m draws per unit and arm by seeded uniforms on the cumulative mass, each found by a binary search.
+
+    A law's atoms pass a task in order as identifiers and masses only; the curves of the atoms drawn are joined to them.
+    A uniform beyond the last sum, as rounding allows, draws the last atom.
+    """
+    kinds = {c: law.schema[c].dataType for c in (*KEYS, "atom_id")}
+    schema = T.StructType([*[T.StructField(c, k) for c, k in kinds.items()], T.StructField("_d", T.IntegerType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in pairs.whole_groups(batches, KEYS):
+            mass, place, number = t["mass"].to_numpy(), [], []
+            heads = t.select(KEYS).take(pa.array(starts[:-1])).to_pylist()
+            for key, s, e in zip(heads, starts[:-1].tolist(), starts[1:].tolist()):
+                u = [draws.uniform_of(seed, *key.values(), d) for d in range(m)]
+                place.append(s + np.minimum(np.searchsorted(np.cumsum(mass[s:e]), u), e - s - 1))
+                number += range(m)
+            picked = t.select([*KEYS, "atom_id"]).take(pa.array(np.concatenate(place)))
+            yield pa.RecordBatch.from_arrays([*[picked[c].combine_chunks() for c in kinds], pa.array(number, pa.int32())], [*kinds, "_d"])
+
+    rows = law.select(*KEYS, "atom_id", F.col("mass").cast("double").alias("mass")).repartition(*KEYS).sortWithinPartitions(*KEYS, "atom_id")
+    return rows.mapInArrow(draw, schema).join(law.select(*KEYS, "atom_id", "q"), [*KEYS, "atom_id"]).select(*KEYS, F.col("_d").alias("atom_id"), F.lit(1.0 / m).alias("mass"), "q")
 
 
 def witness(law: DataFrame, points: DataFrame, bandwidth: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import curves as C
 from ..functions import sql
 from ..grid import array_of, interior_levels, midpoint_levels
-from ..operators import ordered, prep, quantiles
+from ..operators import monotone, ordered, prep, quantiles
 from .roles import BINNED, CURVES, FULL, FUNCS, MICRO, STAR, UNITS, R, curves, curves_long, knots_sql, micro, r, table, twin, units
 
 QUERIES, ORACLES = {}, {}
@@ -116,17 +116,21 @@ def q8(spark, d):
 
 
 #: The yearly curves of suppliers, and first differences to the previous year with a row.
-PANEL = MICRO + ", sy AS (SELECT supp * 10000 + year AS unit_id, y, w FROM micro),\n" + knots_sql("curve", "sy", "unit_id") + """,
+def panel_sql(n: int) -> str:
+    return MICRO + ", sy AS (SELECT supp * 10000 + year AS unit_id, y, w FROM micro),\n" + knots_sql("curve", "sy", "unit_id", levels=f"(k::DOUBLE-0.5::DOUBLE)/{n}::DOUBLE", n=n) + """,
 lagged AS (SELECT c.unit_id // 10000 AS supp, c.unit_id % 10000 AS year, c.k, c.q - p.q AS d FROM (SELECT *, lag(unit_id) OVER (PARTITION BY unit_id // 10000, k ORDER BY unit_id) AS before FROM curve) c JOIN curve p ON p.unit_id = c.before AND p.k = c.k WHERE c.before // 10000 = c.unit_id // 10000)"""
+
+
+PANEL = panel_sql(25)
 PROJECT = """csum AS (SELECT supp, year, k, sum(d) OVER (PARTITION BY supp, year ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM lagged),
 ij AS (SELECT a.supp, a.year, a.k AS i, b.k AS j, (b.s - a.s + a0.d) / (b.k - a.k + 1) AS m FROM csum a JOIN lagged a0 USING (supp, year, k) JOIN csum b ON a.supp = b.supp AND a.year = b.year AND b.k >= a.k),
 mins AS (SELECT supp, year, i, j, min(m) OVER (PARTITION BY supp, year, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS lo FROM ij),
 proj AS (SELECT supp, year, j AS k, max(lo) AS d FROM mins GROUP BY supp, year, j)"""
 
 
-def panel(spark, d):
+def panel(spark, d, levels=None):
     m = micro(spark, d).withColumn("unit_id", F.col("supp") * 10000 + F.col("year"))
-    c = quantiles.unit_curves(m, "unit_id", "y", "w").select(F.expr("unit_id div 10000").alias("supp"), (F.col("unit_id") % 10000).alias("year"), "q")
+    c = quantiles.unit_curves(m, "unit_id", "y", "w", levels or midpoint_levels()).select(F.expr("unit_id div 10000").alias("supp"), (F.col("unit_id") % 10000).alias("year"), "q")
     return prep.lagged(c, ["supp"], ["year"], ["q"]).where("lag_q IS NOT NULL").withColumn("raw", C.curve_minus(F.col("q"), F.col("lag_q")))
 
 
@@ -137,6 +141,19 @@ def q9(spark, d):
     return quantiles.as_long(p, ["supp", "year"]).select("supp", F.col("year").cast("int").alias("year"), "k", r(F.col("q"), 3).alias("q"))
 
 
+#: The same differences on 80 levels, and their projection as the largest, over starts, of the least average to an end, as lists.
+MANY = panel_sql(80) + """, wl AS (SELECT supp, year, list(d ORDER BY k) AS d FROM lagged GROUP BY ALL),
+ws AS (SELECT *, list_transform(range(0, 81), lambda j: coalesce(list_sum(d[1:j]), 0)) AS s FROM wl)"""
+
+
+@query("q9_many_levels", twin(MANY, f"SELECT supp, year::INT AS year, k::INT AS k, {R('list_max(list_transform(range(1, k + 1), lambda i: list_min(list_transform(range(k, 81), lambda j: (s[j + 1] - s[i]) / (j - i + 1)))))', 3)} AS q FROM ws CROSS JOIN (SELECT unnest(range(1, 81, 8)) AS k)"))
+def q9_many(spark, d):
+    """Differences of curves of 80 levels made monotone by the stack, at every eighth level."""
+    p = panel(spark, d, midpoint_levels(80)).select("supp", "year", F.col("raw").alias("q"))
+    long = quantiles.as_long(monotone.projected(p, "q"), ["supp", "year"]).where("(k - 1) % 8 = 0")
+    return long.select("supp", F.col("year").cast("int").alias("year"), "k", r(F.col("q"), 3).alias("q"))
+
+
 @query("q10_projection_diagnostics", twin(PANEL + ",\n" + PROJECT + ", st AS (SELECT supp, year, count(*) FILTER (d < p) AS v FROM (SELECT *, lag(d) OVER (PARTITION BY supp, year ORDER BY k) AS p FROM lagged) GROUP BY ALL)", f"SELECT (SELECT count(*) FROM st) AS n_vectors, (SELECT count(*) FROM st WHERE v > 0) AS n_changed, (SELECT sum(v)::BIGINT FROM st) AS violations, {R('max(abs(proj.d - lagged.d))', 3)} AS max_adjustment, 0::BIGINT AS still_falling FROM proj JOIN lagged USING (supp, year, k)"))
 def q10(spark, d):
     """Vectors changed, falling steps, and the largest adjustment."""

@@ -194,6 +194,16 @@ def i2(spark, d):
     return I.ols_cluster(q, "y", ["x"], "cl", extra_df=n - 1).where("term = 'x'").select(r(F.col("coef"), 3).alias("coef"))
 
 
+WITHIN = MIC + ", q AS (SELECT cl, y - avg(y) OVER (PARTITION BY cl) AS y, x - avg(x) OVER (PARTITION BY cl) AS x FROM m), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, count(DISTINCT cl) AS g FROM q), u AS (SELECT cl, sum(x * (y - b * x)) AS s FROM q CROSS JOIN b GROUP BY cl)"
+
+
+@query("i2_within_cluster_error", twin(WITHIN, f"SELECT {R('any_value(b)', 3)} AS coef, {R('sqrt(sum(s * s)) / any_value(sxx) * sqrt(any_value(g / (g - 1) * (n - 1) / (n - g - 1)))', 4)} AS se FROM u CROSS JOIN b"))
+def i2_error(spark, d):
+    """The slope within clusters with its clustered error, on the degrees of freedom of the design with a dummy for each cluster."""
+    q = I.demeaned(rows(spark, d), ["y", "x"], "cl")
+    n = rows(spark, d).agg(F.countDistinct("cl")).first()[0]
+    return I.ols_cluster(q, "y", ["x"], "cl", extra_df=n - 1).where("term = 'x'").select(r(F.col("coef"), 3).alias("coef"), r(F.col("se"), 4).alias("se"))
+
 @query("i3_weighted_difference", twin(MIC + ", t AS (SELECT a, sum(w) AS tw, sum(w * y) / sum(w) AS mu FROM m GROUP BY a), p AS (SELECT cl, sum(CASE WHEN a = 1 THEN 1 ELSE -1 END * w / tw * (y - mu)) AS p FROM m JOIN t USING (a) GROUP BY cl)", f"SELECT {R('sum(CASE WHEN a = 1 THEN mu ELSE -mu END)', 3)} AS diff, {R('(SELECT sqrt(sum(p * p)) FROM p)', 3)} AS se, (SELECT count(*) FROM p) AS clusters FROM t"))
 def i3(spark, d):
     w = I.weighted_difference(rows(spark, d), "y", "w", "a", "cl")
@@ -216,6 +226,24 @@ def i5(spark, d):
     return t.select(*[r(F.col(c), 6).alias(c) for c in t.columns])
 
 
+DRAWS, COORDINATES = 10_000, (1, 7, 13, 19, 25)
+#: Treated sums by draw of the mean (all, and by bin), of some coordinates and of counts; draw -1 has the real arms.
+TESTS = f"""pw AS (SELECT unit_id, list(q ORDER BY k) AS q FROM curve GROUP BY unit_id),
+pu AS (SELECT *, list_sum(q) / {len(COORDINATES)} AS y FROM (SELECT binned.unit_id, a, bin, [{", ".join(f"q[{k}]" for k in COORDINATES)}] AS q FROM pw JOIN binned USING (unit_id))),
+ps2 AS (SELECT floor(avg(a) * {draws.PRIME})::BIGINT AS lim FROM pu),
+pd AS (SELECT draw, {", ".join(f"sum(y) FILTER (t AND bin = {b}) AS y{b}, count(*) FILTER (t AND bin = {b}) AS n{b}" for b in range(4))}, sum(y) FILTER (t) AS ya, count(*) FILTER (t) AS na, {", ".join(f"sum(q[{k}]) FILTER (t) AS q{k}" for k in range(1, len(COORDINATES) + 1))} FROM (SELECT draw, q, y, bin, CASE WHEN draw < 0 THEN a = 1 ELSE {draws.mixed_sql(0, 'unit_id', 'draw')} < lim END AS t FROM pu CROSS JOIN ps2 CROSS JOIN (SELECT unnest(range(-1, {DRAWS})) AS draw)) GROUP BY draw),
+pt AS (SELECT {", ".join(f"sum(y) FILTER (bin = {b}) AS ty{b}, count(*) FILTER (bin = {b}) AS tn{b}" for b in range(4))}, sum(y) AS tya, count(*) AS tna, {", ".join(f"sum(q[{k}]) AS tq{k}" for k in range(1, len(COORDINATES) + 1))} FROM pu),
+pl AS ({" UNION ALL ".join(f"SELECT '{s}' AS scope, {i} AS part, draw, {v} / {n} - (t{v} - {v}) / (t{n} - {n}) AS d FROM pd CROSS JOIN pt" for s, i, v, n in [("all", -1, "ya", "na"), *[("bin", b, f"y{b}", f"n{b}") for b in range(4)], *[("coordinate", k - 1, f"q{k}", "na") for k in range(1, len(COORDINATES) + 1)]])})"""
+
+
+@query("i5_permutation_tests", twin(FULL + ",\n" + TESTS, f"SELECT scope, part, {R('any_value(o)', 4)} AS observed, {R('(count(*) FILTER (abs(d) >= abs(o)) + 1) / (count(*) + 1)', 6)} AS p_plus_one, {R('count(*) FILTER (abs(d) >= abs(o)) / count(*)', 6)} AS p_share FROM pl JOIN (SELECT scope, part, d AS o FROM pl WHERE draw < 0) USING (scope, part) WHERE draw >= 0 GROUP BY scope, part"))
+def i5_all(spark, d):
+    """10,000 draws of the arms: tests of five coordinates, and of their mean over all units and by bin."""
+    u = designed(spark, d).select("unit_id", "a", "bin", F.array(*[F.get("q", F.lit(k - 1)) for k in COORDINATES]).alias("y"))
+    t = I.permutation_tests(u, "unit_id", "y", "a", DRAWS, "bin")
+    return t.select("scope", "part", r(F.col("observed"), 4).alias("observed"), r(F.col("p_plus_one"), 6).alias("p_plus_one"), r(F.col("p_share"), 6).alias("p_share"))
+
+
 #: Each part's line items in a full order, and for each place the row at a seeded place.
 RESAMPLE = f"""mm AS (SELECT l_partkey AS unit_id, l_extendedprice AS y, l_quantity AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_quantity, l_orderkey, l_linenumber, l_suppkey, l_shipdate) - 1 AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem),
 re AS (SELECT a.unit_id, b.y, b.w FROM (SELECT unit_id, {draws.number_sql(5, 'unit_id', 'i')} % n AS i FROM mm) a JOIN mm b USING (unit_id, i))"""
@@ -245,6 +273,24 @@ def i7(spark, d):
     return j.groupBy("split").agg(F.count("*").alias("units"), r(F.avg(C.curve_distance(F.col("q"), F.col("_q")))).alias("distance"))
 
 
+SPLITS = 40
+
+
+@query("i7_implied_inflation", twin(FULL + ",\n" + HALVES.replace("range(0, 5)", f"range(0, {SPLITS})") + ",\n" + knots_sql("half", "hv", "hu") + """, hs AS (SELECT split_part(hu, '|', 1)::BIGINT AS unit_id, split_part(hu, '|', 2)::INT AS split, split_part(hu, '|', 3) AS h, list(q ORDER BY k) AS q FROM half GROUP BY hu),
+hd AS (SELECT a.unit_id, avg(pow(list_distance(a.q, b.q), 2) / 25) / 4 AS v FROM hs a JOIN hs b ON a.unit_id = b.unit_id AND a.split = b.split AND a.h = '0' AND b.h = '1' GROUP BY a.unit_id)""", f"SELECT a, count(*) AS units, {R('avg(v)', 2)} AS variance, {R('avg(reference)', 2)} AS distance, {R('avg(v) / (2 * avg(reference))', 4)} AS inflation FROM hd JOIN func USING (unit_id) JOIN units USING (unit_id) GROUP BY a"))
+def i7_inflation(spark, d):
+    """A quarter of the mean squared distance between half-sample curves over 40 splits is a curve's variance; over twice the distance to the benchmark it is the distance's inflation, by arm."""
+    m = table(spark, d, "lineitem").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+    half = draws.number(*[F.col(c) for c in ("split", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]) % 2
+    c = quantiles.unit_curves(m.withColumn("u", F.concat_ws("|", "l_partkey", "split", half)), "u", "l_extendedprice", "l_quantity")
+    p = c.select(F.split("u", r"\|").alias("s"), "q").select(F.col("s")[0].cast("long").alias("unit_id"), F.col("s")[1].cast("int").alias("split"), F.col("s")[2].cast("int").alias("half"), "q")
+    both = p.groupBy("unit_id", "split").agg(F.max(F.when(F.col("half") == 0, F.col("q"))).alias("x"), F.max(F.when(F.col("half") == 1, F.col("q"))).alias("z")).where("x IS NOT NULL AND z IS NOT NULL")
+    v = both.groupBy("unit_id").agg((F.avg(C.curve_dist2(F.col("x"), F.col("z"))) / 4).alias("v"))
+    j = designed(spark, d).select("unit_id", "a", C.curve_distance(F.col("q"), F.col("q_star")).alias("dist")).join(v, "unit_id")
+    g = j.groupBy("a").agg(F.count("*").alias("units"), F.avg("v").alias("variance"), F.avg("dist").alias("distance"))
+    return g.select("a", "units", r(F.col("variance"), 2).alias("variance"), r(F.col("distance"), 2).alias("distance"), r(F.col("variance") / (2 * F.col("distance")), 4).alias("inflation"))
+
+
 @query("i12_propensity_calibration", twin(dr_sql("mean") + ", g AS (SELECT e, sum(a) AS p, sum(1 - a) AS n FROM ps GROUP BY e), h AS (SELECT *, coalesce(sum(n) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)", f"SELECT {R('(SELECT sum(p * (below + n / 2)) / (sum(p) * sum(n)) FROM h)', 3)} AS auc, {R('corr(e, a)', 6)} AS corr, {R('sqrt(avg((e - a) * (e - a)))', 6)} AS rmse FROM ps"))
 def i12(spark, d):
     s = ordered.stored(scored(spark, d).select("e", "a"))

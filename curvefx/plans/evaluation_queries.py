@@ -8,8 +8,9 @@ from ..functions import curves as C
 from ..grid import interior_levels, midpoint_levels
 from ..operators import effects as E
 from ..operators import laws as LW
-from ..operators import learners, ordered, prep
+from ..operators import learners, ordered, prep, quantiles
 from ..operators import ledger as L
+from ..operators import scoring as S
 from ..sources import io
 from .curve_queries import designed
 from .effect_queries import FOLDS, dr_sql, scored
@@ -17,7 +18,7 @@ from .law_queries import ALL as LAWS
 from .law_queries import law, seen
 from .learner_queries import rows
 from .ledger_queries import LEDGER, cells
-from .roles import FULL, R, r, twin, units
+from .roles import FULL, R, knots_sql, r, twin, units
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -84,6 +85,98 @@ def e15(spark, d):
     return g.unpivot(["bin"], ["plug_in", "aipw", "raw"], "view", "v").select("view", "bin", r(c("v"), 3).alias("effect"))
 
 
+NAMES = list(C.FUNCTIONALS)
+#: The truth of a unit's effect: the arms' difference of means over all units of its bin and type, else of all units.
+TRUTH = "tr AS (SELECT unit_id, bin, coalesce(avg(h) FILTER (a = 1) OVER (PARTITION BY bin, type) - avg(h) FILTER (a = 0) OVER (PARTITION BY bin, type), avg(h) FILTER (a = 1) OVER () - avg(h) FILTER (a = 0) OVER ()) AS t FROM base)"
+
+
+def truth(spark, d):
+    """target, unit_id, bin, value of the five functionals' effects; a supplied table as far as scoring goes."""
+    s = ordered.stored(scored(spark, d).select("unit_id", "bin", "type", "a", *NAMES))
+    on = lambda n, k: F.avg(F.when(c("a") == k, c(n)))
+    gap = [(on(n, 1) - on(n, 0)).alias(f"d_{n}") for n in NAMES]
+    j = s.join(s.groupBy("bin", "type").agg(*gap), ["bin", "type"]).crossJoin(F.broadcast(s.agg(*[g.alias(f"w_{n}") for g, n in zip(gap, NAMES)])))  # one row
+    return S.long_values(j, ["unit_id", "bin"], {n: F.coalesce(f"d_{n}", f"w_{n}") for n in NAMES})
+
+
+def target_sql(view: str, target: str, value: str, source: str = "ps", extra: str = "") -> str:
+    """Rows of one view and target; value is the estimate at a unit of source, whose truth is t."""
+    return f"""SELECT * FROM (WITH {dr_sql(target)}, {TRUTH}{extra}, g AS (SELECT bin, count(*) AS n, sum({value}) AS e, sum(t) AS o FROM (SELECT s.*, tr.t FROM {source} s JOIN tr USING (unit_id)) GROUP BY bin),
+w AS (SELECT sum(e) / sum(n) AS me, sum(o) / sum(n) AS mo, sqrt(avg(pow((e - o) / n, 2))) AS rmse FROM g)
+SELECT '{view}' AS view, '{target}' AS target, metric, bin, 'ok' AS status, round(v + 1.234e-5, 3) AS value, NULL AS failure_reason FROM (SELECT 'tate_estimate' AS metric, -1 AS bin, me AS v FROM w UNION ALL SELECT 'tate_oracle', -1, mo FROM w UNION ALL SELECT 'tate_abs_error', -1, abs(me - mo) FROM w UNION ALL SELECT 'tcate_rmse', -1, rmse FROM w UNION ALL SELECT 'tcate_estimate', bin, e / n FROM g UNION ALL SELECT 'tcate_oracle', bin, o / n FROM g))"""
+
+
+def absent_sql(view: str, target: str, status: str, reason: str) -> str:
+    return f"SELECT '{view}', '{target}', unnest(['tate_estimate', 'tate_oracle', 'tate_abs_error', 'tcate_rmse']), -1, '{status}', NULL, '{reason}'"
+
+
+ESTIMATED = [target_sql(v, n, e) for n in NAMES for v, e in (("plug_in", "mu1 - mu0"), ("aipw", "psi"))]
+
+
+@query("e15_oracle_view", "\nUNION ALL ".join([*ESTIMATED, absent_sql("plug_in", "zero_mass", "not_applicable", S.NO_TRUTH), absent_sql("aipw", "zero_mass", "not_applicable", S.NO_TRUTH)]))
+def e15_oracle(spark, d):
+    """Plug-in and AIPW effects of all functionals beside the oracle's, overall and by bin, with their errors; one target has no truth."""
+    s = scored(spark, d)
+    est = S.long_values(s, [F.lit("plug_in").alias("view"), "unit_id"], {n: c(f"mu1_{n}") - c(f"mu0_{n}") for n in NAMES})
+    est = est.unionByName(S.long_values(s, [F.lit("aipw").alias("view"), "unit_id"], {n: c(f"psi_{n}") for n in NAMES}))
+    declared = spark.createDataFrame([(v, n) for v in ("plug_in", "aipw") for n in [*NAMES, "zero_mass"]], "view string, target string")
+    return S.target_rows(est, truth(spark, d), declared).withColumn("value", r(c("value"), 3))
+
+
+#: A second estimator that knows bins alone, for the mean and sd; a third that divides by nothing.
+COARSE = ", cb AS (SELECT unit_id, avg(h) FILTER (a = 1) OVER (PARTITION BY bin) - avg(h) FILTER (a = 0) OVER (PARTITION BY bin) AS v FROM base), s AS (SELECT cb.*, binned.bin FROM cb JOIN binned USING (unit_id))"
+
+
+@query("a1_targets_against_truth", "\nUNION ALL ".join([*[target_sql("stratum", n, "mu1 - mu0") for n in NAMES], *[target_sql("by_bin", n, "v", "s", COARSE) for n in NAMES[:2]], *[absent_sql("by_bin", n, "not_applicable", S.NO_TARGET) for n in NAMES[2:]], absent_sql("broken", "mean", "failed", S.BROKEN), *[absent_sql("broken", n, "not_applicable", S.NO_TARGET) for n in NAMES[1:]]]))
+def a1_truth(spark, d):
+    """Three estimators against one truth table: all five functionals, two of them, and one with NaN at some units."""
+    s = scored(spark, d)
+    est = S.long_values(s, [F.lit("stratum").alias("view"), "unit_id"], {n: c(f"mu1_{n}") - c(f"mu0_{n}") for n in NAMES})
+    on = lambda n, k: F.avg(F.when(c("a") == k, c(n)))
+    bins = s.groupBy("bin").agg(*[(on(n, 1) - on(n, 0)).alias(f"d_{n}") for n in NAMES[:2]])
+    est = est.unionByName(S.long_values(s.select("unit_id", "bin").join(bins, "bin"), [F.lit("by_bin").alias("view"), "unit_id"], {n: c(f"d_{n}") for n in NAMES[:2]}))
+    est = est.unionByName(S.long_values(s, [F.lit("broken").alias("view"), "unit_id"], {"mean": F.when(c("bin") == 0, F.lit(float("nan"))).otherwise(c("mean"))}))
+    declared = spark.createDataFrame([(v, n) for v in ("stratum", "by_bin", "broken") for n in NAMES], "view string, target string")
+    return S.target_rows(est, truth(spark, d), declared).withColumn("value", r(c("value"), 3))
+
+
+#: Dense targets: their names, the native ones, and which source holds which; the payload is preferred where it has the target.
+DENSE = [("TCATE-DENSE49-mean", "mean"), ("TCATE-DENSE49-sd", "sd"), ("TCATE-DENSE49-tail", "tail"), ("TCATE-INTERIOR9-mean", "mean_interior"), ("TCATE-DENSE49-zero", "zero")]
+PAYLOADS = [("payload", 0, "mean"), ("payload", 0, "mean_interior"), ("native", 1, "mean"), ("native", 1, "sd"), ("native", 1, "tail")]
+#: Functionals of curves on 49 levels (d) and of the 25-level ones (n); the truth is by bin and type on 49 levels, the payload shrinks it by bin.
+DENSE_SQL = FULL + ",\n" + knots_sql("dense", "micro", "unit_id", levels="(k::DOUBLE-0.5::DOUBLE)/49::DOUBLE", n=49) + """,
+dv AS (SELECT unit_id, avg(q) AS mean, stddev_pop(q) AS sd, avg(q) FILTER (k > 24) AS tail FROM dense GROUP BY unit_id),
+dl AS (SELECT unit_id, a, bin, type, unnest([{'t': 'mean', 'v': dv.mean, 'n': func.mean}, {'t': 'sd', 'v': dv.sd, 'n': func.sd}, {'t': 'tail', 'v': dv.tail, 'n': func.tail}], recursive := true) FROM dv JOIN func USING (unit_id) JOIN binned USING (unit_id)),
+du AS (SELECT unit_id, bin, t, coalesce(avg(v) FILTER (a = 1) OVER (PARTITION BY t, bin, type) - avg(v) FILTER (a = 0) OVER (PARTITION BY t, bin, type), avg(v) FILTER (a = 1) OVER (PARTITION BY t) - avg(v) FILTER (a = 0) OVER (PARTITION BY t)) AS o, avg(v) FILTER (a = 1) OVER (PARTITION BY t, bin) - avg(v) FILTER (a = 0) OVER (PARTITION BY t, bin) AS p, avg(n) FILTER (a = 1) OVER (PARTITION BY t, bin) - avg(n) FILTER (a = 0) OVER (PARTITION BY t, bin) AS nv FROM dl),
+dg AS (SELECT t, bin, count(*) AS n, sum(CASE WHEN t = 'mean' THEN p ELSE nv END) AS e, sum(o) AS o FROM du GROUP BY ALL),
+dw AS (SELECT t, sum(e) / sum(n) AS me, sum(o) / sum(n) AS mo, sqrt(avg(pow((e - o) / n, 2))) AS rmse FROM dg GROUP BY t)"""
+_FOUR = "unnest(['tate_estimate', 'tate_oracle', 'tate_abs_error', 'tcate_rmse'])"
+
+
+@query("a2_dense_targets", twin(DENSE_SQL, f"""SELECT source, target, metric, bin, status, round(value + 1.234e-5, 3) AS value, failure_reason FROM (
+SELECT CASE t WHEN 'mean' THEN 'payload' ELSE 'native' END AS source, 'TCATE-DENSE49-' || t AS target, unnest([{{'metric': 'tate_estimate', 'value': me}}, {{'metric': 'tate_oracle', 'value': mo}}, {{'metric': 'tate_abs_error', 'value': abs(me - mo)}}, {{'metric': 'tcate_rmse', 'value': rmse}}], recursive := true), -1 AS bin, 'ok' AS status, NULL AS failure_reason FROM dw
+UNION ALL BY NAME SELECT CASE t WHEN 'mean' THEN 'payload' ELSE 'native' END AS source, 'TCATE-DENSE49-' || t AS target, unnest([{{'metric': 'tcate_estimate', 'value': e / n}}, {{'metric': 'tcate_oracle', 'value': o / n}}], recursive := true), bin, 'ok' AS status, NULL AS failure_reason FROM dg
+UNION ALL BY NAME SELECT 'payload' AS source, 'TCATE-INTERIOR9-mean' AS target, {_FOUR} AS metric, -1 AS bin, 'not_applicable' AS status, NULL AS value, '{S.NO_TRUTH}' AS failure_reason
+UNION ALL BY NAME SELECT 'none' AS source, 'TCATE-DENSE49-zero' AS target, {_FOUR} AS metric, -1 AS bin, 'not_applicable' AS status, NULL AS value, '{S.NO_TRUTH}' AS failure_reason)"""))
+def a2_targets(spark, d):
+    """Effects by bin on 49 levels: each target from the preferred source that holds it, against dense truth; two targets have none."""
+    from .roles import micro
+
+    native = designed(spark, d).select("unit_id", "a", "bin", "type", *[f(c("q"), c("q_star")).alias(f"n_{n}") for n, f in C.FUNCTIONALS.items() if n in ("mean", "sd", "tail")])
+    dense = quantiles.unit_curves(micro(spark, d), "unit_id", "y", "w", midpoint_levels(49)).select("unit_id", C.curve_mean(c("q")).alias("mean"), C.curve_sd(c("q")).alias("sd"), C.curve_tail(c("q"), 49).alias("tail"))
+    u = ordered.stored(native.join(dense, "unit_id"))
+    three = ("mean", "sd", "tail")
+    on = lambda n, k: F.avg(F.when(c("a") == k, c(n)))
+    gap = lambda n: on(n, 1) - on(n, 0)
+    cells = u.groupBy("bin", "type").agg(*[gap(n).alias(f"d_{n}") for n in three])
+    bins = u.groupBy("bin").agg(*[gap(n).alias(f"b_{n}") for n in three], *[gap(f"n_{n}").alias(f"v_{n}") for n in three])
+    j = u.join(cells, ["bin", "type"]).join(F.broadcast(bins), "bin").crossJoin(F.broadcast(u.agg(*[gap(n).alias(f"w_{n}") for n in three])))  # rows by bin; one row
+    truth_ = S.long_values(j, ["unit_id", "bin"], {f"TCATE-DENSE49-{n}": F.coalesce(f"d_{n}", f"w_{n}") for n in three})
+    est = S.long_values(j, [F.lit("payload").alias("source"), "unit_id"], {"mean": c("b_mean"), "mean_interior": c("b_mean")}).unionByName(S.long_values(j, [F.lit("native").alias("source"), "unit_id"], {n: c(f"v_{n}") for n in three})).withColumnRenamed("target", "native")
+    rows_ = S.dense_rows(est, truth_, spark.createDataFrame(PAYLOADS, "source string, rank int, native string"), spark.createDataFrame(DENSE, "target string, native string"))
+    return rows_.withColumn("value", r(c("value"), 3))
+
+
 @query("l2_l7_mean_energy_score", twin(LAWS, f"SELECT o.arm, count(*) AS units, {R('avg(att - rep)')} AS score FROM (SELECT unit_id, arm, sum(mi * sqrt(d2)) AS att FROM crs JOIN seen USING (unit_id) WHERE j = node_id GROUP BY unit_id, arm) o JOIN (SELECT unit_id, arm, 0.5 * sum(mi * mj * sqrt(d2)) AS rep FROM own GROUP BY ALL) r USING (unit_id, arm) GROUP BY o.arm"))
 def l7(spark, d):
     """Mean energy score by arm of bank laws at one observed curve for each unit."""
