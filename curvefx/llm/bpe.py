@@ -35,6 +35,8 @@ ship(__name__)
 BLOCK_BYTES = 12_000_000
 #: Bytes of distinct words that are replayed at once.
 REPLAY_BYTES = 8_000_000
+#: Bytes of packed-out words of a bucket that are held at a time; a larger bucket is replayed in slices, a word once in each.
+BUCKET_BYTES = 64_000_000
 NONE = np.int32(2**31 - 1)
 #: White_Space of Unicode, which the pattern's \s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -216,6 +218,10 @@ def unpacked_words(raw: bytes) -> list[bytes]:
     return [raw[i:j] for i, j in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
+def unpacked_size(raw: bytes) -> int:
+    return int.from_bytes(raw[4:8], "little")
+
+
 def dealt(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has words, and the numbers of its words."""
     which = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
@@ -311,16 +317,17 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", outputs:
             yield from pa.Table.from_arrays([*kept, *columns], names=[*held, *[f.name for f in inner]]).to_batches(max_chunksize=4096)
 
     def replay_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, m = None, [], vocabulary()
+        at, rows, size, m = None, [], 0, vocabulary()
         for b in itertools.chain(batches, [None]):
             part = b.filter(b.column("_words").is_valid()).select(["_key", "_block", "_words", "_codes", "_size"]).to_pylist() if b is not None else [None]
             for x in part:
-                if rows and (x is None or x["_key"] != at):
+                if rows and (x is None or x["_key"] != at or size > BUCKET_BYTES):
                     for out in itertools.batched(bucket_tokens(rows, m), 64):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], NAMES)
-                    rows = []
+                    rows, size = [], 0
                 if x is not None:
                     at = x["_key"]
+                    size += unpacked_size(x["_words"])
                     rows.append((x["_block"], x["_words"], x["_codes"], x["_size"]))
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
