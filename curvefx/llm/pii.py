@@ -158,11 +158,15 @@ class Model:
         self.t = np.zeros((len(TYPES) + 1, len(TYPES)))  # the last row starts a run
 
     def scores(self, segs: list[tuple[int, int, tuple[int, ...]]]) -> list[np.ndarray]:
+        """Scores by type; segments of the same features, of which a long run has few kinds, share them."""
+        known: dict[tuple[int, ...], np.ndarray] = {}
         out = []
         for _, n, f in segs:
-            s = self.w[list(f)].sum(axis=0)
-            if n > 1:
-                s = np.r_[-np.inf, s[1:]]  # nothing is a segment of one token
+            if (s := known.get(f)) is None:
+                s = self.w[list(f)].sum(axis=0)
+                if n > 1:  # n is among the features
+                    s = np.r_[-np.inf, s[1:]]  # nothing is a segment of one token
+                known[f] = s
             out.append(s)
         return out
 
@@ -172,11 +176,16 @@ class Model:
         top = np.full((length + 1, k + 1), -np.inf)
         top[0, k] = 0
         back: dict[tuple[int, int], tuple[int, int]] = {}
+        at = -1
         for (i, n, _), s in zip(segs, self.scores(segs)):
-            into = (top[i][:, None] + self.t).max(axis=0) + s
-            for y in np.flatnonzero(into > top[i + n, :k]):
-                top[i + n, y] = into[y]
-                back[i + n, int(y)] = (i, int((top[i] + self.t[:, y]).argmax()))
+            if i != at:  # all segments that end here have been seen: the best way on to each type, once
+                at, ways = i, top[i][:, None] + self.t
+                reach, whence = ways.max(axis=0), ways.argmax(axis=0).tolist()
+            into, best = (reach + s).tolist(), top[i + n]
+            for y, v in enumerate(into):
+                if v > best[y]:
+                    best[y] = v
+                    back[i + n, y] = (i, whence[y])
         out, at, y = [], length, int(top[length, :k].argmax())
         while at > 0:
             i, p = back[at, y]

@@ -114,6 +114,7 @@ def test_op3_blocks_share_words(spark, monkeypatch, block):
 
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
     monkeypatch.setattr(bpe, "REPLAY_BYTES", block)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", block)
     e, rows = tiktoken_encoding(), [r for r in texts_of(spark)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
     got = {r["doc_id"]: (r["lang"], r["ids"]) for r in bpe.encoded(d, queries.RANKS, P.PATTERN, outputs=("ids",)).collect()}
