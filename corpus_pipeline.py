@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvefx.llm import bpe, decontamination, near_copies, pii, quality_rules
-from curvefx.llm.common import stored, table
+from curvefx.llm.common import STORED, removed, stored, table
 from curvefx.llm.queries import RANKS
 
 #: No SQL: fingerprints, the PII model and BPE are not expressible; tests compare run() with brute force.
@@ -54,10 +54,12 @@ STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("benc
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each stored before the next."""
+    """The stages applied to documents, each stored before the next; what a stage stored for itself goes once its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(STORED)
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs)
+            removed(spark, STORED[max(0, before - (k > 0)) : -1])  # with the previous stage's result
     return docs

@@ -28,14 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of stored tables, in the order of writing, until removed() takes them.
+STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a short lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/curvefx/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more, in whatever file system they are."""
+    for path in paths:
+        STORED.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The named column cast to kind, or nulls where the table has no such column."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

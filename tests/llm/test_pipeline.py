@@ -12,7 +12,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from test_near_copies import brute as jaccard_groups  # noqa: E402
 from test_operators import python_cutoffs, tiktoken_encoding  # noqa: E402
 
-from curvefx.llm import pii, quality_rules  # noqa: E402
+from curvefx.llm import common, pii, quality_rules  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -37,8 +37,11 @@ def test_run(spark):
         assert not brute.op7(t)
         ids = e.encode_ordinary(t)
         want[d] = (len(t), len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), brute.sha(t))
+    before = len(common.STORED)
     got = {r["doc_id"]: (r["n_chars"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect()}
     assert got == want and len(got) > 100
+    left = common.STORED[before:]
+    assert len(left) == 1 and os.path.isdir(left[0].removeprefix("file:")) and len(os.listdir(os.path.dirname(left[0].removeprefix("file:")))) >= 1
 
 
 def test_stages_keep_columns_and_odd_rows(spark):
