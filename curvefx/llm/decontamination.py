@@ -46,7 +46,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     items is the array of the item keys, as strings in string order, that have a window in the document. One
     row for each row of docs; repeated rows repeat. Null and wordless texts have no words and no hits, items
     without words none either; null item keys are left out of items. Items with equal windows all count. Empty
-    tables give no rows, or no hits. Only the named columns are read.
+    tables give no rows, or no hits. Texts of any length are read whole, as one array of words in a task. Only the named
+    columns are read.
     """
     spans = items.select(F.col(f"`{item_key}`").cast("string").alias("item"), words(F.col(f"`{item_text}`").cast("string")).alias("_words")).where(F.size("_words") > 0).dropDuplicates()
     size = F.least(F.size("_words"), F.lit(window))

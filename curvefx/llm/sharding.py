@@ -117,7 +117,8 @@ def kd_shards(df: DataFrame, shards: int = 24, text: str = "text", names: tuple[
     most HEAVY x shards of them) are dealt to the side with more room, and one that fills a leaf alone gets
     its own. Slots number the rows of a shard without gaps. Null texts have size 8 and the crc32 of the empty
     text and form one group, apart from empty texts; null names sort as empty ones. Repeated rows are rows
-    of their own; an empty table gives an empty result. Columns called like a new column are replaced.
+    of their own; an empty table gives an empty result. Texts of any length are measured whole; beyond the first pass only
+    their sizes and hashes travel. Columns called like a new column are replaced.
     """
     df = df.drop(*[c for c in df.columns if c in ("size", "text_crc32", "shard", "slot")])
     by_id = [F.col("_all.doc_id")] if "doc_id" in df.columns else []
