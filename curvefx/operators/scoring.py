@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import stored
+
 NO_TARGET, NO_TRUTH, BROKEN = "target not in the manifest", "no truth for this target", "estimates are not finite"
 
 
@@ -18,7 +20,7 @@ def target_rows(estimates: DataFrame, truth: DataFrame, declared: DataFrame) ->
     """
     t = truth.select("target", "unit_id", "bin", F.col("value").alias("_t"))
     fine = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    g = estimates.join(t, ["target", "unit_id"]).groupBy("view", "target", "bin").agg(F.count("*").alias("n"), F.sum(F.when(fine, F.col("value"))).alias("e"), F.sum("_t").alias("o"), F.count(F.when(~fine, 1)).alias("bad"))
+    g = stored(estimates.join(t, ["target", "unit_id"]).groupBy("view", "target", "bin").agg(F.count("*").alias("n"), F.sum(F.when(fine, F.col("value"))).alias("e"), F.sum("_t").alias("o"), F.count(F.when(~fine, 1)).alias("bad")))
     whole = g.groupBy("view", "target").agg(
         (F.sum("e") / F.sum("n")).alias("tate_estimate"), (F.sum("o") / F.sum("n")).alias("tate_oracle"), (F.abs(F.sum("e") - F.sum("o")) / F.sum("n")).alias("tate_abs_error"),
         F.sqrt(F.avg(F.pow((F.col("e") - F.col("o")) / F.col("n"), 2))).alias("tcate_rmse"), F.sum("bad").alias("bad"),

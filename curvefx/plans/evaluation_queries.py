@@ -90,9 +90,8 @@ NAMES = list(C.FUNCTIONALS)
 TRUTH = "tr AS (SELECT unit_id, bin, coalesce(avg(h) FILTER (a = 1) OVER (PARTITION BY bin, type) - avg(h) FILTER (a = 0) OVER (PARTITION BY bin, type), avg(h) FILTER (a = 1) OVER () - avg(h) FILTER (a = 0) OVER ()) AS t FROM base)"
 
 
-def truth(spark, d):
-    """target, unit_id, bin, value of the five functionals' effects; a supplied table as far as scoring goes."""
-    s = ordered.stored(scored(spark, d).select("unit_id", "bin", "type", "a", *NAMES))
+def truth(s):
+    """target, unit_id, bin, value of the five functionals' effects among scored units; a supplied table as far as scoring goes."""
     on = lambda n, k: F.avg(F.when(c("a") == k, c(n)))
     gap = [(on(n, 1) - on(n, 0)).alias(f"d_{n}") for n in NAMES]
     j = s.join(s.groupBy("bin", "type").agg(*gap), ["bin", "type"]).crossJoin(F.broadcast(s.agg(*[g.alias(f"w_{n}") for g, n in zip(gap, NAMES)])))  # one row
@@ -116,11 +115,11 @@ ESTIMATED = [target_sql(v, n, e) for n in NAMES for v, e in (("plug_in", "mu1 -
 @query("e15_oracle_view", "\nUNION ALL ".join([*ESTIMATED, absent_sql("plug_in", "zero_mass", "not_applicable", S.NO_TRUTH), absent_sql("aipw", "zero_mass", "not_applicable", S.NO_TRUTH)]))
 def e15_oracle(spark, d):
     """Plug-in and AIPW effects of all functionals beside the oracle's, overall and by bin, with their errors; one target has no truth."""
-    s = scored(spark, d)
+    s = ordered.stored(scored(spark, d))
     est = S.long_values(s, [F.lit("plug_in").alias("view"), "unit_id"], {n: c(f"mu1_{n}") - c(f"mu0_{n}") for n in NAMES})
     est = est.unionByName(S.long_values(s, [F.lit("aipw").alias("view"), "unit_id"], {n: c(f"psi_{n}") for n in NAMES}))
     declared = spark.createDataFrame([(v, n) for v in ("plug_in", "aipw") for n in [*NAMES, "zero_mass"]], "view string, target string")
-    return S.target_rows(est, truth(spark, d), declared).withColumn("value", r(c("value"), 3))
+    return S.target_rows(est, truth(s), declared).withColumn("value", r(c("value"), 3))
 
 
 #: A second estimator that knows bins alone, for the mean and sd; a third that divides by nothing.
@@ -130,14 +129,14 @@ COARSE = ", cb AS (SELECT unit_id, avg(h) FILTER (a = 1) OVER (PARTITION BY bin)
 @query("a1_targets_against_truth", "\nUNION ALL ".join([*[target_sql("stratum", n, "mu1 - mu0") for n in NAMES], *[target_sql("by_bin", n, "v", "s", COARSE) for n in NAMES[:2]], *[absent_sql("by_bin", n, "not_applicable", S.NO_TARGET) for n in NAMES[2:]], absent_sql("broken", "mean", "failed", S.BROKEN), *[absent_sql("broken", n, "not_applicable", S.NO_TARGET) for n in NAMES[1:]]]))
 def a1_truth(spark, d):
     """Three estimators against one truth table: all five functionals, two of them, and one with NaN at some units."""
-    s = scored(spark, d)
+    s = ordered.stored(scored(spark, d))
     est = S.long_values(s, [F.lit("stratum").alias("view"), "unit_id"], {n: c(f"mu1_{n}") - c(f"mu0_{n}") for n in NAMES})
     on = lambda n, k: F.avg(F.when(c("a") == k, c(n)))
     bins = s.groupBy("bin").agg(*[(on(n, 1) - on(n, 0)).alias(f"d_{n}") for n in NAMES[:2]])
     est = est.unionByName(S.long_values(s.select("unit_id", "bin").join(bins, "bin"), [F.lit("by_bin").alias("view"), "unit_id"], {n: c(f"d_{n}") for n in NAMES[:2]}))
     est = est.unionByName(S.long_values(s, [F.lit("broken").alias("view"), "unit_id"], {"mean": F.when(c("bin") == 0, F.lit(float("nan"))).otherwise(c("mean"))}))
     declared = spark.createDataFrame([(v, n) for v in ("stratum", "by_bin", "broken") for n in NAMES], "view string, target string")
-    return S.target_rows(est, truth(spark, d), declared).withColumn("value", r(c("value"), 3))
+    return S.target_rows(est, truth(s), declared).withColumn("value", r(c("value"), 3))
 
 
 #: Dense targets: their names, the native ones, and which source holds which; the payload is preferred where it has the target.
