@@ -215,16 +215,9 @@ def test_op6_binomial_tail(spark):
 
 def spans_by_hand(text, base, model):
     """The model's best segmentation of every run by trying all, added where no base span overlaps."""
-    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^\s=\"'<>]+", text) if re.search("[0-9@]", m[0])]
-    runs, last = [], None
-    for a, b in tokens:
-        core = re.search(r"[A-Za-z0-9+(](.*[A-Za-z0-9)])?", text[a:b], re.S)
-        if not core:
-            continue
-        if last is None or a - last > 2:
-            runs.append([])
-        runs[-1].append((a + core.start(), a + core.end()))
-        last = b
+    cores = [(m.start(), re.search(r"[A-Za-z0-9+(](.*[A-Za-z0-9)])?", m[0], re.S)) for m in re.finditer(r"[^\s=\"'<>]+", text) if re.search("[0-9@]", m[0])]
+    runs = pii.runs(text)
+    assert [(s, e) for run in runs for s, e in run if re.search("[0-9@]", text[s:e])] == [(a + c.start(), a + c.end()) for a, c in cores if c]
     out = list(base)
     for run in runs:
         memo = {}
@@ -283,6 +276,39 @@ def test_op7_long_tokens_are_read():
     assert pii.base_spans("0" * 6000 + ".1.1.1") == [(1, 0, 6006)]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("Dear Ann Lee, The end", [["Ann", "Lee"]]), ("Hello there", []), ("go to 12 Elm Street now", [["12", "Elm", "Street"]]), ("12. Elm", [["12"]]), ("Dearest Ann", []),
+    ("in Lindenweg 7, yes", [["Lindenweg", "7"]]), ("in Calle Mayor 7b", [["Calle", "Mayor", "7b"]]), ("account is: one two-three. Four", [["one two-three"]]), ("Rue-Rue+ 1", [["1"]]),
+    ("7 A B C D E", [["7", "A", "B", "C"]]), ("Dear me@x.org 5", [["me@x.org", "5"]]), ("Mr. Jean-Luc O’Neil", [["Jean-Luc", "O’Neil"]]), ("12 rue Hugo", [["12", "rue", "Hugo"]]),
+])
+def test_op7_runs(text, want):
+    assert [[text[s:e] for s, e in run] for run in pii.runs(text)] == want
+
+
+def test_op7_finds_planted_kinds_beside_likenesses(spark):
+    """Precision and recall on held-out sentences of other made-up words, and on sentences that no template makes."""
+    model = pii.trained(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), "text", "doc_id")
+    right = found = there = 0
+    for text, spans in pii.planted(1500, seed=77):
+        got = set(pii.all_spans(text, [], model, {}))
+        right, found, there = right + len(got & set(spans)), found + len(got), there + len(spans)
+    assert there > 500 and right >= 0.98 * found and right >= 0.98 * there
+    by_kind = lambda t: [(pii.TYPES[k + 1], t[s:e]) for k, s, e in sorted(pii.all_spans(t, pii.base_spans(t), model, {}), key=lambda x: x[1])]
+    assert by_kind("Dear Olivia Bennett, please write to me@x.org or 221b Baker Street.") == [("person", "Olivia Bennett"), ("email", "me@x.org"), ("street", "221b Baker Street")]
+    assert by_kind("the account is: four four seven one nine two. Hello World!") == [("account", "four four seven one nine two")]
+    assert by_kind("Sehr geehrte Frau Schneider, Königstraße 17 liegt hinter Apollo 11 Mission") == [("person", "Schneider"), ("street", "Königstraße 17")]
+    assert by_kind("Platform 9 Opens. Dear Customers, 12 Monkeys and one two three four. Call 7 Times; my account one day") == []
+    assert by_kind("The Street of Dear Team. Chapter 4. Section 12 Paragraph") == []
+
+
+def test_op7_long_runs_of_words_take_linear_time():
+    model = pii.Model()
+    began = time.time()
+    for s in ("Dear " * 50_000, "1 Anna " * 8000, "account " + "one " * 250_000, "Rue-" * 250_000 + "+", "A" * 1_000_000, "Calle " * 20_000, "Dear Rue " * 10_000):
+        pii.all_spans(s, [], model, {})
+    assert time.time() - began < 30
+
+
 # op8
 
 LONG = "Some long text, with commas, and more. " * 30
