@@ -7,9 +7,11 @@ code guarantees, but pairs so close still share an anchor of one of the fingerpr
 passage and a seventh of the bits differ (README has measured shares). At an anchor all pairs that differ in
 at most MOST_BITS of all three are candidates, and every link is checked on the whole five-word sets.
 Where an anchor has more than LINEAR candidate pairs a member, as in a family of near copies, no pairs go out: all are
-compared with one member that has many candidates, then those that this leaves apart with their closest one, and at last
-the sets of what is still unconnected meet at the anchor, where every remaining candidate is checked in place and only
-links leave. So rows grow with members and not with pairs, and no candidate is left out.
+compared with one member that has many candidates, the anchor's hub. Anchors with the same hub, as a family's mostly are, become
+one group, in which each of their members stands once and any two that met at one of them meet again. There, those that the hub
+leaves apart are compared with their closest one, and at last the sets of what is still unconnected meet, where every remaining
+candidate is checked in place and only links leave. So rows grow with members and not with pairs or anchors, and no candidate is
+left out.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ THRESHOLD, MOST_BITS = 2, 44
 #: Candidate pairs a member that an anchor sends out; members whose sets meet in one task; and, where an anchor has more,
 #: members of which one becomes its hub.
 LINEAR, TILE, HUBS = 4, 10_000, 64
+#: Rows that a task holds to name each of them once before they leave.
+HELD = 300_000
 PRINTS = ["fp", "fq", "fr"]
 PRINT_KINDS = "fp long, fq long, fr long"
 
@@ -128,7 +132,9 @@ def candidates(prints: list[np.ndarray], rows: np.ndarray | None = None) -> Iter
 
 
 def met(members: DataFrame) -> DataFrame:
-    """a, b, anchor and fingerprints: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
+    """a, b, hub and fingerprints: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
+
+    A task names a pair, or a member of a hub's anchors, once for every HELD rows; other tasks may name it again.
 
     Of such an anchor, the pairs of one member go out: the least node with half the most candidates; of other ones all. An
     anchor of more than TILE members has too many by itself, and its hub is one of HUBS members.
@@ -144,13 +150,22 @@ def met(members: DataFrame) -> DataFrame:
                     r = r + at
                     yield pa.RecordBatch.from_arrays([pa.array((key << 2 | k).astype(np.int32)), pa.array(node[r]), *[pa.array(p[r]) for p in prints]], ["anchor", "node", *PRINTS])
 
+    def told(pairs: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch:
+        out, member = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(members), axis=0)
+        n, m = len(out), len(member)
+        columns = [pa.array(np.r_[out[:, 0], member[:, 1]]), pa.array(np.r_[out[:, 1], member[:, 1]], mask=np.arange(n + m) >= n)]
+        rest = [pa.array(np.r_[np.zeros(n, np.int64), c]) for c in (member[:, 0], *member[:, 2:].T)]
+        return pa.RecordBatch.from_arrays([*columns, *rest], ["a", "b", "hub", *PRINTS])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = lambda: ([np.zeros((0, 2), np.int64)], [np.zeros((0, 2 + len(PRINTS)), np.int64)])
+        pairs, large = none()
         for anchor, node, *prints in groups(batches):
             cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
             two = np.flatnonzero(np.diff(cuts) == 2)  # most anchors that are shared at all
             i = cuts[two]
             i = i[apart(prints, i, i + 1) <= MOST_BITS]
-            pairs, large = [np.stack([node[i], node[i + 1]], 1)], []
+            pairs.append(np.stack([node[i], node[i + 1]], 1))
             for s, e in zip(cuts[:-1][np.diff(cuts) > 2], cuts[1:][np.diff(cuts) > 2]):
                 degree, found, n, own = np.zeros(e - s, np.int64), [], 0, [p[s:e] for p in prints]
                 some = np.linspace(0, e - s - 1, HUBS).astype(int) if e - s > TILE else None
@@ -162,39 +177,37 @@ def met(members: DataFrame) -> DataFrame:
                 if n > LINEAR * (e - s) or some is not None:
                     hub = int((2 * degree >= degree.max()).argmax())  # the least node of many candidates, which is the same at many anchors
                     j = np.flatnonzero(degree) if some is None else np.arange(e - s)
-                    large.append(s + j)
+                    large.append(np.stack([np.full(len(j), node[s + hub]), node[s + j], *[p[j] for p in own]], 1))
                     j = j[(j != hub) & (apart(own, np.full(len(j), hub), j) <= MOST_BITS)]
                     a = np.full(len(j), node[s + hub])
                     found = [np.stack([np.minimum(a, node[s + j]), np.maximum(a, node[s + j])], 1)]
                 pairs += found
-            out, member = np.unique(np.concatenate(pairs), axis=0), np.concatenate(large) if large else np.zeros(0, int)
-            n, m = len(out), len(member)
-            none = np.r_[np.zeros(n, bool), np.ones(m, bool)]
-            if n + m:
-                columns = [pa.array(np.r_[out[:, 0], node[member]]), pa.array(np.r_[out[:, 1], node[member]], mask=none), pa.array(np.r_[np.zeros(n, np.int32), anchor[member]])]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.r_[np.zeros(n, np.int64), p[member]]) for p in prints]], ["a", "b", "anchor", *PRINTS])
+            if sum(map(len, pairs)) + sum(map(len, large)) > HELD:
+                yield told(pairs, large)
+                pairs, large = none()
+        yield told(pairs, large)
 
     copies = members.select("node", *PRINTS).mapInArrow(spread, f"anchor int, node long, {PRINT_KINDS}")
-    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"a long, b long, anchor int, {PRINT_KINDS}")
+    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"a long, b long, hub long, {PRINT_KINDS}")
 
 
-def by_anchor(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Begin and end of each anchor whose members have different roots (the second column)."""
-    anchor, root = columns[:2]
-    cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
+def by_hub(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Begin and end of each hub's group whose members have different roots (the second column)."""
+    hub, root = columns[:2]
+    cuts = np.r_[np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]]), len(hub)]
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if (root[s:e] != root[s]).any():
             yield s, e
 
 
 def closest(placed: DataFrame) -> DataFrame:
-    """a, b: for each node outside the largest root of an anchor, its closest candidate with another root."""
+    """a, b: for each node outside the largest root of a hub's group, its closest candidate with another root."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches):
             _, root, node, *prints = columns
             pairs = [np.zeros((0, 2), np.int64)]
-            for s, e in by_anchor(columns):
+            for s, e in by_hub(columns):
                 names, counts = np.unique(root[s:e], return_counts=True)
                 for i in s + np.flatnonzero(root[s:e] != names[counts.argmax()]):
                     j = s + np.flatnonzero(root[s:e] != root[i])
@@ -205,30 +218,30 @@ def closest(placed: DataFrame) -> DataFrame:
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    rows = placed.select("anchor", "root", "node", *PRINTS)
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, "a long, b long").distinct()
+    rows = placed.select("hub", "root", "node", *PRINTS)
+    return rows.repartition("hub").sortWithinPartitions("hub", "node").mapInArrow(meet, "a long, b long").distinct()
 
 
 def unconnected(placed: DataFrame) -> DataFrame:
-    """anchor, root, node and fingerprints: the members of anchors that are in a candidate pair of different roots.
+    """hub, root, node and fingerprints: the members of hubs' groups that are in a candidate pair of different roots.
 
-    Such a pair has a member outside the anchor's largest root, so only those are compared with all.
+    Such a pair has a member outside the group's largest root, so only those are compared with all.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches):
             _, root, _, *prints = columns
             use = np.zeros(len(root), bool)
-            for s, e in by_anchor(columns):
+            for s, e in by_hub(columns):
                 names, counts = np.unique(root[s:e], return_counts=True)
                 for i, j in candidates([p[s:e] for p in prints], np.flatnonzero(root[s:e] != names[counts.argmax()])):
                     apart_ = root[s + i] != root[s + j]
                     use[s + i[apart_]] = use[s + j[apart_]] = True
             if use.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["anchor", "root", "node", *PRINTS])
+                yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["hub", "root", "node", *PRINTS])
 
-    rows = placed.select("anchor", "root", "node", *PRINTS)
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"anchor int, root long, node long, {PRINT_KINDS}")
+    rows = placed.select("hub", "root", "node", *PRINTS)
+    return rows.repartition("hub").sortWithinPartitions("hub", "node").mapInArrow(meet, f"hub long, root long, node long, {PRINT_KINDS}")
 
 
 def sets_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -247,12 +260,12 @@ def sets_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 def settled(left: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links between the different roots of unconnected(), each candidate checked on whole sets unless a link found before spares it.
 
-    An anchor with more than TILE members is dealt over tiles, so that any two of its members meet in one of them.
+    A hub's group of more than TILE members is dealt over tiles, so that any two of its members meet in one of them.
     """
-    tiles = left.groupBy("anchor").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    tiles = left.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int")
-    dealt = left.join(tiles, "anchor").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    dealt = dealt.withColumn("tile", F.xxhash64("anchor", F.least("_own", "_with"), F.greatest("_own", "_with"))).join(sets, "node").select("tile", "root", "node", "set", *PRINTS)
+    dealt = left.join(tiles, "hub").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    dealt = dealt.withColumn("tile", F.xxhash64("hub", F.least("_own", "_with"), F.greatest("_own", "_with"))).join(sets, "node").select("tile", "root", "node", "set", *PRINTS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches):
@@ -315,7 +328,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     tried = stored(fitting(found.where("b IS NOT NULL").select("a", "b").distinct()))
     roots = stored(components(checked(tried, rows, docs)))
-    large = found.where("b IS NULL").select(F.col("a").alias("node"), "anchor", *PRINTS)
+    large = stored(found.where("b IS NULL").select(F.col("a").alias("node"), "hub", *PRINTS).dropDuplicates(["hub", "node"]))
     placed = lambda: large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tree = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     near = stored(fitting(closest(placed())).join(tried, ["a", "b"], "left_anti"))
