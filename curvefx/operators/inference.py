@@ -8,14 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import draws
+from ..functions.curves import curve_dist2
+from ..grid import check_levels, midpoint_levels
 from ..shipping import ship
+from . import ordered, pairs
 from .ordered import ranges
+from .quantiles import LARGE_UNIT, unit_curves, usable
 from .trees import matrix
 
 ship(__name__)
 ship(draws.__name__)
+ship(pairs.__name__)
 
 #: Units whose arms are dealt at a time, for all draws.
 UNITS = 256
@@ -151,6 +158,84 @@ def bootstrap_rows(df: DataFrame, unit: str, key: list[str], seed: int, draw: Co
     return place.join(numbered, [unit, "_i"]).drop("_i")
 
 
+def half_curves(y: np.ndarray, w: np.ndarray, levels: list[float]) -> np.ndarray:
+    """Curves of groups of rows in order of y: y of shape (groups, rows) and w, 0 for rows that are not used, of shape (groups, rows, curves). NaN without rows."""
+    n = y.shape[1]
+    c = np.cumsum(w, 1)
+    c = c / np.where(c[:, -1:] > 0, c[:, -1:], np.nan)
+    used = np.where(w > 0, np.arange(n)[None, :, None], -1)
+    before = np.concatenate([np.full_like(used[:, :1], -1), np.maximum.accumulate(used, 1)[:, :-1]], 1)
+    none = used.max(1) < 0
+    out = np.full((len(y), w.shape[2], len(levels)), np.nan)
+    at = lambda a, i: np.take_along_axis(a, i[:, None], 1)[:, 0]
+    for k, u in enumerate(levels):
+        i = np.minimum((c < u).sum(1), n - 1)
+        j = at(before, i)
+        here, c0, c1 = np.take_along_axis(y, i, 1), at(c, np.maximum(j, 0)), at(c, i)
+        y0 = np.take_along_axis(y, np.maximum(j, 0), 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[:, :, k] = np.where(none, np.nan, np.where(j < 0, here, y0 + (u - c0) / (c1 - c0) * (here - y0)))
+    return out
+
+
+def split_halves(df: DataFrame, unit: str, y: str, w: str, keys: list[str], splits: int, levels: list[float] | None = None, bound: int | None = None) -> DataFrame:
+    """unit, d2: for each split the mean squared distance between the curves of two halves of the unit's rows, null where a half has no usable row.
+
+    A row's half in a split is the parity of the seeded number of split and keys. A row goes to its unit's task once, with its
+    halves as bits; the curves of all splits are made there from one sorted run of rows. Units of more than bound rows are
+    taken split by split over sorted ranges.
+    """
+    levels, bound = check_levels(levels or midpoint_levels()), bound or LARGE_UNIT
+    halves = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda i: F.substring(F.md5(F.concat_ws(":", i.cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary")), 12, 1))
+    odd = F.translate(F.concat_ws("", halves), "0123456789abcdef", "0101010101010101")
+    rows = df.where(usable(y, w)).select(F.col(unit), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"), odd.alias("bits"))
+    rows = rows.repartition(unit).withColumn("_n", F.count("*").over(Window.partitionBy(unit))).sortWithinPartitions(unit, "y", "w")
+    schema = T.StructType([rows.schema[unit], *T.StructType.fromDDL("d2 array<double>, y double, w double, bits string").fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in pairs.small_units(batches, [unit], bound):
+            if starts is None:
+                yield pairs.rows_of([t[unit], None, t["y"], t["w"], t["bits"]], kinds)
+                continue
+            yy, ww = t["y"].to_numpy(), t["w"].to_numpy()
+            bits = np.frombuffer("".join(t["bits"].to_pylist()).encode(), np.uint8).reshape(-1, splits) & 1
+            out = np.full((len(starts) - 1, splits), np.nan)
+            for g, at, real in sized(starts, splits):
+                for s in range(0, splits, max(1, min(splits, 4_000_000 // at.size))):
+                    part = slice(s, s + max(1, min(splits, 4_000_000 // at.size)))
+                    own = (ww[at] * real)[:, :, None]
+                    b = bits[at][:, :, part]
+                    out[g, part] = ((half_curves(yy[at], own * (b == 0), levels) - half_curves(yy[at], own * (b == 1), levels)) ** 2).mean(2)
+            d2 = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * splits), pa.array(out.ravel(), mask=np.isnan(out.ravel())))
+            yield pairs.rows_of([t[unit].take(pa.array(starts[:-1])), d2], kinds)
+
+    def sized(starts: np.ndarray, splits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Units of much the same size, some at a time: their numbers, rows (padded with the last one) and which are real."""
+        size = np.diff(starts)
+        order = np.argsort(size, kind="stable")
+        kind = (size[order] + 3) // 4
+        for own in np.split(order, np.flatnonzero(np.diff(kind)) + 1):
+            step = max(1, 1_000_000 // (int(size[own].max()) * splits))
+            for at in range(0, len(own), step):
+                g = own[at : at + step]
+                place = np.arange(size[g].max())
+                real = place < size[g][:, None]
+                yield g, starts[g][:, None] + np.minimum(place, size[g][:, None] - 1), real
+
+    first = ordered.stored(rows.mapInArrow(run, schema))
+    done, large = first.where("y IS NULL").select(unit, "d2"), first.where("y IS NOT NULL")
+    if large.isEmpty():
+        return done
+    many = large.select(unit, "y", "w", F.posexplode(F.split("bits", "")).alias("split", "half")).where("half <> ''")
+    keyed = many.withColumn("_u", F.concat_ws("|", F.col(unit).cast("string"), "split", "half"))
+    names = keyed.select("_u", unit, "split", "half").distinct()
+    c = unit_curves(keyed, "_u", "y", "w", levels).join(names, "_u")
+    both = c.groupBy(unit, "split").agg(F.max(F.when(F.col("half") == "0", F.col("q"))).alias("x"), F.max(F.when(F.col("half") == "1", F.col("q"))).alias("z"))
+    d = both.select(unit, "split", curve_dist2(F.col("x"), F.col("z")).alias("_v"))
+    return done.unionByName(d.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("split", "_v"))), lambda e: e["_v"]).alias("d2")))
+
+
 def auc(df: DataFrame, score: str, arm: str) -> DataFrame:
     """Rank-sum AUC with average ranks at ties, from counts of each score over sorted ranges."""
     g = df.groupBy(score).agg(F.sum(F.col(arm).cast("double")).alias("p"), F.sum((1 - F.col(arm)).cast("double")).alias("n"))

@@ -259,18 +259,16 @@ def i6(spark, d):
     return j.groupBy("k").agg(r(F.avg(F.abs(F.col("q") - F.col("_q")))).alias("change"))
 
 
+HALVED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 HALVES = f"hv AS (SELECT l_partkey || '|' || split || '|' || {draws.number_sql('split', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} % 2 AS hu, l_extendedprice AS y, l_quantity AS w FROM lineitem CROSS JOIN (SELECT unnest(range(0, 5)) AS split))"
 
 
 @query("i7_split_half_noise", twin(HALVES + ",\n" + knots_sql("half", "hv", "hu") + ", hs AS (SELECT split_part(hu, '|', 1) AS unit_id, split_part(hu, '|', 2)::INT AS split, split_part(hu, '|', 3) AS h, k, q FROM half)", f"SELECT split, count(*) AS units, {R('avg(d)')} AS distance FROM (SELECT a.split, a.unit_id, sqrt(avg((a.q - b.q) * (a.q - b.q))) AS d FROM hs a JOIN hs b ON a.unit_id = b.unit_id AND a.split = b.split AND a.k = b.k WHERE a.h = '0' AND b.h = '1' GROUP BY a.split, a.unit_id) GROUP BY split"))
 def i7(spark, d):
     """Mean distance between the curves of two hashed halves of every part's rows, over five splits."""
-    m = table(spark, d, "lineitem").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    half = draws.number(*[F.col(c) for c in ("split", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]) % 2
-    c = quantiles.unit_curves(m.withColumn("u", F.concat_ws("|", "l_partkey", "split", half)), "u", "l_extendedprice", "l_quantity")
-    p = c.select(F.split("u", r"\|").alias("s"), "q").select(F.col("s")[0].cast("long").alias("unit_id"), F.col("s")[1].cast("int").alias("split"), F.col("s")[2].cast("int").alias("half"), "q")
-    j = p.where("half = 0").join(p.where("half = 1").select("unit_id", "split", F.col("q").alias("_q")), ["unit_id", "split"])
-    return j.groupBy("split").agg(F.count("*").alias("units"), r(F.avg(C.curve_distance(F.col("q"), F.col("_q")))).alias("distance"))
+    v = I.split_halves(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", "l_quantity", HALVED, 5)
+    long = v.select(F.posexplode("d2").alias("split", "d2")).where("d2 IS NOT NULL")
+    return long.groupBy("split").agg(F.count("*").alias("units"), r(F.avg(F.sqrt("d2"))).alias("distance"))
 
 
 SPLITS = 40
@@ -280,12 +278,9 @@ SPLITS = 40
 hd AS (SELECT a.unit_id, avg(pow(list_distance(a.q, b.q), 2) / 25) / 4 AS v FROM hs a JOIN hs b ON a.unit_id = b.unit_id AND a.split = b.split AND a.h = '0' AND b.h = '1' GROUP BY a.unit_id)""", f"SELECT a, count(*) AS units, {R('avg(v)', 2)} AS variance, {R('avg(reference)', 2)} AS distance, {R('avg(v) / (2 * avg(reference))', 4)} AS inflation FROM hd JOIN func USING (unit_id) JOIN units USING (unit_id) GROUP BY a"))
 def i7_inflation(spark, d):
     """A quarter of the mean squared distance between half-sample curves over 40 splits is a curve's variance; over twice the distance to the benchmark it is the distance's inflation, by arm."""
-    m = table(spark, d, "lineitem").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-    half = draws.number(*[F.col(c) for c in ("split", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]) % 2
-    c = quantiles.unit_curves(m.withColumn("u", F.concat_ws("|", "l_partkey", "split", half)), "u", "l_extendedprice", "l_quantity")
-    p = c.select(F.split("u", r"\|").alias("s"), "q").select(F.col("s")[0].cast("long").alias("unit_id"), F.col("s")[1].cast("int").alias("split"), F.col("s")[2].cast("int").alias("half"), "q")
-    both = p.groupBy("unit_id", "split").agg(F.max(F.when(F.col("half") == 0, F.col("q"))).alias("x"), F.max(F.when(F.col("half") == 1, F.col("q"))).alias("z")).where("x IS NOT NULL AND z IS NOT NULL")
-    v = both.groupBy("unit_id").agg((F.avg(C.curve_dist2(F.col("x"), F.col("z"))) / 4).alias("v"))
+    halves = I.split_halves(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", "l_quantity", HALVED, SPLITS)
+    known = F.filter("d2", lambda x: x.isNotNull())
+    v = halves.select(F.col("l_partkey").alias("unit_id"), known.alias("d2")).where(F.size("d2") > 0).select("unit_id", (C.total(F.col("d2")) / F.size("d2") / 4).alias("v"))
     j = designed(spark, d).select("unit_id", "a", C.curve_distance(F.col("q"), F.col("q_star")).alias("dist")).join(v, "unit_id")
     g = j.groupBy("a").agg(F.count("*").alias("units"), F.avg("v").alias("variance"), F.avg("dist").alias("distance"))
     return g.select("a", "units", r(F.col("variance"), 2).alias("variance"), r(F.col("distance"), 2).alias("distance"), r(F.col("variance") / (2 * F.col("distance")), 4).alias("inflation"))
