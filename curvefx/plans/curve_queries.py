@@ -203,13 +203,15 @@ def q15(spark, d):
 h AS (SELECT n, 0.9::DOUBLE * least(sd, iqr / 1.34::DOUBLE) * pow(n, -0.2::DOUBLE) AS h FROM s), x AS (SELECT i::INT AS i, 5000::DOUBLE * i AS x FROM (SELECT unnest(range(0, 21)) AS i))""", f"SELECT i, {R('1e6 * sum(exp(-pow((x - q) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 6)} AS density FROM curve CROSS JOIN h CROSS JOIN x GROUP BY i"))
 def q16(spark, d):
     """Kernel density of pooled curve coordinates at 21 points, Silverman's bandwidth; per million."""
-    q = curves_long(spark, d).select("q")
-    s = q.agg(F.count("*").alias("n"), F.stddev_samp("q").alias("sd"), F.percentile("q", 0.75).alias("hi"), F.percentile("q", 0.25).alias("lo"))
-    h = s.select("n", (0.9 * F.least(F.col("sd"), (F.col("hi") - F.col("lo")) / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(i.alias("i"), (i * 5000.0).alias("x")))
-    rows = q.crossJoin(F.broadcast(h)).select("q", "n", "h", F.explode(grid).alias("g"))  # one row of h; 21 grid points
-    z = (F.col("g.x") - F.col("q")) / F.col("h")
-    return rows.groupBy(F.col("g.i").alias("i")).agg(r(1e6 * F.sum(F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * F.sqrt(2 * F.pi())), 6).alias("density"))
+    q = ordered.ranges(curves_long(spark, d).select("q"), [], [F.col("q")])
+    quarters = quantiles.exact_quantiles(q, "q", [0.25, 0.75])
+    s = q.agg(F.count("*").alias("n"), F.stddev_samp("q").alias("sd")).crossJoin(quarters)  # single rows
+    lo, hi = (F.get("quantiles", F.lit(i)) for i in (0, 1))
+    h = s.select("n", (0.9 * F.least(F.col("sd"), (hi - lo) / 1.34) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
+    z = [(F.lit(i * 5000.0) - F.col("q")) / F.col("h") for i in range(21)]
+    sums = q.crossJoin(F.broadcast(h)).agg(F.first("n").alias("n"), F.first("h").alias("h"), *[F.sum(F.exp(-x * x / 2)).alias(f"s{i}") for i, x in enumerate(z)])  # one row of h
+    long = sums.select("n", "h", F.posexplode(F.array(*[f"s{i}" for i in range(21)])).alias("i", "s"))
+    return long.where("n > 0").select("i", r(1e6 * F.col("s") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi())), 6).alias("density"))
 
 
 @query("w3_ecdf_bins", twin(UNITS + ", " + BINNED, f"SELECT unit_id, {R('m', 8)} AS m, bin FROM binned"))
