@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,25 +182,26 @@ def half_curves(y: np.ndarray, w: np.ndarray, levels: list[float]) -> np.ndarray
 def split_halves(df: DataFrame, unit: str, y: str, w: str, keys: list[str], splits: int, levels: list[float] | None = None, bound: int | None = None) -> DataFrame:
     """unit, d2: for each split the mean squared distance between the curves of two halves of the unit's rows, null where a half has no usable row.
 
-    A row's half in a split is the parity of the seeded number of split and keys. A row goes to its unit's task once, with its
-    halves as bits; the curves of all splits are made there from one sorted run of rows. Units of more than bound rows are
+    A row's half in a split is the parity of the seeded number of split and keys. A row goes to its unit's task once;
+    its halves and the curves of all splits are made there from one sorted run of rows. Units of more than bound rows are
     taken split by split over sorted ranges.
     """
     levels, bound = check_levels(levels or midpoint_levels()), bound or LARGE_UNIT
-    halves = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda i: F.substring(F.md5(F.concat_ws(":", i.cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary")), 12, 1))
-    odd = F.translate(F.concat_ws("", halves), "0123456789abcdef", "0101010101010101")
-    rows = df.where(usable(y, w)).select(F.col(unit), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"), odd.alias("bits"))
+    ident = F.concat_ws(":", F.lit(""), *[F.col(k).cast("string") for k in keys])
+    rows = df.where(usable(y, w)).select(F.col(unit), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"), ident.alias("ident"))
     rows = rows.repartition(unit).withColumn("_n", F.count("*").over(Window.partitionBy(unit))).sortWithinPartitions(unit, "y", "w")
-    schema = T.StructType([rows.schema[unit], *T.StructType.fromDDL("d2 array<double>, y double, w double, bits string").fields])
+    md5, numbers = hashlib.md5, [str(i).encode() for i in range(splits)]
+    schema = T.StructType([rows.schema[unit], *T.StructType.fromDDL("d2 array<double>, y double, w double, ident string").fields])
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in pairs.small_units(batches, [unit], bound):
             if starts is None:
-                yield pairs.rows_of([t[unit], None, t["y"], t["w"], t["bits"]], kinds)
+                yield pairs.rows_of([t[unit], None, t["y"], t["w"], t["ident"]], kinds)
                 continue
             yy, ww = t["y"].to_numpy(), t["w"].to_numpy()
-            bits = np.frombuffer("".join(t["bits"].to_pylist()).encode(), np.uint8).reshape(-1, splits) & 1
+            idents = [x.encode() for x in t["ident"].to_pylist()]
+            bits = np.frombuffer(bytes(md5(n + x).digest()[5] & 1 for x in idents for n in numbers), np.uint8).reshape(-1, splits)  # of twelve hexadecimal digits the last one is odd
             out = np.full((len(starts) - 1, splits), np.nan)
             for g, at, real in sized(starts, splits):
                 for s in range(0, splits, max(1, min(splits, 4_000_000 // at.size))):
@@ -227,7 +229,9 @@ def split_halves(df: DataFrame, unit: str, y: str, w: str, keys: list[str], spli
     done, large = first.where("y IS NULL").select(unit, "d2"), first.where("y IS NOT NULL")
     if large.isEmpty():
         return done
-    many = large.select(unit, "y", "w", F.posexplode(F.split("bits", "")).alias("split", "half")).where("half <> ''")
+    many = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+    digits = F.substring(F.md5(F.concat(F.col("split").cast("string"), "ident").cast("binary")), 1, 12)
+    many = many.select(unit, "y", "w", "split", (F.conv(digits, 16, 10).cast("long") % 2).cast("string").alias("half"))
     keyed = many.withColumn("_u", F.concat_ws("|", F.col(unit).cast("string"), "split", "half"))
     names = keyed.select("_u", unit, "split", "half").distinct()
     c = unit_curves(keyed, "_u", "y", "w", levels).join(names, "_u")
