@@ -6,11 +6,13 @@ two, not five: with scattered changes, similarity 0.8 means that about a tenth o
 code guarantees, but pairs so close still share an anchor of one of the fingerprints, also where they differ in one long
 passage and a seventh of the bits differ (README has measured shares). At an anchor all pairs that differ in
 at most MOST_BITS of all three are candidates, and every link is checked on the whole five-word sets.
-Where an anchor has more than LINEAR candidate pairs a member, as in a family of near copies, no pairs go out: all are
-compared with one member that has many candidates, the anchor's hub. Anchors with the same hub, as a family's mostly are, become
-one group, in which each of their members stands once and any two that met at one of them meet again. There, those that the hub
-leaves apart are compared with their closest one, and at last the sets of what is still unconnected meet, where every remaining
-candidate is checked in place and only links leave. So rows grow with members and not with pairs or anchors, and no candidate is
+Where an anchor has more than LINEAR candidate pairs a member, as in a family of near copies, no pairs go out, but members, each with
+one that has many candidates, the anchor's hub. Anchors with the same hub, as a family's mostly are, become
+one group, in which each of their members stands once and any two that met at one of them meet again. A member of many groups
+is compared with two of its hubs, the least and the closest one, and pairs of other anchors are left to a group that both are in.
+In the groups, those that this leaves apart are compared with their closest one, and at last the sets of what is
+still unconnected meet, where every remaining
+candidate is checked in place and only links leave. So pairs grow with members and not with pairs or groups, and no candidate is
 left out.
 """
 
@@ -41,6 +43,8 @@ THRESHOLD, MOST_BITS = 2, 44
 #: Candidate pairs a member that an anchor sends out; members whose sets meet in one task; and, where an anchor has more,
 #: members of which one becomes its hub.
 LINEAR, TILE, HUBS = 4, 10_000, 64
+#: Groups of a member, the largest ones, in which a pair of other anchors is looked for.
+GROUPS = 16
 #: Rows that a task holds to name each of them once before they leave.
 HELD = 300_000
 PRINTS = ["fp", "fq", "fr"]
@@ -132,11 +136,11 @@ def candidates(prints: list[np.ndarray], rows: np.ndarray | None = None) -> Iter
 
 
 def met(members: DataFrame) -> DataFrame:
-    """a, b, hub and fingerprints: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them.
+    """a, b, hub, bits and fingerprints: candidate pairs a < b of nodes, and, with null b, members a of anchors with too many of them, bits from the hub.
 
     A task names a pair, or a member of a hub's anchors, once for every HELD rows; other tasks may name it again.
 
-    Of such an anchor, the pairs of one member go out: the least node with half the most candidates; of other ones all. An
+    The hub of such an anchor is the least node with half the most candidates; of other ones all pairs go out. An
     anchor of more than TILE members has too many by itself, and its hub is one of HUBS members.
     """
     single, patterns = code_tables(THRESHOLD)
@@ -155,10 +159,10 @@ def met(members: DataFrame) -> DataFrame:
         n, m = len(out), len(member)
         columns = [pa.array(np.r_[out[:, 0], member[:, 1]]), pa.array(np.r_[out[:, 1], member[:, 1]], mask=np.arange(n + m) >= n)]
         rest = [pa.array(np.r_[np.zeros(n, np.int64), c]) for c in (member[:, 0], *member[:, 2:].T)]
-        return pa.RecordBatch.from_arrays([*columns, *rest], ["a", "b", "hub", *PRINTS])
+        return pa.RecordBatch.from_arrays([*columns, *rest], ["a", "b", "hub", "bits", *PRINTS])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = lambda: ([np.zeros((0, 2), np.int64)], [np.zeros((0, 2 + len(PRINTS)), np.int64)])
+        none = lambda: ([np.zeros((0, 2), np.int64)], [np.zeros((0, 3 + len(PRINTS)), np.int64)])
         pairs, large = none()
         for anchor, node, *prints in groups(batches):
             cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor)]
@@ -177,10 +181,8 @@ def met(members: DataFrame) -> DataFrame:
                 if n > LINEAR * (e - s) or some is not None:
                     hub = int((2 * degree >= degree.max()).argmax())  # the least node of many candidates, which is the same at many anchors
                     j = np.flatnonzero(degree) if some is None else np.arange(e - s)
-                    large.append(np.stack([np.full(len(j), node[s + hub]), node[s + j], *[p[j] for p in own]], 1))
-                    j = j[(j != hub) & (apart(own, np.full(len(j), hub), j) <= MOST_BITS)]
-                    a = np.full(len(j), node[s + hub])
-                    found = [np.stack([np.minimum(a, node[s + j]), np.maximum(a, node[s + j])], 1)]
+                    large.append(np.stack([np.full(len(j), node[s + hub]), node[s + j], apart(own, np.full(len(j), hub), j), *[p[j] for p in own]], 1))
+                    found = []
                 pairs += found
             if sum(map(len, pairs)) + sum(map(len, large)) > HELD:
                 yield told(pairs, large)
@@ -188,7 +190,7 @@ def met(members: DataFrame) -> DataFrame:
         yield told(pairs, large)
 
     copies = members.select("node", *PRINTS).mapInArrow(spread, f"anchor int, node long, {PRINT_KINDS}")
-    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"a long, b long, hub long, {PRINT_KINDS}")
+    return copies.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(meet, f"a long, b long, hub long, bits long, {PRINT_KINDS}")
 
 
 def by_hub(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -286,6 +288,23 @@ def settled(left: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(meet, "a long, b long").distinct()
 
 
+def to_hubs(large: DataFrame) -> DataFrame:
+    """a, b: each member of hubs' groups with the least and with the closest hub that it is a candidate of, so two pairs a member at most."""
+    near = large.where((F.col("bits") <= MOST_BITS) & (F.col("node") != F.col("hub")))
+    two = near.groupBy("node").agg(F.min("hub").alias("_least"), F.min(F.struct("bits", "hub")).alias("_closest"))
+    both = two.select("node", F.col("_least").alias("hub")).union(two.select("node", "_closest.hub"))
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def apart_from_hubs(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The pairs a, b that are not in one hub's group, where they would meet again: not in one of the GROUPS largest of each."""
+    sizes = large.groupBy("hub").agg(F.count("*").alias("_size"))
+    own = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_size")).alias("s"), "hub"))), 1, GROUPS)
+    hubs = large.select("node", "hub").join(sizes, "hub").groupBy("node").agg(F.transform(own, lambda e: e["hub"]).alias("_hubs"))
+    x, y = hubs.select(F.col("node").alias("a"), F.col("_hubs").alias("_x")), hubs.select(F.col("node").alias("b"), F.col("_hubs").alias("_y"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(~F.coalesce(F.arrays_overlap("_x", "_y"), F.lit(False))).select("a", "b")
+
+
 def checked(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs a, b of nodes whose whole sets are similar, read again from one text of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -326,11 +345,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
         fits = F.least("_x", "_y") * DENOMINATOR >= F.greatest("_x", "_y") * NUMERATOR
         return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b")
 
-    tried = stored(fitting(found.where("b IS NOT NULL").select("a", "b").distinct()))
-    roots = stored(components(checked(tried, rows, docs)))
-    large = stored(found.where("b IS NULL").select(F.col("a").alias("node"), "hub", *PRINTS).dropDuplicates(["hub", "node"]))
+    large = stored(found.where("b IS NULL").select(F.col("a").alias("node"), "hub", "bits", *PRINTS).dropDuplicates(["hub", "node"]))
     placed = lambda: large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tree = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+    tried = stored(fitting(to_hubs(large).union(apart_from_hubs(pairs, large)).distinct()))
+    roots = stored(components(checked(tried, rows, docs)))
     near = stored(fitting(closest(placed())).join(tried, ["a", "b"], "left_anti"))
     roots = stored(components(checked(near, rows, docs).union(tree())))
     left = stored(unconnected(placed()))

@@ -151,3 +151,19 @@ def test_anchors_beyond_a_tile(spark, monkeypatch):
     root, got = brute(texts), {r["doc_id"]: r["component"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), NAMES)).collect()}
     groups = lambda of: {frozenset(i for i in range(len(texts)) if of[i] == c) for c in set(of)}
     assert groups([got[i] for i in range(len(texts))]) == groups(root)
+
+
+def test_pairs_checked_grow_with_members(spark, monkeypatch):
+    """A family of near copies, whose members meet at many anchors under many hubs, sends out few pairs a member and is one group all the same."""
+    rng, texts = random.Random(9), []
+    base = [f"u{rng.randrange(10**6)}" for _ in range(120)]
+    for _ in range(400):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    made, checked = [], near_copies.checked
+    monkeypatch.setattr(near_copies, "checked", lambda pairs, *more: made.append(pairs.count()) or checked(pairs, *more))
+    got = [r["component"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), NAMES)).collect()]
+    assert len(got) == 400 and len(set(got)) == 1
+    assert sum(made) <= 8 * 400
