@@ -87,3 +87,19 @@ def test_empty_and_null_rows(spark):
     assert pairs.pair_sums(spark.createDataFrame([], kind), ["unit_id"], pairs.smoothed(0.0)).count() == 0
     rows = pairs.pair_sums(spark.createDataFrame([(None, 0, 1.0, [1.0]), (None, 1, 1.0, [3.0]), (2, 0, 1.0, None)], kind), ["unit_id"], pairs.smoothed(0.0)).collect()
     assert [tuple(r) for r in rows] == [(None, 0.0, 2.0, 0.0)]
+
+
+@pytest.mark.parametrize("bound", [None, 20])
+def test_candidate_laws_scored_together(spark, bound):
+    """The risks of all scales and jitters in one pass are those of each candidate by itself, for small, tiled and passed-on laws."""
+    rng, rows = np.random.default_rng(4), []
+    for u, n in enumerate([1, 3, 12, 130]):
+        mass = rng.random(n)
+        seen = np.sort(rng.normal(size=5) * 900).tolist()
+        rows += [(u, u % 2, i, float(m), np.sort(rng.normal(size=5) * 900).tolist(), seen) for i, m in enumerate(mass / mass.sum())]
+    points = spark.createDataFrame(rows, "unit_id long, arm int, atom_id long, mass double, q array<double>, seen array<double>")
+    got = {r["i"]: r["risk"] for r in laws.tried_risks(points, [1.0, 1.4], [160.0], 2, bound=bound).collect()}
+    law, seen = points.drop("seen"), points.select("unit_id", "arm", F.col("seen").alias("q")).dropDuplicates(["unit_id", "arm"])
+    tries = [laws.radial_scale(law, 1.0), laws.radial_scale(law, 1.4), laws.jitter(law, 160.0, 2)]
+    want = [laws.energy_score(x, seen).agg(F.avg("score")).first()[0] for x in tries]
+    assert sorted(got) == [0, 1, 2] and np.allclose([got[i] for i in range(3)], want)
