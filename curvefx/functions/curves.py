@@ -109,7 +109,7 @@ def from_rescaled(z: Column, w: Column | None = None) -> Column:
 
 def adjacent(q: Curve) -> Column:
     """Differences of neighbouring coordinates."""
-    return F.transform(F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(0))), lambda x, i: x - F.get(q, i))
+    return let(q, lambda c: F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: x - F.get(c, i)))
 
 
 def is_monotone(q: Curve, atol: float = 1e-12) -> Column:

@@ -175,3 +175,10 @@ def test_auc_counts_pairs(spark):
     rows = [(float(rng.integers(0, 20)), int(rng.integers(0, 2))) for _ in range(300)]
     pairs = [(a > b) + (a == b) / 2 for a, i in rows for b, j in rows if i == 1 and j == 0]
     assert np.isclose(inference.auc(spark.createDataFrame(rows, "e double, a int"), "e", "a").first()["auc"], np.mean(pairs))
+
+
+def test_differences_make_their_curve_once(spark):
+    """A curve that is itself an expression is not made again for each level."""
+    d = spark.createDataFrame([([3.0, 1.0, 4.0, 2.0],), (None,), ([],)], "q array<double>").select(C.adjacent(C.running_max(F.col("q"))).alias("d"))
+    assert [r["d"] for r in d.collect()] == [[0.0, 1.0, 0.0], None, []]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
