@@ -83,7 +83,8 @@ def mapped(df: DataFrame, f: Callable[[Callable[[str], np.ndarray]], np.ndarray]
             for at in range(0, b.num_rows, ROWS):
                 c = b.slice(at, ROWS)
                 made = f(lambda name, c=c: matrix(c, name))
-                col = pa.array(list(made.reshape(len(made), -1)), pa.list_(pa.float64()))
+                flat = np.ascontiguousarray(made.reshape(len(made), -1), float)
+                col = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
                 names = [n for n in c.schema.names if n != out]
                 yield pa.RecordBatch.from_arrays([*[c.column(c.schema.get_field_index(n)) for n in names], col], [*names, out])
 
@@ -150,12 +151,16 @@ def start_particles(units: DataFrame, particles: int, order: str) -> np.ndarray:
 
 def moved(x: np.ndarray, a: np.ndarray, e: np.ndarray | None, p: np.ndarray, sizes: np.ndarray, forest: Forest) -> np.ndarray:
     """Particles (n, models, M, K) after one step, projected; a model of size 0 stays."""
+    return stepped(p, forest.predict(x, a.astype(np.int64), e).reshape(p.shape), sizes) if sizes.any() else p.copy()
+
+
+def stepped(p: np.ndarray, change: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Particles moved by each model's size times change, projected; a model of size 0 stays."""
     go = np.flatnonzero(sizes)
     out = p.copy()
     if len(go):
-        n, models, m, k = p.shape
-        change = forest.predict(x, a.astype(np.int64), e).reshape(n, models, m, k)[:, go]
-        out[:, go] = project((p[:, go] + sizes[go][:, None, None] * change).reshape(-1, k)).reshape(n, len(go), m, k)
+        n, _, m, k = p.shape
+        out[:, go] = project((p[:, go] + sizes[go][:, None, None] * change[:, go]).reshape(-1, k)).reshape(n, len(go), m, k)
     return out
 
 
@@ -194,7 +199,8 @@ def fit(units: DataFrame, particles: int = 5, steps: int = 5, rate: float = 0.5,
             """Training rows and sums of their scores before and after every step size, by model."""
             q, t, x, a = get("q"), get("t"), get("x"), get("a")
             p = of(get("p"), len(q))
-            cols = [moved(x, a, e_of(get), p, np.where(alive, s, 0.0), forest) for s in sizes]
+            change = forest.predict(x, a.astype(np.int64), e_of(get)).reshape(p.shape)  # once for all sizes
+            cols = [stepped(p, change, np.where(alive, s, 0.0)) for s in sizes]
             out = np.zeros((models, len(sizes) + 1))
             for m in np.flatnonzero(alive):
                 own = t[:, m] != 0

@@ -162,6 +162,11 @@ def matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
 
 
+def row_sums(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each of n groups, column by column and in order, so to the last bit those of np.add.at."""
+    return np.stack([np.bincount(group, c, n) for c in values.T], 1) if values.shape[1] else np.zeros((n, 0))
+
+
 def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool) -> DataFrame:
     """Sums by model, node, feature, bin and arm over rows in open nodes; one feature -1 and bin 0 without by_feature."""
     width, models, wanted = len(cuts), len(forest.root), np.array(sorted(open_nodes))
@@ -188,10 +193,8 @@ def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: lis
                     bin_ = binned[own, f] if f >= 0 else np.zeros(len(own), np.int64)
                     u, inv = np.unique((node * 64 + bin_) * 2 + am, return_inverse=True)
                     plain = [np.bincount(inv), *[np.bincount(inv, c) for c in (mm, square, wm, wm * wm)]]
-                    vec, wvec = np.zeros((len(u), vm.shape[1])), np.zeros((len(u), vm.shape[1]))
-                    np.add.at(vec, inv, vm)
-                    if w is not None:
-                        np.add.at(wvec, inv, wm[:, None] * vm)
+                    vec = row_sums(inv, vm, len(u))
+                    wvec = row_sums(inv, wm[:, None] * vm, len(u)) if w is not None else np.zeros_like(vec)
                     for i, k in enumerate(u.tolist()):
                         new = [*[c[i] for c in plain], vec[i], wvec[i]]
                         key = (m, k // 128, f, k // 2 % 64, k % 2)

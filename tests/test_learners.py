@@ -382,3 +382,17 @@ def test_stack_pooling_equals_the_closed_form(spark):
     for i in range(8):
         assert got[i] == pytest.approx(closed(long[i], np.ones(500)), **ROUND)
     assert monotone.projected(spark.createDataFrame([], "q array<double>"), "q").count() == 0
+
+
+def test_row_sums_and_steps_are_the_plain_ones():
+    """Sums of groups are to the last bit those of np.add.at, and one prediction serves all step sizes."""
+    rng = np.random.default_rng(3)
+    group, values = rng.integers(0, 7, 500), rng.normal(size=(500, 6)) * 1e5
+    want = np.zeros((8, 6))
+    np.add.at(want, group, values)
+    assert (trees.row_sums(group, values, 8) == want).all()
+    p, change, sizes = np.sort(rng.normal(size=(9, 3, 2, 4))), rng.normal(size=(9, 3, 2, 4)), np.array([0.5, 0.0, 0.25])
+    got = boost.stepped(p, change, sizes)
+    assert (got[:, 1] == p[:, 1]).all() and (np.diff(got) >= -1e-12).all()
+    for m in (0, 2):
+        assert np.allclose(got[:, m], boost.project((p[:, m] + sizes[m] * change[:, m]).reshape(-1, 4)).reshape(9, 2, 4))
