@@ -19,13 +19,28 @@ def target_rows(estimates: DataFrame, truth: DataFrame, declared: DataFrame) ->
     has failed. Such a target has its rows of bin -1 with null values. One aggregation reads the estimates.
     """
     t = truth.select("target", "unit_id", "bin", F.col("value").alias("_t"))
+    return rows_of_pairs(estimates.join(t, ["target", "unit_id"]), truth.select("target").distinct(), declared)
+
+
+def wide_rows(units: DataFrame, estimates: dict[tuple[str, str], Column], truth: dict[str, Column], declared: DataFrame) -> DataFrame:
+    """target_rows() where a unit's row holds its bin, its estimates by view and target, and its truths by target: nothing is joined."""
+    pair = lambda view, target, v: F.struct(F.lit(view).alias("view"), F.lit(target).alias("target"), v.cast("double").alias("value"), truth[target].cast("double").alias("_t"))
+    met = [pair(*k, v) for k, v in estimates.items() if k[1] in truth]
+    empty = "array<struct<view: string, target: string, value: double, _t: double>>"
+    pairs = units.select("bin", F.inline(F.array(*met) if met else F.array().cast(empty)))
+    known = units.limit(1).select(F.explode(F.array(*map(F.lit, truth)).cast("array<string>")).alias("target"))  # no truth without units
+    return rows_of_pairs(pairs, known, declared)
+
+
+def rows_of_pairs(pairs: DataFrame, known: DataFrame, declared: DataFrame) -> DataFrame:
+    """target_rows() of view, target, bin, value and _t, an estimate beside its truth; known has the targets that have any."""
     fine = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    g = stored(estimates.join(t, ["target", "unit_id"]).groupBy("view", "target", "bin").agg(F.count("*").alias("n"), F.sum(F.when(fine, F.col("value"))).alias("e"), F.sum("_t").alias("o"), F.count(F.when(~fine, 1)).alias("bad")))
+    g = stored(pairs.groupBy("view", "target", "bin").agg(F.count("*").alias("n"), F.sum(F.when(fine, F.col("value"))).alias("e"), F.sum("_t").alias("o"), F.count(F.when(~fine, 1)).alias("bad")))
     whole = g.groupBy("view", "target").agg(
         (F.sum("e") / F.sum("n")).alias("tate_estimate"), (F.sum("o") / F.sum("n")).alias("tate_oracle"), (F.abs(F.sum("e") - F.sum("o")) / F.sum("n")).alias("tate_abs_error"),
         F.sqrt(F.avg(F.pow((F.col("e") - F.col("o")) / F.col("n"), 2))).alias("tcate_rmse"), F.sum("bad").alias("bad"),
     )
-    known = truth.select("target").distinct().withColumn("_truth", F.lit(True))
+    known = known.withColumn("_truth", F.lit(True))
     j = declared.select("view", "target").distinct().join(whole, ["view", "target"], "left").join(known, "target", "left")
     reason = F.when(F.col("_truth").isNull(), NO_TRUTH).when(F.col("bad").isNull(), NO_TARGET).when(F.col("bad") > 0, BROKEN)
     j = j.withColumn("failure_reason", reason).withColumn("status", F.when(reason.isNull(), "ok").when(reason == BROKEN, "failed").otherwise("not_applicable"))
@@ -55,6 +70,14 @@ def dense_rows(estimates: DataFrame, truth: DataFrame, payloads: DataFrame, targ
     return rows.withColumnRenamed("view", "source")
 
 
+def dense_wide_rows(units: DataFrame, estimates: dict[tuple[str, str], Column], truth: dict[str, Column], payloads: DataFrame, targets: DataFrame) -> DataFrame:
+    """dense_rows() where a unit's row holds its bin, its estimates by source and native target, and its truths by target."""
+    chosen = resolved(payloads, targets).collect()  # a row for each target
+    own = {(r["source"], r["target"]): estimates[r["source"], r["native"]] for r in chosen if (r["source"], r["native"]) in estimates}
+    declared = units.sparkSession.createDataFrame([(r["source"] or "none", r["target"]) for r in chosen], "view string, target string")
+    return wide_rows(units, own, truth, declared).withColumnRenamed("view", "source")
+
+
 def long_values(df: DataFrame, keys: list[Column | str], values: dict[str, Column]) -> DataFrame:
     """keys, target and value, a row for each named value."""
     return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("target"), v.cast("double").alias("value")) for n, v in values.items()])))

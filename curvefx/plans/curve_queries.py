@@ -30,10 +30,10 @@ def star_of(c, u):
     return quantiles.as_arrays(quantiles.average_curve(long).withColumn("g", F.lit(0)), ["g"]).select(F.col("q").alias("q_star"))
 
 
-def designed(spark, d):
-    """Units with curve, arm, moderator and bin, and the benchmark. Curves are made once and stored."""
+def designed(spark, d, c=None):
+    """Units with curve, arm, moderator and bin, and the benchmark. Curves are made once and stored, if they aren't given."""
     u = units(spark, d)
-    c = ordered.stored(curves(spark, d))
+    c = ordered.stored(curves(spark, d)) if c is None else c
     placed = prep.ecdf_moderator(u, "moderator_raw", "unit_id").withColumn("bin", prep.moderator_bin(F.col("m")))
     return c.join(placed, "unit_id").crossJoin(F.broadcast(star_of(c, u)))  # one benchmark row
 
