@@ -16,7 +16,7 @@ from ..functions import draws
 from ..functions.curves import curve_dist2
 from ..grid import check_levels, midpoint_levels
 from ..shipping import ship
-from . import ordered, pairs
+from . import ordered, pairs, prep, quantiles
 from .ordered import ranges
 from .quantiles import LARGE_UNIT, unit_curves, usable
 from .trees import matrix
@@ -24,6 +24,7 @@ from .trees import matrix
 ship(__name__)
 ship(draws.__name__)
 ship(pairs.__name__)
+ship(quantiles.__name__)
 
 #: Units whose arms are dealt at a time, for all draws.
 UNITS = 256
@@ -151,14 +152,63 @@ def permutation_tests(df: DataFrame, key: str, y: str, arm: str, rounds: int, bi
 
 
 def bootstrap_rows(df: DataFrame, unit: str, key: list[str], seed: int, draw: Column | None = None) -> DataFrame:
-    """A resample of each unit's rows of the same size: row i of a unit takes the row at a seeded place."""
-    over = Window.partitionBy(unit).orderBy(*key)
-    numbered = df.withColumn("_i", F.row_number().over(over) - 1)
+    """A resample of each unit's rows of the same size: row i of a unit takes the row at a seeded place. Units may be of any size."""
+    numbered = prep.rank_in_group(df, unit, [F.col(k) for k in key], "_row").withColumnRenamed("_row", "_i")
     size = df.groupBy(unit).agg(F.count("*").alias("_n"))
     place = numbered.select(unit, "_i").join(size, unit).select(unit, (draws.number(F.lit(seed), F.col(unit), F.col("_i"), *([draw] if draw is not None else [])) % F.col("_n")).alias("_i"))
     return place.join(numbered, [unit, "_i"]).drop("_i")
 
 
+def bootstrap_curves(df: DataFrame, unit: str, y: str, w: str, key: list[str], seed: int, levels: list[float] | None = None, bound: int | None = None) -> DataFrame:
+    """unit, q, again: each unit's curve and that of one resample of its rows, where both have a usable row.
+
+    Row i of a unit, in the order of y, w and key, takes the row at a seeded place, as bootstrap_rows() has it; units are
+    integers. A row goes to its unit's task once and both curves are made there from one sorted run of rows, as places in
+    order are values in order. Units of more than bound rows are taken over sorted ranges.
+    """
+    levels = check_levels(levels or midpoint_levels())
+    rows = df.where(F.col(unit).isNotNull()).select(unit, F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"), *key)
+    large = quantiles.large_units(rows, unit, bound)
+    schema = T.StructType([rows.schema[unit], *T.StructType.fromDDL("q array<double>, again array<double>").fields])
+    kinds, md5 = to_arrow_schema(schema), hashlib.md5
+
+    def places(units: list, size: np.ndarray) -> np.ndarray:
+        """draws.number() of seed, unit and row, modulo the unit's rows; the number is the first six bytes of the hash."""
+        each = [str(i).encode() for i in range(int(size.max()))]
+        heads = [f"{seed}:{u}:".encode() for u in units]
+        raw = b"".join([md5(h + i).digest() for h, n in zip(heads, size.tolist()) for i in each[:n]])
+        wide = np.zeros((len(raw) // 16, 8), np.uint8)
+        wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 16)[:, :6]
+        return wide.view(">u8")[:, 0].astype(np.int64) % np.repeat(size, size)
+
+    def curves(yy: np.ndarray, ww: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which groups have a usable row, and their curves."""
+        fine = np.isfinite(yy) & np.isfinite(ww) & (ww > 0)
+        n = np.add.reduceat(fine.astype(np.int64), starts[:-1])
+        some = n > 0
+        if not some.any():
+            return some, np.zeros((0, len(levels)))
+        return some, quantiles.group_curves(yy[fine], ww[fine], np.concatenate([[0], np.cumsum(n[some])]), [levels])[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in pairs.whole_groups(batches, [unit]):
+            yy, ww = (t[c].to_numpy().astype(float) for c in "yw")
+            size, units = np.diff(starts), t[unit].take(pa.array(starts[:-1]))
+            at = np.sort(np.repeat(starts[:-1], size) + places(units.to_pylist(), size))
+            (one, q), (two, again) = curves(yy, ww, starts), curves(yy[at], ww[at], starts)
+            both = one & two
+            yield pairs.rows_of([units.filter(pa.array(both)), pairs.lists(q[both[one]]), pairs.lists(again[both[two]])], kinds)
+
+    own = lambda part: part.repartition(unit).sortWithinPartitions(unit, "y", "w", *key).select(unit, "y", "w").mapInArrow(run, schema)
+    if large is None:
+        return own(rows)
+    same = F.col(unit) == F.col("_unit")
+    many = rows.join(F.broadcast(large), same, "left_semi")  # one for bound rows
+    again = bootstrap_rows(many, unit, ["y", "w", *key], seed)
+    c = lambda part, n: unit_curves(part, unit, "y", "w", levels, spread=True).withColumnRenamed("q", n)
+    return own(rows.join(F.broadcast(large), same, "left_anti")).unionByName(c(many, "q").join(c(again, "again"), unit))
+
+
 def half_curves(y: np.ndarray, w: np.ndarray, levels: list[float]) -> np.ndarray:
     """Curves of groups of rows in order of y: y of shape (groups, rows) and w, 0 for rows that are not used, of shape (groups, rows, curves). NaN without rows."""
     n = y.shape[1]

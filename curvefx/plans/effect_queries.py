@@ -253,10 +253,9 @@ re AS (SELECT a.unit_id, b.y, b.w FROM (SELECT unit_id, {draws.number_sql(5, 'un
 def i6(spark, d):
     """Curves of one resample of every part's rows: mean absolute change by level."""
     m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("unit_id"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("w"), "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
-    b = I.bootstrap_rows(m, "unit_id", ["y", "w", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"], 5)
-    a = quantiles.unit_curves_long(m, "unit_id", "y", "w")
-    j = a.join(quantiles.unit_curves_long(b, "unit_id", "y", "w").withColumnRenamed("q", "_q"), ["unit_id", "k"])
-    return j.groupBy("k").agg(r(F.avg(F.abs(F.col("q") - F.col("_q")))).alias("change"))
+    b = I.bootstrap_curves(m, "unit_id", "y", "w", ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"], 5)
+    j = b.select(F.posexplode(F.zip_with("q", "again", lambda x, z: F.abs(x - z))).alias("k", "d"))
+    return j.groupBy((F.col("k") + 1).alias("k")).agg(r(F.avg("d")).alias("change"))
 
 
 HALVED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
