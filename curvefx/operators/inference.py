@@ -16,14 +16,15 @@ from ..functions import draws
 from ..functions.curves import curve_dist2
 from ..grid import check_levels, midpoint_levels
 from ..shipping import ship
-from . import ordered, pairs, prep, quantiles
+from . import ordered, prep, quantiles
 from .ordered import ranges
-from .quantiles import LARGE_UNIT, unit_curves, usable
+from .pairs import lists, rows_of, small_units, whole_groups
+from .quantiles import LARGE_UNIT, group_curves, unit_curves, usable
 from .trees import matrix
 
 ship(__name__)
 ship(draws.__name__)
-ship(pairs.__name__)
+ship(whole_groups.__module__)
 ship(quantiles.__name__)
 
 #: Units whose arms are dealt at a time, for all draws.
@@ -188,16 +189,16 @@ def bootstrap_curves(df: DataFrame, unit: str, y: str, w: str, key: list[str], s
         some = n > 0
         if not some.any():
             return some, np.zeros((0, len(levels)))
-        return some, quantiles.group_curves(yy[fine], ww[fine], np.concatenate([[0], np.cumsum(n[some])]), [levels])[0]
+        return some, group_curves(yy[fine], ww[fine], np.concatenate([[0], np.cumsum(n[some])]), [levels])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in pairs.whole_groups(batches, [unit]):
+        for t, starts in whole_groups(batches, [unit]):
             yy, ww = (t[c].to_numpy().astype(float) for c in "yw")
             size, units = np.diff(starts), t[unit].take(pa.array(starts[:-1]))
             at = np.sort(np.repeat(starts[:-1], size) + places(units.to_pylist(), size))
             (one, q), (two, again) = curves(yy, ww, starts), curves(yy[at], ww[at], starts)
             both = one & two
-            yield pairs.rows_of([units.filter(pa.array(both)), pairs.lists(q[both[one]]), pairs.lists(again[both[two]])], kinds)
+            yield rows_of([units.filter(pa.array(both)), lists(q[both[one]]), lists(again[both[two]])], kinds)
 
     own = lambda part: part.repartition(unit).sortWithinPartitions(unit, "y", "w", *key).select(unit, "y", "w").mapInArrow(run, schema)
     if large is None:
@@ -245,9 +246,9 @@ def split_halves(df: DataFrame, unit: str, y: str, w: str, keys: list[str], spli
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in pairs.small_units(batches, [unit], bound):
+        for t, starts in small_units(batches, [unit], bound):
             if starts is None:
-                yield pairs.rows_of([t[unit], None, t["y"], t["w"], t["ident"]], kinds)
+                yield rows_of([t[unit], None, t["y"], t["w"], t["ident"]], kinds)
                 continue
             yy, ww = t["y"].to_numpy(), t["w"].to_numpy()
             idents = [x.encode() for x in t["ident"].to_pylist()]
@@ -260,7 +261,7 @@ def split_halves(df: DataFrame, unit: str, y: str, w: str, keys: list[str], spli
                     b = bits[at][:, :, part]
                     out[g, part] = ((half_curves(yy[at], own * (b == 0), levels) - half_curves(yy[at], own * (b == 1), levels)) ** 2).mean(2)
             d2 = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * splits), pa.array(out.ravel(), mask=np.isnan(out.ravel())))
-            yield pairs.rows_of([t[unit].take(pa.array(starts[:-1])), d2], kinds)
+            yield rows_of([t[unit].take(pa.array(starts[:-1])), d2], kinds)
 
     def sized(starts: np.ndarray, splits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Units of much the same size, some at a time: their numbers, rows (padded with the last one) and which are real."""
