@@ -142,8 +142,7 @@ def boost_mean(rows: DataFrame, steps: int = 10, rate: float = 0.3, rules: Rules
     mass = F.transform("w", lambda w: w * w) if weighted else F.transform("t", lambda t: F.lit(1.0))
     arms = F.col("a") if weighted else F.transform("t", lambda t: F.lit(0))
     for _ in range(steps):
-        train = stored(boost.mapped(state, target, "v").select("x", "t", "v", mass.alias("mass"), arms.alias("a")))
-        forest = trees.grow(train, models, cuts, rules)
+        forest = trees.grow(state.withColumns({"mass": mass, "a": arms}), models, cuts, rules, target=target)
         move = lambda get, forest=forest: get("f") + rate * forest.predict(get("x"), np.zeros((len(get("x")), models), np.int64)).reshape(len(get("x")), -1)
         state = stored(boost.mapped(state, move, "f"))
     return state

@@ -6,12 +6,12 @@ after model) and, for the contrast rule, w ARRAY<DOUBLE> (arm less propensity).
 is |V_left|^2 / M_left + |V_right|^2 / M_right - |V|^2 / M with sums V of v and M of mass; with v = target and mass 1 that
 is the drop of the pooled squared error. Each level is one job for all models: tasks add up histograms by model, node,
 feature, bin and arm, Spark reduces them and finds each feature's best cut, and one small row for each model, node and
-feature reaches the driver. Cuts are midpoints of distinct values while there are at most BINS, else of quantile bins.
+feature reaches the driver, with the sums on both sides of the cut, so leaves need no job of their own. Cuts are midpoints of distinct values while there are at most BINS, else of quantile bins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -167,10 +167,13 @@ def row_sums(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(group, c, n) for c in values.T], 1) if values.shape[1] else np.zeros((n, 0))
 
 
-def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool) -> DataFrame:
-    """Sums by model, node, feature, bin and arm over rows in open nodes; one feature -1 and bin 0 without by_feature."""
+def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool, target: Callable[[Callable[[str], np.ndarray]], np.ndarray] | None = None) -> DataFrame:
+    """Sums by model, node, feature, bin and arm over rows in open nodes; one feature -1 and bin 0 without by_feature.
+
+    target makes v from a function that gives a column y, f or w as a matrix, where rows have no v; w is then for it alone.
+    """
     width, models, wanted = len(cuts), len(forest.root), np.array(sorted(open_nodes))
-    named = [c for c in ("x", "a", "t", "v", "mass", "w") if c in rows.columns]
+    named = [c for c in ("x", "a", "t", "mass", "w", *(("v",) if target is None else ("y", "f"))) if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
@@ -178,8 +181,8 @@ def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: lis
             if not b.num_rows:
                 continue
             x, arm, train, mass = (matrix(b, c) for c in ("x", "a", "t", "mass"))
-            v = matrix(b, "v").reshape(len(x), models, -1)
-            w = matrix(b, "w") if "w" in named else None
+            v = (matrix(b, "v") if target is None else target(lambda name, b=b: matrix(b, name))).reshape(len(x), models, -1)
+            w = matrix(b, "w") if "w" in named and target is None else None
             binned = np.stack([np.searchsorted(np.array(cuts[f]), x[:, f], side="left") for f in range(width)], 1)
             nodes = forest.route(x)
             for m in range(models):
@@ -287,38 +290,56 @@ def leaf_values(n: np.ndarray, mass: np.ndarray, ss: np.ndarray, vec: np.ndarray
     return pooled - share * factor * gap, pooled + (1 - share) * factor * gap
 
 
-def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None) -> Forest:
-    """One tree for each model (or each of alive); rows are read once for each level and once for the leaves."""
+PARTS = ("n", "mass", "ss", "w", "ww")
+
+
+def sides(pdf: pd.DataFrame, at: int | None) -> list[float]:
+    """Sums by side of a cut after bin at (all on the lower side without one) and arm: PARTS, vec and wvec of each, one after another."""
+    dim = len(pdf.vec.iloc[0])
+    out = np.zeros((2, 2, len(PARTS) + 2 * dim))
+    side = np.zeros(len(pdf), np.int64) if at is None else (pdf.bin.to_numpy() > at).astype(np.int64)
+    np.add.at(out, (side, pdf.arm.to_numpy()), np.hstack([pdf[list(PARTS)].to_numpy(float), np.stack(pdf.vec), np.stack(pdf.wvec)]))
+    return out.ravel().tolist()
+
+
+def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None, target: Callable | None = None) -> Forest:
+    """One tree for each model (or each of alive); rows are read once for each level. target is as for histograms()."""
     forest = Forest(np.full(models, -1), contrast=rules.rule == "contrast")
     for m in range(models) if alive is None else alive:
         forest.root[m] = forest.add()
     open_nodes, leaf, arm_leaf, solve = list(range(len(forest.feature))), rules.leaf, rules.arm_leaf, rules.gain == "solve"
+    model_of = {int(k): m for m, k in enumerate(forest.root) if k >= 0}
+    sums: dict[int, np.ndarray] = {}  # by node, with a row for each arm
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = best_cut(pdf, leaf, arm_leaf, solve)
+        at, gain = best_cut(pdf, leaf, arm_leaf, solve) or (-1, -np.inf)
         head = pdf.iloc[0]
-        return pd.DataFrame([(head.node, head.feature, *got)] if got else [], columns=["node", "feature", "bin", "gain"])
+        return pd.DataFrame([(head.node, head.feature, at, gain, sides(pdf, at if at >= 0 else None))], columns=["node", "feature", "bin", "gain", "sides"])
 
     for _ in range(rules.depth):
-        if not open_nodes:
+        if not open_nodes or not cuts:
             break
-        found = histograms(rows, forest, open_nodes, cuts, True).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double").collect()
+        found = histograms(rows, forest, open_nodes, cuts, True, target).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double, sides array<double>").collect()
         best: dict[int, tuple] = {}
         for r in sorted(found, key=lambda r: (r["node"], r["feature"])):
-            if r["gain"] > best.get(r["node"], (0, 0, 1e-15))[2] + 1e-15:
-                best[r["node"]] = (r["feature"], r["bin"], r["gain"])
-        open_nodes = [k for node, (f, b, _) in sorted(best.items()) for k in forest.split(node, f, cuts[f][b])]
-    ends = [k for k, f in enumerate(forest.feature) if f < 0]
-    sums: dict[tuple[int, int], list] = {}
-    for r in histograms(rows, forest, ends, cuts, False).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
-        sums.setdefault((r["model"], r["node"]), []).append(r)
-    for (m, node), parts in sums.items():
-        dim = len(parts[0]["vec"])
-        n, mass, ss, w, ww, vec, wvec = *(np.zeros(2) for _ in range(5)), np.zeros((2, dim)), np.zeros((2, dim))
-        for r in parts:
-            for c, name in ((n, "n"), (mass, "mass"), (ss, "ss"), (w, "w"), (ww, "ww"), (vec, "vec"), (wvec, "wvec")):
-                c[r["arm"]] = r[name]
-        penalty = rules.penalty.get(m, rules.shared)
+            both = np.array(r["sides"]).reshape(2, 2, -1)
+            sums.setdefault(r["node"], both.sum(0))
+            if r["bin"] >= 0 and r["gain"] > best.get(r["node"], (0, 0, 1e-15))[2] + 1e-15:
+                best[r["node"]] = (r["feature"], r["bin"], r["gain"], both)
+        open_nodes = []
+        for node, (f, b, _, both) in sorted(best.items()):
+            for k, own in zip(forest.split(node, f, cuts[f][b]), both):
+                model_of[k], sums[k] = model_of[node], own
+                open_nodes.append(k)
+    if not rules.depth or not cuts:  # roots that no level was searched for
+        for r in histograms(rows, forest, open_nodes, cuts, False, target).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
+            sums.setdefault(r["node"], np.zeros((2, len(PARTS) + 2 * len(r["vec"]))))[r["arm"]] = [*[r[c] for c in PARTS], *r["vec"], *r["wvec"]]
+    for node, s in sums.items():
+        if forest.feature[node] >= 0:
+            continue
+        n, mass, ss, w, ww = s[:, : len(PARTS)].T
+        vec, wvec = np.split(s[:, len(PARTS) :], 2, 1)
+        penalty = rules.penalty.get(model_of[node], rules.shared)
         forest.share[node] = float(n[1] / n.sum())
         forest.value[node] = contrast_values(n, w, ww, vec, wvec, penalty, "w" not in rows.columns) if forest.contrast else leaf_values(n, mass, ss, vec, rules, penalty)
     return forest
