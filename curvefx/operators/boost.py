@@ -75,13 +75,13 @@ class Booster:
         return cls(np.array(first["start"]).reshape(shape), [(np.array(r["size"]), Forest.of_rows(r["nodes"], shape[0], r["contrast"])) for r in rows])
 
 
-def mapped(df: DataFrame, f: Callable[[Callable[[str], np.ndarray]], np.ndarray], out: str) -> DataFrame:
-    """df with the array column out made by f from a function that gives a column of arrays as a matrix."""
+def mapped(df: DataFrame, f: Callable[[Callable[[str], np.ndarray]], np.ndarray], out: str, rows: int = ROWS) -> DataFrame:
+    """df with the array column out made by f from a function that gives a column of arrays as a matrix, for so many rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                c = b.slice(at, ROWS)
+            for at in range(0, b.num_rows, rows):
+                c = b.slice(at, rows)
                 made = f(lambda name, c=c: matrix(c, name))
                 flat = np.ascontiguousarray(made.reshape(len(made), -1), float)
                 col = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))

@@ -117,34 +117,59 @@ def calibrated_runs(units: DataFrame, penalties: list[float], functionals: dict[
     return chosen, j.select("unit_id", "run", "a", "e", *psi)
 
 
-def boost_mean(rows: DataFrame, steps: int = 10, rate: float = 0.3, rules: Rules = Rules(depth=2, leaf=10, arm_leaf=0, rule="forced")) -> DataFrame:
+#: Rows that boosted means, whose rows are short, hold as matrices at a time.
+ROWS = 8192
+
+
+def boost_mean(rows: DataFrame, steps: int = 10, rate: float = 0.3, rules: Rules = Rules(depth=2, leaf=10, arm_leaf=0, rule="forced"), folds: int | None = None, variants: int = 1, cuts: list[list[float]] | None = None) -> DataFrame:
     """rows (unit_id, x, t, y; optionally a and w; arrays over models) with f: boosted means, or effects where w = a - e is given.
 
     y and f have a model's columns after another's. With w the loss is (y - w f)^2, whose leaves are sum(w r) / sum(w^2);
-    without, every model starts from the mean of the rows that it trains on.
+    without, every model starts from the mean of the rows that it trains on. With folds, rows hold fold in place of t, and
+    one y (and number a and w) that all models share: model variant * folds + held-out fold trains on the other folds from 0
+    up, so rows don't grow with models but for f. cuts are those of trees.cut_points() if they are known.
     """
-    first = rows.select("x", "t", "y").first()
-    models, width, weighted = len(first["t"]), len(first["x"]), "w" in rows.columns
-    cuts = trees.cut_points(rows, width)
+    first = rows.select("x", "y", *([] if folds else ["t"])).first()
+    models, weighted = folds * variants if folds else len(first["t"]), "w" in rows.columns
+    columns = len(first["y"]) // (1 if folds else models)
+    cuts = trees.cut_points(rows, len(first["x"])) if cuts is None else cuts
+
+    def view(get):
+        def own(name):
+            if name == "mass":
+                return own("w") ** 2 if weighted else np.ones((len(get("x")), models))
+            if name == "a" and not weighted:
+                return np.zeros((len(get("x")), models), np.int64)
+            if not folds or name in ("x", "f"):
+                return get(name)
+            if name == "t":
+                return ((np.arange(models) % folds != get("fold")) & (get("fold") >= 0)).astype(np.int64)
+            return np.tile(get(name), (1, models))
+
+        return own
+
     if weighted:
-        start = np.zeros(len(first["y"]))
+        start = np.zeros(models * columns)
     else:
-        at = lambda get: np.concatenate([(get("y").reshape(len(get("t")), models, -1) * get("t")[:, :, None]).sum(0), get("t").sum(0)[:, None]], 1)
-        s = boost.summed(rows, at)
+
+        def at(get):
+            y, t = view(get)("y").reshape(-1, models, columns), view(get)("t")
+            return np.concatenate([(y * t[:, :, None]).sum(0), t.sum(0)[:, None]], 1)
+
+        s = boost.summed(rows.select("x", "y", "fold" if folds else "t"), at)
         start = (s[:, :-1] / np.maximum(s[:, -1:], 1)).ravel()
-    state = stored(boost.mapped(rows, lambda get: np.repeat(start[None, :], len(get("x")), 0), "f"))
+    state = stored(boost.mapped(rows, lambda get: np.repeat(start[None, :], len(get("x")), 0), "f", ROWS))
 
     def target(get):
-        y, f = (get(c).reshape(len(get("t")), models, -1) for c in "yf")
+        y, f = (get(c).reshape(-1, models, columns) for c in "yf")
         w = get("w")[:, :, None] if weighted else 1.0
         return w * (y - w * f)
 
-    mass = F.transform("w", lambda w: w * w) if weighted else F.transform("t", lambda t: F.lit(1.0))
-    arms = F.col("a") if weighted else F.transform("t", lambda t: F.lit(0))
+    named = ["x", "y", "f", "fold" if folds else "t", *(["a", "w"] if weighted else [])]
     for _ in range(steps):
-        forest = trees.grow(state.withColumns({"mass": mass, "a": arms}), models, cuts, rules, target=target)
+        forest = trees.grow(state.select(*named), models, cuts, rules, target=target, view=view)
         move = lambda get, forest=forest: get("f") + rate * forest.predict(get("x"), np.zeros((len(get("x")), models), np.int64)).reshape(len(get("x")), -1)
-        state = stored(boost.mapped(state, move, "f"))
+        state = stored(boost.mapped(state, move, "f", ROWS))
     return state
 
 
@@ -159,50 +184,50 @@ def average(models: int, column: str = "f") -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: F.get(column, m * size + i)), F.lit(0.0), lambda s, v: s + v) / models)
 
 
+def with_nuisances(units: DataFrame, folds: int, steps: int, new: DataFrame | None = None, given: dict | None = None, cuts: list[list[float]] | None = None) -> DataFrame:
+    """unit_id, a, x, fold and y of units (and of new, where a and y are fillers), with e and m as nuisances() has them, without a join."""
+    given = {k: v(F.col("x")) if callable(v) and not isinstance(v, Column) else v for k, v in (given or {}).items()}
+    asked = units if new is None else units.unionByName(new.withColumn("fold", F.lit(-1)), allowMissingColumns=True)
+    if set(given) == {"e", "m"}:
+        return asked.select("unit_id", "a", "x", "fold", "y", clipped(given["e"]).alias("e"), given["m"].alias("m"))
+    width = len(units.select("y").first()["y"]) + 1
+    target = F.when(F.col("a").isNotNull(), F.concat(F.array(F.col("a").cast("double")), "y")).otherwise(F.array_repeat(F.lit(0.0), width))
+    rows = asked.select("unit_id", F.coalesce("a", F.lit(0)).alias("a"), "x", "fold", target.alias("y"), *[v.alias(f"_{k}") for k, v in given.items()])
+    state = boost_mean(rows, steps, folds=folds, cuts=cuts)
+    f = F.when(F.col("fold") >= 0, of_model(F.col("fold"), folds)).otherwise(average(folds))
+    rest = lambda c: F.slice(c, 2, width - 1)
+    e, m = [F.col(f"_{k}") if k in given else own for k, own in (("e", F.get("f", F.lit(0))), ("m", rest("f")))]
+    return state.withColumn("f", f).select("unit_id", "a", "x", "fold", rest("y").alias("y"), clipped(e).alias("e"), m.alias("m"))
+
+
 def nuisances(units: DataFrame, folds: int = 3, steps: int = 10, new: DataFrame | None = None, given: dict[str, Callable[[Column], Column] | Column] | None = None) -> DataFrame:
     """unit_id with out-of-fold e and m ARRAY, each row scored once by models that didn't see its fold.
 
     Rows of new (unit_id, x) are scored by the average of the fold models. given may hold e or m (m an array) as
     columns of units or as functions of x; what is given isn't fitted.
     """
-    given = {k: v(F.col("x")) if callable(v) and not isinstance(v, Column) else v for k, v in (given or {}).items()}
-    asked = units if new is None else units.unionByName(new.withColumn("fold", F.lit(-1)), allowMissingColumns=True)
-    if set(given) == {"e", "m"}:
-        return asked.select("unit_id", clipped(given["e"]).alias("e"), given["m"].alias("m"))
-    width = len(units.select("y").first()["y"]) + 1
-    target = F.when(F.col("a").isNotNull(), F.concat(F.array(F.col("a").cast("double")), "y")).otherwise(F.array_repeat(F.lit(0.0), width))
-    rows = asked.withColumn("_y", target).withColumn("a", F.coalesce("a", F.lit(0)))
-    seen = F.col("fold") >= 0
-    rows = with_models(rows.select("unit_id", "x", "a", "fold", F.flatten(F.array_repeat("_y", folds)).alias("y")), folds, 1).withColumn("t", F.transform("t", lambda t: F.when(seen, t).otherwise(0)))
-    state = boost_mean(rows.drop("a"), steps)
-    f = F.when(seen, of_model(F.col("fold"), folds)).otherwise(average(folds))
-    out = state.select("unit_id", f.alias("f")).select("unit_id", F.get("f", F.lit(0)).alias("_e"), F.slice("f", 2, F.size("f") - 1).alias("_m"))
-    if given:
-        out = out.join(asked.select("unit_id", *[v.alias(k) for k, v in given.items()]), "unit_id")
-    return out.select("unit_id", clipped(F.col("e" if "e" in given else "_e")).alias("e"), F.col("m" if "m" in given else "_m").alias("m"))
+    return with_nuisances(units, folds, steps, new, given).select("unit_id", "e", "m")
 
 
 def r_learner(units: DataFrame, penalties: list[float], folds: int = 3, steps: int = 10, per_column: bool = False, given: dict | None = None) -> tuple[float | list[float], DataFrame]:
     """The chosen mass penalty, and unit_id with out-of-fold tau, mu0 = m - e tau and mu1 = m + (1 - e) tau (arrays).
 
     The penalty has the least held-out loss summed over columns, the stronger one at a tie; with per_column each column
-    of y has its own, and a list is returned. given is as for nuisances.
+    of y has its own, and a list is returned. given is as for nuisances. Units keep what they need from step to step, so
+    nothing is joined back, and the cuts of x are found once.
     """
-    n = nuisances(units, folds, steps, given=given)
-    variants = len(penalties)
-    models = folds * variants
-    d = units.select("unit_id", "a", "x", "y", "fold").join(n, "unit_id").select("unit_id", "a", "x", "fold", F.col("e").alias("_e"), "m", F.zip_with("y", "m", lambda y, m: y - m).alias("_y"), (F.col("a") - F.col("e")).alias("_w"))
+    first = units.select("x", "y").first()
+    columns, variants, cuts = range(len(first["y"])), len(penalties), trees.cut_points(units, len(first["x"]))
+    n = with_nuisances(units, folds, steps, given=given, cuts=cuts)
+    rows = n.select("unit_id", "a", "x", "fold", "e", "m", F.zip_with("y", "m", lambda y, m: y - m).alias("y"), (F.col("a") - F.col("e")).alias("w"))
     rules = Rules(2, 10, 2, "r_loss", {i * folds + f: p for i, p in enumerate(penalties) for f in range(folds)})
-    rows = with_models(d, folds, variants).withColumns({"y": F.flatten(F.array_repeat("_y", models)), "w": F.array_repeat("_w", models)})
-    state = boost_mean(rows, steps, rules=rules)
-    own = F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), lambda i: of_model(i * folds + F.col("fold"), models))
-    state = stored(state.select("unit_id", F.col("_e").alias("e"), "m", "_y", "_w", own.alias("own")))
-    losses = F.transform("own", lambda f: F.zip_with("_y", f, lambda y, t: (y - F.col("_w") * t) * (y - F.col("_w") * t)))
-    risk = {(r["i"], r["k"]): r["v"] for r in state.select(F.posexplode(losses).alias("i", "l")).select("i", F.posexplode("l").alias("k", "l")).groupBy("i", "k").agg(F.avg("l").alias("v")).collect()}  # a row for each penalty and column
-    columns = sorted({k for _, k in risk})
-    choose = lambda ks: min(range(variants), key=lambda i: (sum(risk[i, k] for k in ks), -penalties[i]))
+    state = boost_mean(rows, steps, rules=rules, folds=folds, variants=variants, cuts=cuts)
+    fitted = lambda i, k: F.get("f", (F.col("fold") + i * folds) * len(columns) + k)
+    lost = lambda i, k: F.get("y", F.lit(k)) - F.col("w") * fitted(i, k)
+    risk = state.agg(*[F.avg(lost(i, k) * lost(i, k)).alias(f"{i}_{k}") for i in range(variants) for k in columns]).first()
+    choose = lambda ks: min(range(variants), key=lambda i: (sum(risk[f"{i}_{k}"] for k in ks), -penalties[i]))
     best = [choose([k]) if per_column else choose(columns) for k in columns]
-    own = state.select("unit_id", "e", "m", F.array(*[F.get(F.get("own", F.lit(i)), F.lit(k)) for k, i in zip(columns, best)]).alias("f"))
+    own = state.select("unit_id", "e", "m", F.array(*[fitted(i, k) for k, i in zip(columns, best)]).alias("f"))
     e = F.col("e")
     out = own.select("unit_id", "e", F.col("f").alias("tau"), F.zip_with("m", "f", lambda m, t: m - e * t).alias("mu0"), F.zip_with("m", "f", lambda m, t: m + (1 - e) * t).alias("mu1"))
     return [penalties[i] for i in best] if per_column else penalties[best[0]], out

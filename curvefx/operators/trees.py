@@ -145,20 +145,22 @@ def cut_points(df: DataFrame, width: int, bins: int = BINS) -> list[list[float]]
     """Candidate cuts of each feature, over all rows of df: features alone, so held-out rows may be among them."""
     rows = df.select(*[F.get("x", F.lit(f)).alias(f"x{f}") for f in range(width)])
     few = rows.agg(*[F.approx_count_distinct(f"x{f}").alias(f"x{f}") for f in range(width)]).first()
+    sets = {f: F.collect_set(F.struct(f"x{f}")) for f in range(width) if few[f] <= bins * 2}  # about 2 bins values at most; a null is one
     probs = [i / bins for i in range(1, bins)]
+    got = rows.agg(*[s.alias(f"set{f}") for f, s in sets.items()], *[F.percentile_approx(f"x{f}", probs, 10000).alias(f"x{f}") for f in range(width)]).first()
     out = []
     for f in range(width):
-        if few[f] <= bins * 2 and (values := [r[0] for r in rows.select(f"x{f}").distinct().limit(bins + 1).collect()]) and len(values) <= bins:
-            v = np.sort(np.array(values, float))
-        else:
-            v = np.unique(np.array(rows.agg(F.percentile_approx(f"x{f}", probs, 10000)).first()[0], float))
+        values = [r[0] for r in got[f"set{f}"]] if f in sets else []
+        v = np.unique(np.array(values if 0 < len(values) <= bins else got[f"x{f}"], float))
         out.append(((v[:-1] + v[1:]) / 2).tolist() if len(v) > 1 else [])
     return out
 
 
 def matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
-    """A column of arrays of one length as rows."""
+    """A column of arrays of one length as rows, or of numbers as rows of one."""
     c = b.column(b.schema.get_field_index(name))
+    if not pa.types.is_list(c.type):
+        return c.to_numpy(zero_copy_only=False).reshape(-1, 1)
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
 
 
@@ -167,45 +169,79 @@ def row_sums(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(group, c, n) for c in values.T], 1) if values.shape[1] else np.zeros((n, 0))
 
 
-def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool, target: Callable[[Callable[[str], np.ndarray]], np.ndarray] | None = None) -> DataFrame:
+Getter = Callable[[str], np.ndarray]
+
+
+def nodes_by_model(forest: Forest, wanted: set[int]) -> list[list[int]]:
+    """The wanted nodes of each model's tree."""
+    out = []
+    for root in forest.root.tolist():
+        found, todo = [], [root] if root >= 0 else []
+        while todo:
+            k = todo.pop()
+            if k in wanted:
+                found.append(k)
+            if forest.feature[k] >= 0:
+                todo += [forest.low[k], forest.high[k]]
+        out.append(sorted(found))
+    return out
+
+
+def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool, target: Callable[[Getter], np.ndarray] | None = None, view: Callable[[Getter], Getter] | None = None) -> DataFrame:
     """Sums by model, node, feature, bin and arm over rows in open nodes; one feature -1 and bin 0 without by_feature.
 
     target makes v from a function that gives a column y, f or w as a matrix, where rows have no v; w is then for it alone.
+    view makes from the function that gives the columns of rows another one, which has all of x, a, t and mass (and what target asks for).
     """
-    width, models, wanted = len(cuts), len(forest.root), np.array(sorted(open_nodes))
-    named = [c for c in ("x", "a", "t", "mass", "w", *(("v",) if target is None else ("y", "f"))) if c in rows.columns]
+    width, models, own_nodes = len(cuts), len(forest.root), nodes_by_model(forest, set(open_nodes))
+    named = rows.columns if view else [c for c in ("x", "a", "t", "mass", "w", *(("v",) if target is None else ("y", "f"))) if c in rows.columns]
+    place = np.full(len(forest.feature) + 1, -1)  # the last is for a model without a tree
+    for nodes in own_nodes:
+        place[nodes] = np.arange(len(nodes))
+    bins, contrast = max(map(len, cuts), default=0) + 1 if by_feature else 1, "w" in rows.columns and target is None
+    features = list(range(width)) if by_feature else [-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, list] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}  # by model and feature: a row for each node, bin and arm, a column for each part
+        dim = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            x, arm, train, mass = (matrix(b, c) for c in ("x", "a", "t", "mass"))
-            v = (matrix(b, "v") if target is None else target(lambda name, b=b: matrix(b, name))).reshape(len(x), models, -1)
-            w = matrix(b, "w") if "w" in named and target is None else None
-            binned = np.stack([np.searchsorted(np.array(cuts[f]), x[:, f], side="left") for f in range(width)], 1)
-            nodes = forest.route(x)
+            get = lambda name, b=b: matrix(b, name)
+            get = view(get) if view else get
+            x, arm, train, mass = (get(c) for c in ("x", "a", "t", "mass"))
+            v = (get("v") if target is None else target(get)).reshape(len(x), models, -1)
+            w = get("w") if contrast else None
+            dim = v.shape[2]
+            binned = [np.searchsorted(np.array(cuts[f]), x[:, f], side="left") if f >= 0 else 0 for f in features]
+            at = place[forest.route(x)]
             for m in range(models):
-                own = np.flatnonzero((train[:, m] != 0) & np.isin(nodes[:, m], wanted))
+                own = np.flatnonzero((train[:, m] != 0) & (at[:, m] >= 0))
                 if not len(own):
                     continue
-                node, vm, mm, am = nodes[own, m], v[own, m], mass[own, m], arm[own, m].astype(np.int64)
-                wm = w[own, m] if w is not None else np.zeros(len(own))
-                square = (vm**2).sum(1)
-                for f in range(width) if by_feature else (-1,):
-                    bin_ = binned[own, f] if f >= 0 else np.zeros(len(own), np.int64)
-                    u, inv = np.unique((node * 64 + bin_) * 2 + am, return_inverse=True)
-                    plain = [np.bincount(inv), *[np.bincount(inv, c) for c in (mm, square, wm, wm * wm)]]
-                    vec = row_sums(inv, vm, len(u))
-                    wvec = row_sums(inv, wm[:, None] * vm, len(u)) if w is not None else np.zeros_like(vec)
-                    for i, k in enumerate(u.tolist()):
-                        new = [*[c[i] for c in plain], vec[i], wvec[i]]
-                        key = (m, k // 128, f, k // 2 % 64, k % 2)
-                        sums[key] = [p + q for p, q in zip(sums[key], new)] if key in sums else new
-        if sums:
-            keys, vals = list(zip(*sums)), list(zip(*sums.values()))
-            lists = [pa.array([c.tolist() for c in col], pa.list_(pa.float64())) for col in vals[5:]]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in keys], pa.array(vals[0], pa.int64()), *[pa.array(c, pa.float64()) for c in vals[1:5]], *lists], HIST_NAMES)
+                vm, size = v[own, m], len(own_nodes[m]) * bins * 2
+                parts = [mass[own, m], (vm**2).sum(1), *vm.T]
+                if w is not None:
+                    wm = w[own, m]
+                    parts += [wm, wm * wm, *(wm[:, None] * vm).T]
+                parts = np.stack(parts).T
+                head, arms = at[own, m] * bins, arm[own, m].astype(np.int64)
+                for f, bin_ in zip(features, binned):
+                    key = (head + (bin_[own] if f >= 0 else 0)) * 2 + arms
+                    new = np.concatenate([np.bincount(key, minlength=size)[:, None], row_sums(key, parts, size)], 1)
+                    if (m, f) in sums:
+                        sums[m, f] += new
+                    else:
+                        sums[m, f] = new
+        for (m, f), total in sums.items():
+            u = np.flatnonzero(total[:, 0])
+            n, mass, ss, *rest = total[u].T
+            none = np.zeros(len(u))
+            w, ww = rest[dim : dim + 2] if contrast else (none, none)
+            lists = [np.stack(rest[:dim], 1), np.stack(rest[dim + 2 :], 1) if contrast else np.zeros((len(u), dim))]
+            keys = [np.full(len(u), m), np.array(own_nodes[m])[u // (2 * bins)], np.full(len(u), f), u // 2 % bins, u % 2]
+            flat = [pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * dim), pa.array(c.ravel())) for c in lists]
+            yield pa.RecordBatch.from_arrays([*[pa.array(k.astype(np.int32)) for k in keys], pa.array(n.astype(np.int64)), *map(pa.array, (mass, ss, w, ww)), *flat], HIST_NAMES)
 
     return rows.select(*named).mapInArrow(run, HIST)
 
@@ -302,8 +338,8 @@ def sides(pdf: pd.DataFrame, at: int | None) -> list[float]:
     return out.ravel().tolist()
 
 
-def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None, target: Callable | None = None) -> Forest:
-    """One tree for each model (or each of alive); rows are read once for each level. target is as for histograms()."""
+def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None, target: Callable | None = None, view: Callable | None = None) -> Forest:
+    """One tree for each model (or each of alive); rows are read once for each level. target and view are as for histograms()."""
     forest = Forest(np.full(models, -1), contrast=rules.rule == "contrast")
     for m in range(models) if alive is None else alive:
         forest.root[m] = forest.add()
@@ -319,7 +355,7 @@ def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, al
     for _ in range(rules.depth):
         if not open_nodes or not cuts:
             break
-        found = histograms(rows, forest, open_nodes, cuts, True, target).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double, sides array<double>").collect()
+        found = histograms(rows, forest, open_nodes, cuts, True, target, view).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double, sides array<double>").collect()
         best: dict[int, tuple] = {}
         for r in sorted(found, key=lambda r: (r["node"], r["feature"])):
             both = np.array(r["sides"]).reshape(2, 2, -1)
@@ -332,7 +368,7 @@ def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, al
                 model_of[k], sums[k] = model_of[node], own
                 open_nodes.append(k)
     if not rules.depth or not cuts:  # roots that no level was searched for
-        for r in histograms(rows, forest, open_nodes, cuts, False, target).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
+        for r in histograms(rows, forest, open_nodes, cuts, False, target, view).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
             sums.setdefault(r["node"], np.zeros((2, len(PARTS) + 2 * len(r["vec"]))))[r["arm"]] = [*[r[c] for c in PARTS], *r["vec"], *r["wvec"]]
     for node, s in sums.items():
         if forest.feature[node] >= 0:
