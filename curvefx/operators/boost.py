@@ -1,9 +1,10 @@
 """Particle boosters: laws of curves by unit and arm, moved along the energy score's gradient by shared trees.
 
 All models (folds, penalties, seeds, placebos) train in lock step over one table with one row for each unit: unit_id, x, q,
-and arrays with an entry for each model, a (arm), t (1 where it trains on the unit), optionally e (propensity, for the
-contrast rule), and p, the particles, model after model. Every step is a fixed number of jobs for all models: gradient and
-trees, one scan that tries all step sizes, and the stored new state.
+and arrays with an entry for each model, a (arm), t (1 where it trains on the unit), and optionally e (propensity, for the
+contrast rule). Every step is a fixed number of jobs for all models: a scan for each level of the trees, and one that tries
+all step sizes. Particles are no columns: x, a and e, and the trees so far, give them, so tasks make them again in each scan,
+once for all rows of a model that went to the same leaves, and neither they nor gradients are stored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import monotone, ordered, trees
-from .ordered import stored
 from .trees import Forest, Rules, matrix
 
 ship(__name__)
@@ -28,22 +28,47 @@ ROWS = 1024
 project = monotone.pooled
 
 
-def scores(p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
-    """Energy score of particles (n, M, K) at curves (n, K) under equal grid weights."""
+#: Numbers that pairs of particles take up at a time.
+PAIRS = 1_000_000
+
+
+def in_parts(f: Callable[[np.ndarray], np.ndarray], p: np.ndarray) -> np.ndarray:
+    """f of particles (n, M, K) with all their differences, for so many laws at a time that these are few."""
+    size = max(1, PAIRS // max(1, p.shape[1] ** 2 * p.shape[2]))
+    return np.concatenate([f(p[at : at + size]) for at in range(0, max(len(p), 1), size)])
+
+
+def repulsion(p: np.ndarray, eps: float) -> np.ndarray:
+    """What the pairs of a law's particles take from its energy score, (n,)."""
+    return in_parts(lambda p: 0.5 * (np.sqrt(((p[:, :, None] - p[:, None]) ** 2).mean(3) + eps**2) - eps).mean((1, 2)), p)
+
+
+def scores(p: np.ndarray, q: np.ndarray, eps: float, own: np.ndarray | None = None) -> np.ndarray:
+    """Energy score of particles (n, M, K) at curves (n, K) under equal grid weights; own is repulsion() if it is known."""
     att = np.sqrt(((p - q[:, None]) ** 2).mean(2) + eps**2) - eps
-    pair = np.sqrt(((p[:, :, None] - p[:, None]) ** 2).mean(3) + eps**2) - eps
-    return att.mean(1) - 0.5 * pair.mean((1, 2))
+    return att.mean(1) - (repulsion(p, eps) if own is None else own)
+
 
+def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, and 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros_like(a), where=b > 0)
 
-def descent(p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
-    """-M K times the score's gradient, (n, M, K); collisions add nothing."""
-    m = p.shape[1]
+
+def push(p: np.ndarray, eps: float) -> np.ndarray:
+    """What a law's other particles add to the descent of each, (n, M, K)."""
+
+    def of(p):
+        e = p[:, :, None] - p[:, None]
+        return part(e, np.sqrt((e**2).mean(3) + eps**2)[..., None]).sum(2) / p.shape[1]
+
+    return in_parts(of, p)
+
+
+def descent(p: np.ndarray, q: np.ndarray, eps: float, own: np.ndarray | None = None) -> np.ndarray:
+    """-M K times the score's gradient, (n, M, K); collisions add nothing; own is push() if it is known."""
     d = p - q[:, None]
     na = np.sqrt((d**2).mean(2) + eps**2)[..., None]
-    e = p[:, :, None] - p[:, None]
-    nb = np.sqrt((e**2).mean(3) + eps**2)[..., None]
-    part = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
-    return -(part(d, na) - part(e, nb).sum(2) / m)
+    return -(part(d, na) - (push(p, eps) if own is None else own))
 
 
 TABLE = f"step int, size array<double>, start array<double>, contrast boolean, nodes array<struct<{trees.NODES.replace(' int', ': int').replace(' double', ': double').replace(' array', ': array')}>>"
@@ -149,11 +174,6 @@ def start_particles(units: DataFrame, particles: int, order: str) -> np.ndarray:
     return np.array([[by[m, int((i + 0.5) * total[m] / particles)] for i in range(particles)] for m in range(models)])
 
 
-def moved(x: np.ndarray, a: np.ndarray, e: np.ndarray | None, p: np.ndarray, sizes: np.ndarray, forest: Forest) -> np.ndarray:
-    """Particles (n, models, M, K) after one step, projected; a model of size 0 stays."""
-    return stepped(p, forest.predict(x, a.astype(np.int64), e).reshape(p.shape), sizes) if sizes.any() else p.copy()
-
-
 def stepped(p: np.ndarray, change: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Particles moved by each model's size times change, projected; a model of size 0 stays."""
     go = np.flatnonzero(sizes)
@@ -164,50 +184,85 @@ def stepped(p: np.ndarray, change: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Laws:
+    """Particles of rows: cell (rows, models) has each one's place in p (cells, M, K). Rows of a model share a cell while they have gone to the same leaves with the same arm."""
+
+    cell: np.ndarray
+    p: np.ndarray
+
+    def divided(self, x: np.ndarray, a: np.ndarray, e: np.ndarray | None, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """New cells of the rows under a forest, and by new cell the old one, the model and the forest's change. Given propensities make every row a cell."""
+        leaf = forest.route(x)
+        if forest.contrast and e is not None:
+            first = at = np.arange(leaf.size)
+        else:
+            key = (self.cell * (len(forest.feature) + 1) + leaf + 1) * 2 + a
+            _, first, at = np.unique(key.ravel(), return_index=True, return_inverse=True)
+        old, own_leaf, arm = (c.ravel()[first] for c in (self.cell, leaf, a))
+        change = forest.values(own_leaf, arm, None if e is None else e.ravel()[first])
+        return at.reshape(leaf.shape), old, first % leaf.shape[1], change.reshape(len(first), *self.p.shape[1:])
+
+    def tried(self, old: np.ndarray, model: np.ndarray, change: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Particles of new cells after a step of each model's size."""
+        return stepped(self.p[old][None], change[None], sizes[model])[0]
+
+
+def replayed(start: np.ndarray, steps: list[tuple[np.ndarray, Forest]], x: np.ndarray, a: np.ndarray, e: np.ndarray | None = None) -> Laws:
+    """The laws of rows with arms a (rows, models) after steps."""
+    laws = Laws(np.repeat(np.arange(len(start))[None], len(x), 0), start)
+    for sizes, forest in steps:
+        cell, *new = laws.divided(x, a, e, forest)
+        laws = Laws(cell, laws.tried(*new, sizes))
+    return laws
+
+
 def fit(units: DataFrame, particles: int = 5, steps: int = 5, rate: float = 0.5, eps: float = 1e-3, rules: Rules = Rules(), halvings: int = 6, order: str = "unit_id") -> tuple[Booster, DataFrame]:
-    """A booster over units (unit_id, x, q, a, t and optionally e, arrays over models), and the final state of all rows.
+    """A booster over units (unit_id, x, q, a, t and optionally e, arrays over models), and all rows with p as followed() makes it.
 
-    Trees and risks use the rows that a model trains on; the others follow along, so held-out laws come with the fit. A
-    model stops when no tried step size lowers its risk. e is for the contrast rule, which without it uses leaf shares.
+    Units are read again for each scan, so they should be stored, or made from what is stored row by row. Trees and risks
+    use the rows that a model trains on; the laws of the others follow from the same trees, so held-out laws come with the
+    fit. A model stops when no tried step size lowers its risk. e is for the contrast rule, which without it uses leaf shares.
     """
     start = start_particles(units, particles, order)
-    models, _, k = start.shape
+    models = len(start)
     cuts = trees.cut_points(units, len(units.select("x").first()["x"]))
     has_e = "e" in units.columns
-    of = lambda p, n: p.reshape(n, models, -1, k)
-    e_of = lambda get: get("e") if has_e else None
-    state = stored(mapped(units, lambda get, flat=start.ravel(): np.repeat(flat[None, :], len(get("x")), 0), "p"))
+    rows = units.select("x", "a", "t", "q", *(["e"] if has_e else []), *([F.zip_with("a", "e", lambda a, e: a - e).alias("w")] if has_e and rules.rule == "contrast" else []))
     book, alive = Booster(start), np.ones(models, bool)
     sizes = [0.0, *[rate / 2**i for i in range(halvings)]]
+    laws_of = lambda get, taken: replayed(start, taken, get("x"), get("a").astype(np.int64), get("e") if has_e else None)
     for number in range(steps):
         if not alive.any():
             break
 
-        def gradient(get, alive=alive):
-            q, p = get("q"), of(get("p"), len(get("q")))
-            v = np.zeros_like(p)
-            for m in np.flatnonzero(alive):
-                v[:, m] = descent(p[:, m], q, eps)
-            return v
+        def view(get, alive=alive, taken=list(book.steps)):  # noqa: B006
+            def gradient():
+                laws, q = laws_of(get, taken), get("q")
+                own, v = push(laws.p, eps), np.zeros((len(q), *start.shape))
+                for m in np.flatnonzero(alive):
+                    at = laws.cell[:, m]
+                    v[:, m] = descent(laws.p[at], q, eps, own[at])
+                return v
+
+            return lambda name: gradient() if name == "v" else get("t").astype(float) if name == "mass" else get(name)
 
-        named = ["x", "a", "t", F.transform("t", lambda t: t.cast("double")).alias("mass"), "v"]
-        named += [F.zip_with("a", "e", lambda a, e: a - e).alias("w")] if has_e and rules.rule == "contrast" else []
-        rows = stored(mapped(state, gradient, "v").select(*named))
-        forest = trees.grow(rows, models, cuts, rules, np.flatnonzero(alive).tolist())
+        forest = trees.grow(rows, models, cuts, rules, np.flatnonzero(alive).tolist(), None, view, ROWS)
 
-        def tried(get, forest=forest, alive=alive):
+        def tried(get, forest=forest, alive=alive, taken=list(book.steps)):  # noqa: B006
             """Training rows and sums of their scores before and after every step size, by model."""
-            q, t, x, a = get("q"), get("t"), get("x"), get("a")
-            p = of(get("p"), len(q))
-            change = forest.predict(x, a.astype(np.int64), e_of(get)).reshape(p.shape)  # once for all sizes
-            cols = [stepped(p, change, np.where(alive, s, 0.0)) for s in sizes]
+            q, t, laws = get("q"), get("t"), laws_of(get, taken)
+            cell, *new = laws.divided(get("x"), get("a").astype(np.int64), get("e") if has_e else None, forest)  # once for all sizes
+            made = [laws.tried(*new, np.where(alive, s, 0.0)) for s in sizes]
+            made = [(p, repulsion(p, eps)) for p in made]
             out = np.zeros((models, len(sizes) + 1))
             for m in np.flatnonzero(alive):
-                own = t[:, m] != 0
-                out[m] = [own.sum(), *[scores(c[own, m], q[own], eps).sum() for c in cols]]
+                own = np.flatnonzero(t[:, m])
+                at = cell[own, m]
+                out[m] = [len(own), *[scores(p[at], q[own], eps, r[at]).sum() for p, r in made]]
             return out
 
-        risk = summed(state, tried)
+        risk = summed(rows, tried)
         chosen = np.zeros(models)
         for m in np.flatnonzero(alive).tolist():
             r = risk[m, 1:] / risk[m, 0]
@@ -217,41 +272,49 @@ def fit(units: DataFrame, particles: int = 5, steps: int = 5, rate: float = 0.5,
         alive = chosen > 0
         if alive.any():
             book.steps.append((chosen, forest))
-            state = stored(mapped(state, lambda get, s=chosen, f=forest: moved(get("x"), get("a"), e_of(get), of(get("p"), len(get("x"))), s, f), "p"))
-    return book, state
+    return book, followed(book, units)
+
+
+def followed(book: Booster, rows: DataFrame) -> DataFrame:
+    """rows (x, a array; optionally e) with p: every model's particles at each row's own arm, in the order of the start."""
+    has_e = "e" in rows.columns
+
+    def flat(get):
+        laws = replayed(book.start, book.steps, get("x"), get("a").astype(np.int64), get("e") if has_e else None)
+        return laws.p[laws.cell]
+
+    return mapped(rows, flat, "p")
 
 
 def predict(book: Booster, rows: DataFrame, arm: int | None = None) -> DataFrame:
     """rows (unit_id, x, a array; optionally e) with p: every model's law of each row's arm, or of the given one, atoms in lexicographic order."""
-    models, m, k = book.start.shape
-    has_e = "e" in rows.columns
+    models, has_e = len(book.start), "e" in rows.columns
 
     def replay(get):
         x = get("x")
-        n = len(x)
-        a = get("a").astype(np.int64) if arm is None else np.full((n, models), arm)
-        p = np.repeat(book.start[None], n, 0)
-        for sizes, forest in book.steps:
-            p = moved(x, a, get("e") if has_e else None, p, sizes, forest)
-        flat = p.reshape(-1, m, k)
-        order = np.lexsort(np.moveaxis(flat, 2, 0)[::-1], axis=-1)
-        return np.take_along_axis(flat, order[:, :, None], 1).reshape(n, -1)
+        a = get("a").astype(np.int64) if arm is None else np.full((len(x), models), arm)
+        laws = replayed(book.start, book.steps, x, a, get("e") if has_e else None)
+        order = np.lexsort(np.moveaxis(laws.p, 2, 0)[::-1], axis=-1)
+        return np.take_along_axis(laws.p, order[:, :, None], 1)[laws.cell]
 
     return mapped(rows, replay, "p")
 
 
-def held_out_risk(state: DataFrame, models: int, k: int, eps: float = 1e-3) -> np.ndarray:
-    """Mean energy score by model of the rows that it was not trained on."""
+def held_out_risk(book: Booster, units: DataFrame, eps: float = 1e-3) -> np.ndarray:
+    """Mean energy score by model of the rows (x, q, a, t and optionally e) that it was not trained on."""
+    has_e, models = "e" in units.columns, len(book.start)
 
     def total(get):
-        q, t = get("q"), get("t")
-        p, out = get("p").reshape(len(q), models, -1, k), np.zeros((models, 2))
+        q, t, out = get("q"), get("t"), np.zeros((models, 2))
+        laws = replayed(book.start, book.steps, get("x"), get("a").astype(np.int64), get("e") if has_e else None)
+        pairs = repulsion(laws.p, eps)
         for m in range(models):
-            own = t[:, m] == 0
-            out[m] = scores(p[own, m], q[own], eps).sum(), own.sum()
+            own = np.flatnonzero(t[:, m] == 0)
+            at = laws.cell[own, m]
+            out[m] = scores(laws.p[at], q[own], eps, pairs[at]).sum(), len(own)
         return out
 
-    s = summed(state, total)
+    s = summed(units.select("x", "q", "a", "t", *(["e"] if has_e else [])), total)
     return s[:, 0] / s[:, 1]
 
 

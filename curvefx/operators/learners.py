@@ -74,14 +74,14 @@ def cross_fitted_laws(units: DataFrame, penalties: list[float], folds: int = 3,
     rules = settings.pop("rules", Rules())
     by_model = {(g * variants + i) * folds + f: p for g in range(runs) for i, p in enumerate(penalties) for f in range(folds)}
     rules = Rules(rules.depth, rules.leaf, rules.arm_leaf, rules.rule, by_model, rules.shared, rules.gain)
-    book, state = boost.fit(rows, rules=rules, **settings)
-    models, _, k = book.start.shape
-    risk = boost.held_out_risk(state, models, k).reshape(runs, variants, folds).mean(2)
+    book, _ = boost.fit(rows, rules=rules, **settings)
+    risk = boost.held_out_risk(book, rows).reshape(runs, variants, folds).mean(2)
     best = [min(range(variants), key=lambda i, g=g: (risk[g, i], -penalties[i])) for g in range(runs)]
     table = units.sparkSession.createDataFrame([(g, float(penalties[i]), float(risk[g, i])) for g in range(runs) for i in range(variants)], "run int, penalty double, risk double")
     kept = [(g * variants + best[g]) * folds + f for g in range(runs) for f in range(folds)]
-    p = F.concat(*[boost.law_of(m, models) for m in kept])
-    return [penalties[i] for i in best], table, state.select(*[F.col(f"_own.`{c}`") for c in units.columns if c != "p"], p.alias("p")), book.only(kept)
+    own = lambda c: F.array(*[F.get(c, F.lit(m)) for m in kept]).alias(c)
+    state = boost.followed(book.only(kept), rows.select("_own", "x", *[own(c) for c in ("a", "e") if c in rows.columns]))
+    return [penalties[i] for i in best], table, state.select(*[F.col(f"_own.`{c}`") for c in units.columns if c != "p"], "p"), book.only(kept)
 
 
 def arm_means(units: DataFrame, book: Booster, functionals: dict[str, Callable[[Column], Column]], folds: int = 3) -> DataFrame:
@@ -106,8 +106,8 @@ def calibrated_runs(units: DataFrame, penalties: list[float], functionals: dict[
 
     units: unit_id, x, q, and a and fold as arrays over runs (in_runs). One fit of laws and one of propensities serve all runs.
     """
-    chosen, _, state, book = cross_fitted_laws(units, penalties, folds, **settings)
-    mu = arm_means(state, book, functionals, folds)
+    chosen, _, _, book = cross_fitted_laws(units, penalties, folds, **settings)
+    mu = arm_means(units, book, functionals, folds)
     rows = with_models(units.select("unit_id", "x", "a", "fold"), folds, 1)
     fitted = boost_mean(rows.select("unit_id", "x", "t", "fold", F.transform("a", lambda a: a.cast("double")).alias("y")), propensity_steps)
     e = fitted.select("unit_id", F.posexplode(F.transform("fold", lambda f, g: F.get("f", g * folds + f))).alias("run", "e"))
@@ -327,11 +327,11 @@ def two_part_laws(units: DataFrame, zero: str, folds: int = 3, least: int = 8, *
         mean = units.where(~F.col(zero)).agg(*[F.coalesce(F.avg(F.get("q", F.lit(i))), F.lit(0.0)).alias(f"q{i}") for i in range(levels)]).first()
         law = units.select("unit_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("arm"), F.lit(0).alias("atom_id"), F.lit(1.0).alias("mass"), F.array(*[F.lit(float(v)) for v in mean]).alias("q"))
         return laws.two_part(law, rates)
-    book, state = boost.fit(rows, **settings)
+    book, _ = boost.fit(rows, **settings)
     models, _, k = book.start.shape
     law = None
     for arm in (0, 1):
-        made = boost.predict(book, state.select("unit_id", "x", "a", "fold"), arm)
+        made = boost.predict(book, rows.select("unit_id", "x", "a", "fold"), arm)
         own = made.select("unit_id", F.lit(arm).alias("arm"), boost.law_of(F.col("fold"), models).alias("p"))
         law = boost.as_law(own, k, "arm") if law is None else law.unionByName(boost.as_law(own, k, "arm"))
     return laws.two_part(law, rates)

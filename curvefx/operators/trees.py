@@ -71,7 +71,10 @@ class Forest:
 
     def predict(self, x: np.ndarray, arm: np.ndarray, e: np.ndarray | None = None) -> np.ndarray:
         """(rows, models, values) for arms (rows, models); e has propensities for the contrast rule, else the leaf's treated share is used."""
-        leaf = self.route(x)
+        return self.values(self.route(x), arm, e)
+
+    def values(self, leaf: np.ndarray, arm: np.ndarray, e: np.ndarray | None = None) -> np.ndarray:
+        """What predict() gives at leaves of route(), for arms and e of the same shape."""
         width = len(next(iter(self.value.values()))[0]) if self.value else 1
         table = np.zeros((len(self.feature) + 1, 2, width))
         for k, pair in self.value.items():
@@ -79,7 +82,7 @@ class Forest:
         if not self.contrast:
             return table[leaf, arm]
         centre = np.array(self.share + [0.0])[leaf] if e is None else e
-        return table[leaf, 0] + (arm - centre)[:, :, None] * table[leaf, 1]
+        return table[leaf, 0] + (arm - centre)[..., None] * table[leaf, 1]
 
     def splits(self, model: int = 0) -> dict[int, tuple[int, float]]:
         """Splits of one tree by heap number, the root being 1."""
@@ -187,11 +190,12 @@ def nodes_by_model(forest: Forest, wanted: set[int]) -> list[list[int]]:
     return out
 
 
-def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool, target: Callable[[Getter], np.ndarray] | None = None, view: Callable[[Getter], Getter] | None = None) -> DataFrame:
+def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: list[list[float]], by_feature: bool, target: Callable[[Getter], np.ndarray] | None = None, view: Callable[[Getter], Getter] | None = None, at_once: int | None = None) -> DataFrame:
     """Sums by model, node, feature, bin and arm over rows in open nodes; one feature -1 and bin 0 without by_feature.
 
     target makes v from a function that gives a column y, f or w as a matrix, where rows have no v; w is then for it alone.
-    view makes from the function that gives the columns of rows another one, which has all of x, a, t and mass (and what target asks for).
+    view makes from the function that gives the columns of rows another one, which has all of x, a, t and mass (and v, or what target asks for).
+    at_once is the number of rows that are laid out at a time, all of a batch unless given.
     """
     width, models, own_nodes = len(cuts), len(forest.root), nodes_by_model(forest, set(open_nodes))
     named = rows.columns if view else [c for c in ("x", "a", "t", "mass", "w", *(("v",) if target is None else ("y", "f"))) if c in rows.columns]
@@ -204,9 +208,7 @@ def histograms(rows: DataFrame, forest: Forest, open_nodes: list[int], cuts: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}  # by model and feature: a row for each node, bin and arm, a column for each part
         dim = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(at, at_once or b.num_rows) for b in batches if b.num_rows for at in range(0, b.num_rows, at_once or b.num_rows)):
             get = lambda name, b=b: matrix(b, name)
             get = view(get) if view else get
             x, arm, train, mass = (get(c) for c in ("x", "a", "t", "mass"))
@@ -338,8 +340,8 @@ def sides(pdf: pd.DataFrame, at: int | None) -> list[float]:
     return out.ravel().tolist()
 
 
-def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None, target: Callable | None = None, view: Callable | None = None) -> Forest:
-    """One tree for each model (or each of alive); rows are read once for each level. target and view are as for histograms()."""
+def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, alive: list[int] | None = None, target: Callable | None = None, view: Callable | None = None, at_once: int | None = None) -> Forest:
+    """One tree for each model (or each of alive); rows are read once for each level. target, view and at_once are as for histograms()."""
     forest = Forest(np.full(models, -1), contrast=rules.rule == "contrast")
     for m in range(models) if alive is None else alive:
         forest.root[m] = forest.add()
@@ -355,7 +357,7 @@ def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, al
     for _ in range(rules.depth):
         if not open_nodes or not cuts:
             break
-        found = histograms(rows, forest, open_nodes, cuts, True, target, view).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double, sides array<double>").collect()
+        found = histograms(rows, forest, open_nodes, cuts, True, target, view, at_once).groupBy("model", "node", "feature").applyInPandas(search, "node int, feature int, bin int, gain double, sides array<double>").collect()
         best: dict[int, tuple] = {}
         for r in sorted(found, key=lambda r: (r["node"], r["feature"])):
             both = np.array(r["sides"]).reshape(2, 2, -1)
@@ -368,7 +370,7 @@ def grow(rows: DataFrame, models: int, cuts: list[list[float]], rules: Rules, al
                 model_of[k], sums[k] = model_of[node], own
                 open_nodes.append(k)
     if not rules.depth or not cuts:  # roots that no level was searched for
-        for r in histograms(rows, forest, open_nodes, cuts, False, target, view).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
+        for r in histograms(rows, forest, open_nodes, cuts, False, target, view, at_once).groupBy("model", "node", "arm").applyInPandas(added, f"model int, node int, arm int, {SUMS}").collect():
             sums.setdefault(r["node"], np.zeros((2, len(PARTS) + 2 * len(r["vec"]))))[r["arm"]] = [*[r[c] for c in PARTS], *r["vec"], *r["wvec"]]
     for node, s in sums.items():
         if forest.feature[node] >= 0:

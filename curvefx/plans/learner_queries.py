@@ -139,8 +139,8 @@ def m3_booster(spark, d):
     e = learners.nuisances(u.withColumn("y", F.array(C.curve_mean(F.col("q")))), 3, 3).select("unit_id", "e")
     for basis, part in (("leaf_share", u), ("cross_fitted", ordered.stored(u.join(e, "unit_id")))):
         one = single(part).withColumn("e", F.array("e")) if "e" in part.columns else single(part)
-        book, state = boost.fit(one, rules=trees.Rules(leaf=20, arm_leaf=5, rule="contrast", shared=50.0), **FAST)
-        mean = lambda arm, book=book, state=state: boost.predict(book, state.drop("p"), arm).agg(F.avg(F.aggregate("p", F.lit(0.0), lambda s, v: s + v) / F.size("p"))).first()[0]
+        book, _ = boost.fit(one, rules=trees.Rules(leaf=20, arm_leaf=5, rule="contrast", shared=50.0), **FAST)
+        mean = lambda arm, book=book, one=one: boost.predict(book, one, arm).agg(F.avg(F.aggregate("p", F.lit(0.0), lambda s, v: s + v) / F.size("p"))).first()[0]
         gap = mean(1) - mean(0)
         t = boost.trace_table(book, spark).select(F.lit(basis).alias("basis"), "step", r(F.col("before")).alias("before"), r(F.col("after")).alias("after"), r(F.lit(float(gap)), 2).alias("contrast"))
         out = t if out is None else out.unionByName(t)
@@ -182,9 +182,9 @@ def m7(spark, d):
 def m8(spark, d):
     """The whole run: penalty by held-out energy, out-of-fold laws, functionals, propensities, doubly robust effects by bin."""
     u = rows(spark, d)
-    penalties, _, state, book = learners.cross_fitted_laws(u, [0.0, 50.0, 500.0], 3, rules=trees.Rules(leaf=20, arm_leaf=5), **FAST)
+    penalties, _, _, book = learners.cross_fitted_laws(u, [0.0, 50.0, 500.0], 3, rules=trees.Rules(leaf=20, arm_leaf=5), **FAST)
     hs = {"mean": C.curve_mean, "sd": C.curve_sd}
-    mu = learners.arm_means(state, book, hs).drop("run", "a", "fold")
+    mu = learners.arm_means(u, book, hs).drop("run", "a", "fold")
     e = learners.propensities(u, "logistic")
     j = u.join(mu, "unit_id").join(e, "unit_id").withColumn("bin", prep.moderator_bin(F.col("m")))
     long = None
